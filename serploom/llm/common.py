@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         place = "file://" + tempfile.mkdtemp(prefix="serploom-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(place)
-    return place
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return whole if "://" in whole else whole.replace(":/", ":///", 1)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

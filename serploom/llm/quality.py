@@ -17,12 +17,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serploom.llm.common import arrow_map, check_columns, columns_of, fold, unit_hash
+from serploom.shipping import ship
 
 #: Bytes that are compressed at once: short enough for a dictionary to tell.
 PIECE = 1024
@@ -161,5 +163,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, accept: float = 0.7, folds: in
     """The rows of ``docs``, all columns, whose score is at least ``accept``."""
     rows = outside(check_columns(docs, "doc_id", "text"), folds, held)
     model = fit(rows.filter(~F.col("held_out")), labels.filter(fold(F.col("doc_id"), folds) != held), **fit_params)
-    names = docs.columns
-    return score(docs.withColumn("__text", F.col("text")), model).filter(F.col("score") >= accept).select(*[F.col("__text").alias("text") if n == "text" else F.col(n) for n in names])
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(_sizer(shared.value).measures([None if t is None else str(t) for t in texts])))
+
+    return docs.filter(good("text") >= accept)
