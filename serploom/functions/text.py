@@ -79,7 +79,7 @@ def variations(keyword: Column | str) -> Column:
 
 
 def _pattern(v: Column) -> Column:
-    return F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), v, F.lit(r"\E(?![A-Za-z0-9_])"))
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), v, F.lit(r"\E(?![\p{L}\p{N}_])"))
 
 
 def vcount(text: Column | str, vars_: Column | str) -> Column:
