@@ -129,7 +129,7 @@ class CrossParser:
             self.logs.append(np.log2(max(len(symbols), 2)))
         if sum(map(len, tables)) >= 1 << 28:
             raise ValueError("the training sample is too large for this table")
-        self.table = np.concatenate(tables).ravel()
+        self.table = np.concatenate([np.zeros((0, self.width), np.int32), *tables]).ravel()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts one after the other, runs of non-letters squeezed to one; and each text's number of symbols."""
