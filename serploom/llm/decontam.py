@@ -1,10 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items (bounded, checked) go to every task as word numbers. A first pass over all texts counts in how many documents
-each of the items' n-grams occurs. Each item's rarer half of them, RARE_LEAST at least, are its seeds: rank within the
-item decides, so an item that leaked thousands of times still has seeds. A second pass finds the seeds in every text,
-opens a window around each (item, diagonal) and aligns item and window by words: match 2, mismatch -1, gap -1. The score is
-the best local alignment over that of the whole item with itself, so an exact copy has 1.0, a copy with every fifth
+each of the items' n-grams occurs. Seeds are those that occur and are rare: in at most RARE_SHARE of the documents, or in at
+most RARE_TIMES as many as the item's median n-gram, so that an item that leaked into a third of all documents keeps its
+seeds, too. Only n-grams of everyday words are left out. A second pass finds the seeds in every text, opens a window around each (item, diagonal) and aligns item and window by words: match 2, mismatch -1, gap -1. The score is the best local alignment over that of the whole item with itself, so an exact copy has 1.0, a copy with every fifth
 word replaced about 0.7, and a chance overlap of a few words stays far below the threshold.
 
 Words are runs of word characters, lower-cased. Defined results: null and empty texts, null items and items without a
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from serploom.llm.common import arrow_map, check_columns, columns_of, persisted
 
 WORD = re.compile(r"\w+")
-RARE_LEAST = 8
+RARE_SHARE, RARE_TIMES = 0.002, 4
 #: Characters of test items that go out with tasks; beyond it, items must be split and searched in turns.
 MOST_ITEM_CHARS = 32_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -50,6 +49,7 @@ class Index:
         self.items = items
         self.number: dict[str, int] = {}
         self.rows = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for ws in items.words]
+        self.times = [Counter(row.tolist()) for row in self.rows]
         self.base = len(self.number) + 2
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short = {len(r) for r in self.rows if 0 < len(r) < items.n}
@@ -156,22 +156,25 @@ def seeds(docs: DataFrame, items: Items) -> dict[int, tuple[tuple[int, int], ...
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         index = _index(shared.value)
-        total: Counter[int] = Counter()
+        total: Counter[int] = Counter({-1: batch.num_rows})  # -1 counts the documents
         for t in batch.column(0):
             total.update({code for _, code in index.found(index.numbers(t.as_py()), index.sorted)})
         return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["code", "n"])
 
     # at most one row per n-gram of the items, whose number is bounded
     df = {r["code"]: r["n"] for r in arrow_map(docs.select("text"), count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    index = _index(items)
-    chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    each: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for code, places in index.places.items():
+    everyday = RARE_SHARE * df.pop(-1, 0)
+    each: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for code, places in _index(items).places.items():
         for i, k in places:
-            each[i].append((df.get(code, 0), k, code))
+            if code in df:
+                each[i].append((code, k))
+    chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i, grams in each.items():
-        for _, k, code in sorted(grams)[: max(RARE_LEAST, -(-len(grams) // 2))]:
-            chosen[code].append((i, k))
+        most = max(everyday, RARE_TIMES * float(np.median([df[code] for code, _ in grams])))
+        for code, k in grams:
+            if df[code] <= most:
+                chosen[code].append((i, k))
     return {code: tuple(sorted(p)) for code, p in chosen.items()}
 
 
@@ -195,12 +198,14 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0
             for p, code in index.found(row, among):
                 for i, q in chosen[code]:
                     hits[i].append((p, q))
+            words = row.tolist() if hits else []
             for i, places in sorted(hits.items()):
                 item, best = index.rows[i], (0, 0, 0)
                 for a, b in windows(places, len(item), len(row)):
+                    # an alignment can't score more than the share of the item's words that are there
+                    if sum(map(index.times[i].__getitem__, index.times[i].keys() & words[a:b])) < threshold * len(item):
+                        continue
                     part = row[a:b]
-                    if np.isin(item, part).mean() < threshold:
-                        continue  # an alignment can't score more than the share of the item's words that are there
                     key = (i, part.tobytes())
                     if key not in known:
                         if len(known) > 5000:
