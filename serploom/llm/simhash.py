@@ -185,6 +185,8 @@ def components(docs: DataFrame, width: int = 3, radius: int = 3, **how: int) ->
     named = member.join(nodes, member["node"] == nodes["fp"]).groupBy("root").agg(F.min("label").alias("component_id"))
     moved = member.join(named, "root").select(F.col("node").alias("fp"), "component_id")
     final = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "label").alias("component_id"))
+    # written out, so that the join below is one of two exchanges: then a fingerprint with very many rows can be split
+    final = persisted(final, "components")
     return rows.join(final, "fp").select("doc_id", "h", "fp", "component_id")
 
 
