@@ -39,6 +39,8 @@ from serploom.shipping import ship
 
 #: Compressed bytes after which a new archive file, and with it a new run, begins.
 FILE_BYTES = 32 << 20
+#: Compressed bytes that one task reads back, about.
+READ_BYTES = 8 << 20
 #: Index rows of one range of the merge, about.
 RANGE_ROWS = 100_000
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
@@ -241,8 +243,10 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
             source.close()
 
     slim = index.select("file", "offset", "length", "urlkey", "history")
+    # by the archives' bytes: the index rows that are shuffled say nothing about the work, so they mustn't decide
+    parts = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, history long" + ", url string, payload binary" * with_payload
-    return slim.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    return slim.repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, **how: int) -> DataFrame:
