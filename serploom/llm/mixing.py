@@ -13,7 +13,8 @@ The main path is DataFrame functions only. Documents are numbered within a sourc
 a third of all rows is many tasks' work.
 
 Defined results: null and empty source are one source; sources without a positive weight come last, in a phase with equal
-weights; repeated rows are separate documents; an empty table gives an empty result; other columns are kept.
+weights; repeated rows are separate documents; an empty table gives an empty result; other columns are kept, but for older
+mix_phase, mix_slot and mix_place, which are replaced.
 """
 
 from __future__ import annotations
@@ -103,14 +104,16 @@ def by_power(power: float) -> Callable[[dict[str, int]], dict[str, float]]:
     return lambda sizes: {s: n**power for s, n in sizes.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]], block: int = 16, quanta: int = 1000, per_range: int = 20_000, ordered: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]], block: int = 16, quanta: int = 1000, per_range: int = 4_000, ordered: bool = False) -> DataFrame:
     """``docs`` with mix_phase, mix_slot (from 0) and mix_place (within the slot's block); ordered: laid out in that order.
 
     weights: by source, or a function from the sources' numbers of documents to them.
     """
-    spark, names = docs.sparkSession, docs.columns
+    spark = docs.sparkSession
+    names = [n for n in docs.columns if n not in ("mix_phase", "mix_slot", "mix_place")]
     ids = [n for n in ("doc_id", "source") if n in names]
-    keyed = docs.withColumn("__s", F.coalesce(F.col("source"), F.lit(""))).withColumn("__u", unit_hash(*ids, F.lit("mix")))
+    # the row travels as one column, so that no name of it can clash with those made here
+    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("__s"), unit_hash(*ids, F.lit("mix")).alias("__u"))
     slim = docs.select("source")
     sizes = {r["s"]: r["n"] for r in slim.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES or len(sizes) * max(quanta, len(sizes)) > MOST_ROWS:
@@ -131,13 +134,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]],
     before = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     counts = docs.select(F.coalesce(F.col("source"), F.lit("")).alias("__s"), F.floor(unit_hash(*ids, F.lit("mix")) * ranges).cast("int").alias("__r")).groupBy("__s", "__r").agg(F.count("*").alias("__n"))
     starts = counts.select("__s", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    rest = F.xxhash64(*names)
-    nth = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__u", *ids, rest))
+    nth = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__u", *[F.col("row")[i] for i in ids], F.xxhash64("row")))
     placed = keyed.withColumn("__k", nth).join(starts, ["__s", "__r"]).withColumn("__at", F.col("__start") + F.col("__k") - 1)
     placed = placed.withColumn("__j", F.floor(F.col("__at") / block)).withColumn("mix_place", (F.col("__at") % block).cast("int"))
     phased = placed.join(spans_, "__s").filter("__j >= __from and __j < __to").withColumn("__nth", (F.col("__j") - F.col("__from")) % F.col("__q"))
     out = phased.join(slots_, ["__s", "mix_phase", "__nth"]).withColumn("mix_slot", F.col("__slot0") + F.floor((F.col("__j") - F.col("__from")) / F.col("__q")) * F.col("__size") + F.col("__t"))
-    out = out.select(*names, "mix_phase", "mix_slot", "mix_place")
+    out = out.select("row.*", "mix_phase", "mix_slot", "mix_place")
     if ordered:
         out = out.repartitionByRange(F.col("mix_slot"), F.col("mix_place")).sortWithinPartitions("mix_slot", "mix_place")
     return out
