@@ -6,8 +6,9 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from serploom.functions import text as T
 
@@ -54,12 +55,12 @@ def salvage_array(text: str | None) -> str | None:
     return json.dumps(found) if found else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def reply_object(replies: pd.Series) -> pd.Series:
     return replies.map(first_balanced)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def reply_array(replies: pd.Series) -> pd.Series:
     return replies.map(salvage_array)
 
@@ -78,7 +79,6 @@ def tagged_lines(replies: DataFrame, keys: list[str], reply: str = "reply", most
     tag = F.upper(F.get("p", F.lit(0)))
     named = F.get("p", F.lit(1)) != ""
     entities = cut.filter((tag == "E") & named).select(*keys, "ord", F.get("p", F.lit(1)).alias("name"), F.get("p", F.lit(2)).alias("type"), F.coalesce(T.clamp(F.get("p", F.lit(3)), 0.0, 1.0), F.lit(0.0)).alias("salience"))
-    from pyspark.sql import Window
 
     entities = entities.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).filter(F.col("__n") <= most).drop("__n")
     triples = cut.filter(tag.isin("T", "R") & named).select(*keys, "ord", F.get("p", F.lit(1)).alias("entity"), F.get("p", F.lit(2)).alias("attribute"), F.get("p", F.lit(3)).alias("value"), (tag == "R").alias("is_edge"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from serploom.functions import text as T
@@ -37,7 +37,6 @@ def serp_items(raw: DataFrame, keys: list[str], payload: str = "payload", most:
 
 
 def first_items(items: DataFrame, keys: list[str], most: int) -> DataFrame:
-    from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "domain"))
     return items.withColumn("__n", place).filter(F.col("__n") <= most).drop("__n")
