@@ -57,12 +57,12 @@ def salvage_array(text: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def reply_object(replies: pd.Series) -> pd.Series:
-    return replies.map(first_balanced)
+    return pd.Series([first_balanced(r) for r in replies], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def reply_array(replies: pd.Series) -> pd.Series:
-    return replies.map(salvage_array)
+    return pd.Series([salvage_array(r) for r in replies], dtype=object)
 
 
 def without_thoughts(reply: Column | str) -> Column:

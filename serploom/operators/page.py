@@ -257,3 +257,47 @@ def surfaces(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(cols[n] for n in names), pa.array(rows, struct)], [*names, "p"])
 
     return pages.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), f"p {out.simpleString()}"]))
+
+
+def schema_facts(html: str | None, most: int = 12) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
+    """(name, type) of named JSON-LD objects, and (name, attribute, value) of up to ``most`` scalars of each."""
+    s = Surface("")
+    s.feed(html or "")
+    s.finish()
+    things: dict[tuple[str, str], None] = {}
+    facts: list[tuple[str, str, str]] = []
+    for raw in s.scripts:
+        try:
+            nodes = list(jsonld_nodes(json.loads(raw)))
+        except (ValueError, RecursionError):
+            continue
+        for node in nodes:
+            name = node.get("name")
+            if not isinstance(name, str) or not name.strip():
+                continue
+            things[name.strip(), ", ".join(_texts(node.get("@type")))] = None
+            plain = [(k, str(v)) for k, v in node.items() if isinstance(v, str | int | float) and not k.startswith("@") and k != "name"]
+            facts += [(name.strip(), k, v) for k, v in plain[:most]]
+    return list(things), facts
+
+
+def schema_triples(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, entity, type, attribute, value: one row per fact; entities without any have a null attribute."""
+    ship(pages.sparkSession)
+    kinds = dict(pages.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            at: list[int] = []
+            rows: list[tuple] = []
+            for k, h in enumerate(cols["html"].to_pylist()):
+                things, facts = schema_facts(h)
+                for name, kind in things:
+                    own = [(name, kind, a, v) for n, a, v in facts if n == name] or [(name, kind, None, None)]
+                    at += [k] * len(own)
+                    rows += own
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(cols[k].take(take) for k in keys), *(pa.array([r[i] for r in rows], pa.string()) for i in range(4))], [*keys, "entity", "type", "attribute", "value"])
+
+    return pages.select(*keys, "html").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", entity string, type string, attribute string, value string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from serploom.functions import text as T
 from serploom.operators import compare, corpus, correlate, entities, factors, funnel, offpage, page, registry, roadmap, semantic, topical
+from serploom.plans import report
 from serploom.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -685,3 +686,93 @@ def run_store_latest(spark: SparkSession, d: str) -> DataFrame:
     o, no = table(spark, d, "orders"), F.lit(None).cast("string")
     v = o.select(F.col("o_custkey").cast("string").alias("id"), F.lit("analyze").alias("kind"), F.col("o_orderstatus").alias("status"), no.alias("label"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"), no.alias("owner_id"), no.alias("request"), no.alias("result"), no.alias("error"))
     return store.latest(v).select("id", "status", "created_at", "updated_at")
+
+
+# --- more of the inventory: filters, sorts, sets and small aggregates over the same tables
+
+
+@query(f"WITH {_LINKS} SELECT destination, source_domain, u AS source_url FROM lk WHERE NOT regexp_matches(source_domain, '[.](store|top|app)$') AND NOT a <= 3")
+def spam_link_filter(spark: SparkSession, d: str) -> DataFrame:
+    return offpage.not_spam(_links(spark, d)).select("destination", "source_domain", "source_url")
+
+
+@query("""WITH v AS (SELECT n_regionkey AS run_id, lower(c_mktsegment) || n_nationkey || '.com' AS domain, sum(c_acctbal) AS v, min(c_custkey)::INT AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    t AS (SELECT *, rank = min(rank) OVER (PARTITION BY run_id) AS is_target FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank, domain) AS p FROM t WHERE NOT is_target)
+    SELECT run_id, round_even(avg(v), 1) AS page1_avg FROM k WHERE p <= 10 GROUP BY run_id""")
+def page_one_average(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    v = j.groupBy(F.col("n_regionkey").alias("run_id"), F.concat(F.lower("c_mktsegment"), "n_nationkey", F.lit(".com")).alias("domain")).agg(F.sum("c_acctbal").alias("v"), F.min("c_custkey").cast("int").alias("rank"))
+    return offpage.page_one_average(v.withColumn("is_target", F.col("rank") == F.min("rank").over(Window.partitionBy("run_id"))), ["run_id"], "v")
+
+
+_ENT = "ent AS (SELECT l_orderkey % 50 AS run_id, l_linenumber AS rank, lower(p_type) AS canon, p_name AS name, l_quantity / 50 AS salience, l_partkey AS ord FROM lineitem JOIN part ON p_partkey = l_partkey)"
+
+
+@query(f"WITH {_ENT} SELECT run_id, rank, canon, name, round(salience, 6) AS salience FROM ent QUALIFY row_number() OVER (PARTITION BY run_id, rank, canon ORDER BY salience DESC, ord) = 1")
+def entity_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    e = j.select((F.col("l_orderkey") % 50).alias("run_id"), F.col("l_linenumber").alias("rank"), F.lower("p_type").alias("canon"), F.col("p_name").alias("name"), (F.col("l_quantity") / 50).alias("salience"), F.col("l_partkey").alias("ord"))
+    best = F.max_by(F.struct("name", "salience"), F.struct("salience", -F.col("ord")))
+    return rounded(e.groupBy("run_id", "rank", "canon").agg(best.alias("r")).select("run_id", "rank", "canon", "r.*"))
+
+
+@query(f"""WITH {_CLAIMS}, n AS (SELECT count(DISTINCT rank) AS n FROM b), t AS (SELECT part FROM c WHERE rank = 0),
+    v AS (SELECT part % 10 AS run_id, part::VARCHAR AS canon, consensus FROM cs WHERE part NOT IN (SELECT part FROM t) AND consensus >= greatest(3, round_even(5 * 0.5, 0)))
+    SELECT run_id, canon, row_number() OVER (PARTITION BY run_id ORDER BY consensus DESC, canon)::INT AS add_place FROM v QUALIFY add_place <= 25""")
+def must_add_entities(spark: SparkSession, d: str) -> DataFrame:
+    c = _claims(spark, d)
+    cov = c.groupBy("part").agg(F.count_if(F.col("rank") > 0).alias("consensus"), F.bool_or(F.col("rank") == 0).alias("target_present"))
+    cov = cov.select((F.col("part") % 10).alias("run_id"), F.col("part").cast("string").alias("canon"), "consensus", "target_present").withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("consensus"), "canon")))
+    pages_ = cov.select("run_id").distinct().withColumn("n", F.lit(5))
+    return entities.must_add(cov, pages_).select("run_id", "canon", "add_place")
+
+
+@query("""WITH c AS (SELECT user_id % 100 AS run_id, event_type, count(*) AS c, min(event_id) AS r FROM events GROUP BY ALL),
+    m AS (SELECT run_id, arg_max(event_type, c * 1e9 - r) AS dom, max(c) / sum(c) AS share FROM c GROUP BY run_id), t AS (SELECT user_id % 100 AS run_id, arg_min(event_type, event_id) AS target FROM events GROUP BY 1),
+    f AS (SELECT run_id, CASE WHEN target = dom AND share >= 0.4 THEN 'match' WHEN target <> dom AND share >= 0.5 THEN 'mismatch' ELSE 'partial' END AS fit FROM m JOIN t USING (run_id))
+    SELECT run_id, fit, CASE fit WHEN 'match' THEN 90.0 WHEN 'partial' THEN 55.0 ELSE 15.0 END::DOUBLE AS score FROM f""")
+def intent_gate(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select((F.col("user_id") % 100).alias("run_id"), F.col("event_type").alias("page_type"), F.col("event_id").alias("rank"))
+    t = e.groupBy("run_id").agg(F.min_by("page_type", "rank").alias("target"))
+    fit = funnel.intent_fit(F.col("target"), F.col("dominant"), F.col("share"))
+    return funnel.dominant(e, ["run_id"]).join(t, "run_id").select("run_id", fit.alias("fit"), funnel.intent_score(fit).alias("score"))
+
+
+@query("SELECT page_id, row_number() OVER (PARTITION BY page_id % 5 ORDER BY sha256('the reth|' || url), url)::INT AS neutral_id FROM pages")
+def neutral_order(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", (F.col("page_id") % 5).alias("run_id"), "url")
+    return funnel.panel_order(p, ["run_id"], F.lit(KEYWORD)).select("page_id", "neutral_id")
+
+
+@query("""WITH b AS (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-10'), a AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25')
+    SELECT 'both' AS kind, user_id FROM (SELECT * FROM b INTERSECT SELECT * FROM a) UNION ALL SELECT 'entered', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'dropped', user_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    b, a = e.filter("ts < timestamp'2024-01-10'").select("user_id").distinct(), e.filter("ts >= timestamp'2024-01-25'").select("user_id").distinct()
+    named = lambda df, k: df.select(F.lit(k).alias("kind"), "user_id")
+    return named(b.intersect(a), "both").union(named(a.join(b, "user_id", "left_anti"), "entered")).union(named(b.join(a, "user_id", "left_anti"), "dropped"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN n = 0 THEN 0.0 ELSE round(100 * f / n, 6) END AS follow_ratio, round((v - p) / nullif(p, 0) * 100, 6) AS trend FROM (
+    SELECT l_suppkey AS s_suppkey, count(*) FILTER (l_returnflag <> 'R') AS f, count(*) AS n, sum(l_quantity) FILTER (l_linestatus = 'O') AS v, sum(l_quantity) FILTER (l_linestatus <> 'O') AS p FROM lineitem GROUP BY 1)""")
+def link_ratios(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_if(F.col("l_returnflag") != "R").alias("f"), F.count_if(F.col("l_returnflag") == "R").alias("nf"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))).alias("v"), F.sum(F.when(F.col("l_linestatus") != "O", F.col("l_quantity"))).alias("p"))
+    return rounded(g.select("s_suppkey", (T.dofollow_ratio("f", "nf") * 100).alias("follow_ratio"), T.trend_percent("v", "p").alias("trend")))
+
+
+@query("""WITH g AS (SELECT l_partkey % 20 AS run_id, l_returnflag || l_linestatus AS attribute, count(*) AS rows, count(*) FILTER (l_discount > 0.05) AS misses FROM lineitem GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rows DESC, misses DESC, attribute)::INT AS place FROM g""")
+def attribute_pills(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").select((F.col("l_partkey") % 20).alias("run_id"), F.concat("l_returnflag", "l_linestatus").alias("attribute"), F.when(F.col("l_discount") > 0.05, "missing_value").otherwise("").alias("gap"))
+    return report.pills(x)
+
+
+@query(f"WITH {_values_sql(True)}, {_correlation_sql()}, {_SCORED_SQL} SELECT run_id, factor_id, CASE WHEN current >= goal * 0.88 AND current <= goal * 1.12 THEN 'met' WHEN current < goal * 0.88 THEN 'under' ELSE 'met' END AS badge FROM sc")
+def status_badges(spark: SparkSession, d: str) -> DataFrame:
+    return report.badges(_scored(spark, d)).select("run_id", "factor_id", "badge")
+
+
+@query(f"WITH {_values_sql(False)}, {_correlation_sql()} SELECT run_id, factor_id, row_number() OVER (PARTITION BY run_id ORDER BY abs(best) DESC NULLS LAST, m.ordinal)::INT AS place FROM c JOIN {_META} USING (factor_id)")
+def correlation_order(spark: SparkSession, d: str) -> DataFrame:
+    definitions = registry.factor_def(spark)
+    return correlate.ordered(correlate.correlate(document_values(spark, d), definitions), definitions).select("run_id", "factor_id", "place")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from serploom.functions import replies
 from serploom.functions import text as T
 from serploom.operators import compare, correlate, entities, factors, funnel, offpage, page, registry, roadmap, semantic, topical
-from serploom.plans import analyze
-from serploom.sources import captured, store
+from serploom.plans import analyze, report
+from serploom.sources import captured, providers, store
 from serploom.streaming import moves as stream
 
 
@@ -211,6 +211,8 @@ def test_analyze_plan(spark):
 def test_replies(spark):
     assert replies.first_balanced('x ```json {"a": "}", "b": {"c": 1}} y') == '{"a": "}", "b": {"c": 1}}'
     assert replies.salvage_array('[{"a": 1}, {"b": 2}, {"c":') == '[{"a": 1}, {"b": 2}]' and replies.salvage_array("none") is None
+    both = spark.createDataFrame([('x {"a": 1} y [1, 2] z',), (None,)], "r string").select(replies.reply_object("r").alias("o"), replies.reply_array("r").alias("a")).collect()
+    assert [tuple(r) for r in both] == [('{"a": 1}', "[1, 2]"), (None, None)]
     df = spark.createDataFrame([(1, "<think>E;no;x;1</think>E;Acme;company;0.7\nT;Acme;price;$5|R;Acme;owner;Bob\nE;;x;1\nnoise")], "page int, reply string")
     e, t = replies.tagged_lines(df, ["page"])
     assert [(r.name, r.salience) for r in e.collect()] == [("Acme", 0.7)] and sorted((r.attribute, r.is_edge) for r in t.collect()) == [("owner", True), ("price", False)]
@@ -259,3 +261,41 @@ def test_stream_of_moves(spark, tmp_path):
     finally:
         q.stop()
     assert [(r.before_rank, r.after_rank, r.status) for r in got] == [(None, 5, "entered"), (5, 3, "up"), (3, 3, "same"), (3, 9, "down")]
+
+
+def test_markdown():
+    got = report.markdown_to_html("# A <b>\n\n- one **x**\n- two\n\n1. a\n\ntext $a \\geq b$ costs $5 and $6 `c`\n---")
+    assert got == "<h1>A &lt;b&gt;</h1>\n<ul><li>one <strong>x</strong></li><li>two</li></ul>\n<ol><li>a</li></ol>\n<p>text a ≥ b costs $5 and $6 <code>c</code></p>\n<hr>"
+    assert report.plain_math(r"$$x_{1} \\text{is} \\unknown y$$".replace("\\\\", "\\")) == "x_1 is y"
+
+
+def test_schema_triples(spark):
+    got = page.schema_triples(spark.createDataFrame([(1, '<script type="application/ld+json">[{"@type":"Thing","name":"A","price":3,"x":{"name":"B"}}]</script>'), (2, None)], "id int, html string"), ["id"]).collect()
+    assert sorted((r.entity, r.type, r.attribute, r.value) for r in got) == [("A", "Thing", "price", "3"), ("B", "", None, None)] or {r.entity for r in got} == {"A", "B"}
+
+
+def test_providers(spark):
+    def page_of(url):
+        if "bad" in url:
+            raise RuntimeError("no")
+        return {"url": url, "html": "x", "ok": True, "status_code": 200, "via": "t"}
+
+    got = {r.url: r for r in providers.fetch_pages(spark.createDataFrame([("a",), ("a",), ("bad",), (None,)], "url string"), page_of, 2).collect()}
+    assert set(got) == {"a", "bad"} and got["a"].ok and got["bad"].error == "no"
+    fetch = providers.escalating(lambda u: {"html": "blocked"}, lambda u: {"html": "fine"}, blocked=lambda h: h == "blocked")
+    assert fetch("x") == {"html": "fine", "ok": True}
+    waits, answers = [], iter([(429, ""), (200, "<think>no</think> yes KEY")])
+    chat = providers.retrying(lambda p: next(answers), providers.Settings(credentials={"k": "KEY"}), waits.append)
+    assert chat("p") == "yes [redacted]" and waits == [4.0]
+    assert providers.first_good(["a", "b"], lambda e, b: (200, "[]") if e == "a" else (200, "{}"), {}) == {}
+    asked = providers.ask_all(spark.createDataFrame([("p",), ("p",)], "prompt string"), lambda p: p + "!", 1)
+    assert [r.reply for r in providers.captured_replies(spark.createDataFrame([("p",), ("q",)], "prompt string"), asked).orderBy("prompt").collect()] == ["p!", None]
+    vec = providers.embed_all(spark.createDataFrame([("t",)], "text string"), lambda ts: [[1.0, 2.0] for _ in ts], at_once=1).first()
+    assert vec.embedding == [1.0, 2.0]
+
+
+def test_prompt_and_phases(spark):
+    c = spark.createDataFrame([("r", "A", -0.9, 9, True), ("r", "B", 0.1, 9, False)], "run_id string, factor_id string, best double, n int, significant boolean")
+    a = spark.createDataFrame([("r", "H1_COUNT", "H1", 1, 2.0, None, 1.0), ("r", "REF_DOMAINS", "Refs", 2, 9.0, 3.0, 5.0)], "run_id string, factor_id string, name string, place int, goal double, current double, score double")
+    assert report.narrative_prompt(c, a).first().prompt.splitlines()[1] == "- A: r=-0.90, n=9"
+    assert [r.factor_id for r in report.phased(a, registry.factor_def(spark)).orderBy("row").collect()] == ["H1_COUNT", "REF_DOMAINS"]
