@@ -37,13 +37,14 @@ def candidates(correlations: DataFrame, definitions: DataFrame, targets: DataFra
     c = correlations.join(d, "factor_id", "left").join(t, [run, "factor_id"], "left").join(has, run, "left")
     c = c.withColumns({"group": F.coalesce("group", F.lit("Other")), "top200": F.coalesce("top200", F.lit(False)), "is_bool": F.coalesce("is_bool", F.lit(False)), "unit": F.coalesce("unit", F.lit("Count")), "difficulty": F.coalesce("difficulty", F.lit("Easy"))})
     strong = F.coalesce(F.col("significant"), F.lit(False))
-    opposing = F.coalesce((F.col("best") > 0) & (strong | (F.col("best") >= RELAXED)), F.lit(False))
+    r = F.round("best", 12)  # a rank correlation can be 0.15 itself; its last bit mustn't decide
+    opposing = F.coalesce((r > 0) & (strong | (r >= RELAXED)), F.lit(False))
     c = c.filter((F.coalesce("registered", "direction") == "more_is_better") & (~opposing | F.col("group").isin(IMPORTANT_GROUPS)))
     c = c.withColumn("goal", goal(F.col("is_bool"), F.col("unit"), F.col("page1_avg")))
     c = c.withColumn("current", F.when(F.coalesce("has_target", F.lit(False)), F.coalesce("target_value", F.lit(0.0))))
     c = c.withColumn("deficit", F.coalesce(F.greatest(F.col("goal") - F.col("current"), F.lit(0.0)), F.col("goal")))
     enough = F.when(F.col("is_bool"), F.col("deficit") > 0).otherwise(F.bround("deficit", 0) >= 1)
-    evidence = F.col("top200") | F.col("group").isin(IMPORTANT_GROUPS) | (F.abs(F.coalesce("best", F.lit(0.0))) >= RELAXED) | strong
+    evidence = F.col("top200") | F.col("group").isin(IMPORTANT_GROUPS) | (F.abs(F.coalesce(r, F.lit(0.0))) >= RELAXED) | strong
     return c.withColumns({
         "met": F.col("deficit") <= 0,
         "eligible": (F.col("deficit") > 0) & enough & evidence,

@@ -111,12 +111,12 @@ _SCORED_SQL = f"""
                coalesce(tv.value, 0) AS current
         FROM c JOIN {_META} USING (factor_id) LEFT JOIN (SELECT run_id, factor_id, value FROM v WHERE rank = 0) tv USING (run_id, factor_id)
         WHERE registered = 'more_is_better'
-          AND NOT coalesce(best > 0 AND (significant OR best >= 0.15), false)
+          AND NOT coalesce(round(best, 12) > 0 AND (significant OR round(best, 12) >= 0.15), false)
     ), k AS (
         SELECT *, greatest(goal - current, 0) AS deficit FROM g
     ), sc AS (
         SELECT *, deficit <= 0 AS met,
-               deficit > 0 AND CASE WHEN is_bool THEN deficit > 0 ELSE round_even(deficit, 0) >= 1 END AND (top200 OR abs(coalesce(best, 0)) >= 0.15 OR significant) AS eligible,
+               deficit > 0 AND CASE WHEN is_bool THEN deficit > 0 ELSE round_even(deficit, 0) >= 1 END AND (top200 OR abs(coalesce(round(best, 12), 0)) >= 0.15 OR significant) AS eligible,
                CASE WHEN top200 THEN 1.2 ELSE 1.0 END * CASE WHEN difficulty = 'Easy' THEN 1.15 ELSE 0.9 END * (least(abs(coalesce(best, 0)), 1) + 0.4)
                * (least(deficit / greatest(goal, 1), 1) + 1) * CASE WHEN significant THEN 1.15 ELSE 1.0 END AS score
         FROM k
