@@ -64,9 +64,9 @@ def correlate(values: DataFrame, definitions: DataFrame | None = None, run: str
 
 
 def ordered(correlations: DataFrame, definitions: DataFrame, run: str = "run_id") -> DataFrame:
-    """With ``place`` per run: by absolute correlation, nulls last, ties in registry order."""
+    """With ``place`` per run: by absolute correlation (to 12 decimals), nulls last, ties in registry order."""
     joined = correlations.join(definitions.select("factor_id", "ordinal"), "factor_id", "left")
-    return joined.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(F.abs("best").desc_nulls_last(), F.col("ordinal").asc_nulls_last(), "factor_id")))
+    return joined.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(F.abs(F.round("best", 12)).desc_nulls_last(), F.col("ordinal").asc_nulls_last(), "factor_id")))
 
 
 def percentile(values: DataFrame, by: list[str], value: str = "value", name: str = "percentile", target: str = "rank = 0") -> DataFrame:

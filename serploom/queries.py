@@ -772,7 +772,7 @@ def status_badges(spark: SparkSession, d: str) -> DataFrame:
     return report.badges(_scored(spark, d)).select("run_id", "factor_id", "badge")
 
 
-@query(f"WITH {_values_sql(False)}, {_correlation_sql()} SELECT run_id, factor_id, row_number() OVER (PARTITION BY run_id ORDER BY abs(best) DESC NULLS LAST, m.ordinal)::INT AS place FROM c JOIN {_META} USING (factor_id)")
+@query(f"WITH {_values_sql(False)}, {_correlation_sql()} SELECT run_id, factor_id, row_number() OVER (PARTITION BY run_id ORDER BY abs(round(best, 12)) DESC NULLS LAST, m.ordinal)::INT AS place FROM c JOIN {_META} USING (factor_id)")
 def correlation_order(spark: SparkSession, d: str) -> DataFrame:
     definitions = registry.factor_def(spark)
     return correlate.ordered(correlate.correlate(document_values(spark, d), definitions), definitions).select("run_id", "factor_id", "place")
