@@ -82,10 +82,15 @@ def _pattern(v: Column) -> Column:
     return F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), v, F.lit(r"\E(?![\p{L}\p{N}_])"))
 
 
+def _hits(low: Column, v: Column) -> Column:
+    """Whole-word matches; the pattern only runs on texts that hold the words at all, which most don't."""
+    return F.when(F.contains(low, v), F.regexp_count(low, _pattern(v))).otherwise(0)
+
+
 def vcount(text: Column | str, vars_: Column | str) -> Column:
     """Whole-word matches summed over the variations; overlapping variations each count."""
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.aggregate(col(vars_), F.lit(0), lambda n, v: n + F.regexp_count(low, _pattern(v)))
+    return F.aggregate(col(vars_), F.lit(0), lambda n, v: n + _hits(low, v))
 
 
 def exact_count(text: Column | str, phrase: Column | str) -> Column:
@@ -95,7 +100,7 @@ def exact_count(text: Column | str, phrase: Column | str) -> Column:
 
 def unique_used(text: Column | str, vars_: Column | str) -> Column:
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.size(F.filter(col(vars_), lambda v: F.regexp_count(low, _pattern(v)) > 0))
+    return F.size(F.filter(col(vars_), lambda v: _hits(low, v) > 0))
 
 
 def leads(text: Column | str, vars_: Column | str) -> Column:
@@ -107,7 +112,7 @@ def leads(text: Column | str, vars_: Column | str) -> Column:
 def first_offset(text: Column | str, vars_: Column | str) -> Column:
     """Characters before the earliest variation; null without one."""
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.array_min(F.filter(F.transform(col(vars_), lambda v: F.regexp_instr(low, _pattern(v)) - 1), lambda x: x >= 0))
+    return F.array_min(F.filter(F.transform(col(vars_), lambda v: F.when(F.contains(low, v), F.regexp_instr(low, _pattern(v)) - 1)), lambda x: x >= 0))
 
 
 # --- hosts and urls: five different "registrable" functions, deliberately not merged

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from serploom.functions import text as T
 from serploom.operators import compare, corpus, correlate, entities, factors, funnel, offpage, page, registry, roadmap, semantic, topical
 from serploom.plans import report
+from serploom.session import spread
 from serploom.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    scan = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan  # rows that are much work each
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

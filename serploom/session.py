@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "serploom", **conf: str) -> SparkSession:
@@ -15,3 +15,13 @@ def session(name: str = "serploom", **conf: str) -> SparkSession:
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table just read, dealt out if its files give fewer tasks than there are cores (one small file is one task).
+
+    Larger tables are left as they lie, so nothing is shuffled at scale. Only for plain scans: asking a plan with a
+    shuffle for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
