@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from serploom.llm import brown, decontam, langid, mixing, qrules, quality, secretscan, simhash, urlfilter, warc
+from serploom.session import spread
 
 RULES = [
     urlfilter.Rule("block", "net", "/"),
@@ -17,7 +18,8 @@ RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan  # rows that are much work each
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
