@@ -300,7 +300,7 @@ def test_planted_and_edited_leaks(spark):
     got = decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(tests)], "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(k, k) for k in range(20)]
     for r in got.collect():
-        assert 0.5 <= r.score < 1 and 148 <= r.first_word <= 156 and r.end_word <= 182
+        assert 0.45 <= r.score < 1 and 148 <= r.first_word <= 156 and r.end_word <= 182
 
 
 # --- language model
