@@ -87,6 +87,31 @@ def topic_canons(entities: DataFrame, keyword: str) -> DataFrame:
     return entities.select("run_id", "canon").distinct().filter((rest == 0) & ((F.size(own) == F.size(key)) | (F.size(own) >= 2)))
 
 
+def provider_canons(entities: DataFrame, triples: DataFrame, sites: DataFrame) -> DataFrame:
+    """run_id, canon of entities that are a page's own business rather than a thing that pages write about. sites: run_id, rank, domain.
+
+    By name: run together (4 letters or more) it and a site's label contain each other, its initials (3 or more) begin the label, or two of its
+    words of 4 letters or more are in it. Or by facts: two kinds of contact fact while on few brand pages, at most one or 15 percent. Never locations.
+    """
+    kinds = entities.withColumn("cls", T.type_class("type")).groupBy("run_id", "canon").agg(F.count_distinct(F.when(F.col("rank") > 0, F.col("rank"))).alias("pages"), F.bool_or(F.col("cls") == "loc").alias("loc")).filter("not loc")
+    words = F.split("canon", " ")
+    glued, initials = F.regexp_replace("canon", "[^a-z0-9]", ""), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    label = F.col("label")
+    by_name = ((F.length(glued) >= 4) & (label != "") & (F.contains(label, glued) | F.contains(glued, label))) | ((F.length(initials) >= 3) & F.startswith(label, initials)) | (F.size(F.filter(words, lambda w: (F.length(w) >= 4) & F.contains(label, w))) >= 2)
+    labels = sites.select("run_id", T.alnum(T.sld_label("domain")).alias("label")).distinct()
+    named = kinds.join(labels, "run_id").filter(by_name).select("run_id", "canon")  # within a run: entities of a result page against its sites
+    n = sites.filter("rank > 0").groupBy("run_id").agg(F.count_distinct("rank").alias("n"))
+    contact = triples.filter(T.attr_family("attribute").isin(CONTACT_FAMILIES)).groupBy("run_id", "canon").agg(F.count_distinct(T.attr_family("attribute")).alias("k")).filter("k >= 2")
+    facts = kinds.join(contact, ["run_id", "canon"]).join(n, "run_id").filter(F.col("pages") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.15, 0))).select("run_id", "canon")
+    return named.union(facts).distinct()
+
+
+def to_subject(triples: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Triples of topic and provider entities (run_id, canon) become facts about the page's own subject."""
+    own = subjects.select("run_id", "canon", F.lit(True).alias("__own")).distinct()
+    return triples.join(own, ["run_id", "canon"], "left").withColumn("canon", F.when(F.col("__own"), SUBJECT).otherwise(F.col("canon"))).drop("__own")
+
+
 def consensus(cells: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys, consensus, modal_value, modal_count, backing, lo, hi, n_numbers, n_values of brand pages (rank > 0).
 

@@ -98,31 +98,30 @@ def brief(coverage: DataFrame, eav: DataFrame, actions: DataFrame | None, gaps:
     none = F.lit(None).cast("string")
     missing = F.col("gap").isin("missing_entity", "missing_attribute", "missing_value")
 
-    def part(df: DataFrame, section: str, order: list, text: Column, evidence: Column, entity: Column = none, attribute: Column = none) -> DataFrame:
-        return df.select("run_id", F.lit(section).alias("section"), F.struct(*order).cast("string").alias("k"), F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).alias("ord"), text.alias("text"), evidence.alias("evidence"), entity.alias("entity"), attribute.alias("attribute"))
+    def part(df: DataFrame, section: str, text: Column, evidence: Column, entity: Column = none, attribute: Column = none) -> DataFrame:
+        return df.select("run_id", F.lit(section).alias("section"), F.row_number().over(Window.partitionBy("run_id").orderBy("__n")).alias("ord"), text.alias("text"), evidence.alias("evidence"), entity.alias("entity"), attribute.alias("attribute"))
 
     name, attr = F.col("name"), F.col("attribute")
     facts = eav.filter("graded")
     by_fact = [F.desc("consensus"), F.col("canon"), attr]
-    flat = lambda df, s, t, e, **kw: part(df, s, [F.col("__n")], t, e, **kw)
     number = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy(*by_fact)))
     sections = [
-        flat(must.withColumn("__n", F.col("add_place")), "entities_to_add", F.concat(F.lit("Cover "), name), pages(F.col("consensus"), "cover it"), entity=name),
-        flat(coverage.filter((F.col("consensus") >= 2) & ~F.col("target_present")).join(must.select("run_id", "canon"), ["run_id", "canon"], "left_anti").withColumn("__n", F.col("place")), "topics_to_expand", F.concat(F.lit("Consider "), name), pages(F.col("consensus"), "mention it"), entity=name),
-        flat(number(facts.filter(missing & ~F.col("is_edge"))), "facts_to_state", F.concat(F.lit("State "), attr, F.lit(" of "), F.col("canon")), pages(F.col("consensus"), "state it"), entity=F.col("canon"), attribute=attr),
-        flat(number(facts.filter(F.col("gap") == "off_consensus")), "values_to_review", F.concat(F.lit("Check "), attr, F.lit(": "), F.col("target_value"), F.lit(" against "), F.col("consensus_value")), pages(F.col("consensus"), "assert it"), entity=F.col("canon"), attribute=attr),
-        flat(number(facts.filter(missing & F.col("is_edge"))), "relationships_to_make", F.concat(F.lit("Connect "), F.col("canon"), F.lit(" and "), F.col("consensus_value")), pages(F.col("consensus"), "make it"), entity=F.col("canon"), attribute=attr),
-        flat(number(facts.filter((F.col("gap") == "") & F.col("target_value").isNotNull() & (F.col("consensus") * 2 < brands))), "your_edge", F.concat(F.lit("Keep "), attr, F.lit(": "), F.col("target_value")), pages(F.col("consensus"), "state this"), entity=F.col("canon"), attribute=attr),
+        part(must.withColumn("__n", F.col("add_place")), "entities_to_add", F.concat(F.lit("Cover "), name), pages(F.col("consensus"), "cover it"), entity=name),
+        part(coverage.filter((F.col("consensus") >= 2) & ~F.col("target_present")).join(must.select("run_id", "canon"), ["run_id", "canon"], "left_anti").withColumn("__n", F.col("place")), "topics_to_expand", F.concat(F.lit("Consider "), name), pages(F.col("consensus"), "mention it"), entity=name),
+        part(number(facts.filter(missing & ~F.col("is_edge"))), "facts_to_state", F.concat(F.lit("State "), attr, F.lit(" of "), F.col("canon")), pages(F.col("consensus"), "state it"), entity=F.col("canon"), attribute=attr),
+        part(number(facts.filter(F.col("gap") == "off_consensus")), "values_to_review", F.concat(F.lit("Check "), attr, F.lit(": "), F.col("target_value"), F.lit(" against "), F.col("consensus_value")), pages(F.col("consensus"), "assert it"), entity=F.col("canon"), attribute=attr),
+        part(number(facts.filter(missing & F.col("is_edge"))), "relationships_to_make", F.concat(F.lit("Connect "), F.col("canon"), F.lit(" and "), F.col("consensus_value")), pages(F.col("consensus"), "make it"), entity=F.col("canon"), attribute=attr),
+        part(number(facts.filter((F.col("gap") == "") & F.col("target_value").isNotNull() & (F.col("consensus") * 2 < brands))), "your_edge", F.concat(F.lit("Keep "), attr, F.lit(": "), F.col("target_value")), pages(F.col("consensus"), "state this"), entity=F.col("canon"), attribute=attr),
     ]
     if actions is not None:
-        sections.append(flat(actions.filter(F.col("group").isin(WRITING) | F.col("phase").isin(WRITING)).withColumn("__n", F.col("place")), "style_targets", F.concat(F.col("name"), F.lit(": aim for "), T.shown("goal")), F.concat_ws(", ", "phase", "difficulty")))
+        sections.append(part(actions.filter(F.col("group").isin(WRITING) | F.col("phase").isin(WRITING)).withColumn("__n", F.col("place")), "style_targets", F.concat(F.col("name"), F.lit(": aim for "), T.shown("goal")), F.concat_ws(", ", "phase", "difficulty")))
     if gaps is not None:
-        sections.append(flat(gaps.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy("best", "query_id"))), "information_gain", F.concat(F.lit("Cover "), F.col("query_id").cast("string")), F.lit("no top page covers it well")))
+        sections.append(part(gaps.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy("best", "query_id"))), "information_gain", F.concat(F.lit("Cover "), F.col("query_id").cast("string")), F.lit("no top page covers it well")))
     every = sections[0]
     for s in sections[1:]:
         every = every.unionByName(s)
     cap = F.create_map(*[F.lit(x) for pair in CAPS.items() for x in pair])
-    return every.drop("k").filter(F.col("ord") <= cap[F.col("section")])
+    return every.filter(F.col("ord") <= cap[F.col("section")])
 
 
 def markdown(items: DataFrame) -> DataFrame:

@@ -299,3 +299,35 @@ def test_prompt_and_phases(spark):
     a = spark.createDataFrame([("r", "H1_COUNT", "H1", 1, 2.0, None, 1.0), ("r", "REF_DOMAINS", "Refs", 2, 9.0, 3.0, 5.0)], "run_id string, factor_id string, name string, place int, goal double, current double, score double")
     assert report.narrative_prompt(c, a).first().prompt.splitlines()[1] == "- A: r=-0.90, n=9"
     assert [r.factor_id for r in report.phased(a, registry.factor_def(spark)).orderBy("row").collect()] == ["H1_COUNT", "REF_DOMAINS"]
+
+
+ENTITY = "run_id string, rank int, canon string, name string, type string, salience double, ord int"
+
+
+def test_providers_and_subjects(spark):
+    rows = [("r", 1, "bright smile clinic", "clinic"), ("r", 1, "bsc", "org"), ("r", 2, "sydney", "city"), ("r", 2, "dr who", "person"), ("r", 1, "implant", "service"), ("r", 2, "implant", "service")]
+    e = spark.createDataFrame([(a, b, c, c, t, 1.0, k) for k, (a, b, c, t) in enumerate(rows)], ENTITY)
+    sites = spark.createDataFrame([("r", 1, "brightsmile.com.au"), ("r", 2, "sydneydental.com")], "run_id string, rank int, domain string")
+    t = spark.createDataFrame([("r", 2, "dr who", "phone", "1", False, 1), ("r", 2, "dr who", "email", "2", False, 2), ("r", 1, "implant", "phone", "3", False, 1)], "run_id string, rank int, canon string, attribute string, value string, is_edge boolean, ord int")
+    got = entities.provider_canons(e, t, sites)
+    assert sorted(r.canon for r in got.collect()) == ["bright smile clinic", "dr who"]
+    assert sorted(r.canon for r in entities.to_subject(t, got).collect()) == ["__subject__", "__subject__", "implant"]
+    assert [r.canon for r in entities.topic_canons(e, "implants").collect()] == ["implant"]
+
+
+def test_coverage(spark):
+    e = spark.createDataFrame([("r", 1, "implant", "Implant", "s", 0.9, 1), ("r", 2, "bone graft", "bone graft", "s", 0.5, 1)], ENTITY)
+    b = spark.createDataFrame([("r", 0, "nothing here"), ("r", 1, "an implant"), ("r", 2, "no implantology; an IMPLANT though"), ("r", 3, "bone grafts")], "run_id string, rank int, body string")
+    got = {r.canon: r for r in entities.coverage(e, b).collect()}
+    assert (got["implant"].consensus, got["implant"].target_present, got["implant"].place) == (2, False, 1) and got["bone graft"].consensus == 1
+
+
+def test_brief(spark):
+    cov = spark.createDataFrame([("r", "a", "A", 3, False, 1), ("r", "b", "B", 2, False, 2), ("r", "c", "C", 1, True, 3)], "run_id string, canon string, name string, consensus int, target_present boolean, place int")
+    rows = [("r", "a", "price", False, 3, "$5", None, True, "missing_attribute"), ("r", "b", "owner", True, 3, "Bob", None, True, "missing_entity"), ("r", "c", "price", False, 4, "$5", "$9", True, "off_consensus"), ("r", "d", "size", False, 2, "x", "x", True, "")]
+    eav = spark.createDataFrame(rows, "run_id string, canon string, attribute string, is_edge boolean, consensus int, consensus_value string, target_value string, graded boolean, gap string")
+    actions = spark.createDataFrame([("r", "Content", "Content", "Words", 900.0, "Easy", 1), ("r", "Technical", "Technical", "Speed", 1.0, "Easy", 2)], "run_id string, group string, phase string, name string, goal double, difficulty string, place int")
+    gaps = spark.createDataFrame([("r", 7, 0.1)], "run_id string, query_id int, best double")
+    got = topical.brief(cov, eav, actions, gaps, cov.filter("canon = 'a'").withColumn("add_place", F.lit(1)), 10)
+    assert sorted((r.section, r.ord) for r in got.collect()) == sorted((s, 1) for s in topical.CAPS)
+    assert topical.markdown(got).first().markdown.startswith("## Entities To Add\n- Cover A (3 of 10 top pages cover it)\n\n## Topics To Expand")
