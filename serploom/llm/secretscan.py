@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
-The base finds three kinds by pattern (BASE). The method then looks at strings of letters and digits near a sensitive word
-and measures their marginal compressed bytes: the compressed size of the surrounding code with the string, less that
+The base finds three kinds by pattern (BASE). The method then looks at strings near a sensitive word, those joined to it by
+an equals sign, an underscore or a hyphen included (NAME=value, sk_secret_value), and measures their marginal compressed bytes: the compressed size of the surrounding code with the string, less that
 without it, both primed with a dictionary of code identifiers. Random keys don't compress; identifiers, words, paths and
 repeats do. A string whose marginal bytes are at least NOVEL of its length is reported as kind ``novel``. It only adds
 spans: base spans stay, and a novel span never overlaps a base span.
@@ -31,7 +31,11 @@ ASSIGN_CHARS, ACCESS_CHARS = 8, 16
 #: Words near which a string may be a secret, and how far behind them it may start.
 SENSITIVE = re.compile(r"(?ai)passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature|client.?id")
 REACH = 64
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A run is cut at its equals signs, but for the padding at its end.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+LEAST = 16
+#: What a candidate doesn't start with: signs that join it to a name, and further words of the name.
+JOINED = re.compile(rf"[_=+/-]*(?:(?:{SENSITIVE.pattern[5:]})[_=+/-]+)*", SENSITIVE.flags)
 #: Code points of surrounding text on either side.
 AROUND = 256
 #: Least marginal compressed bytes per byte of a candidate: hexadecimal digits cost about 0.5, base64 about 0.75.
@@ -80,13 +84,14 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     done = 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 4 * AROUND)):
+        for m in CANDIDATE.finditer(text, max(done, word.end())):
             if m.start() > word.end() + REACH:
                 break
             start, end = m.span()
-            if start < done or not (any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0]))) or (start > 0 and CANDIDATE.fullmatch(text[start - 1] * 16)):
+            if start == word.end():
+                start = min(end, JOINED.match(text, start).end())
+            if end - start < LEAST:
                 continue
-            end = _run_end(text, end)
             done = end
             if any(start < e and s < end for s, _, e in base):
                 continue
@@ -95,15 +100,6 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-def _run_end(text: str, end: int) -> int:
-    """The end of the run of candidate characters, beyond the window that it was found in."""
-    m = _RUN.match(text, end)
-    return m.end() if m else end
-
-
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-
-
 def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     text = text or ""

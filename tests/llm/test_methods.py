@@ -215,6 +215,15 @@ def test_novelty_reports_keys_and_leaves_names():
     assert base == every and len(base) == 1
 
 
+@pytest.mark.parametrize("name", ["aws_secret_access_key=", "AWS_SECRET_ACCESS_KEY=", "pwd=", "export CREDENTIAL=", "GET /x?a=1&signature=", "sk_secret_", "bearer-token-", "access_key=key=", "pwd: "])
+@pytest.mark.parametrize("key", ["9bFlIkpYt5HfavHYMD5hzcS7hsPRxCcQ", "9bFlIkpYt5HfavHYMD5hzcS7hsPRxC==", "FWCEPyYngFbyBMWXaSCrUZoLgub"])
+def test_novelty_reaches_values_joined_to_their_names(name, key):
+    text = f"{name}{key}&next"
+    assert secretscan.spans_of(text)[1] == [(len(name), 3, len(name) + len(key))]
+    assert secretscan.redacted(text) == f"{name}[SECRET]&next"
+    assert secretscan.spans_of(name + "=" * 40)[1] == secretscan.spans_of(name + "abcdefghijklmnopqrstuvwxyz")[1] == []
+
+
 # --- quality rules and classifier
 
 
