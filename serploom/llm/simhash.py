@@ -181,13 +181,18 @@ def components(docs: DataFrame, width: int = 3, radius: int = 3, **how: int) ->
     rows = persisted(fingerprints(hashed, width, keep_hash=True), "fingerprints")
     nodes = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("label")), "nodes")
     linked = roots(links(nodes.select("fp"), radius, **how))
-    member = linked.union(linked.select("root", "root").distinct())
-    named = member.join(nodes, member["node"] == nodes["fp"]).groupBy("root").agg(F.min("label").alias("component_id"))
-    moved = member.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    final = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "label").alias("component_id"))
-    # written out, so that the join below is one of two exchanges: then a fingerprint with very many rows can be split
+    return named(rows, nodes, linked, "fp").select("doc_id", "h", "fp", "component_id")
+
+
+def named(rows: DataFrame, nodes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """``rows`` with component_id: the least label of the nodes (key, label) that are linked (node, root) with the row's."""
+    member = linked.union(linked.select("root", "root").distinct()).toDF("__node", "root")
+    least = member.join(nodes, member["__node"] == nodes[key]).groupBy("root").agg(F.min("label").alias("component_id"))
+    moved = member.join(least, "root").select(F.col("__node").alias(key), "component_id")
+    final = nodes.join(moved, key, "left").select(key, F.coalesce("component_id", "label").alias("component_id"))
+    # written out, so that the join below is one of two exchanges: then a node with very many rows can be split
     final = persisted(final, "components")
-    return rows.join(final, "fp").select("doc_id", "h", "fp", "component_id")
+    return rows.join(final, key)
 
 
 def digest(fp: Column) -> Column:
@@ -205,7 +210,12 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
 
     Rows with null doc_id can't be told apart and stay. Of repeated rows of the naming document one stays.
     """
-    keep = components(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    return keep_named(docs, components(docs, **how))
+
+
+def keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the rows that name a component of ``found`` (doc_id, h, component_id), and those with null doc_id."""
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     marked = docs.withColumn("__text_hash", F.xxhash64("text"))
     first = marked.filter("doc_id is not null").join(keep, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
     return first.unionByName(marked.filter("doc_id is null")).drop("__text_hash")

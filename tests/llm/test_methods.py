@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from serploom.llm import brown, decontam, langid, mixing, qrules, quality, queries, secretscan, simhash, urlfilter, warc
+from serploom.llm import brown, decontam, langid, mixing, neardup, qrules, quality, queries, secretscan, simhash, urlfilter, warc
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,6 +137,45 @@ def test_pivots_never_discard_a_link():
         assert any(a & m == b & m for m in simhash.block_masks(6, 3))
 
 
+def brute_jaccard_groups(texts):
+    def shingles(t):
+        w = WORD.findall(ascii_lower(t or ""))
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets, root = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+def test_near_copies_against_all_jaccard_pairs(spark):
+    rng = random.Random(11)
+    words, rows = [f"w{k}" for k in range(500)], {}
+    for _ in range(12):  # chains: each differs in some words from the one before, so that groups hold pairs below 0.8
+        now = [rng.choice(words) for _ in range(rng.randint(60, 200))]
+        for _ in range(10):
+            rows[len(rows)] = " ".join(now)
+            for j in rng.sample(range(len(now)), rng.randint(0, max(1, len(now) // 40))):
+                now[j] = rng.choice(words)
+    for text in ("", None, "\n", "one two", "One  two", "one two three"):
+        rows[len(rows)] = text
+    rows |= {1000 + r.doc_id: r.text for r in docs(spark).collect()}
+    want = brute_jaccard_groups(rows)
+    made = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.components(made).collect()} == want
+    kept = corpus_pipeline.simhash_near_dedup(spark, made, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 # --- url filters
 
 
