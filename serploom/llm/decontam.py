@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items (bounded, checked) go to every task as word numbers. A first pass over all texts counts in how many documents
-each of the items' n-grams occurs. Seeds are those that occur and are rare: in at most RARE_SHARE of the documents, or in at
-most RARE_TIMES as many as the item's median n-gram, so that an item that leaked into a third of all documents keeps its
-seeds, too. Only n-grams of everyday words are left out. A second pass finds the seeds in every text, opens a window around each (item, diagonal) and aligns item and window by words: match 2, mismatch -1, gap -1. The score is the best local alignment over that of the whole item with itself, so an exact copy has 1.0, a copy with every fifth
+Test items (bounded, checked) go to every task as word numbers. Every n-gram of an item is a seed, however often it occurs
+in the documents: a leak can be as hot as everyday words are, so frequency alone tells nothing. One pass finds the seeds in every text. Items of
+which the text holds too few words to reach the threshold go; for the others a window is opened around each (item, diagonal),
+and item and window are aligned by words: match 2, mismatch -1, gap -1. The score is the best local alignment over that of the whole item with itself, so an exact copy has 1.0, a copy with every fifth
 word replaced about 0.7, and chance overlaps of a few words and everyday words between stay below 0.35.
 
 Words are runs of word characters, lower-cased. Defined results: null and empty texts, null items and items without a
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from serploom.llm.common import arrow_map, check_columns, columns_of, persisted
 
 WORD = re.compile(r"\w+")
-RARE_SHARE, RARE_TIMES = 0.002, 4
 #: Characters of test items that go out with tasks; beyond it, items must be split and searched in turns.
 MOST_ITEM_CHARS = 32_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -74,8 +73,9 @@ class Index:
         get = self.number.get
         return np.array([get(w, 0) for w in WORD.findall((text or "").lower())], np.int64)
 
-    def found(self, row: np.ndarray, among: np.ndarray) -> list[tuple[int, int]]:
-        """(place, code) of the n-grams of a text that are in the sorted array ``among``."""
+    def found(self, row: np.ndarray) -> list[tuple[int, int]]:
+        """(place, code) of the n-grams of a text that are an item's."""
+        among = self.sorted
         if not len(among):
             return []
         out: list[tuple[int, int]] = []
@@ -150,57 +150,31 @@ def read_items(benchmark: DataFrame, n: int) -> Items:
     return Items(tuple(g[0] for g in got), tuple(g[1] for g in got), n)
 
 
-def seeds(docs: DataFrame, items: Items) -> dict[int, tuple[tuple[int, int], ...]]:
-    """The places (item, position) of each seed n-gram, from document frequencies over all of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index = _index(shared.value)
-        total: Counter[int] = Counter({-1: batch.num_rows})  # -1 counts the documents
-        for t in batch.column(0):
-            total.update({code for _, code in index.found(index.numbers(t.as_py()), index.sorted)})
-        return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["code", "n"])
-
-    # at most one row per n-gram of the items, whose number is bounded
-    df = {r["code"]: r["n"] for r in arrow_map(docs.select("text"), count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
-    everyday = RARE_SHARE * df.pop(-1, 0)
-    each: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for code, places in _index(items).places.items():
-        for i, k in places:
-            if code in df:
-                each[i].append((code, k))
-    chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, grams in each.items():
-        most = max(everyday, RARE_TIMES * float(np.median([df[code] for code, _ in grams])))
-        for code, k in grams:
-            if df[code] <= most:
-                chosen[code].append((i, k))
-    return {code: tuple(sorted(p)) for code, p in chosen.items()}
-
-
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.45) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word for every document and item whose score reaches the threshold."""
     rows = check_columns(docs, "doc_id", "text")
     items = read_items(benchmark, n)
     spark = docs.sparkSession
     kinds = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    shared = spark.sparkContext.broadcast((items, seeds(rows, items)))
+    shared = spark.sparkContext.broadcast(items)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items, chosen = shared.value
+        items = shared.value
         index, cols = _index(items), columns_of(batch)
-        among = np.array(sorted(chosen), np.int64)
         out: list[tuple] = []
         known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         for d, t in enumerate(cols["text"]):
             row = index.numbers(t.as_py())
             hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for p, code in index.found(row, among):
-                for i, q in chosen[code]:
+            for p, code in index.found(row):
+                for i, q in index.places[code]:
                     hits[i].append((p, q))
             words = row.tolist() if hits else []
+            present = set(words)
             for i, places in sorted(hits.items()):
                 item, best = index.rows[i], (0, 0, 0)
+                if sum(map(index.times[i].__getitem__, index.times[i].keys() & present)) < threshold * len(item):
+                    continue
                 for a, b in windows(places, len(item), len(row)):
                     # an alignment can't score more than the share of the item's words that are there
                     if sum(map(index.times[i].__getitem__, index.times[i].keys() & words[a:b])) < threshold * len(item):

@@ -351,6 +351,20 @@ def test_planted_and_edited_leaks(spark):
         assert 0.45 <= r.score < 1 and 148 <= r.first_word <= 156 and r.end_word <= 182
 
 
+def test_hot_edited_copies_beside_an_exact_one(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(2000)]
+    item = [f"t{k}" for k in range(40)]
+    rows = []
+    for k in range(200):
+        body = [rng.choice(words) for _ in range(60)]
+        if k <= 60:  # every fourth word replaced in sixty documents, the whole item in one
+            body[20:20] = [w if k == 60 or j % 4 else rng.choice(words) for j, w in enumerate(item)]
+        rows.append((k, " ".join(body)))
+    got = decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(61)) and min(r.score for r in got) > 0.6
+
+
 # --- language model
 
 
