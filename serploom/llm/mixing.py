@@ -5,9 +5,10 @@ before slot floor(j / w) and has to be out by ceil((j + 1) / w); among the block
 deadline comes (then the source's name decides). With weights that sum to 1 every deadline is met, so at each slot every
 source is less than one block away from its target.
 
-Weights are rounded to shares of ``quanta``, so the schedule repeats every ``quanta`` slots: one period is laid out on the
-driver from the weights alone, and a document finds its slot by arithmetic and two joins with that bounded table. When a
-source runs out, a new phase begins in which the others share its weight. No document is dropped or repeated.
+Weights are integers that sum to ``quanta``, fine enough (2 ** 48) that rounding never adds up to a visible part of a block. The
+driver lays out each phase from the weights and the numbers of blocks: memory for the sources, and some bytes and
+microseconds for each block of documents. The slots are written to the shared folder, and a document finds its own by one
+join. When a source runs out, a new phase begins in which the others share its weight. No document is dropped or repeated.
 
 The main path is DataFrame functions only. Documents are numbered within a source in ranges of a hash, so that a source with
 a third of all rows is many tasks' work.
@@ -20,17 +21,22 @@ mix_phase, mix_slot and mix_place, which are replaced.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from serploom.llm.common import unit_hash
+from serploom.llm.common import scratch, unit_hash
 
-#: Sources, and sources times quanta, that the schedule may have: its size doesn't depend on the documents.
-MOST_SOURCES, MOST_ROWS = 20_000, 5_000_000
+#: Sources that the driver may hold.
+MOST_SOURCES = 20_000
+QUANTA = 1 << 48
+#: Slots that are broadcast, some 30 MB; more are joined by a shuffle. And how many are handed over at a time.
+MOST_SENT, CHUNK = 400_000, 500_000
 
 
 def shares(weights: dict[str, float], quanta: int) -> dict[str, int]:
@@ -49,22 +55,24 @@ def shares(weights: dict[str, float], quanta: int) -> dict[str, int]:
     return out
 
 
-def period(quanta: dict[str, int]) -> list[str]:
-    """The source of every slot of one period, by earliest deadline first among released blocks."""
+def slots(quanta: dict[str, int]) -> Iterator[str]:
+    """The source of slot after slot without end, by earliest deadline first among released blocks."""
     size = sum(quanta.values())
     coming = [(0, s, 0) for s in quanta]
     heapq.heapify(coming)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(size):
+    for t in itertools.count():
         while coming and coming[0][0] <= t:
             _, s, j = heapq.heappop(coming)
             heapq.heappush(ready, (-(-(j + 1) * size // quanta[s]), s, j))
         _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < quanta[s]:
-            heapq.heappush(coming, ((j + 1) * size // quanta[s], s, j + 1))
-    return out
+        yield s
+        heapq.heappush(coming, ((j + 1) * size // quanta[s], s, j + 1))
+
+
+def period(quanta: dict[str, int]) -> list[str]:
+    """The slots until all sources have had their quanta; from there on they repeat."""
+    return list(itertools.islice(slots(quanta), sum(quanta.values())))
 
 
 @dataclass(frozen=True)
@@ -77,19 +85,20 @@ class Phase:
     blocks: dict[str, int]
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], quanta: int = 1000) -> list[Phase]:
-    """Phases until all blocks are out. blocks: how many each source has."""
+def plan(blocks: dict[str, int], weights: dict[str, float], quanta: int = QUANTA) -> list[Phase]:
+    """Phases until all blocks are out, each until a source is. blocks: how many each source has."""
     done, left, slot, phases = dict.fromkeys(blocks, 0), {s: n for s, n in blocks.items() if n}, 0, []
     while left:
         active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
         q = shares(active, max(quanta, len(active)))
-        order = period(q)
-        size = len(order)
-        where: dict[str, list[int]] = {s: [] for s in q}
-        for t, s in enumerate(order):
-            where[s].append(t)
-        end = min((left[s] - 1) // q[s] * size + where[s][(left[s] - 1) % q[s]] for s in q) + 1
-        used = {s: end // size * q[s] + sum(t < end % size for t in where[s]) for s in q}
+        order: list[str] = []
+        used = dict.fromkeys(q, 0)
+        for s in slots(q):
+            order.append(s)
+            used[s] += 1
+            if used[s] == left[s]:
+                break
+        end = len(order)
         phases.append(Phase(slot, end, q, order, {s: done[s] for s in q}, used))
         for s, n in used.items():
             done[s] += n
@@ -104,7 +113,27 @@ def by_power(power: float) -> Callable[[dict[str, int]], dict[str, float]]:
     return lambda sizes: {s: n**power for s, n in sizes.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]], block: int = 16, quanta: int = 1000, per_range: int = 4_000, ordered: bool = False) -> DataFrame:
+def _slot_table(spark: SparkSession, phases: list[Phase]) -> DataFrame:
+    """__s, __j, mix_phase, mix_slot of every block, in the shared folder."""
+    path = scratch(spark, "slots")
+    schema = "__s string, __j long, mix_phase int, mix_slot long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    rows = _slot_rows(phases)
+    while part := list(itertools.islice(rows, CHUNK)):
+        made = pa.table([pa.array(c) for c in zip(*part, strict=True)], ["__s", "__j", "mix_phase", "mix_slot"])
+        spark.createDataFrame(made, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _slot_rows(phases: list[Phase]) -> Iterator[tuple[str, int, int, int]]:
+    for k, p in enumerate(phases):
+        nth = dict(p.first_block)
+        for t, s in enumerate(p.order):
+            yield s, nth[s], k, p.first_slot + t
+            nth[s] += 1
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]], block: int = 16, quanta: int = QUANTA, per_range: int = 4_000, ordered: bool = False) -> DataFrame:
     """``docs`` with mix_phase, mix_slot (from 0) and mix_place (within the slot's block); ordered: laid out in that order.
 
     weights: by source, or a function from the sources' numbers of documents to them.
@@ -116,19 +145,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]],
     keyed = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("__s"), unit_hash(*ids, F.lit("mix")).alias("__u"))
     slim = docs.select("source")
     sizes = {r["s"]: r["n"] for r in slim.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES or len(sizes) * max(quanta, len(sizes)) > MOST_ROWS:
-        raise ValueError(f"{len(sizes)} sources: mix groups of sources first, or lower quanta")
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: mix groups of sources first")
     phases = plan({s: -(-n // block) for s, n in sizes.items()}, weights(sizes) if callable(weights) else weights, quanta)
-    spans = [(s, k, p.first_block[s], p.first_block[s] + p.blocks[s], p.quanta[s], len(p.order), p.first_slot) for k, p in enumerate(phases) for s in p.quanta]
-    slots: list[tuple[str, int, int, int]] = []
-    for k, p in enumerate(phases):
-        seen: dict[str, int] = {}
-        for t, s in enumerate(p.order):
-            slots.append((s, k, seen.setdefault(s, 0), t))
-            seen[s] += 1
-    # both tables come from the weights and the number of sources, at most MOST_ROWS rows
-    spans_ = F.broadcast(spark.createDataFrame(spans, "__s string, mix_phase int, __from long, __to long, __q long, __size long, __slot0 long"))
-    slots_ = F.broadcast(spark.createDataFrame(slots, "__s string, mix_phase int, __nth long, __t long"))
+    table = _slot_table(spark, phases)
+    table = F.broadcast(table) if sum(p.slots for p in phases) <= MOST_SENT else table
     ranges = max(1, -(-sum(sizes.values()) // per_range))
     keyed = keyed.withColumn("__r", F.floor(F.col("__u") * ranges).cast("int"))
     before = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,8 +158,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]],
     nth = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__u", *[F.col("row")[i] for i in ids], F.xxhash64("row")))
     placed = keyed.withColumn("__k", nth).join(starts, ["__s", "__r"]).withColumn("__at", F.col("__start") + F.col("__k") - 1)
     placed = placed.withColumn("__j", F.floor(F.col("__at") / block)).withColumn("mix_place", (F.col("__at") % block).cast("int"))
-    phased = placed.join(spans_, "__s").filter("__j >= __from and __j < __to").withColumn("__nth", (F.col("__j") - F.col("__from")) % F.col("__q"))
-    out = phased.join(slots_, ["__s", "mix_phase", "__nth"]).withColumn("mix_slot", F.col("__slot0") + F.floor((F.col("__j") - F.col("__from")) / F.col("__q")) * F.col("__size") + F.col("__t"))
+    out = placed.join(table, ["__s", "__j"])
     out = out.select("row.*", "mix_phase", "mix_slot", "mix_place")
     if ordered:
         out = out.repartitionByRange(F.col("mix_slot"), F.col("mix_place")).sortWithinPartitions("mix_slot", "mix_place")

@@ -210,6 +210,25 @@ def test_plan_places_every_block_once(blocks, data):
     assert sum(p.slots for p in phases) == sum(blocks.values())
 
 
+@pytest.mark.parametrize("blocks", [{"big": 40_000, **{f"s{k}": 2_000 + 313 * k for k in range(19)}}, {"a": 30_000, "b": 3, "c": 50_001}])
+def test_long_phases_stay_within_one_block_of_the_stated_weights(blocks):
+    weights = {s: n**0.5 for s, n in blocks.items()}
+    left = dict(blocks)
+    for p in mixing.plan(blocks, weights):
+        names, total = list(p.blocks), sum(weights[s] for s in p.blocks)
+        at = np.array([names.index(p.order[t % len(p.order)]) for t in range(p.slots)])
+        for k, s in enumerate(names):
+            ideal = np.arange(1, p.slots + 1) * (weights[s] / total)
+            assert np.abs(np.cumsum(at == k) - ideal).max() < 1 + 1e-6
+            left[s] -= p.blocks[s]
+    assert not any(left.values())
+
+
+def test_small_weights_are_not_served_tenfold():
+    first = mixing.plan({"a": 20_000, "b": 20_000}, {"a": 0.9999, "b": 0.0001})[0]
+    assert first.slots == pytest.approx(20_002, abs=1) and first.blocks["b"] in (2, 3)
+
+
 def test_mix_against_the_plan(spark):
     got = mixing.mix(docs(spark, MIDDLE), mixing.by_power(0.5), block=4, per_range=50).collect()
     sizes = Counter(r.source for r in got)
