@@ -46,6 +46,11 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """A row as one column, so that no name of it can clash with names made beside it; ``row.*`` unpacks it."""
+    return F.struct(*[F.col(f"`{n}`") for n in df.columns])
+
+
 def fold(column: Column, parts: int) -> Column:
     """crc32 of a value's text modulo ``parts``; null stays null."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(parts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serploom.llm.common import arrow_map, check_columns, columns_of, persisted
+from serploom.llm.common import arrow_map, check_columns, columns_of, packed, persisted
 
 WORD = re.compile(r"\w+")
 #: Characters of test items that go out with tasks; beyond it, items must be split and searched in turns.
@@ -200,4 +200,4 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
     """``docs`` without the documents that hold a copy of a test item, all columns; rows with null doc_id stay."""
     bad = persisted(find(docs, benchmark, **how).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("doc_id") == F.col("__bad"), "left_anti")
+    return docs.select(packed(docs).alias("row"), "doc_id").join(bad, "doc_id", "left_anti").select("row.*")

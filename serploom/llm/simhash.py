@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serploom.llm.common import arrow_map, check_columns, columns_of, lower_words, persisted
+from serploom.llm.common import arrow_map, check_columns, columns_of, lower_words, packed, persisted
 
 SEED = 42
 #: Reference fingerprints: the splitmix64 sequence from 1.
@@ -215,7 +215,7 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
 
 def keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the rows that name a component of ``found`` (doc_id, h, component_id), and those with null doc_id."""
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
-    first = marked.filter("doc_id is not null").join(keep, (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
-    return first.unionByName(marked.filter("doc_id is null")).drop("__text_hash")
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "h").distinct()
+    marked = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    first = marked.filter("id is not null").join(keep, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return first.union(marked.filter("id is null")).select("row.*")
