@@ -218,4 +218,4 @@ def keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "h").distinct()
     marked = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     first = marked.filter("id is not null").join(keep, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
-    return first.union(marked.filter("id is null")).select("row.*")
+    return first.unionByName(marked.filter("id is null")).select("row.*")
