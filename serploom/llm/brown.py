@@ -1,14 +1,19 @@
 """Language-model scoring with Brown class-based n-grams.
 
-P(word | before) = P(class(word) | class(before)) * P(word | class(word)). Classes come from exchange clustering: starting
-from classes dealt by frequency, each element moves to the class that raises the likelihood of the corpus's class bigrams
-most, until nothing moves. Elements are the most frequent words, each on its own, and the rest of the vocabulary in
-SHAPES groups by word ending, so that every word, unseen ones included, has a class. Both probabilities are smoothed by
-adding 0.5.
+P(word | before) = P(class(word) | class(before)) * P(word | class(word)). Every training word has a class of its own choice:
 
-All counts are over all training documents. Three passes read the texts: word counts, bigrams of elements, scores.
-Word counts are summed per task before the shuffle. The HEAD most frequent words, a fixed number, go out with the
-tasks; only rarer words of a document are shuffled to meet their counts, so no word is hot in that join.
+1. Exchange clustering of the core, the ``clustered`` most frequent words, and of SHAPES groups of all other words by ending:
+   starting from classes dealt by frequency, each element moves to the class that raises the likelihood of the corpus's
+   class bigrams most, until nothing moves. The groups' classes stand in for words that have none yet.
+2. Every further word of the head takes the class under which its neighbours in the corpus are likeliest, from all its
+   bigrams with the classes. The same for the rest of the vocabulary, the tail, whose neighbours in the head have their
+   final classes by then. So what is clustered grows with the corpus; only words that the training documents lack have the
+   class of their group.
+3. Class bigrams are counted anew with all final classes. Both probabilities are smoothed by adding 0.5.
+
+All counts are over all training documents. Texts are cut into words twice: for the word counts, and to be written out as word numbers, which all further
+passes read. Word counts are summed per task before the shuffle. The head, a fixed number of words, goes out with the
+tasks; only rarer words of a document are shuffled to meet their counts and classes, so no word is hot in that join.
 
 Defined results: null and empty texts are one end token; a null doc_id is neither held out nor learned from; repeated
 rows are scored each; without training documents every count is 0 and every probability 1; other columns are ignored.
@@ -19,13 +24,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serploom.llm.common import check_columns, columns_of, fold, lower_words, persisted
@@ -36,13 +40,13 @@ SHAPES = 64
 HEAD = 150_000
 #: Rows of a batch that are scored before they are handed on.
 SLICE = 1000
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 250_000
+#: Distinct words, or cells of contexts, that a task counts before it hands them on.
+FLUSH, CELLS = 250_000, 2_000_000
 SMOOTH = 0.5
 
 
 def shape(word: bytes) -> int:
-    """The group of a word that is no element of its own: by its last three bytes."""
+    """The group of a word by its last three bytes."""
     return zlib.crc32(word[-3:]) % SHAPES
 
 
@@ -132,35 +136,222 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(kept, key=lambda r: (-r["n"], bytes(r["token"])))
 
 
-def bigrams(train: DataFrame, elements: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring elements over all rows; the end token is the last element and stands before a text, too."""
-    size = len(elements) + SHAPES + 1
-    shared = train.sparkSession.sparkContext.broadcast(elements)
+def encoded(rows: DataFrame, head: list[bytes]) -> DataFrame:
+    """``rows`` with their texts as word numbers: ids (a place in the head, or -1 - a place in far), far (the text's other words), shapes (of those)."""
+    shared = rows.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(head)})
+    kept = [n for n in rows.columns if n != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = shared.value, np.zeros(size * size, np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                row = np.array([size - 1, *_elements(lower_words(t.as_py()), known), size - 1], np.int64)
-                total += np.bincount(row[:-1] * size + row[1:], minlength=size * size) if len(row) > size else _few(row, size, total)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+        get = shared.value.get
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            cols = columns_of(batch)
+            ids, far, shapes = [], [], []
+            for t in cols["text"]:
+                own: dict[bytes, int] = {}
+                put = own.setdefault
+                words = lower_words(t.as_py())
+                ids.append(np.array([k if (k := get(w)) is not None else -1 - put(w, len(own)) for w in words], np.int32))
+                far.append(list(own))
+                shapes.append(np.array([shape(w) for w in own], np.int8))
+            yield pa.RecordBatch.from_arrays([*(cols[n] for n in kept), _lists(ids, np.int32), pa.array(far, pa.list_(pa.binary())), _lists(shapes, np.int8)], [*kept, "ids", "far", "shapes"])
+
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    return rows.select(*kept, "text").mapInArrow(run, ", ".join([*(f"{n} {kinds[n]}" for n in kept), "ids array<int>, far array<binary>, shapes array<tinyint>"]))
+
+
+def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *rows]).astype(kind)))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins (and the last ends), and the values of all of them."""
+    ends = lists.offsets.to_numpy()
+    return ends - ends[0], lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+
+
+class Sequence:
+    """The texts of a batch as one row of numbers: an end, the words of the first text, an end, and so on.
+
+    Numbers below ``head`` are words of the head, ``head`` is the end, head + 1 + k is the batch's k-th far word.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, head: int) -> None:
+        cols = columns_of(batch)
+        starts, ids = _flat(cols["ids"])
+        self.far_starts, self.shapes = _flat(cols["shapes"])
+        self.lengths = np.diff(starts)
+        n = len(self.lengths)
+        doc = np.repeat(np.arange(n), self.lengths)
+        ids = ids.astype(np.int64)
+        self.at = np.full(len(ids) + n + 1, head, np.int64)
+        self.at[np.arange(len(ids)) + doc + 1] = np.where(ids >= 0, ids, head + self.far_starts[:-1][doc] - ids)
+        #: The text of every number but the first.
+        self.doc = np.repeat(np.arange(n), self.lengths + 1)
+
+
+def _summed(batches: Iterator[tuple[np.ndarray, np.ndarray]], most: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) added up by key, handed on when ``most`` are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in batches:
+        held.append(part)
+        if sum(len(k) for k, _ in held) >= most:
+            held = [_merged(held)]
+            if len(held[0][0]) >= most // 2:
+                yield held.pop()
+    yield _merged(held)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(keys)).astype(np.int64)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
+
+
+def _cells(texts: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], name: str) -> DataFrame:
+    """name, n: how often each key occurs, per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (_counted(keys(b)) for whole in batches for b in (whole.slice(k, SLICE) for k in range(0, whole.num_rows, SLICE)))
+        for k, n in _summed(parts):
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], [name, "n"])
+
+    return texts.select("ids", "shapes").mapInArrow(run, f"{name} long, n long")
+
+
+def bigrams(texts: DataFrame, head_shapes: np.ndarray, core: int) -> np.ndarray:
+    """Counts of neighbouring elements over all encoded rows: the core's words, the groups, and last the end, which stands before a text, too."""
+    size, head = core + SHAPES + 1, len(head_shapes)
+    element = np.concatenate([np.arange(core), core + head_shapes[core:], [size - 1]]).astype(np.int64)
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        row = Sequence(batch, head)
+        e = np.concatenate([element, core + row.shapes.astype(np.int64)])[row.at]
+        return e[:-1] * size + e[1:]
 
     # at most size * size rows come back, a fixed number
-    cells = train.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = _cells(texts, keys, "cell").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return out.reshape(size, size)
 
 
-def _few(row: np.ndarray, size: int, total: np.ndarray) -> int:
-    np.add.at(total, row[:-1] * size + row[1:], 1)
-    return 0
+def steps_of(flow: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) from class bigrams."""
+    return np.log10((flow + SMOOTH) / (flow.sum(1, keepdims=True) + SMOOTH * len(flow)))
+
+
+def _fit_of(steps: np.ndarray) -> np.ndarray:
+    """Rows: the class before (0 ..), none, the class behind, none. Columns: how well each class goes with it; 0, the end's own, is for no word."""
+    none = np.zeros((1, len(steps)))
+    fit = np.concatenate([steps, none, steps.T, none])
+    fit[:, 0] = -1e3
+    return fit
+
+
+def head_classes(texts: DataFrame, head_shapes: np.ndarray, core_class: np.ndarray, shape_class: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Classes of all words of the head: the core's as they are, the others' by all their bigrams."""
+    core, head, classes = len(core_class), len(head_shapes), len(steps)
+    now = np.concatenate([core_class, shape_class[head_shapes[core:]]]).astype(np.int64)
+    if core == head:
+        return now
+    side = classes + 1
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        row = Sequence(batch, head)
+        c = np.concatenate([now, [0], shape_class[row.shapes]])[row.at]
+        p = np.flatnonzero((row.at >= core) & (row.at < head))
+        first = row.at[p] * 2 * side
+        return np.concatenate([first + c[p - 1], first + side + c[p + 1]])
+
+    fit = _fit_of(steps)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = columns_of(b)
+            yield pa.RecordBatch.from_arrays([cols["word"], pa.array(_best(cols["cells"], cols["ns"], fit), pa.int32())], ["word", "class"])
 
+    cells = _cells(texts, keys, "cell").select(F.floor(F.col("cell") / (2 * side)).alias("word"), (F.col("cell") % (2 * side)).cast("int").alias("cell"), "n")
+    # one exchange by word serves both aggregations; a word has at most 2 * side cells
+    lists = cells.repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"))
+    got = lists.mapInArrow(choose, "word long, class int").toArrow()  # the head's words at most
+    now[got["word"].to_numpy()] = got["class"].to_numpy()
+    return now
 
-def _elements(words: list[bytes], known: dict[bytes, int]) -> list[int]:
-    n = len(known)
-    return [known[w] if w in known else n + zlib.crc32(w[-3:]) % SHAPES for w in words]
+
+def _best(cells: pa.Array, ns: pa.Array, fit: np.ndarray) -> np.ndarray:
+    """For each list of cells the class that goes best with them, the lowest of equals."""
+    starts, at = _flat(cells)
+    n = _flat(ns)[1]
+    total = np.zeros((len(starts) - 1, fit.shape[1]))
+    np.add.at(total, np.repeat(np.arange(len(starts) - 1), np.diff(starts)), fit[at] * n[:, None])
+    return total.round(9).argmax(1).astype(np.int32)
+
+
+def tail(texts: DataFrame, now: np.ndarray, shape_class: np.ndarray, steps: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """The rest of the vocabulary as token, n, class in the shared folder, and all class bigrams."""
+    spark, head, classes = texts.sparkSession, len(now), len(steps)
+    side = classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            row = Sequence(batch, head)
+            words = columns_of(batch)["far"].flatten().dictionary_encode()
+            code, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+            own = np.concatenate([now, [0], np.full(len(code), classes)])
+            c = own[row.at]
+            both = (c[:-1] < classes) & (c[1:] < classes)
+            near += np.bincount(c[:-1][both] * classes + c[1:][both], minlength=classes * classes)
+            p = np.flatnonzero(c == classes)
+            k, n = _counted(code[row.at[p] - head - 1] * side * side + c[p - 1] * side + c[p + 1])
+            yield _contexts(names.take(pa.array(k // (side * side))), pa.nulls(len(k), pa.binary()), k % (side * side), n)
+            p = np.flatnonzero((c[:-1] == classes) & (c[1:] == classes))
+            k, n = _counted(code[row.at[p] - head - 1] * max(len(names), 1) + code[row.at[p + 1] - head - 1])
+            yield _contexts(names.take(pa.array(k // max(len(names), 1))), names.take(pa.array(k % max(len(names), 1))), np.full(len(k), -1), n)
+        at = np.flatnonzero(near)
+        yield _contexts(pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), at, near[at])
+
+    seen = persisted(texts.select("ids", "shapes", "far").mapInArrow(run, "token binary, next binary, cell int, n long"), "contexts")
+    fit, by_shape = _fit_of(steps), shape_class
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = columns_of(b)
+            starts, cell = _flat(cols["cells"])
+            n = _flat(cols["ns"])[1]
+            owner = np.repeat(np.arange(b.num_rows), np.diff(starts))
+            total = np.zeros((b.num_rows, classes))
+            np.add.at(total, owner, (fit[cell // side] + fit[side + cell % side]) * n[:, None])
+            best = total.round(9).argmax(1)
+            bare = np.bincount(owner, cell != side * side - 1, b.num_rows) == 0  # no neighbour in the head
+            best[bare] = [by_shape[shape(cols["token"][int(k)].as_py())] for k in np.flatnonzero(bare)]
+            times = np.bincount(owner, n, b.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([cols["token"], pa.array(times), pa.array(best.astype(np.int32)), cols["cells"], cols["ns"]], ["token", "n", "class", "cells", "ns"])
+
+    own = seen.filter("token is not null and next is null").repartition("token").groupBy("token", "cell").agg(F.sum("n").alias("n"))
+    lists = own.groupBy("token").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"))
+    words = persisted(lists.mapInArrow(choose, "token binary, n long, class int, cells array<int>, ns array<long>"), "tail")
+    flow = np.zeros((side, side))
+    for r in seen.filter("token is null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        flow[r["cell"] // classes, r["cell"] % classes] += r["n"]
+    for r in words.select("class", F.explode(F.arrays_zip("cells", "ns")).alias("x")).groupBy("class", "x.cells").agg(F.sum("x.ns").alias("n")).collect():
+        # a neighbour that is of the tail itself is counted with the pairs
+        flow[r["cells"] // side, r["class"]] += r["n"]
+        flow[r["class"], r["cells"] % side] += r["n"]
+    of = words.select("token", "class")
+    pairs = seen.filter("next is not null").groupBy("token", "next").agg(F.sum("n").alias("n")).join(of, "token").select(F.col("next").alias("token"), F.col("class").alias("a"), "n")
+    for r in pairs.join(of, "token").groupBy("a", "class").agg(F.sum("n").alias("n")).collect():
+        flow[r["a"], r["class"]] += r["n"]
+    return words.select("token", "n", "class"), flow[:classes, :classes]
+
+
+def _contexts(token: pa.Array, next_: pa.Array, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([token, next_, pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], ["token", "next", "cell", "n"])
 
 
 @dataclass(frozen=True)
@@ -183,127 +374,136 @@ class ClassModel:
 
 
 class Scorer:
-    """The model as arrays; built once per Python worker."""
+    """The model's tables as arrays; the words themselves stay behind, texts come as their numbers."""
 
     def __init__(self, m: ClassModel) -> None:
-        self.m = m
-        self.at = {w: k for k, w in enumerate(m.head)}
         counts = np.array([*m.counts, m.ends], float)
-        self.known = np.array([*(c > 0 for c in m.counts), m.ends > 0])
+        self.known = counts > 0
         self.cls = np.array([*m.classes, 0], np.int64)
+        self.norm, self.base_norm = np.array(m.class_norm), m.base_norm
         self.base = np.log10((counts + SMOOTH) / m.base_norm)
-        self.emit = np.log10((counts + SMOOTH) / np.array(m.class_norm)[self.cls])
+        self.emit = np.log10((counts + SMOOTH) / self.norm[self.cls])
         self.steps = np.array(m.steps)
-
-    def score(self, text: str | None) -> tuple[int, int, float, float, Counter[bytes]]:
-        """Tokens, known ones, base and model sums without the rare words' own terms, and those words."""
-        words = lower_words(text)
-        get, end = self.at.get, len(self.m.head)
-        ids = np.array([get(w, -1) for w in words] + [end], np.int64)
-        rare = np.flatnonzero(ids < 0)
-        cls = self.cls[ids]
-        far = [words[k] for k in rare]
-        if far:
-            cls[rare] = [self.m.shape_class[shape(w)] for w in far]
-        near = ids[ids >= 0]
-        steps = self.steps[np.concatenate([[0], cls[:-1]]), cls].sum()
-        return len(ids), int(self.known[near].sum()), float(self.base[near].sum()), float(self.emit[near].sum() + steps), Counter(far)
-
-
-@lru_cache(maxsize=1)
-def _scorer(m: ClassModel) -> Scorer:
-    return Scorer(m)
-
-
-def train(docs: DataFrame, clustered: int = 500, classes: int = 48, head: int = HEAD) -> tuple[ClassModel, DataFrame]:
-    """The model, and the table of all word counts (token, n) in the shared folder."""
-    ship(docs.sparkSession)
-    counts = persisted(word_counts(docs), "words")
-    top = most_frequent(counts, head)
-    ends = docs.count()
+        self.shape_class = np.array(m.shape_class, np.int64)
+
+    def near(self, batch: pa.RecordBatch) -> list[pa.Array]:
+        """Of each text: tokens, known ones, base and model sums without what far words have a part in; times of its far
+        words; and the steps to or from those, a class as its number, the k-th far word as the number of classes + k."""
+        head, classes = len(self.base) - 1, len(self.steps)
+        row = Sequence(batch, head)
+        n, far = len(row.lengths), len(row.shapes)
+        pad = lambda x: np.concatenate([x, np.zeros(far)])[row.at[1:]]
+        total = lambda x: np.bincount(row.doc, x, n)
+        local = classes + np.arange(far) - np.repeat(row.far_starts[:-1], np.diff(row.far_starts))
+        code = np.concatenate([self.cls, local])[row.at]
+        a, b = code[:-1], code[1:]
+        plain = (a < classes) & (b < classes)
+        walked = np.zeros(len(a))
+        walked[plain] = self.steps[a[plain], b[plain]]
+        open_ = ~plain
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row.doc[open_], minlength=n))]).astype(np.int32)
+        times = np.bincount(row.at[row.at > head] - head - 1, minlength=far).astype(np.int32)
+        lists = lambda x, e: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x.astype(np.int32)))
+        return [
+            pa.array(row.lengths.astype(np.int64) + 1), pa.array(total(pad(self.known)).astype(np.int64)), pa.array(total(pad(self.base))), pa.array(total(pad(self.emit) + walked)),
+            lists(times, row.far_starts), lists(a[open_], ends), lists(b[open_], ends),
+        ]
+
+    def far(self, shapes: np.ndarray, times: np.ndarray, a: np.ndarray, b: np.ndarray, found: list[dict]) -> tuple[int, float, float]:
+        """What the far words of a text add: known ones, base, model. found: pos, n, class of those that the training documents have."""
+        cls, n = self.shape_class[shapes], np.zeros(len(shapes))
+        for f in found:
+            cls[f["pos"]], n[f["pos"]] = f["class"], f["n"]
+        code = np.concatenate([np.arange(len(self.steps)), cls])
+        base, model = np.log10((n + SMOOTH) / self.base_norm), np.log10((n + SMOOTH) / self.norm[cls])
+        return int(times[n > 0].sum()), float((times * base).sum()), float((times * model).sum() + self.steps[code[a], code[b]].sum())
+
+
+def _row_ids(rows: DataFrame, head: list[bytes]) -> DataFrame:
+    """Encoded rows with a number each, in the shared folder."""
+    return persisted(encoded(rows, head).withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def _fit(spark: SparkSession, texts: DataFrame, counts: DataFrame, top: list, clustered: int, classes: int) -> tuple[ClassModel, DataFrame]:
+    ends = texts.count()
     words, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    elements = {bytes(r["token"]): k for k, r in enumerate(top[:clustered])}
-    table = bigrams(docs, elements)
+    names = tuple(bytes(r["token"]) for r in top)
+    core, shapes = min(clustered, len(top)), np.array([shape(w) for w in names], np.int64)
+    table = bigrams(texts, shapes, core)
     cls = exchange(table, classes, len(table) - 1)
-    shape_class = cls[len(elements) : -1]
     one = np.eye(classes)[cls]
-    flow = one.T @ table @ one
-    steps = np.log10((flow + SMOOTH) / (flow.sum(1, keepdims=True) + SMOOTH * classes))
-    of = [int(cls[k]) if k < len(elements) else int(shape_class[shape(bytes(r["token"]))]) for k, r in enumerate(top)]
-    # tokens and distinct words of each class: of elements from the counts, of groups by adding up the vocabulary
-    tokens, kinds = np.zeros(classes), np.zeros(classes)
-    for k, r in enumerate(top[:clustered]):
-        tokens[of[k]] += r["n"]
-        kinds[of[k]] += 1
-    for r in _groups(counts, elements).collect():
-        tokens[shape_class[r["shape"]]] += r["n"]
-        kinds[shape_class[r["shape"]]] += r["kinds"]
+    steps, by_shape = steps_of(one.T @ table @ one), cls[core:-1]
+    now = head_classes(texts, shapes, cls[:core], by_shape, steps)
+    rest, flow = tail(texts, now, by_shape, steps)
+    steps = steps_of(flow)
+    # tokens and distinct words of each class
+    times = np.array([r["n"] for r in top], float)
+    tokens, kinds = np.bincount(now, times, classes), np.bincount(now, minlength=classes).astype(float)
+    for r in rest.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        tokens[r["class"]] += r["n"]
+        kinds[r["class"]] += r["kinds"]
     tokens[0] += ends
     kinds[0] += ends > 0
     norm = tokens + SMOOTH * (kinds + 1)
     if not ends:
         steps, norm = np.zeros_like(steps), np.full(classes, SMOOTH)
-    model = ClassModel(
-        tuple(bytes(r["token"]) for r in top), tuple(r["n"] for r in top), tuple(of), tuple(map(int, shape_class)), tuple(map(tuple, steps.tolist())), tuple(norm.tolist()), ends, int(words or 0) + ends, int(distinct or 0) + (ends > 0)
-    )
-    return model, counts
-
+    numbers = lambda x: tuple(x.tolist())
+    return ClassModel(names, tuple(r["n"] for r in top), numbers(now), numbers(by_shape), tuple(map(tuple, steps.tolist())), numbers(norm), ends, int(words or 0) + ends, int(distinct or 0) + (ends > 0)), rest
 
-def _groups(counts: DataFrame, elements: dict[bytes, int]) -> DataFrame:
-    """shape, n, kinds of the words that are no elements: at most SHAPES rows."""
-    known = frozenset(elements)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, kinds = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
-        for batch in batches:
-            for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w not in known:
-                    n[shape(w)] += k
-                    kinds[shape(w)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES), pa.int32()), pa.array(n), pa.array(kinds)], ["shape", "n", "kinds"])
-
-    return counts.select("token", "n").mapInArrow(run, "shape int, n long, kinds long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+def train(docs: DataFrame, clustered: int = 500, classes: int = 48, head: int = HEAD) -> tuple[ClassModel, DataFrame]:
+    """The model, and the words beyond its head (token, n, class) in the shared folder."""
+    ship(docs.sparkSession)
+    counts = persisted(word_counts(docs), "words")
+    top = most_frequent(counts, head)
+    return _fit(docs.sparkSession, _row_ids(docs.select("text"), [bytes(r["token"]) for r in top]), counts, top, clustered, classes)
 
 
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: ClassModel, rest: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (doc_id, held_out, text)."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)["doc_id"]
+    return _score(_row_ids(docs.select("doc_id", "held_out", "text"), list(model.head)), model, rest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared.value)
+
+def _score(texts: DataFrame, model: ClassModel, rest: DataFrame) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(Scorer(model))
+    kind = dict(texts.dtypes)["doc_id"]
+    same = ["row", "doc_id", "held_out", "shapes"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             cols = columns_of(batch)
-            got = [scorer.score(t.as_py()) for t in cols["text"]]
-            yield pa.RecordBatch.from_arrays(
-                [cols["doc_id"], cols["held_out"], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.float64()),
-                 pa.array([list(g[4]) for g in got], pa.list_(pa.binary())), pa.array([list(g[4].values()) for g in got], pa.list_(pa.int32())), pa.array([[model_class(scorer, w) for w in g[4]] for g in got], pa.list_(pa.int32()))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times", "classes"],
-            )
-
-    done = docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>, classes array<int>")
-    rows = persisted(done.withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = rows.select("row", F.explode(F.arrays_zip("words", "times", "classes")).alias("r")).select("row", F.col("r.words").alias("token"), F.col("r.times").alias("times"), F.col("r.classes").alias("class"))
-    met = rare.join(counts, "token", "left").select("row", "times", "class", F.coalesce("n", F.lit(0)).alias("n"))
-    norm = F.element_at(F.array(*[F.lit(x) for x in model.class_norm]), F.col("class") + 1)
-    sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"),
-        F.sum(F.col("times") * F.log10((F.col("n") + SMOOTH) / F.lit(model.base_norm))).alias("b"),
-        F.sum(F.col("times") * F.log10((F.col("n") + SMOOTH) / norm)).alias("s"),
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.drop("words", "times", "classes").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score")
-    )
-
-
-def model_class(scorer: Scorer, word: bytes) -> int:
-    return scorer.m.shape_class[shape(word)]
-
-
-def perplexity(docs: DataFrame, folds: int = 5, held: int = 1, **how: int) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([*(cols[n] for n in same), *shared.value.near(batch)], [*same, *numbers, "times", "a", "b"])
+
+    numbers = ["n_tokens", "n_known", "base_score", "score"]
+    typed = f"doc_id {kind}, held_out boolean"
+    half = texts.select(*same, "ids").mapInArrow(near, f"row long, {typed}, shapes array<tinyint>, n_tokens long, n_known long, base_score double, score double, times array<int>, a array<int>, b array<int>")
+    words = texts.select("row", F.posexplode("far").alias("pos", "token")).join(rest, "token")
+    found = words.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "class")).alias("found"))  # the text's own words
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            cols = columns_of(batch)
+            known, base, model_ = (cols[n].to_numpy(zero_copy_only=False).copy() for n in numbers[1:])
+            lists = [_flat(cols[n]) for n in ("shapes", "times", "a", "b")]
+            for k, f in enumerate(cols["found"].to_pylist()):
+                if lists[0][0][k + 1] > lists[0][0][k]:
+                    more = shared.value.far(*(x[at[k] : at[k + 1]] for at, x in lists), f or [])
+                    known[k], base[k], model_[k] = known[k] + more[0], base[k] + more[1], model_[k] + more[2]
+            yield pa.RecordBatch.from_arrays([cols["doc_id"], cols["held_out"], cols["n_tokens"], pa.array(known), pa.array(base), pa.array(model_)], ["doc_id", "held_out", *numbers])
+
+    both = half.join(found, "row", "left").drop("row")
+    out = both.mapInArrow(far, f"{typed}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def perplexity(docs: DataFrame, folds: int = 5, held: int = 1, clustered: int = 500, classes: int = 48, head: int = HEAD) -> DataFrame:
     """Train on the rows outside fold ``held`` and score every row; see score."""
+    ship(docs.sparkSession)
     rows = check_columns(docs, "doc_id", "text").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)))
-    model, counts = train(rows.filter(~F.col("held_out") & F.col("doc_id").isNotNull()), **how)
-    return score(rows, model, counts)
+    learn = ~F.col("held_out") & F.col("doc_id").isNotNull()
+    counts = persisted(word_counts(rows.filter(learn)), "words")
+    top = most_frequent(counts, head)
+    texts = _row_ids(rows, [bytes(r["token"]) for r in top])
+    model, rest = _fit(docs.sparkSession, texts.filter(learn), counts, top, clustered, classes)
+    return _score(texts, model, rest)

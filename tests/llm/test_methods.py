@@ -415,30 +415,48 @@ def test_base_scores_against_brute_force(spark):
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
-def test_model_is_a_distribution(spark):
-    model, counts = brown.train(docs(spark).filter("doc_id < 40"), clustered=30, classes=5)
-    assert np.allclose((10.0 ** np.array(model.steps)).sum(1), 1)
-    scorer = brown._scorer(model)
-    mass = np.zeros(5)
-    for k in range(len(model.head)):
-        mass[model.classes[k]] += 10 ** scorer.emit[k]
-    mass[0] += 10 ** scorer.emit[-1]
-    assert (mass < 1).all() and mass.max() > 0.5  # what is left is for unseen words
-
-
-def test_exchange_raises_the_likelihood():
-    rng = np.random.default_rng(2)
-    true = np.array([1, 1, 1, 2, 2, 2, 0])
-    step = np.array([[0.1, 0.8, 0.1], [0.1, 0.1, 0.8], [0.3, 0.6, 0.1]])
-    counts = np.zeros((7, 7))
-    now = 6
-    for _ in range(20_000):
-        c = rng.choice(3, p=step[true[now]])
-        nxt = rng.choice(np.flatnonzero(true == c))
-        counts[now, nxt] += 1
-        now = nxt
-    got = brown.exchange(counts, 3, 6)
-    assert len({got[0], got[1], got[2]}) == 1 and len({got[3], got[4], got[5]}) == 1 and got[0] != got[3] and got[6] == 0
+@pytest.mark.parametrize("head", [brown.HEAD, 40])
+def test_model_against_a_plain_count(spark, head):
+    """Classes from the model; everything else counted plainly: class bigrams, class sizes, every document's score."""
+    rows = docs(spark).filter("doc_id < 60").collect()
+    df = spark.createDataFrame([(r.doc_id, r.text, False) for r in rows], "doc_id long, text string, held_out boolean")
+    model, rest = brown.train(df.filter("doc_id < 40"), clustered=30, classes=5, head=head)
+    words = {r.doc_id: [w.encode() for w in WORD.findall(ascii_lower(r.text or ""))] for r in rows}
+    n = Counter(w for k, ws in words.items() if k < 40 for w in ws)
+    cls = dict(zip(model.head, model.classes, strict=True)) | {bytes(r.token): r["class"] for r in rest.collect()}
+    assert set(cls) == set(n) and {bytes(r.token): r.n for r in rest.collect()} == {w: c for w, c in n.items() if w not in set(model.head)}
+    of = lambda w: 0 if w is None else cls.get(w, model.shape_class[brown.shape(w)])
+    flow, size, kinds = np.zeros((5, 5)), np.zeros(5), np.zeros(5)
+    size[0], kinds[0] = sum(k < 40 for k in words), 1
+    for w, c in n.items():
+        size[cls[w]] += c
+        kinds[cls[w]] += 1
+    for k, ws in words.items():
+        if k < 40:
+            for x, y in zip([None, *ws], [*ws, None], strict=True):
+                flow[of(x), of(y)] += 1
+    steps = (flow + 0.5) / (flow.sum(1, keepdims=True) + 2.5)
+    assert np.allclose(10.0 ** np.array(model.steps), steps) and np.allclose(steps.sum(1), 1)
+    # all words of a class, and one that is none of them, are a whole
+    assert all(math.isclose(sum((n[w] + 0.5) / model.class_norm[c] for w in n if cls[w] == c) + (size[0] + 0.5) / model.class_norm[0] * (c == 0) + 0.5 / model.class_norm[c], 1) for c in range(5))
+    for r in brown.score(df, model, rest).collect():
+        want = 0.0
+        for x, y in zip([None, *words[r.doc_id]], [*words[r.doc_id], None], strict=True):
+            c = size[0] if y is None else n[y]
+            want += math.log10(steps[of(x), of(y)]) + math.log10((c + 0.5) / model.class_norm[of(y)])
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_every_word_takes_the_class_its_neighbours_ask_for(spark):
+    rng = random.Random(8)
+    nouns, verbs = [f"n{k}" for k in range(60)], [f"v{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice((nouns, verbs)[j % 2]) for j in range(40))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for head in (brown.HEAD, 50):  # words of the head, and of the tail
+        model, rest = brown.train(df, clustered=40, classes=8, head=head)
+        cls = dict(zip(model.head, model.classes, strict=True)) | {bytes(r.token): r["class"] for r in rest.collect()}
+        mixed = sum(min(sum(cls[w.encode()] == c for w in nouns), sum(cls[w.encode()] == c for w in verbs)) for c in range(8))
+        assert mixed <= 6, mixed
 
 
 # --- queries and pipeline
