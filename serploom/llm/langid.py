@@ -4,13 +4,14 @@ For each language a suffix automaton over a bounded sample of labelled text yiel
 longest match. Parsing a text greedily into longest matches (a Ziv-Merhav cross parse) costs few phrases when the text
 resembles the training text; phrases * log2(training length) / length estimates the cross entropy, and the lowest wins.
 
-The parse itself is a finite automaton: a missing edge ends a phrase and follows the edge out of the root. So the
-automata become one dense transition table, and a batch of texts is parsed in lock step with NumPy.
+The parse itself is a finite automaton: a missing edge ends a phrase and follows the edge out of the root. The edges of
+all automata are one hash table, as large as they are many, whatever the alphabets, and a batch of texts is parsed in lock step with NumPy.
 
 Defined results: null text or text without any letter gives ``und`` with score 0; equal entropies go to the
 alphabetically first language; repeated rows are scored alike; no labelled training row at all gives ``und`` everywhere;
-other columns of the input are ignored. Texts are parsed whole, in blocks of BLOCK symbols (a phrase ends at a block's
-end), so that one very long text is many short lanes.
+other columns of the input are ignored. Texts are parsed whole. So that one very long text is many short lanes, it is cut into blocks of
+BLOCK symbols, each parsed as if a phrase began there; then each block is parsed again from the state that the block
+before ended in, until both parses meet, which they do after some phrases. The result is that of one parse.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from serploom.llm.common import arrow_map, check_columns, columns_of, fold, unit
 BLOCK = 4096
 #: Symbols that are parsed together, which bounds the memory of a batch.
 GROUP = 3_000_000
+#: An odd number near 2 ** 64 / golden ratio: spreads keys over the table.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -42,11 +45,12 @@ class LanguageModel:
     texts: tuple[str, ...]
 
 
-def fit(train: DataFrame, sample_docs: int = 256, excerpt_chars: int = 512, max_langs: int = 200) -> LanguageModel:
+def fit(train: DataFrame, sample_docs: int = 256, excerpt_chars: int = 512, most_chars: int = 4_000_000, max_langs: int = 5_000) -> LanguageModel:
     """Learn from columns doc_id, text, lang of labelled rows.
 
     Documented bound of the sample: about ``sample_docs`` rows per language, chosen by a hash of doc_id over all rows,
-    and ``excerpt_chars`` characters of each, at an offset that the hash chooses. Only the model is fitted on a sample.
+    and ``excerpt_chars`` characters of each, at an offset that the hash chooses; with many languages fewer rows of each, so that all
+    samples together stay at about ``most_chars`` characters. Only the model is fitted on a sample.
     """
     rows = check_columns(train, "doc_id", "text", "lang").filter("lang is not null and text is not null and length(text) > 0")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()}
@@ -54,6 +58,7 @@ def fit(train: DataFrame, sample_docs: int = 256, excerpt_chars: int = 512, max_
         raise ValueError(f"more than {max_langs} languages; raise max_langs")
     if not counts:
         return LanguageModel((), ())
+    sample_docs = max(1, min(sample_docs, most_chars // (excerpt_chars * len(counts))))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample_docs / n))])
     at = F.floor(unit_hash("doc_id", F.lit("at")) * (F.greatest(F.length("text") - excerpt_chars, F.lit(0)) + 1)).cast("int")
     picked = rows.filter(F.col("lang").isin(list(counts)) & (unit_hash("doc_id", F.lit("row")) < share[F.col("lang")])).select(
@@ -97,53 +102,87 @@ def _suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Dense tables of one model; built once per Python worker."""
+    """The tables of one model; built once per Python worker."""
 
     def __init__(self, model: LanguageModel) -> None:
         self.langs = model.langs
         letters = sorted({ch for t in model.texts for ch in t.lower() if LETTER.match(ch)})
         # 0 is any run of other characters, 1 a letter that no training text has
-        self.lut = np.zeros(0x110000, np.uint8)
+        self.lut = np.zeros(0x110000, np.int32)
         for m in range(0x110000 >> 8):
             page = "".join(map(chr, range(m << 8, (m + 1) << 8)))
             if page.isprintable() or any(map(str.isalpha, page)):
                 self.lut[m << 8 : (m + 1) << 8] = [ch.isalpha() for ch in page]
         for k, ch in enumerate(letters):
-            self.lut[ord(ch)] = 2 + k % 250  # beyond 250 letters some share a symbol
-        self.width = 2 + min(len(letters), 250)
-        tables, self.roots, self.logs = [], [], []
-        for text in model.texts:
+            self.lut[ord(ch)] = 2 + k
+        self.width = 2 + len(letters)
+        keys, targets, roots, logs, states = [], [], [], [], 0
+        self.first = np.full((len(model.texts), self.width), -1, np.int64)
+        for n, text in enumerate(model.texts):
             symbols = self.encode([text])[0]
             edges = _suffix_automaton(symbols)
-            base = sum(len(t) for t in tables)
-            root = edges[0]
-            # a missing edge ends a phrase (1); a symbol that the root lacks is one more phrase (2, or 1 at the root)
-            row = np.array([(base + root[c]) | 1 << 28 if c in root else base | 2 << 28 for c in range(self.width)], np.int32)
-            table = np.tile(row, (len(edges), 1))
-            table[0] = [base + root[c] if c in root else base | 1 << 28 for c in range(self.width)]
-            for s, to in enumerate(edges):
-                for c, t in to.items():
-                    table[s, c] = base + t
-            tables.append(table)
-            self.roots.append(base)
-            self.logs.append(np.log2(max(len(symbols), 2)))
-        if sum(map(len, tables)) >= 1 << 28:
-            raise ValueError("the training sample is too large for this table")
-        self.table = np.concatenate([np.zeros((0, self.width), np.int32), *tables]).ravel()
+            keys.append(np.array([(states + s) * self.width + c for s, to in enumerate(edges) for c in to], np.int64))
+            targets.append(np.array([states + t for to in edges for t in to.values()], np.int64))
+            for c, t in edges[0].items():
+                self.first[n, c] = states + t
+            roots.append(states)
+            logs.append(np.log2(max(len(symbols), 2)))
+            states += len(edges)
+        self.roots, self.logs = np.array(roots, np.int64), np.array(logs)
+        self._hash(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *targets]))
+
+    def _hash(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        """Open addressing, a quarter full at most."""
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] < 0
+            self.keys[slot[left[free]]] = keys[left[free]]  # of several for one slot the last stays
+            put = left[self.keys[slot[left]] == keys[left]]
+            self.targets[slot[put]] = targets[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and how many phrases end: one where an edge is missing, and one more if the root lacks it, too."""
+        key = state * self.width + symbol
+        slot = self._slot(key)
+        held = self.keys[slot]
+        next_ = self.targets[slot].astype(np.int64)
+        ended = np.zeros(len(state), np.int64)
+        off = np.flatnonzero(held != key)
+        while len(off):  # probe on; an empty slot tells that there is no such edge
+            gone = off[held[off] < 0]
+            if len(gone):
+                l = lang[gone]
+                root, first = self.roots[l], self.first[l, symbol[gone]]
+                ended[gone] = 1 + ((first < 0) & (state[gone] != root))
+                next_[gone] = np.where(first < 0, root, first)
+            off = off[held[off] >= 0]
+            slot[off] = (slot[off] + 1) & self.mask
+            held[off] = self.keys[slot[off]]
+            next_[off] = self.targets[slot[off]]
+            off = off[held[off] != key[off]]
+        return next_, ended
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts one after the other, runs of non-letters squeezed to one; and each text's number of symbols."""
         each = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         sizes = np.array([len(x) for x in each], np.int64)
         if not sizes.sum():
-            return np.zeros(0, np.uint8), sizes
+            return np.zeros(0, np.int64), sizes
         symbols = self.lut[np.concatenate(each)]
         keep = np.ones(len(symbols), bool)
         keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
         ends = np.cumsum(sizes)
         keep[(ends - sizes)[sizes > 0]] = True
         before = np.concatenate([[0], np.cumsum(keep)])
-        return symbols[keep], before[ends] - before[ends - sizes]
+        return symbols[keep].astype(np.int64), before[ends] - before[ends - sizes]
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Bits per symbol, texts x languages; the texts must not be empty."""
@@ -154,21 +193,51 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at = starts[owner] + nth * BLOCK
         length = np.minimum(sizes[owner] - nth * BLOCK, BLOCK)
+        many = len(self.langs)
+        # one lane for each language and block, the longest first
         order = np.argsort(-length, kind="stable")
-        owner, at, length = owner[order], at[order], length[order]
-        roots = np.array(self.roots, np.int64)[:, None]
-        state = np.repeat(roots, len(at), 1)
-        phrases = np.zeros(state.shape, np.int64)
-        running = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        for t in range(length[0]):
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        lang = np.tile(np.arange(many), len(order))
+        at_, length_ = np.repeat(at[order], many), np.repeat(length[order], many)
+        state, phrases = self.roots[lang], np.zeros(len(lang), np.int64)
+        running = np.searchsorted(-length_, -np.arange(length_[0]), side="left")
+        for t in range(length_[0]):
             k = running[t]
-            found = self.table[state[:, :k] * self.width + symbols[at[:k] + t]]
-            state[:, :k] = found & (1 << 28) - 1
-            phrases[:, :k] += found >> 28
-        phrases += state != roots
-        total = np.zeros((len(texts), len(self.langs)))
-        np.add.at(total, owner, phrases.T)
-        return total * np.array(self.logs) / sizes[:, None]
+            state[:k], ended = self.step(state[:k], symbols[at_[:k] + t], lang[:k])
+            phrases[:k] += ended
+        self._join_blocks(symbols, (rank, owner, nth), at_, length_, lang, state, phrases)
+        last = rank[np.cumsum(lanes) - 1][:, None] * many + np.arange(many)
+        total = np.zeros((len(texts), many))
+        np.add.at(total, np.repeat(owner[order], many).reshape(-1, many)[:, 0], phrases.reshape(-1, many))
+        total += state[last] != self.roots[None, :]
+        return total * self.logs / sizes[:, None]
+
+    def _join_blocks(self, symbols: np.ndarray, blocks: tuple, at: np.ndarray, length: np.ndarray, lang: np.ndarray, state: np.ndarray, phrases: np.ndarray) -> None:
+        """Corrects end states and phrases of blocks that begin in the middle of a phrase."""
+        rank, _, nth = blocks
+        many = len(self.langs)
+        inner = np.flatnonzero(nth > 0)
+        lane = (rank[inner][:, None] * many + np.arange(many)).ravel()
+        before = (rank[inner - 1][:, None] * many + np.arange(many)).ravel()
+        was = self.roots[lang[lane]]  # the state that the lane was last parsed from
+        while True:
+            now = state[before]
+            open_ = np.flatnonzero(now != was)
+            if not len(open_):
+                return
+            old, new, was = was.copy(), now.copy(), now.copy()
+            ends = length[lane]
+            t = 0
+            while len(open_):
+                on, letter = lane[open_], symbols[at[lane[open_]] + t]
+                old[open_], a = self.step(old[open_], letter, lang[on])
+                new[open_], b = self.step(new[open_], letter, lang[on])
+                phrases[on] += b - a
+                t += 1
+                over = open_[(ends[open_] == t) & (old[open_] != new[open_])]
+                state[lane[over]] = new[over]
+                open_ = open_[(ends[open_] > t) & (old[open_] != new[open_])]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
@@ -180,7 +249,7 @@ class CrossParser:
         for n, k in enumerate(open_):
             group.append(k)
             chars += len(texts[k])
-            if chars < GROUP and n + 1 < len(open_):
+            if chars * max(1, len(self.langs) // 4) < GROUP and n + 1 < len(open_):
                 continue
             bits = self.entropies([texts[k] for k in group])
             best = bits.argmin(1)

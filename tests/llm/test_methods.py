@@ -60,6 +60,27 @@ def test_cross_parse_is_greedy_longest_match(train, texts):
         assert round(b * len(t) / math.log2(max(len(squeeze(train)), 2))) == brute_phrases(t, squeeze(train))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc d", min_size=5, max_size=80), st.text("abcx ", min_size=1, max_size=300), st.integers(1, 40))
+def test_blocks_are_one_parse(train, text, block):
+    if not re.search("[a-z]", train):
+        return
+    parser = langid.CrossParser(langid.LanguageModel(("x", "y"), (train, "c" + train[::-1])))
+    whole = parser.entropies([text, "ab", text])
+    before, langid.BLOCK = langid.BLOCK, block
+    try:
+        assert (parser.entropies([text, "ab", text]) == whole).all()
+    finally:
+        langid.BLOCK = before
+
+
+def test_alphabets_of_thousands_of_letters():
+    one, two = ("".join(chr(0x4E00 + k) for k in range(a, a + 3000)) for a in (0, 3000))
+    parser = langid.CrossParser(langid.LanguageModel(("one", "two"), (one, two)))
+    assert parser.predict([one[500:560], two[500:560], two[:2000]])[0] == ["one", "two", "two"]
+    assert brute_phrases(one[40:90] + two[:3], one) * math.log2(3000) / 53 == pytest.approx(parser.entropies([one[40:90] + two[:3]])[0, 0])
+
+
 def test_long_texts_are_parsed_in_blocks():
     parser = langid.CrossParser(langid.LanguageModel(("x", "y"), ("abab" * 50, "cdcd" * 50)))
     lang, score = parser.predict(["ab" * 20_000, "cd" * 20_000, None, "..."])
