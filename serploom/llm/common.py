@@ -19,13 +19,15 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a local shell) a temporary one is set; on a cluster the setting is
-    given, so no machine-local folder is used there.
+    Where the session has none, a temporary one is set if driver and executors are one process (tests, a local shell); on a
+    cluster that is an error, since no machine-local folder can serve there.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if not isinstance(place, str):
         place = place.get() if place.isDefined() else None
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="serploom-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(place)
@@ -39,13 +41,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends there, losing executors costs nothing."""
-    path = scratch(df.sparkSession, name)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read again."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage ends there, losing executors costs nothing."""
+    return written(df, scratch(df.sparkSession, name))
+
+
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared one that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def packed(df: DataFrame) -> Column:
     """A row as one column, so that no name of it can clash with names made beside it; ``row.*`` unpacks it."""
     return F.struct(*[F.col(f"`{n}`") for n in df.columns])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serploom.llm.common import arrow_map, check_columns, columns_of, lower_words, packed, persisted
+from serploom.llm.common import arrow_map, check_columns, columns_of, forgotten, lower_words, packed, persisted, scratch, written
 
 SEED = 42
 #: Reference fingerprints: the splitmix64 sequence from 1.
@@ -134,8 +134,8 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 6, crowd: int = 512,
     crowded = shared.filter(F.col("count") > crowd).select("m", "k")
     few = keys.join(shared.filter(F.col("count") <= crowd).select("m", "k"), ["m", "k"])
     a, b = few.select("m", "k", F.col("fp").alias("u"), F.col("pv").alias("pu")), few.select("m", "k", F.col("fp").alias("v"), F.col("pv").alias("pw"))
-    near = (F.col("u") < F.col("v")) & within_pivots(F.col("pu"), F.col("pw"), len(refs), radius) & (_differ("u", "v") <= radius)
-    pairs = a.join(b, ["m", "k"]).filter(near).select("u", "v")
+    near = within_pivots(F.col("pu"), F.col("pw"), len(refs), radius) & (_differ("u", "v") <= radius)
+    pairs = a.join(b, ["m", "k"]).filter((F.col("u") < F.col("v")) & near).select("u", "v")
     return pairs.union(_stars(keys.join(crowded, ["m", "k"]).select("m", "fp"), masks, radius)).distinct()
 
 
@@ -154,25 +154,28 @@ def _stars(members: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return around.join(centre, ["m", "hub"]).filter("u <> fp").select("u", F.col("fp").alias("v"))
 
 
-def roots(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge that isn't the root itself; root is the smallest node that it reaches.
 
     Large-star and small-star steps by turns. A node's neighbourhood is never gathered: its minimum is aggregated and
     joined back, which skewed-join handling splits for nodes with very many neighbours.
     """
-    now = persisted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    path = scratch(spark, "edges")
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), path)
     sign = None
-    for _ in range(most_rounds):
+    while True:  # the edges shrink in every round that changes them, so there is an end
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m")).distinct()
-        now = persisted(small, "edges")
+        before, path = path, scratch(spark, "edges")
+        now = written(small, path)
+        forgotten(spark, before)
         last, sign = sign, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
 def components(docs: DataFrame, width: int = 3, radius: int = 3, **how: int) -> DataFrame:
