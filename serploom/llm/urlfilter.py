@@ -4,7 +4,8 @@ A cascade is exact on a known universe of keys: level 0 is a Bloom filter of the
 the universe that level 0 lets through by mistake, level 2 one of the listed keys that level 1 catches by mistake, and so
 on until nothing is left. The first level that doesn't hold a key decides, by its parity. The universe here is every
 key that the corpus's urls can ask for (host suffixes times path beginnings), so no url can meet a false positive, and
-the urls are judged in one pass with a few hundred bytes to some MB of filters instead of a join.
+the urls are judged in one pass with a few hundred bytes to some MB of filters instead of a join. Filters are made by tasks, as
+words of bits that are put together by an aggregation; the driver holds the finished filters, never keys.
 
 A rule is host + path, such as ``example.net/en/``. It fits its host and all subdomains if the url's path starts with
 the rule's path. The longest fitting rule wins; of equally long ones the one with the longer host.
@@ -16,7 +17,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serploom.llm.common import arrow_map, check_columns, columns_of, persisted
+from serploom.shipping import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys on either side of a cascade that the driver may hold.
-MOST_KEYS = 20_000_000
+#: Bits of a filter that may go out with the tasks: 256 MB, some 10 ** 8 to 10 ** 9 keys.
+MOST_BITS = 1 << 31
 
 
 @dataclass
@@ -40,16 +42,32 @@ class Bloom:
     level: int
 
     @classmethod
-    def of(cls, keys: Iterable[str], rate: float, level: int) -> Bloom:
-        keys = list(keys)
-        probes = max(1, round(-np.log2(rate)))
-        size = max(64, int(np.ceil(len(keys) * probes / np.log(2))))
-        made = cls(np.zeros(-(-size // 8), np.uint8), size, probes, level)
-        for key in keys:
-            for at in made._at(key):
-                made.bits[at >> 3] |= 1 << (at & 7)
+    def over(cls, keys: DataFrame, n: int, rate: float, level: int) -> Bloom:
+        """A filter of the column ``key`` of n rows, made by tasks."""
+        made = cls._sized(n, rate, level)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(np.array([p for k in batch.column(0).to_pylist() for p in made._at(k)], np.uint64))
+                word, first = np.unique(at >> np.uint64(6), return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+        ship(keys.sparkSession)
+        got = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        made.bits = np.zeros(-(-made.size // 64), "<u8")
+        made.bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+        made.bits = made.bits.view(np.uint8)
         return made
 
+    @classmethod
+    def _sized(cls, n: int, rate: float, level: int) -> Bloom:
+        probes = max(1, round(-np.log2(rate)))
+        size = max(64, int(np.ceil(n * probes / np.log(2))))
+        if size > MOST_BITS:
+            raise ValueError(f"a filter of {size} bits: split the list by key and judge in parts")
+        return cls(np.zeros(0, np.uint8), size, probes, level)
+
     def _at(self, key: str) -> list[int]:
         h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"), self.level)
         a, b = h & (1 << 64) - 1, h >> 64 | 1
@@ -72,31 +90,33 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
     @classmethod
-    def build(cls, listed: Iterable[str], universe: DataFrame) -> Cascade:
-        """``universe``: one column of distinct keys. The keys that level 0 lets through come to the driver; its rate is
-        set so that they are about as many as the listed keys, whatever the size of the universe."""
-        listed = sorted(set(listed))
-        if not listed:
-            return cls()
-        if len(listed) > MOST_KEYS:
-            raise ValueError(f"more than {MOST_KEYS} listed keys: split the list by key and judge in parts")
-        n = max(universe.count(), 1)
-        first = Bloom.of(listed, min(0.5, max(1e-9, len(listed) * 0.5**0.5 / n)), 0)
-        shared, known = universe.sparkSession.sparkContext.broadcast(first), universe.sparkSession.sparkContext.broadcast(frozenset(listed))
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k for k in batch.column(0).to_pylist() if k in shared.value and k not in known.value], pa.string())], ["key"])
-
-        passed = persisted(arrow_map(universe, step, "key string"), "cascade")
-        if passed.count() > MOST_KEYS:
-            raise ValueError("too many false positives at the first level")
-        levels, inside, outside = [first], listed, [r[0] for r in passed.collect()]
-        while outside:
-            levels.append(Bloom.of(outside, 0.5, len(levels)))
-            inside, outside = outside, [k for k in inside if k in levels[-1]]
+    def build(cls, listed: Iterable[str] | DataFrame, universe: DataFrame) -> Cascade:
+        """listed: keys, or a table with them in column ``key``; ``universe``: one column of distinct keys."""
+        spark = universe.sparkSession
+        listed = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+        universe = universe.toDF("key")
+        listed = persisted(listed.select("key").distinct(), "listed")
+        inside, outside = listed, universe.join(listed, "key", "left_anti")
+        n, others = listed.count(), universe.count()
+        levels: list[Bloom] = []
+        while n:
+            # as many false positives as there are keys, whatever the size of the universe; half of them from there on
+            rate = 0.5 if levels else min(0.5, max(1e-9, n * 0.5**0.5 / max(others, 1)))
+            levels.append(Bloom.over(inside, n, rate, len(levels)))
+            inside, outside = persisted(_let_through(outside, levels[-1]), "cascade"), inside
+            n = inside.count()
         return cls(levels)
 
 
+def _let_through(keys: DataFrame, level: Bloom) -> DataFrame:
+    shared = keys.sparkSession.sparkContext.broadcast(level)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k in batch.column(0).to_pylist() if k in shared.value], pa.string())], ["key"])
+
+    return arrow_map(keys, step, "key string")
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
