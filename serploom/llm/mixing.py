@@ -6,8 +6,8 @@ deadline comes (then the source's name decides). With weights that sum to 1 ever
 source is less than one block away from its target.
 
 Weights are integers that sum to ``quanta``, fine enough (2 ** 48) that rounding never adds up to a visible part of a block. The
-driver lays out each phase from the weights and the numbers of blocks: memory for the sources, and some bytes and
-microseconds for each block of documents. The slots are written to the shared folder, and a document finds its own by one
+driver lays out each phase from the weights and the numbers of blocks: memory for the sources, and four bytes and some
+microseconds for each block of documents (so ``block`` is to be raised for corpora of billions of documents). The slots are written to the shared folder, and a document finds its own by one
 join. When a source runs out, a new phase begins in which the others share its weight. No document is dropped or repeated.
 
 The main path is DataFrame functions only. Documents are numbered within a source in ranges of a hash, so that a source with
@@ -23,9 +23,11 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,10 +82,15 @@ class Phase:
     first_slot: int
     slots: int
     quanta: dict[str, int]
-    order: list[str]
+    turns: np.ndarray  # of each slot, the place of its source in quanta
     first_block: dict[str, int]
     blocks: dict[str, int]
 
+    @property
+    def order(self) -> list[str]:
+        names = list(self.quanta)
+        return [names[k] for k in self.turns]
+
 
 def plan(blocks: dict[str, int], weights: dict[str, float], quanta: int = QUANTA) -> list[Phase]:
     """Phases until all blocks are out, each until a source is. blocks: how many each source has."""
@@ -91,15 +98,15 @@ def plan(blocks: dict[str, int], weights: dict[str, float], quanta: int = QUANTA
     while left:
         active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
         q = shares(active, max(quanta, len(active)))
-        order: list[str] = []
+        order, number = array("i"), {s: k for k, s in enumerate(q)}
         used = dict.fromkeys(q, 0)
         for s in slots(q):
-            order.append(s)
+            order.append(number[s])
             used[s] += 1
             if used[s] == left[s]:
                 break
         end = len(order)
-        phases.append(Phase(slot, end, q, order, {s: done[s] for s in q}, used))
+        phases.append(Phase(slot, end, q, np.frombuffer(order, np.int32), {s: done[s] for s in q}, used))
         for s, n in used.items():
             done[s] += n
             left[s] -= n
@@ -118,22 +125,26 @@ def _slot_table(spark: SparkSession, phases: list[Phase]) -> DataFrame:
     path = scratch(spark, "slots")
     schema = "__s string, __j long, mix_phase int, mix_slot long"
     spark.createDataFrame([], schema).write.parquet(path)
-    rows = _slot_rows(phases)
-    while part := list(itertools.islice(rows, CHUNK)):
-        made = pa.table([pa.array(c) for c in zip(*part, strict=True)], ["__s", "__j", "mix_phase", "mix_slot"])
-        spark.createDataFrame(made, schema).write.mode("append").parquet(path)
+    for part in _slot_rows(phases):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def _slot_rows(phases: list[Phase]) -> Iterator[tuple[str, int, int, int]]:
+def _slot_rows(phases: list[Phase]) -> Iterator[pa.Table]:
     for k, p in enumerate(phases):
-        nth = dict(p.first_block)
-        for t, s in enumerate(p.order):
-            yield s, nth[s], k, p.first_slot + t
-            nth[s] += 1
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]], block: int = 16, quanta: int = QUANTA, per_range: int = 4_000, ordered: bool = False) -> DataFrame:
+        names = pa.array(list(p.quanta), pa.string())
+        next_ = np.array([p.first_block[s] for s in p.quanta], np.int64)
+        for at in range(0, p.slots, CHUNK):
+            which = p.turns[at : at + CHUNK]
+            by_source = np.argsort(which, kind="stable")
+            times = np.bincount(which, minlength=len(names))
+            nth = np.empty(len(which), np.int64)
+            nth[by_source] = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.table([names.take(pa.array(which)), pa.array(next_[which] + nth), pa.array(np.full(len(which), k, np.int32)), pa.array(p.first_slot + at + np.arange(len(which)))], ["__s", "__j", "mix_phase", "mix_slot"])
+            next_ += times
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]], block: int = 16, quanta: int = QUANTA, per_range: int = 500, ordered: bool = False) -> DataFrame:
     """``docs`` with mix_phase, mix_slot (from 0) and mix_place (within the slot's block); ordered: laid out in that order.
 
     weights: by source, or a function from the sources' numbers of documents to them.
