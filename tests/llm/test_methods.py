@@ -217,6 +217,14 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(made.levels) >= 2 and {k for k in keys if k in made} == set(keys[::7])
 
 
+def test_cascade_of_a_table_of_keys(spark):
+    keys = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    made = urlfilter.Cascade.build(keys.filter("hash(key) % 3 = 0"), keys)
+    want = {r.key for r in keys.filter("hash(key) % 3 = 0").collect()}
+    assert {k for k in (f"k{n}" for n in range(0, 40_000, 7)) if k in made} == {k for k in want if int(k[1:]) % 7 == 0}
+    assert urlfilter.Cascade.build(keys.limit(0), keys).levels == []
+
+
 # --- mixing
 
 
@@ -259,6 +267,29 @@ def test_small_weights_are_not_served_tenfold():
     assert first.slots == pytest.approx(20_002, abs=1) and first.blocks["b"] in (2, 3)
 
 
+def test_mix_as_seen_from_outside(spark):
+    """The promise itself, from the result alone: whole blocks, every document once, and less than one block off at every slot."""
+    got = mixing.mix(docs(spark, MIDDLE), mixing.by_power(0.5), block=4, per_range=50).collect()
+    sizes = Counter(r.source or "" for r in docs(spark, MIDDLE).collect())
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs(spark, MIDDLE).collect())
+    slot, phase = {}, {}
+    for r in got:
+        slot.setdefault(r.mix_slot, []).append((r.mix_place, r.source or ""))
+        phase[r.mix_slot] = r.mix_phase
+    left = {s: -(-n // 4) for s, n in sizes.items()}
+    assert sorted(slot) == list(range(sum(left.values()))) and all(len({s for _, s in v}) == 1 and sorted(p for p, _ in v) == list(range(len(v))) for v in slot.values())
+    done, now, since = Counter(), None, 0
+    for t in sorted(slot):
+        if phase[t] != now:  # a phase ends when a source has run out
+            assert now is None or any(left[s] == 0 for s in done)
+            now, since, done, active = phase[t], t, Counter(), {s: sizes[s] ** 0.5 for s in left if left[s]}
+        s = slot[t][0][1]
+        done[s] += 1
+        left[s] -= 1
+        for x, w in active.items():
+            assert abs(done[x] - (t + 1 - since) * w / sum(active.values())) < 1
+
+
 def test_mix_against_the_plan(spark):
     got = mixing.mix(docs(spark, MIDDLE), mixing.by_power(0.5), block=4, per_range=50).collect()
     sizes = Counter(r.source for r in got)
