@@ -30,7 +30,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 8, 16
 
 #: Words near which a string may be a secret, and how far behind them it may start.
 SENSITIVE = re.compile(r"(?ai)passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature|client.?id")
-REACH = 64
+REACH = 128
 #: A run is cut at its equals signs, but for the padding at its end.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
 LEAST = 16

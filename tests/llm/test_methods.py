@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard as zstd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -445,6 +446,37 @@ def test_hot_edited_copies_beside_an_exact_one(spark):
     assert sorted(r.doc_id for r in got) == list(range(61)) and min(r.score for r in got) > 0.6
 
 
+def plain_alignment(item, text):
+    """Smith-Waterman cell by cell over the whole text."""
+    last, best = [0] * (len(text) + 1), 0
+    for w in item:
+        row = [0]
+        for j, x in enumerate(text, 1):
+            row.append(max(0, last[j - 1] + (2 if x == w else -1), last[j] - 1, row[-1] - 1))
+        best, last = max(best, max(row)), row
+    return best / (2 * len(item))
+
+
+def test_find_against_every_document_and_item(spark):
+    bench = [(r.item_id, decontam.WORD.findall(r.text.lower())) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()][:12]
+    rng, texts = random.Random(6), {r.doc_id: decontam.WORD.findall((r.text or "").lower())[:250] for r in docs(spark).filter("doc_id < 60").collect()}
+    for k, (_, ws) in enumerate(bench):  # copies whole, cut, and edited more and more
+        for j, edits in enumerate((0, 9, 6, 4, 3)):
+            now = [rng.choice(ws) if edits and n % edits == 0 else w for n, w in enumerate(ws)]
+            texts[1000 + 10 * k + j] = texts[k % 50][:30] + (now[: len(now) * 3 // 4] if j == 1 else now) + texts[(k + 1) % 50][:30]
+    made = spark.createDataFrame([(k, " ".join(ws)) for k, ws in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(ws)) for i, ws in bench], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.find(made, items).collect()}
+    grams = lambda ws: {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)}
+    want = {}
+    for d, ws in texts.items():
+        for i, item in bench:
+            if len(set(ws) & set(item)) * 4 >= len(set(item)) and grams(ws) & grams(item) and (s := plain_alignment(item, ws)) >= 0.45:
+                want[d, i] = s
+    assert set(got) == set(want) and len(want) >= 40
+    assert all(math.isclose(got[k], want[k]) for k in want)
+
+
 # --- language model
 
 
@@ -511,6 +543,77 @@ def test_every_word_takes_the_class_its_neighbours_ask_for(spark):
         assert mixed <= 6, mixed
 
 
+# --- quality
+
+
+def test_quality_scores_against_plain_compression(spark):
+    """Every score from the model's two dictionaries and its curve, compressed piece by piece with fresh tools."""
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    keep = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    model = quality.fit(docs(spark, MIDDLE).filter(keep), labels.filter(keep))
+    got = {r.doc_id: r for r in quality.classify(docs(spark, MIDDLE), labels).collect()}
+
+    def size(data, raw):
+        tool = zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False)
+        return sum(len(tool.compress(data[k : k + 1024])) for k in range(0, len(data), 1024))
+
+    for r in docs(spark, MIDDLE).filter("doc_id % 5 = 0").collect():
+        data = (r.text or "").encode()
+        good, bad = size(data, model.good), size(data, model.bad)
+        d, share = ((bad - good) / (bad + good), min(1.0, good / len(data))) if data else (0.0, 1.0)
+        want = 1 / (1 + math.exp(-(model.a + model.b * d + model.c * share)))
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-9) and got[r.doc_id].predicted == (want >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [k for k in truth if k in got and got[k].held_out]
+    assert sum((got[k].score >= 0.7) == truth[k] for k in held) >= 0.9 * len(held)
+
+
+# --- secrets
+
+
+def brute_novel(text, base):
+    """The rule itself: every run near a sensitive word, measured by fresh compressors."""
+    raw = zstd.ZstdCompressionDict(secretscan.IDENTIFIERS.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    size = lambda t: len(zstd.ZstdCompressor(level=6, dict_data=raw, write_content_size=False).compress(t.encode()))
+    words = [m.end() for m in secretscan.SENSITIVE.finditer(text)]
+    out = []
+    for start, kind, end in secretscan.spans_of(text)[1]:
+        if kind == 3:
+            before, run, after = text[max(0, start - secretscan.AROUND) : start], text[start:end], text[end : end + secretscan.AROUND]
+            assert any(0 <= start - w for w in words) and (size(before + run + after) - size(before + after)) / len(run) >= secretscan.NOVEL
+            assert not any(start < e and s < end for s, _, e in base)
+            out.append((start, end))
+    return out
+
+
+ALPHABETS = {
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "HEX": "0123456789ABCDEF",
+    "digits": "0123456789",
+}
+PLACES = [
+    "Authorization: Bearer {}\n", "aws_secret_access_key={}\n", '"client_secret" : "{}",', "signature {} ends", "https://h.example/x?access_key={}&y=1",
+    "private_key: |\n  {}\n", "set the credential for the server of the production environment and the database host to {}\n", "pwd={}",
+]
+
+
+@pytest.mark.parametrize("kind", ALPHABETS)
+def test_recall_on_planted_keys(spark, kind):
+    rng, texts = random.Random(3), [r.text or "" for r in docs(spark).limit(40).collect()]
+    hit = 0
+    for k in range(200):
+        key = "".join(rng.choice(ALPHABETS[kind]) for _ in range(rng.randint(24, 48)))
+        text = texts[k % 40][:400] + "\n" + PLACES[k % len(PLACES)].format(key) + "\n" + texts[(k + 7) % 40][:400]
+        base, every = secretscan.spans_of(text)
+        brute_novel(text, base)
+        at = text.index(key)
+        hit += any(s <= at and at + len(key) <= e for s, _, e in every)
+    assert hit >= 180, hit
+
+
 # --- queries and pipeline
 
 
