@@ -409,14 +409,22 @@ class Scorer:
             lists(times, row.far_starts), lists(a[open_], ends), lists(b[open_], ends),
         ]
 
-    def far(self, shapes: np.ndarray, times: np.ndarray, a: np.ndarray, b: np.ndarray, found: list[dict]) -> tuple[int, float, float]:
-        """What the far words of a text add: known ones, base, model. found: pos, n, class of those that the training documents have."""
+    def far(self, lists: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the far words of each text add: known ones, base, model. lists: shapes, times, a, b of each text, and pos, n, class of
+        those of its far words that the training documents have."""
+        starts, shapes = lists["shapes"]
+        texts, classes = len(starts) - 1, len(self.steps)
+        of = lambda name: np.repeat(np.arange(texts), np.diff(lists[name][0]))
         cls, n = self.shape_class[shapes], np.zeros(len(shapes))
-        for f in found:
-            cls[f["pos"]], n[f["pos"]] = f["class"], f["n"]
-        code = np.concatenate([np.arange(len(self.steps)), cls])
-        base, model = np.log10((n + SMOOTH) / self.base_norm), np.log10((n + SMOOTH) / self.norm[cls])
-        return int(times[n > 0].sum()), float((times * base).sum()), float((times * model).sum() + self.steps[code[a], code[b]].sum())
+        at = starts[of("pos")] + lists["pos"][1]
+        cls[at], n[at] = lists["class"][1], lists["n"][1]
+        times, word = lists["times"][1], of("shapes")
+        known = np.bincount(word, times * (n > 0), texts)
+        base = np.bincount(word, times * np.log10((n + SMOOTH) / self.base_norm), texts)
+        model = np.bincount(word, times * np.log10((n + SMOOTH) / self.norm[cls]), texts)
+        code, step = np.concatenate([np.arange(classes), cls]), of("a")
+        a, b = (np.where(x < classes, x, x + starts[step]) for x in (lists["a"][1], lists["b"][1]))
+        return known.astype(np.int64), base, model + np.bincount(step, self.steps[code[a], code[b]], texts)
 
 
 def _row_ids(rows: DataFrame, head: list[bytes]) -> DataFrame:
@@ -479,20 +487,17 @@ def _score(texts: DataFrame, model: ClassModel, rest: DataFrame) -> DataFrame:
     typed = f"doc_id {kind}, held_out boolean"
     half = texts.select(*same, "ids").mapInArrow(near, f"row long, {typed}, shapes array<tinyint>, n_tokens long, n_known long, base_score double, score double, times array<int>, a array<int>, b array<int>")
     words = texts.select("row", F.posexplode("far").alias("pos", "token")).join(rest, "token")
-    found = words.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "class")).alias("found"))  # the text's own words
+    found = words.groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("pos", "n", "class")])  # the text's own words
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             cols = columns_of(batch)
-            known, base, model_ = (cols[n].to_numpy(zero_copy_only=False).copy() for n in numbers[1:])
-            lists = [_flat(cols[n]) for n in ("shapes", "times", "a", "b")]
-            for k, f in enumerate(cols["found"].to_pylist()):
-                if lists[0][0][k + 1] > lists[0][0][k]:
-                    more = shared.value.far(*(x[at[k] : at[k + 1]] for at, x in lists), f or [])
-                    known[k], base[k], model_[k] = known[k] + more[0], base[k] + more[1], model_[k] + more[2]
-            yield pa.RecordBatch.from_arrays([cols["doc_id"], cols["held_out"], cols["n_tokens"], pa.array(known), pa.array(base), pa.array(model_)], ["doc_id", "held_out", *numbers])
-
-    both = half.join(found, "row", "left").drop("row")
+            more = shared.value.far({c: _flat(cols[c]) for c in ("shapes", "times", "a", "b", "pos", "n", "class")})
+            sums = [pa.array(cols[c].to_numpy(zero_copy_only=False) + x) for c, x in zip(numbers[1:], more, strict=True)]
+            yield pa.RecordBatch.from_arrays([cols["doc_id"], cols["held_out"], cols["n_tokens"], *sums], ["doc_id", "held_out", *numbers])
+
+    # no list where a text has no such word
+    both = half.join(found, "row", "left").drop("row").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("pos", "array<int>"), ("n", "array<long>"), ("class", "array<int>"))})
     out = both.mapInArrow(far, f"{typed}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
