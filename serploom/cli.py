@@ -10,6 +10,10 @@ from serploom.plans import analyze as plans
 from serploom.session import session
 
 
+#: Layers that a verb can have.
+OPTIONAL = {"analyze": ("more", "sims", "quality", "votes", "satisfaction", "types", "cells"), "compare": ("authority",)}
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(prog="serploom")
     verbs = p.add_subparsers(dest="verb", required=True)
@@ -17,14 +21,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         v = verbs.add_parser(verb)
         for name in inputs:
             v.add_argument(f"--{name}", required=True)
+        for name in OPTIONAL.get(verb, ()):
+            v.add_argument(f"--{name}", help="a table of the layer; without it the layer is off")
         v.add_argument("--out", required=True)
+        if verb == "analyze":
+            v.add_argument("--salient", action="store_true", help="salient-term coverage of the run's own pages")
     a = p.parse_args(args)
     spark = spark or session()
     read = lambda n: spark.read.parquet(getattr(a, n))
+    layers = {n: read(n) for n in OPTIONAL.get(a.verb, ()) if getattr(a, n)}
     if a.verb == "analyze":
-        out = plans.analyze(read("requests"), read("items"), read("pages"))
+        out = plans.analyze(read("requests"), read("items"), read("pages"), **layers, salient=a.salient)
     elif a.verb == "compare":
-        out = plans.compare(read("before"), read("after"))
+        out = plans.compare(read("before"), read("after"), **layers)
     else:
         out = plans.topic(read("sitemap"), read("terms"), read("hits"))
     for name, df in out.items():

@@ -65,10 +65,15 @@ def sentences(text: Column | str) -> Column:
     return F.filter(F.split(strip(text), r"(?<=[.!?])\s+"), lambda s: strip(s) != "")
 
 
+def phrase_of(keyword: Column | str) -> Column:
+    """The keyword's tokens joined by spaces: punctuation in it is never looked for."""
+    return F.array_join(tokens(keyword), " ")
+
+
 def variations(keyword: Column | str) -> Column:
     """Phrase, content words, bigrams and trigrams, content phrase; longest first, then by text."""
-    phrase = strip(F.lower(col(keyword)))
     toks = tokens(keyword)
+    phrase = phrase_of(keyword)
     content = F.filter(toks, lambda t: (F.length(t) > 2) & ~t.isin(KEYWORD_STOP))
 
     def grams(n: int) -> Column:

@@ -177,10 +177,18 @@ def coverage(entities: DataFrame, bodies: DataFrame, most: int = MOST_COVERAGE)
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
-def must_add(covered: DataFrame, pages: DataFrame, most: int = MOST_ADD) -> DataFrame:
-    """Entities the target lacks that max(3, half of the pages with entities) cover; pages: run_id, n."""
+def must_add(covered: DataFrame, pages: DataFrame, sites: DataFrame | None = None, most: int = MOST_ADD) -> DataFrame:
+    """Entities the target lacks that max(3, half of the pages with entities) cover; pages: run_id, n.
+
+    Rivals' own brands are no advice: with sites (run_id, domain) an entity goes whose name, run together, is a site's label or holds or is held by it (4 letters or more).
+    """
     need = F.greatest(F.lit(3), F.bround(F.col("n") * 0.5, 0))
     short = covered.join(pages, "run_id").filter(~F.col("target_present") & (F.col("consensus") >= need))
+    if sites is not None:
+        glued, label = T.alnum("canon"), F.col("__label")
+        labels = sites.select(F.col("run_id"), T.alnum(T.sld_label("domain")).alias("__label")).filter("__label <> ''").distinct()
+        rival = (glued == label) | ((F.length(glued) >= 4) & (F.length(label) >= 4) & (F.contains(label, glued) | F.contains(glued, label)))
+        short = short.join(short.select("run_id", "canon").join(labels, "run_id").filter(rival).select("run_id", "canon").distinct(), ["run_id", "canon"], "left_anti")
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("place"))
     return short.withColumn("add_place", place).filter(F.col("add_place") <= most)
 

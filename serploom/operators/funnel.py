@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from serploom.functions import text as T
 from serploom.operators.correlate import average_rank, pearson, percentile
 
 # Gates in order, the click curve, cut-offs, intent scores.
@@ -19,7 +20,7 @@ def gate_of(factor: Column, group: Column) -> Column:
     """The gate that a factor counts for; null for none."""
     return (
         F.when(factor == "SALIENT_TERM_COVERAGE", "lexical").when(factor.isin("BEST_PASSAGE_SIM", "SUBINTENT_COVERAGE", "CONTENT_FOCUS"), "semantic")
-        .when(factor.isin("CONTENT_EFFORT", "HELPFULNESS") | factor.startswith("TRUST_"), "quality").when(group == "Authority", "authority")
+        .when(factor == "EAV_COMPLETENESS", "entities").when(factor.isin("CONTENT_EFFORT", "HELPFULNESS") | factor.startswith("TRUST_"), "quality").when(group == "Authority", "authority")
         .when(group.isin(ACCESS_GROUPS), "access").when(group.isin(LEXICAL_GROUPS), "lexical")
     )
 
@@ -77,6 +78,56 @@ def gate_scores(values: DataFrame, definitions: DataFrame, run: str = "run_id")
     return p.withColumn("x", turned).groupBy(run, "rank", "gate").agg(F.avg("x").alias("score"))
 
 
+def located(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """run_id, target_rank: the best rank of the target's domain in its own result list; no row where it isn't there. items: run_id, rank, domain; requests: run_id, target_url."""
+    own = requests.filter("target_url is not null").select("run_id", T.host_of("target_url").alias("domain"))
+    return items.join(own, ["run_id", "domain"]).groupBy("run_id").agg(F.min("rank").alias("target_rank"))
+
+
+def intent_gate(types: DataFrame) -> DataFrame:
+    """run_id, rank, score: of the target (rank 0) its fit, of ranked pages 90 for the dominant type and 40 for another. types: run_id, rank, page_type."""
+    wanted = dominant(types.filter("rank > 0 and page_type is not null"), ["run_id"])
+    fit = intent_score(intent_fit(F.col("page_type"), F.col("dominant"), F.col("share")))
+    return types.filter("page_type is not null").join(wanted, "run_id").select("run_id", "rank", F.when(F.col("rank") == 0, fit).otherwise(F.when(F.col("page_type") == F.col("dominant"), 90.0).otherwise(40.0)).alias("score"))
+
+
+def engagement_gate(values: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """run_id, rank, score: mean of the click share against what its position may expect, and of the satisfaction. targets: run_id, target_rank."""
+    v = values.filter(F.col("factor_id").isin("CLICK_SHARE", "SATISFACTION"))
+    v = v.join(targets, "run_id", "left") if targets is not None else v.withColumn("target_rank", F.lit(None).cast("int"))
+    at = F.when(F.col("rank") == 0, F.col("target_rank")).otherwise(F.col("rank"))
+    raw = F.when(F.col("factor_id") == "CLICK_SHARE", F.col("value") / 100 / expected_clicks(at) * 100).otherwise(F.col("value"))
+    return v.groupBy("run_id", "rank").agg(F.avg(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))).alias("score"))
+
+
+def access_gate(scores: DataFrame, fetched: DataFrame, values: DataFrame) -> DataFrame:
+    """run_id, rank, score: access scores averaged with 100 for a fetched page and 0 for another; a target with factors counts as fetched. fetched: run_id, rank, ok."""
+    target = values.filter("rank = 0").select("run_id", "rank").distinct().join(fetched.select("run_id", "rank"), ["run_id", "rank"], "left_anti")
+    got = fetched.select("run_id", "rank", F.when(F.col("ok"), 100.0).otherwise(0.0).alias("f")).union(target.withColumn("f", F.lit(100.0)))
+    both = scores.select("run_id", "rank", "score").join(got, ["run_id", "rank"], "full_outer")
+    return both.select("run_id", "rank", F.coalesce((F.col("score") + F.col("f")) / 2, "f", "score").alias("score"))
+
+
+def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | None = None, cells: DataFrame | None = None, types: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """run_id, rank, gate, score of all eight gates, as far as there is something to judge them by. cells: run_id, rank, canon, present of the entity table's coverage rows."""
+    scores = gate_scores(values, definitions)
+    parts = [scores.filter(~F.col("gate").isin("access", "entities"))]
+    named = lambda df, g: df.select("run_id", "rank", F.lit(g).alias("gate"), "score")
+    access = scores.filter("gate = 'access'")
+    parts.append(named(access_gate(access, fetched, values) if fetched is not None else access, "access"))
+    entity = scores.filter("gate = 'entities'").select("run_id", "rank", "score")
+    if cells is not None:
+        entity = entity.union(cells.groupBy("run_id", "rank").agg((F.avg(F.col("present").cast("double")) * 100).alias("score"))).groupBy("run_id", "rank").agg(F.avg("score").alias("score"))
+    parts.append(named(entity, "entities"))
+    if types is not None:
+        parts.append(named(intent_gate(types), "intent"))
+    parts.append(named(engagement_gate(values, targets), "engagement"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def gate_weights(pages: DataFrame, run: str = "run_id") -> DataFrame:
     """run, gate, weight: max(0.25, |Spearman| of score and rank); 0.5 under three pages or without variance."""
     rows = pages.filter("rank > 0 and score is not null")

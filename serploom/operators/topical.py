@@ -16,6 +16,9 @@ CAPS = {"entities_to_add": 12, "topics_to_expand": 12, "facts_to_state": 15, "va
 WRITING = ["Content", "Title & Headings", "Entity"]
 
 
+LOC = r"(?s)<loc>\s*(.*?)\s*</loc>"
+
+
 def robots_sitemaps(robots: DataFrame, body: str = "body", domain: str = "domain") -> DataFrame:
     """domain, url: the sitemaps that robots.txt names, else the usual places."""
     named = F.regexp_extract_all(F.col(body), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
@@ -25,10 +28,40 @@ def robots_sitemaps(robots: DataFrame, body: str = "body", domain: str = "domain
 
 def sitemap_urls(documents: DataFrame) -> DataFrame:
     """url, child: the loc entries of captured sitemap documents."""
-    return documents.select("url", F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("child"))
-
-
-def reachable(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH, most: int | None = MOST_DOCUMENTS) -> DataFrame:
+    return documents.select("url", F.explode(F.regexp_extract_all("body", F.lit(LOC), F.lit(1))).alias("child"))
+
+
+def expand_sitemaps(documents: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH, most: int = MOST_DOCUMENTS) -> DataFrame:
+    """root, url: the pages that the sitemaps of ``roots`` (root, url) list. documents: url, body, as captured.
+
+    Only entries of indexes are followed, to ``most_depth``, and ``most`` documents are read for each root: the shallower first, then by url. What bounds
+    documents never bounds pages: every page of a document that is read is there. Cycles end, since no document is read twice.
+    """
+    front = roots.select("root", "url").distinct()
+    seen, pages = None, None
+    for _ in range(most_depth + 1):
+        if seen is not None:
+            taken = seen.groupBy("root").agg(F.count("*").alias("taken"))
+            front = front.join(seen, ["root", "url"], "left_anti").join(taken, "root", "left")
+        else:
+            front = front.withColumn("taken", F.lit(0))
+        place = F.row_number().over(Window.partitionBy("root").orderBy("url"))
+        front = front.withColumn("__n", place).filter(F.col("__n") <= most - F.coalesce("taken", F.lit(0))).select("root", "url")
+        seen = front if seen is None else seen.union(front)
+        read = front.join(documents.select("url", "body"), "url").filter(T.looks_xml("body"))
+        locs = lambda d: d.select("root", F.explode(F.regexp_extract_all("body", F.lit(LOC), F.lit(1))).alias("url")).distinct()
+        found = locs(read.filter(~T.is_sitemap_index("body")))
+        pages = found if pages is None else pages.union(found)
+        front = locs(read.filter(T.is_sitemap_index("body")))
+    return pages.distinct()
+
+
+def inventory(robots: DataFrame, documents: DataFrame, **bounds: int) -> DataFrame:
+    """domain, url: the pages of each domain's sitemaps. robots: domain, body; documents: url, body of whatever sitemaps were captured."""
+    return expand_sitemaps(documents, robots_sitemaps(robots).withColumnRenamed("domain", "root"), **bounds).withColumnRenamed("root", "domain")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """root, node, depth: nodes within ``most_depth`` steps, at their first depth; cycles end by the anti join. edges: parent, child; roots: root."""
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     front = seen
@@ -36,9 +69,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH,
         step = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
         front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
         seen = seen.union(front)
-    if most is None:
-        return seen
-    return seen.withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "node"))).filter(F.col("__n") <= most).drop("__n")
+    return seen
 
 
 def expand_topic(topic: Column) -> Column:

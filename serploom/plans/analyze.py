@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from serploom.functions import text as T
 from serploom.operators import compare as C
 from serploom.operators import correlate as K
-from serploom.operators import factors, funnel, page, registry, roadmap, topical
+from serploom.operators import corpus, factors, funnel, page, panels, registry, roadmap, topical
+from serploom.shared import written
 
 
 def factor_values(requests: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -16,26 +17,54 @@ def factor_values(requests: DataFrame, items: DataFrame, pages: DataFrame) -> Da
 
     requests: run_id, keyword, target_url. items: run_id, rank, url, domain, title, snippet, displayed_url. pages: url, html, load_ms, ok.
     """
-    keyed = requests.select("run_id", F.lower(F.trim("keyword")).alias("phrase"), T.variations("keyword").alias("vars"), "target_url")
+    return _factors(*_wanted(requests, items, pages), items, requests)
+
+
+def _keyed(requests: DataFrame) -> DataFrame:
+    return requests.select("run_id", T.phrase_of("keyword").alias("phrase"), T.variations("keyword").alias("vars"), "target_url")
+
+
+def _wanted(requests: DataFrame, items: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages that each run asks for, and the parsed pages; those are written, so that everything behind them reads one parse."""
+    keyed = _keyed(requests)
     listed = items.join(keyed.drop("target_url"), "run_id")
-    serp = factors.serp_factors(listed, ["run_id", "rank", "url", "domain"])
     target = keyed.filter("target_url is not null").select("run_id", F.lit(0).alias("rank"), F.col("target_url").alias("url"), T.host_of("target_url").alias("domain"), "phrase", "vars")
     wanted = listed.select("run_id", "rank", "url", "domain", "phrase", "vars").unionByName(target)
     fetched = page.surfaces(pages.filter("ok").select("url", "html", "load_ms").dropDuplicates(["url"]))  # each page is parsed once, whichever runs show it
-    on_page = factors.page_factors(wanted.join(fetched, "url"), ["run_id", "rank", "url", "domain"])
-    return serp.unionByName(on_page)
+    return wanted, written(fetched, "surfaces")
 
 
-def analyze(requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataFrame | None = None) -> dict[str, DataFrame]:
-    """factor_values, correlations, actions, scorecard, gates, overall, advantages. more: further long rows of the same columns (off-page, entity, panel factors)."""
+def _factors(wanted: DataFrame, fetched: DataFrame, items: DataFrame, requests: DataFrame) -> DataFrame:
+    keys = ["run_id", "rank", "url", "domain"]
+    serp = factors.serp_factors(items.join(_keyed(requests).drop("target_url"), "run_id"), keys)
+    shown = wanted.join(fetched, "url")
+    of_corpus = corpus.run_factors(shown.select("run_id", "rank", F.col("p.body").alias("body"), "phrase", "vars"))
+    named = panels.long_rows(of_corpus, ["TF", "TFIDF", "LSI_SENTENCES", "UNIQUE_LSI"]).join(wanted.select(*keys), ["run_id", "rank"]).select(*keys, "factor_id", "value")
+    return serp.unionByName(factors.page_factors(shown, keys)).unionByName(named)
+
+
+def analyze(requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataFrame | None = None, sims: DataFrame | None = None, quality: DataFrame | None = None, votes: DataFrame | None = None, satisfaction: DataFrame | None = None, types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False) -> dict[str, DataFrame]:
+    """factor_values, correlations, actions, scorecard, gates, overall, advantages.
+
+    Optional layers, each a table keyed by run_id and rank: sims and salient (semantic), quality, votes and satisfaction (engagement), types (intent), cells (entity coverage), see
+    ``panels`` and ``funnel``. more: further long rows of the same columns as factor_values (off-page, entity factors). Measured values win over panels.
+    """
     spark = requests.sparkSession
     definitions = F.broadcast(registry.factor_def(spark))  # one row per registered factor
-    values = factor_values(requests, items, pages)
+    wanted, fetched = _wanted(requests, items, pages)
+    values = _factors(wanted, fetched, items, requests)
     values = values.unionByName(more) if more is not None else values
+    extra = [panels.semantic_factors(sims) if sims is not None else None, panels.quality_factors(quality) if quality is not None else None, panels.engagement_factors(votes, satisfaction)]
+    if salient:
+        extra.append(panels.salient_coverage(wanted.join(fetched, "url").select("run_id", "rank", F.col("p.body").alias("body"), "phrase")))
+    for rows in extra:
+        values = panels.backfilled(values, rows) if rows is not None else values
+    values = written(values, "factor-values")
     correlations = K.correlate(values, definitions)
     targets = values.filter("rank = 0").select("run_id", "factor_id", "value")
     scored = roadmap.candidates(correlations, definitions, targets)
-    gates = funnel.gate_scores(values, definitions)
+    got = items.select("run_id", "rank", "url").join(pages.groupBy("url").agg(F.bool_or("ok").alias("ok")), "url", "left").select("run_id", "rank", F.coalesce("ok", F.lit(False)).alias("ok"))
+    gates = funnel.all_gates(values, definitions, got, cells, types, funnel.located(items, requests))
     verdicts = funnel.funnel(gates)
     return {
         "factor_values": values,
