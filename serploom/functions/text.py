@@ -267,6 +267,7 @@ def number(x: Column | str) -> Column:
 
 
 def clamp(x: Column | str, low: float, high: float) -> Column:
+    """Within low and high; low on garbage."""
     return F.least(F.greatest(number(x), F.lit(low)), F.lit(high))
 
 

@@ -72,3 +72,9 @@ def churn(moved: DataFrame, by: list[str]) -> DataFrame:
         F.count_if((F.col("status") == "entered") & F.col("is_mega")).alias("mega_entered"),
         F.count_if((F.col("status") == "dropped") & F.col("is_mega")).alias("mega_dropped"),
     ).withColumn("n1_flip", F.coalesce(F.col("n1_before") != F.col("n1_after"), F.lit(False)))
+
+
+def by_change(moved: DataFrame, by: list[str]) -> DataFrame:
+    """moved with report_place: the largest change first, entered and dropped ones as the largest, then by the rank after."""
+    order = Window.partitionBy(*by).orderBy(F.desc(F.coalesce(F.abs("delta"), F.lit(999))), F.coalesce("after_rank", F.lit(999)), "domain")
+    return moved.withColumn("report_place", F.row_number().over(order))

@@ -87,19 +87,22 @@ def topic_canons(entities: DataFrame, keyword: str) -> DataFrame:
     return entities.select("run_id", "canon").distinct().filter((rest == 0) & ((F.size(own) == F.size(key)) | (F.size(own) >= 2)))
 
 
+def site_brand(canon: Column, label: Column) -> Column:
+    """Whether an entity's name is a site's own: run together (4 letters or more) it and the label contain each other, its initials (3 or more) begin the label, or two of its words of 4 letters or more are in it."""
+    words = F.split(canon, " ")
+    glued, initials = F.regexp_replace(canon, "[^a-z0-9]", ""), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    held = (F.length(glued) >= 4) & (label != "") & (F.contains(label, glued) | F.contains(glued, label))
+    return held | ((F.length(initials) >= 3) & F.startswith(label, initials)) | (F.size(F.filter(words, lambda w: (F.length(w) >= 4) & F.contains(label, w))) >= 2)
+
+
 def provider_canons(entities: DataFrame, triples: DataFrame, sites: DataFrame) -> DataFrame:
     """run_id, canon of entities that are a page's own business rather than a thing that pages write about. sites: run_id, rank, domain.
 
-    By name: run together (4 letters or more) it and a site's label contain each other, its initials (3 or more) begin the label, or two of its
-    words of 4 letters or more are in it. Or by facts: two kinds of contact fact while on few brand pages, at most one or 15 percent. Never locations.
+    By name, see site_brand. Or by facts: two kinds of contact fact while on few brand pages, at most one or 15 percent. Never locations.
     """
     kinds = entities.withColumn("cls", T.type_class("type")).groupBy("run_id", "canon").agg(F.count_distinct(F.when(F.col("rank") > 0, F.col("rank"))).alias("pages"), F.bool_or(F.col("cls") == "loc").alias("loc")).filter("not loc")
-    words = F.split("canon", " ")
-    glued, initials = F.regexp_replace("canon", "[^a-z0-9]", ""), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    label = F.col("label")
-    by_name = ((F.length(glued) >= 4) & (label != "") & (F.contains(label, glued) | F.contains(glued, label))) | ((F.length(initials) >= 3) & F.startswith(label, initials)) | (F.size(F.filter(words, lambda w: (F.length(w) >= 4) & F.contains(label, w))) >= 2)
     labels = sites.select("run_id", T.alnum(T.sld_label("domain")).alias("label")).distinct()
-    named = kinds.join(labels, "run_id").filter(by_name).select("run_id", "canon")  # within a run: entities of a result page against its sites
+    named = kinds.join(labels, "run_id").filter(site_brand(F.col("canon"), F.col("label"))).select("run_id", "canon")  # within a run: entities of a result page against its sites
     n = sites.filter("rank > 0").groupBy("run_id").agg(F.count_distinct("rank").alias("n"))
     contact = triples.filter(T.attr_family("attribute").isin(CONTACT_FAMILIES)).groupBy("run_id", "canon").agg(F.count_distinct(T.attr_family("attribute")).alias("k")).filter("k >= 2")
     facts = kinds.join(contact, ["run_id", "canon"]).join(n, "run_id").filter(F.col("pages") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.15, 0))).select("run_id", "canon")
@@ -117,13 +120,19 @@ def consensus(cells: DataFrame, keys: list[str], value: str = "value") -> DataFr
 
     cells: keys, rank, value. The modal value is the most frequent one, then the one on the best rank.
     """
-    brand = cells.filter("rank > 0").withColumn("norm", T.squeeze(value))
-    counted = brand.groupBy(*keys, "norm").agg(F.count_distinct("rank").alias("c"), F.min("rank").alias("r"), F.min_by(value, "rank").alias("v"))
-    modal = counted.filter("norm <> ''").groupBy(*keys).agg(F.max_by(F.struct("v", "c"), F.struct("c", -F.col("r"))).alias("m"), F.count("*").alias("n_values"))
-    sums = brand.groupBy(*keys).agg(F.count_distinct("rank").alias("consensus"), F.min(T.first_number(value)).alias("lo"), F.max(T.first_number(value)).alias("hi"), F.count(T.first_number(value)).alias("n_numbers"), F.bool_or(F.col(value).contains("$")).alias("dollar"))
-    out = sums.join(modal, keys, "left").select(*keys, "consensus", "lo", "hi", "n_numbers", "dollar", "n_values", F.col("m.v").alias("modal_value"), F.col("m.c").alias("modal_count"))
-    back = brand.join(out.select(*keys, "modal_value"), keys).groupBy(*keys).agg(F.count_if(T.values_match(value, "modal_value")).alias("backing"))
-    return out.join(back, keys, "left")
+    number = T.first_number(value)
+    each = cells.filter("rank > 0").groupBy(*keys, T.squeeze(value).alias("norm")).agg(
+        F.count("*").alias("cells"), F.collect_set("rank").alias("ranks"), F.min("rank").alias("r"), F.min_by(value, "rank").alias("v"),
+        F.min(number).alias("lo"), F.max(number).alias("hi"), F.count(number).alias("n"), F.bool_or(F.col(value).contains("$")).alias("dollar"),
+    )
+    # a fact's different values are at most as many as its run's pages
+    best = F.max(F.when(F.col("norm") != "", F.struct(F.size("ranks").alias("c"), (-F.col("r")).alias("r"), "v")))
+    facts = each.groupBy(*keys).agg(
+        F.collect_list(F.struct("cells", "v")).alias("values"), F.size(F.array_distinct(F.flatten(F.collect_list("ranks")))).cast("long").alias("consensus"), best.alias("m"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n_numbers"), F.bool_or("dollar").alias("dollar"), F.nullif(F.count_if(F.col("norm") != ""), F.lit(0)).alias("n_values"),
+    )
+    backing = F.aggregate("values", F.lit(0).cast("long"), lambda n, x: n + F.when(T.values_match(x["v"], F.col("m.v")), x["cells"]).otherwise(0))
+    return facts.select(*keys, "consensus", "lo", "hi", "n_numbers", "dollar", "n_values", F.col("m.v").alias("modal_value"), F.col("m.c").cast("long").alias("modal_count"), backing.alias("backing"))
 
 
 def range_display(lo: Column, hi: Column, n: Column, dollar: Column) -> Column:
@@ -164,6 +173,18 @@ def eav_rows(triples: DataFrame, entities: DataFrame, third_party: DataFrame | N
     return out.withColumn("gap", gap(F.col("graded"), entity_there, F.coalesce("present", no), F.col("target_value"), F.col("modal_value"), subject, F.col("backing"))).select(*keys, "is_edge", "consensus", "backing", "consensus_value", "target_value", "graded", "gap")
 
 
+def eav_order(rows: DataFrame, most: int = MOST_EAV) -> DataFrame:
+    """rows with place, the first ``most`` of a run's facts and of its relations: graded gaps, then graded, then the rest; by consensus within each."""
+    band = F.when(F.col("graded") & (F.col("gap") != ""), 0).when(F.col("graded"), 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("run_id", "is_edge").orderBy(band, F.desc("consensus"), "canon", "attribute"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def matrix(rows: DataFrame, pages: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row (run_id, keys) against every page (run_id, rank) of its run, with its cell's columns where there is one."""
+    return rows.select("run_id", *keys).distinct().join(pages.select("run_id", "rank").distinct(), "run_id").join(cells, ["run_id", "rank", *keys], "left")
+
+
 def coverage(entities: DataFrame, bodies: DataFrame, most: int = MOST_COVERAGE) -> DataFrame:
     """run_id, canon, name, consensus, target_present, max_salience, place: presence by mention or by a whole-word match of a form of 3 letters or more."""
     names = entities.groupBy("run_id", "canon").agg(F.max_by("name", F.struct("salience", -F.col("rank"))).alias("name"), F.max("salience").alias("max_salience"))
@@ -180,15 +201,14 @@ def coverage(entities: DataFrame, bodies: DataFrame, most: int = MOST_COVERAGE)
 def must_add(covered: DataFrame, pages: DataFrame, sites: DataFrame | None = None, most: int = MOST_ADD) -> DataFrame:
     """Entities the target lacks that max(3, half of the pages with entities) cover; pages: run_id, n.
 
-    Rivals' own brands are no advice: with sites (run_id, domain) an entity goes whose name, run together, is a site's label or holds or is held by it (4 letters or more).
+    Rivals' own brands are no advice: with sites (run_id, domain) an entity goes that has the name of one, see site_brand.
     """
     need = F.greatest(F.lit(3), F.bround(F.col("n") * 0.5, 0))
     short = covered.join(pages, "run_id").filter(~F.col("target_present") & (F.col("consensus") >= need))
     if sites is not None:
-        glued, label = T.alnum("canon"), F.col("__label")
-        labels = sites.select(F.col("run_id"), T.alnum(T.sld_label("domain")).alias("__label")).filter("__label <> ''").distinct()
-        rival = (glued == label) | ((F.length(glued) >= 4) & (F.length(label) >= 4) & (F.contains(label, glued) | F.contains(glued, label)))
-        short = short.join(short.select("run_id", "canon").join(labels, "run_id").filter(rival).select("run_id", "canon").distinct(), ["run_id", "canon"], "left_anti")
+        labels = sites.select("run_id", T.alnum(T.sld_label("domain")).alias("__label")).filter("__label <> ''").distinct()
+        rivals = short.select("run_id", "canon").join(labels, "run_id").filter(site_brand(F.col("canon"), F.col("__label"))).select("run_id", "canon").distinct()
+        short = short.join(rivals, ["run_id", "canon"], "left_anti")
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("place"))
     return short.withColumn("add_place", place).filter(F.col("add_place") <= most)
 

@@ -12,6 +12,7 @@ from serploom.operators.correlate import average_rank, pearson, percentile
 GATES = ["access", "lexical", "semantic", "intent", "entities", "quality", "authority", "engagement"]
 CLICK_CURVE, CLICK_REST = [0.28, 0.15, 0.11, 0.08, 0.07, 0.05, 0.04, 0.04, 0.03, 0.03], 0.02
 PASS, WEAK = 55, 30
+PAGE_TYPES = ["listicle", "guide", "product", "category", "service", "tool", "forum", "news", "comparison", "other"]
 LEXICAL_GROUPS = ["Title", "Headings", "Content"]
 ACCESS_GROUPS = ["Experience", "Technical"]
 
@@ -27,10 +28,17 @@ def gate_of(factor: Column, group: Column) -> Column:
 
 def median_judgement(samples: DataFrame, by: list[str], value: str = "score") -> DataFrame:
     """by, median, n, note: NaN and values outside 0..100 are cleaned first; the last note counts."""
-    v = F.when(F.isnan(F.col(value).cast("double")), None).otherwise(F.least(F.greatest(F.col(value).cast("double"), F.lit(0.0)), F.lit(100.0)))
+    raw = F.col(value).cast("double")
+    v = F.when(raw.isNull() | F.isnan(raw), None).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)))
     return samples.withColumn("__v", v).groupBy(*by).agg(F.median("__v").alias("median"), F.count("__v").alias("n"), F.max_by("note", "ord").alias("note"))
 
 
+def allowed_types(replies: DataFrame, requested: DataFrame) -> DataFrame:
+    """run_id, rank, page_type of a panel's replies: known types, of ranks that were asked for; the last reply on a rank counts. replies: run_id, rank, page_type, ord; requested: run_id, rank."""
+    clean = replies.withColumns({"rank": F.col("rank").cast("string").try_cast("int"), "page_type": F.lower(F.trim("page_type"))}).filter(F.col("page_type").isin(PAGE_TYPES))
+    return clean.join(requested.select("run_id", "rank").distinct(), ["run_id", "rank"], "left_semi").groupBy("run_id", "rank").agg(F.max_by("page_type", "ord").alias("page_type"))
+
+
 def dominant(pages: DataFrame, by: list[str], kind: str = "page_type", rank: str = "rank") -> DataFrame:
     """by, dominant, share: the most frequent kind, the one on the best rank on ties."""
     counted = pages.groupBy(*by, kind).agg(F.count("*").alias("c"), F.min(rank).alias("r"))

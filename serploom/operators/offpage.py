@@ -85,3 +85,9 @@ def page_one_average(rows: DataFrame, by: list[str], value: str, decimals: int =
     top = rows.filter(F.col(value).isNotNull() & ~F.col("is_target") & ~T.sld_label("domain").isin(NON_COMPETITORS)).withColumn("__t", ten).filter("__t")
     each = top.groupBy(*by, "domain").agg(F.min_by(value, "rank").alias("v"))
     return each.groupBy(*by).agg(F.bround(F.avg("v"), decimals).alias("page1_avg"))
+
+
+def backlink_order(links: DataFrame) -> DataFrame:
+    """links with place within the run: by the rank that they lead to, unranked ones last, the strongest source first, then by url and destination."""
+    order = Window.partitionBy("run_id").orderBy(F.coalesce("rank", F.lit(999)), F.desc(F.coalesce("source_authority", F.lit(0.0))), "source_url", "destination")
+    return links.withColumn("place", F.row_number().over(order))

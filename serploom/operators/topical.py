@@ -99,6 +99,22 @@ def merge_hits(matched: DataFrame, hits: DataFrame) -> DataFrame:
     return j.select("domain", F.coalesce("url", "h_url").alias("url"), F.array_sort(F.array_union(F.coalesce("core_terms", empty), F.coalesce("h_terms", empty))).alias("core_terms"), F.coalesce("adjacent_terms", empty).alias("adjacent_terms"), F.coalesce("in_sitemap", F.lit(False)).alias("in_sitemap"), F.coalesce("in_serp", F.lit(False)).alias("in_serp"))
 
 
+def relevant_hits(results: DataFrame, terms: DataFrame) -> DataFrame:
+    """domain, url, terms: search results (domain, url, title) whose title or slug matches a core term (term); others are noise of the search. The terms are few and broadcast."""
+    patterns = terms.select("term", T.term_pattern("term").alias("pat")).filter("pat is not null")
+    text = results.withColumn("__text", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), T.slug_text("url"))))
+    hits = text.crossJoin(F.broadcast(patterns)).filter(F.regexp_count("__text", F.col("pat")) > 0)
+    return hits.groupBy("domain", "url").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+def cluster_order(pages: DataFrame, by: str = "domain") -> DataFrame:
+    """pages of the cluster with place: core slug and search hit, search hit, core slug, adjacent; by url within each."""
+    core = F.size("core_terms") > 0
+    kind = F.when(core & F.col("in_serp"), 0).when(F.col("in_serp"), 1).when(core, 2).otherwise(3)
+    inside = pages.filter(core | F.col("in_serp") | (F.size("adjacent_terms") > 0))
+    return inside.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(kind, "url")))
+
+
 def score(cluster: Column, total: Column, adjacent: Column, n_adjacent: Column, hits: Column) -> Column:
     """45 breadth, 20 focus, 20 adjacent coverage, 15 indexation; one decimal."""
     one = F.lit(1.0)

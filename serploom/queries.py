@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from serploom.functions import text as T
 from serploom.operators import compare, corpus, correlate, entities, factors, funnel, offpage, page, registry, roadmap, semantic, topical
 from serploom.plans import report
+from serploom.shared import written
 from serploom.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,16 +39,28 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 # --- flagship: factors of documents against their rank within a source
 
 
-def ranked_documents(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select(F.col("source").alias("run_id"), place.alias("rank"), "doc_id", "text", "n_chars")
+def numbered(rows: DataFrame, by: str, order: str, per_range: int = 100_000) -> DataFrame:
+    """rows with rank, the place within ``by`` in the order of an integer column: counted in ranges of it, so that a ``by`` with very many rows is many tasks' work."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    n = max(1, rows.count() // per_range)
+    span = max(1, -(-((high or 0) - (low or 0) + 1) // n))
+    cut = rows.withColumn("__r", F.floor((F.col(order) - (low or 0)) / span))
+    before = Window.partitionBy(by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(by, "__r").agg(F.count("*").alias("__n")).select(by, "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    place = F.row_number().over(Window.partitionBy(by, "__r").orderBy(order))
+    return cut.withColumn("__k", place).join(starts, [by, "__r"]).withColumn("rank", (F.col("__s") + F.col("__k")).cast("int")).drop("__r", "__k", "__s")
+
+
+def ranked_documents(spark: SparkSession, d: str, **columns: Column) -> DataFrame:
+    """run_id, rank, doc_id and columns made of the text, which itself is never shuffled."""
+    return numbered(table(spark, d, "documents").select(F.col("source").alias("run_id"), "doc_id", "n_chars", *[c.alias(n) for n, c in columns.items()]), "run_id", "doc_id")
 
 
 def document_values(spark: SparkSession, d: str, target: bool = False) -> DataFrame:
     """Long factor rows of documents; target: the first document of each source is the target page, rank 0."""
-    docs = ranked_documents(spark, d).withColumn("rank", F.col("rank") - (1 if target else 0))
-    docs = docs.withColumns({"words": T.word_count("text"), "sentences": F.size(T.sentences("text"))})
-    named = {"WORD_COUNT": "words", "SENTENCES": "sentences", "CLEAN_TEXT_KB": F.octet_length("text") / 1024.0, "AVG_WORDS_SENTENCE": F.col("words") / F.greatest("sentences", F.lit(1)), "HAS_EMAIL": F.col("text").rlike(factors.EMAIL), "META_DESC_LEN": "n_chars"}
+    made = {"words": T.word_count("text"), "sentences": F.size(T.sentences("text")), "bytes": F.octet_length("text"), "email": F.col("text").rlike(factors.EMAIL)}
+    docs = ranked_documents(spark, d, **made).withColumn("rank", F.col("rank") - (1 if target else 0))
+    named = {"WORD_COUNT": "words", "SENTENCES": "sentences", "CLEAN_TEXT_KB": F.col("bytes") / 1024.0, "AVG_WORDS_SENTENCE": F.col("words") / F.greatest("sentences", F.lit(1)), "HAS_EMAIL": "email", "META_DESC_LEN": "n_chars"}
     every = F.array(*[F.struct(F.lit(k).alias("factor_id"), T.col(v).cast("double").alias("value")) for k, v in named.items()])
     return docs.select("run_id", "rank", F.explode(every).alias("f")).select("run_id", "rank", "f.*")
 
@@ -166,10 +179,15 @@ def page_factor_values(spark: SparkSession, d: str) -> DataFrame:
     return rounded(factors.page_factors(p, ["page_id"]))
 
 
-@query()
+@query(rf"""WITH {_values_sql(False)}, s AS (SELECT doc_id, words, sentences, syl FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS words,
+        CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 1 ELSE len(regexp_extract_all(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[.!?]\s+')) + 1 END AS sentences,
+        list_sum(list_transform(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: greatest(len(regexp_extract_all(regexp_replace(w, 'e$', ''), '[aeiouy]+')), 1))) AS syl FROM documents))
+    SELECT doc_id, CASE WHEN words > 0 THEN round(206.835 - 1.015 * words / sentences - 84.6 * syl / words + 1e-10, 6) ELSE 0 END AS flesch_ease, CASE WHEN words > 0 THEN round(0.39 * words / sentences + 11.8 * syl / words - 15.59 + 1e-10, 6) ELSE 0 END AS flesch_grade FROM s""")
 def readability(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "documents").select("doc_id", F.struct(F.col("text").alias("body")).alias("p"))
-    return rounded(p.select("doc_id", factors.HTML["FLESCH_EASE"]().alias("flesch_ease"), factors.HTML["FLESCH_GRADE"]().alias("flesch_grade")))
+    # quotients of small numbers often end in a 5: the addend keeps them off the rounding edge in either engine
+    ease, grade = (F.when(F.size(T.tokens("p.body")) > 0, factors.HTML[f]() + 1e-10).otherwise(0.0) for f in ("FLESCH_EASE", "FLESCH_GRADE"))
+    return rounded(p.select("doc_id", ease.alias("flesch_ease"), grade.alias("flesch_grade")))
 
 
 @query(f"""WITH p AS (SELECT page_id % 5 AS run_id, page_id::INT AS rank, url, {_HOST} AS domain FROM pages)
@@ -235,8 +253,8 @@ def first_match_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_values_sql(False)} SELECT run_id, rank::INT AS rank, words::INT AS words, sentences::INT AS sentences, round(words / greatest(sentences, 1), 6) AS per_sentence FROM d")
 def word_sentence_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = ranked_documents(spark, d).select("run_id", "rank", T.word_count("text").alias("words"), F.size(T.sentences("text")).alias("sentences"))
-    return rounded(docs.withColumn("per_sentence", F.col("words") / F.greatest("sentences", F.lit(1))))
+    docs = ranked_documents(spark, d, words=T.word_count("text"), sentences=F.size(T.sentences("text")))
+    return rounded(docs.drop("doc_id", "n_chars").withColumn("per_sentence", F.col("words") / F.greatest("sentences", F.lit(1))))
 
 
 _DF_SQL = """
@@ -270,8 +288,9 @@ def lsi_terms(spark: SparkSession, d: str) -> DataFrame:
     FROM tf JOIN q USING (lang) LEFT JOIN h ON h.lang = tf.lang AND h.doc_id = tf.doc_id""")
 def corpus_tf_tfidf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    df = corpus.document_frequency(docs, ["lang"])
-    return rounded(corpus.corpus_factors(docs, df, corpus.lsi_terms(df, ["lang"], KEYWORD.split()), ["lang"], "doc_id", KEYWORD))
+    bodies = docs.select(F.col("lang").alias("run_id"), (F.col("doc_id") + 1).alias("rank"), F.col("text").alias("body"), T.phrase_of(F.lit(KEYWORD)).alias("phrase"), T.variations(F.lit(KEYWORD)).alias("vars"))
+    made = corpus.run_factors(bodies)
+    return rounded(made.select(F.col("run_id").alias("lang"), (F.col("rank") - 1).alias("doc_id"), F.col("TF").alias("tf"), F.col("TFIDF").alias("tfidf"), F.col("LSI_SENTENCES").cast("long").alias("lsi_sentences"), F.col("UNIQUE_LSI").cast("long").alias("unique_lsi")))
 
 
 _SEM = ", ".join(f"'{w}'" for w in corpus.SEMANTIC_STOP)
@@ -295,8 +314,8 @@ def ngram_features(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT run_id, feature, round(sum(1 + ln(f)) * ln(1 + count(DISTINCT doc_id)), 9) AS score FROM j GROUP BY run_id, feature)
     SELECT run_id, feature, round(score, 6) AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, feature)::INT AS ord FROM s QUALIFY ord <= 40""")
 def salient_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = ranked_documents(spark, d)
-    counted = corpus.features(docs.filter(F.col("rank") <= corpus.SALIENT_RANKS), ["run_id", "rank", "doc_id"])
+    first = ranked_documents(spark, d).filter(F.col("rank") <= corpus.SALIENT_RANKS).select("run_id", "rank", "doc_id")  # ten documents for each run
+    counted = corpus.features(table(spark, d, "documents").select("doc_id", "text").join(first, "doc_id"), ["run_id", "rank", "doc_id"])
     return rounded(corpus.salient_terms(counted, ["run_id"], "doc_id", "rank", KEYWORD.split()))
 
 
@@ -311,9 +330,10 @@ def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     """The closest test item of every document by TF-IDF; items are the stated query set."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("k"), "text")
     items = table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("k"), "text")
-    v = corpus.tfidf_vectors(corpus.features(docs.union(items), ["k"]), ["k"])
+    counted = written(corpus.features(docs.union(items), ["k"]), "features")  # read by all that follows
+    v = corpus.tfidf_vectors(counted, ["k"])
     left, right = v.filter("k like 'd%'").withColumnRenamed("k", "doc"), v.filter("k like 'b%'").withColumnRenamed("k", "item")
-    return rounded(corpus.cosine(left, right, "doc", "item").groupBy("doc").agg(F.max("sim").alias("sim")))
+    return rounded(corpus.closest(left, right, "doc"))
 
 
 @query()
@@ -528,11 +548,10 @@ def normalised_names(spark: SparkSession, d: str) -> DataFrame:
     u AS (SELECT doc_id, unnest(ws) AS name FROM w)
     SELECT name, count(*) AS n FROM u JOIN (SELECT DISTINCT name FROM i WHERE length(name) >= 3) USING (name) GROUP BY name""")
 def entity_presence(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a surface form as a whole word; the forms are a stated, checked set."""
+    """Documents that hold a surface form, here one word each, as a whole word."""
     names = table(spark, d, "benchmark").select(F.lower(F.get(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lit(1))).alias("name")).filter("length(name) >= 3").distinct()
-    if names.limit(10_001).count() > 10_000:
-        raise ValueError("too many surface forms for one pass")
-    pairs = table(spark, d, "documents").select(F.lower("text").alias("body")).join(F.broadcast(names), F.col("body").contains(F.col("name")) & (F.regexp_count("body", entities.presence_pattern(F.col("name"))) > 0))
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("name"))
+    pairs = words.join(names, "name", "left_semi")  # by equality, so that any number of forms will do
     return pairs.groupBy("name").agg(F.count("*").alias("n"))
 
 
@@ -606,10 +625,10 @@ def dominant_type(spark: SparkSession, d: str) -> DataFrame:
     return rounded(funnel.dominant(e, ["run_id"]))
 
 
-@query(f"""WITH v AS (SELECT user_id % 100 AS run_id, (user_id % 13)::INT AS rank, count(*) AS n FROM events WHERE user_id % 13 > 0 GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY run_id) AS share FROM v)
+@query(f"""WITH v AS (SELECT user_id % 100 AS run_id, (user_id % 13 + 1)::INT AS rank, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY run_id) AS share FROM v)
     SELECT run_id, rank, round(least(share / coalesce({funnel.CLICK_CURVE}[rank], 0.02) * 100, 100), 6) AS engagement FROM s""")
 def engagement_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("user_id % 13 > 0").groupBy((F.col("user_id") % 100).alias("run_id"), (F.col("user_id") % 13).cast("int").alias("rank")).agg(F.count("*").alias("n"))
+    e = table(spark, d, "events").groupBy((F.col("user_id") % 100).alias("run_id"), (F.col("user_id") % 13 + 1).cast("int").alias("rank")).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("run_id"))
     return rounded(e.select("run_id", "rank", funnel.engagement_score(share, F.col("rank")).alias("engagement")))
 

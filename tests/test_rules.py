@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from serploom import cli
 from serploom.functions import replies
 from serploom.functions import text as T
 from serploom.operators import compare, correlate, entities, factors, funnel, offpage, page, registry, roadmap, semantic, topical
@@ -331,3 +332,53 @@ def test_brief(spark):
     got = topical.brief(cov, eav, actions, gaps, cov.filter("canon = 'a'").withColumn("add_place", F.lit(1)), 10)
     assert sorted((r.section, r.ord) for r in got.collect()) == sorted((s, 1) for s in topical.CAPS)
     assert topical.markdown(got).first().markdown.startswith("## Entities To Add\n- Cover A (3 of 10 top pages cover it)\n\n## Topics To Expand")
+
+
+def test_phrase_is_made_of_tokens(spark):
+    r = spark.range(1).select(T.phrase_of(F.lit("Best Running-Shoes: 2024")).alias("p"), T.variations(F.lit("Best Running-Shoes: 2024")).alias("v"), T.variations(F.lit("c++ tutorial")).alias("c")).first()
+    assert r.p == "best running shoes 2024" and r.v[0] == r.p and "running shoes 2024" in r.v and r.c == ["c tutorial", "tutorial"]
+
+
+def test_sitemap_bounds_documents_not_pages(spark):
+    urls = "".join(f"<loc>https://a.com/{k}</loc>" for k in range(200))
+    many = [("s", f"<urlset>{urls}</urlset>")]
+    deep = [(f"d{k}", f"<sitemapindex><loc>d{k + 1}</loc><loc>d0</loc></sitemapindex>") for k in range(5)] + [("d4", "<urlset><loc>p4</loc></urlset>"), ("d5", "<urlset><loc>p5</loc></urlset>")]
+    wide = [("w", "<sitemapindex>" + "".join(f"<loc>w{k:03}</loc>" for k in range(100)) + "</sitemapindex>")] + [(f"w{k:03}", f"<urlset><loc>q{k}</loc></urlset>") for k in range(100)]
+    docs = spark.createDataFrame([*many, *[x for x in deep if x != ("d4", deep[4][1])], *wide, ("h", "<html><loc>no</loc>")], "url string, body string")
+    got = topical.expand_sitemaps(docs, spark.createDataFrame([("a", "s"), ("b", "d0"), ("c", "w"), ("e", "h"), ("f", "gone")], "root string, url string")).groupBy("root").count().collect()
+    assert {r.root: r["count"] for r in got} == {"a": 200, "b": 1, "c": 59}
+    robots = spark.createDataFrame([("a.com", "Sitemap: s")], "domain string, body string")
+    assert topical.inventory(robots, docs).count() == 200
+
+
+def test_analyze_with_all_layers(spark, tmp_path):
+    n = 8
+    req = spark.createDataFrame([("r", "Car-Seat!", "https://d3.com/x"), ("q", "car seat", None)], "run_id string, keyword string, target_url string")
+    items = spark.createDataFrame([(run, k, f"https://d{k}.com/x", f"d{k}.com", "car seat " * (n - k), "", "") for run in "rq" for k in range(1, n + 1)], "run_id string, rank int, url string, domain string, title string, snippet string, displayed_url string")
+    html = lambda k: "<html><title>t</title><body><p>" + "car seat comfort " * (n - k + 1) + "</p><p>safety belts matter here. " + "extra words " * k + "</p></body></html>"
+    pages = spark.createDataFrame([(f"https://d{k}.com/x", html(k), 5.0, k != 5) for k in range(1, n + 1)], "url string, html string, load_ms double, ok boolean")
+    each = spark.createDataFrame([(run, k, 10.0 * k, 90.0 - k, "n", k) for run in "rq" for k in range(n + 1)], "run_id string, rank int, effort double, helpfulness double, note string, ord int")
+    votes = spark.createDataFrame([("r", p, k, float(9 - k)) for p in range(2) for k in range(n + 1)], "run_id string, panel int, id int, count double")
+    types = spark.createDataFrame([("r", k, "guide" if k % 3 else "tool") for k in range(n + 1)], "run_id string, rank int, page_type string")
+    cells = spark.createDataFrame([("r", k, c, (k + len(c)) % 2 == 0) for k in range(n + 1) for c in ("a", "bb")], "run_id string, rank int, canon string, present boolean")
+    sims = spark.createDataFrame([("r", k, 0, q, 0.3 + 0.05 * ((k + q) % 7)) for k in range(n + 1) for q in range(3)], "run_id string, rank int, pos int, query_id int, sim double")
+    satisfied = each.select("run_id", "rank", F.col("effort").alias("satisfaction"))
+    layers = {"quality": each, "votes": votes, "types": types, "cells": cells, "sims": sims, "satisfaction": satisfied}
+    for name, df in {"requests": req, "items": items, "pages": pages, **layers}.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    cli.main(["analyze", *[x for name in ("requests", "items", "pages", *layers) for x in (f"--{name}", f"{tmp_path}/{name}")], "--salient", "--out", f"{tmp_path}/out"], spark)
+    out = {name: spark.read.parquet(f"{tmp_path}/out/{name}") for name in ("factor_values", "gates", "overall")}
+    rows = out["factor_values"].collect()
+    got = {(r.run_id, r["rank"], r.factor_id): r.value for r in rows}
+    assert got["r", 1, "TF"] > got["r", 7, "TF"] > 0 and got["r", 0, "TF"] == got["r", 3, "TF"] and got["r", 1, "EXACT_HTML"] == 8
+    assert ("r", 5, "TF") not in got and got["r", 2, "CONTENT_EFFORT"] == 20.0 and ("r", 1, "SALIENT_TERM_COVERAGE") in got and got["r", 0, "SATISFACTION"] == 0.0
+    assert len(rows) == len({(r.run_id, r["rank"], r.factor_id) for r in rows})
+    gates = {r.gate for r in out["gates"].filter("run_id = 'r'").collect()}
+    assert gates == {"access", "lexical", "semantic", "intent", "entities", "quality", "engagement"}  # nobody measured authority
+    assert {r.run_id for r in out["overall"].collect()} >= {"r"}
+
+
+def test_rivals_are_no_advice(spark):
+    c = spark.createDataFrame([("r", "roar active", 5, False, 1), ("r", "exclusive personal training", 5, False, 2), ("r", "chris wilson fitness studio", 5, False, 3), ("r", "yoga mat", 5, False, 4), ("r", "spa", 2, False, 5)], "run_id string, canon string, consensus int, target_present boolean, place int")
+    n, sites = spark.createDataFrame([("r", 6)], "run_id string, n int"), spark.createDataFrame([("r", "roar.com.au"), ("r", "eptcoaching.com"), ("r", "chriswilsonpt.com")], "run_id string, domain string")
+    assert [r.canon for r in entities.must_add(c, n, sites).collect()] == ["yoga mat"] and entities.must_add(c, n).count() == 4
