@@ -24,9 +24,9 @@ CONTACT_FAMILIES = ["address", "phone", "email", "hours"]
 SUBJECT = "__subject__"
 
 
-def clean_entities(raw: DataFrame) -> DataFrame:
-    """run_id, rank, canon, name, type, salience, ord: the most salient mention per key and page, the first on ties."""
-    keyed = raw.withColumn("canon", T.canon("name")).filter((F.col("canon") != "") & ~F.col("canon").isin(NAV_ENTITIES))
+def clean_entities(raw: DataFrame, keyed: bool = False) -> DataFrame:
+    """run_id, rank, canon, name, type, salience, ord: the most salient mention per key and page, the first on ties. keyed: raw has its canon already."""
+    keyed = (raw if keyed else raw.withColumn("canon", T.canon("name"))).filter((F.col("canon") != "") & ~F.col("canon").isin(NAV_ENTITIES))
     best = F.max_by(F.struct("name", "type", "salience", "ord"), F.struct("salience", -F.col("ord")))
     return keyed.groupBy("run_id", "rank", "canon").agg(best.alias("r")).select("run_id", "rank", "canon", "r.*")
 
@@ -62,16 +62,21 @@ def presence_pattern(name: Column) -> Column:
     return F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower(name), F.lit(r"\E(?![\p{L}\p{N}_])"))
 
 
-def alias_map(entities: DataFrame, keyword: str, generic: list[str] | None = None) -> DataFrame:
+def _of_run(rows: DataFrame, keyword: str | DataFrame) -> DataFrame:
+    """rows with __keyword: the same for all, or that of the row's run (run_id, keyword)."""
+    return rows.withColumn("__keyword", F.lit(keyword)) if isinstance(keyword, str) else rows.join(keyword.select("run_id", F.col("keyword").alias("__keyword")), "run_id")
+
+
+def alias_map(entities: DataFrame, keyword: str | DataFrame, generic: list[str] | None = None) -> DataFrame:
     """run_id, canon, winner: keys with the same distinctive core count as one.
 
     The core is the set of word stems less keyword stems and stop words. Persons and locations never merge; a word that is a number or of two letters keeps its entity apart.
     The winner is on most pages, then longest, then first by name.
     """
     keep = T.KEYWORD_STOP + (generic or [])
-    key_stems = F.transform(T.tokens(F.lit(keyword)), T.stem)
+    key_stems = F.transform(T.tokens("__keyword"), T.stem)
     words = F.split("canon", " ")
-    pages = entities.withColumn("cls", T.type_class("type")).groupBy("run_id", "canon").agg(F.count_distinct("rank").alias("pages"), F.min("cls").alias("cls"))
+    pages = _of_run(entities.withColumn("cls", T.type_class("type")).groupBy("run_id", "canon").agg(F.count_distinct("rank").alias("pages"), F.min("cls").alias("cls")), keyword)
     core = F.array_sort(F.array_except(F.array_distinct(F.transform(F.filter(words, lambda w: ~w.isin(keep)), T.stem)), key_stems))
     open_ = ~F.col("cls").isin("person", "loc") & ~F.exists(words, lambda w: w.rlike(r"^\d+$") | (F.length(w) <= 2)) & (F.size(core) > 0)
     cored = pages.filter(open_).withColumn("core", F.concat_ws(" ", core))
@@ -79,12 +84,12 @@ def alias_map(entities: DataFrame, keyword: str, generic: list[str] | None = Non
     return cored.join(won, ["run_id", "core"]).select("run_id", "canon", "winner")
 
 
-def topic_canons(entities: DataFrame, keyword: str) -> DataFrame:
+def topic_canons(entities: DataFrame, keyword: str | DataFrame) -> DataFrame:
     """run_id, canon of entities that are the topic: their stems are the keyword's, or two or more of them."""
-    key = F.array_distinct(F.transform(T.tokens(F.lit(keyword)), T.stem))
+    key = F.array_distinct(F.transform(T.tokens("__keyword"), T.stem))
     own = F.array_distinct(F.transform(F.split("canon", " "), T.stem))
     rest = F.size(F.array_except(own, key))
-    return entities.select("run_id", "canon").distinct().filter((rest == 0) & ((F.size(own) == F.size(key)) | (F.size(own) >= 2)))
+    return _of_run(entities.select("run_id", "canon").distinct(), keyword).filter((rest == 0) & ((F.size(own) == F.size(key)) | (F.size(own) >= 2))).select("run_id", "canon")
 
 
 def site_brand(canon: Column, label: Column) -> Column:
@@ -185,15 +190,19 @@ def matrix(rows: DataFrame, pages: DataFrame, cells: DataFrame, keys: list[str])
     return rows.select("run_id", *keys).distinct().join(pages.select("run_id", "rank").distinct(), "run_id").join(cells, ["run_id", "rank", *keys], "left")
 
 
-def coverage(entities: DataFrame, bodies: DataFrame, most: int = MOST_COVERAGE) -> DataFrame:
-    """run_id, canon, name, consensus, target_present, max_salience, place: presence by mention or by a whole-word match of a form of 3 letters or more."""
+def coverage_cells(entities: DataFrame, bodies: DataFrame) -> DataFrame:
+    """run_id, rank, canon, name, max_salience, present: every entity of a run against every page of it, by mention or by a whole-word match of a form of 3 letters or more."""
     names = entities.groupBy("run_id", "canon").agg(F.max_by("name", F.struct("salience", -F.col("rank"))).alias("name"), F.max("salience").alias("max_salience"))
     pairs = names.join(bodies.select("run_id", "rank", F.lower("body").alias("body")), "run_id")
     said = entities.select("run_id", "rank", "canon", F.lit(True).alias("said")).distinct()
+    form = lambda n: (F.length(n) >= 3) & F.contains(F.col("body"), F.lower(n)) & (F.regexp_count(F.col("body"), presence_pattern(n)) > 0)
     cells = pairs.join(said, ["run_id", "rank", "canon"], "left")
-    form = lambda n: (F.length(n) >= 3) & (F.regexp_count(F.col("body"), presence_pattern(n)) > 0)
-    cells = cells.withColumn("present", F.coalesce("said", F.lit(False)) | form(F.col("name")) | form(F.col("canon")))
-    rows = cells.groupBy("run_id", "canon", "name", "max_salience").agg(F.count_if(F.col("present") & (F.col("rank") > 0)).alias("consensus"), F.bool_or(F.col("present") & (F.col("rank") == 0)).alias("target_present"))
+    return cells.select("run_id", "rank", "canon", "name", "max_salience", (F.coalesce("said", F.lit(False)) | form(F.col("name")) | form(F.col("canon"))).alias("present"))
+
+
+def coverage(entities: DataFrame, bodies: DataFrame, most: int = MOST_COVERAGE) -> DataFrame:
+    """run_id, canon, name, consensus, target_present, max_salience, place: the first ``most`` entities of a run by consensus, then salience."""
+    rows = coverage_cells(entities, bodies).groupBy("run_id", "canon", "name", "max_salience").agg(F.count_if(F.col("present") & (F.col("rank") > 0)).alias("consensus"), F.bool_or(F.col("present") & (F.col("rank") == 0)).alias("target_present"))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("consensus"), F.desc("max_salience"), "canon"))
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 

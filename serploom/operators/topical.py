@@ -79,12 +79,15 @@ def expand_topic(topic: Column) -> Column:
     return F.array_distinct(F.filter(F.array(core, F.try_element_at(toks, F.lit(-1))), lambda x: x.isNotNull()))
 
 
-def match_terms(pages: DataFrame, terms: DataFrame, most_terms: int = 1000) -> DataFrame:
-    """pages and core_terms, adjacent_terms: which terms (term, kind) their slug matches. The terms are few, checked and broadcast."""
-    if terms.limit(most_terms + 1).count() > most_terms:
-        raise ValueError(f"more than {most_terms} terms")
+def match_terms(pages: DataFrame, terms: DataFrame, at_once: int = 1000) -> DataFrame:
+    """pages and core_terms, adjacent_terms: which terms (term, kind) their slug matches. Terms are broadcast ``at_once`` at a time; more of them are so many more passes."""
     patterns = terms.withColumn("pat", T.term_pattern("term")).filter("pat is not null")
-    hits = pages.withColumn("slug", T.slug_text("url")).crossJoin(F.broadcast(patterns)).filter(F.regexp_count("slug", F.col("pat")) > 0)
+    blocks = max(1, -(-terms.count() // at_once))
+    slugs, hits = pages.withColumn("slug", T.slug_text("url")), None
+    for k in range(blocks):
+        part = patterns if blocks == 1 else patterns.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
+        found = slugs.crossJoin(F.broadcast(part)).filter(F.regexp_count("slug", F.col("pat")) > 0)
+        hits = found if hits is None else hits.union(found)
     grouped = hits.groupBy("url").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("term")))).alias(f"{k}_terms") for k in ("core", "adjacent")])
     empty = F.array().cast("array<string>")
     return pages.join(grouped, "url", "left").withColumns({f"{k}_terms": F.coalesce(f"{k}_terms", empty) for k in ("core", "adjacent")})

@@ -49,7 +49,7 @@ def http_page(url: str, timeout: float = 20.0) -> dict:
     except (OSError, ValueError) as e:
         out["error"] = str(e)
     out["load_ms"] = (time.time() - began) * 1000
-    out["ok"] = out["status_code"] == 200 and bool(out["html"])
+    out["ok"] = 200 <= (out["status_code"] or 0) < 400 and bool(out["html"])
     return out
 
 
@@ -109,7 +109,7 @@ def retrying(ask: Callable[[str], tuple[int, str]], settings: Settings, sleep: C
         for k in range(settings.chat_tries):
             try:
                 status, reply = ask(prompt)
-            except OSError as e:
+            except Exception as e:  # noqa: BLE001  a reply that can't be read mustn't fail the task
                 return redact(f"[error] {e}", settings)
             if status == 200:
                 return redact(re.sub(r"(?s)<think>.*?</think>", "", reply).strip(), settings)

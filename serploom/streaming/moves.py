@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +20,10 @@ def unique_captures(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["keyword", "domain", "ts"])
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int = 0) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # a domain that hasn't been captured for so long is entered anew when it comes back
+        state.remove()
+        return
     last, seen = state.get if state.exists else (None, None)
     out = []
     for r in pd.concat(list(batches)).sort_values("ts").itertuples():
@@ -30,17 +34,19 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         out.append((key[0], key[1], r.ts, last, now, status))
         last, seen = now, r.ts.value
     state.update((last, seen))
+    state.setTimeoutTimestamp(max(seen // 1_000_000, state.getCurrentWatermarkMs()) + keep_ms)
     frame = pd.DataFrame(out, columns=["keyword", "domain", "ts", "before_rank", "after_rank", "status"])
     frame["before_rank"] = frame["before_rank"].astype("Int32")
     frame["after_rank"] = frame["after_rank"].astype("Int32")
     yield frame
 
 
-def move_stream(stream: DataFrame) -> DataFrame:
-    """stream: keyword, domain, ts, rank. One row for each capture of a domain, against its last rank."""
+def move_stream(stream: DataFrame, delay: str = "1 day", keep_days: int = 400) -> DataFrame:
+    """stream: keyword, domain, ts, rank. One row for each capture of a domain, against its last rank, which is kept for ``keep_days`` behind the watermark."""
     ship(stream.sparkSession)
-    grouped = stream.select("keyword", "domain", "ts", "rank").groupBy("keyword", "domain")
-    return grouped.applyInPandasWithState(_step, OUT, "last int, seen long", "append", GroupStateTimeout.NoTimeout)
+    grouped = stream.select("keyword", "domain", "ts", "rank").withWatermark("ts", delay).groupBy("keyword", "domain")
+    step = partial(_step, keep_ms=keep_days * 86_400_000)
+    return grouped.applyInPandasWithState(step, OUT, "last int, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activity(stream: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -9,7 +9,7 @@ from serploom import cli
 from serploom.functions import replies
 from serploom.functions import text as T
 from serploom.operators import compare, correlate, entities, factors, funnel, offpage, page, registry, roadmap, semantic, topical
-from serploom.plans import analyze, report
+from serploom.plans import analyze, layers, report
 from serploom.sources import captured, providers, store
 from serploom.streaming import moves as stream
 
@@ -382,3 +382,45 @@ def test_rivals_are_no_advice(spark):
     c = spark.createDataFrame([("r", "roar active", 5, False, 1), ("r", "exclusive personal training", 5, False, 2), ("r", "chris wilson fitness studio", 5, False, 3), ("r", "yoga mat", 5, False, 4), ("r", "spa", 2, False, 5)], "run_id string, canon string, consensus int, target_present boolean, place int")
     n, sites = spark.createDataFrame([("r", 6)], "run_id string, n int"), spark.createDataFrame([("r", "roar.com.au"), ("r", "eptcoaching.com"), ("r", "chriswilsonpt.com")], "run_id string, domain string")
     assert [r.canon for r in entities.must_add(c, n, sites).collect()] == ["yoga mat"] and entities.must_add(c, n).count() == 4
+
+
+def test_entity_table_plan(spark):
+    say = [(k, "Foam mat", "product", 0.9) for k in (1, 2, 3)] + [(4, "top foam mat", "product", 0.5), (0, "Pillow", "product", 0.4)] + [(k, "Sleepy", "brand", 0.3) for k in (1, 2, 3)] + [(k, "Best Beds", "topic", 0.2) for k in (0, 1, 2, 3)] + [(1, "Menu", "nav", 0.1)]
+    raw = spark.createDataFrame([("r", k, n, t, x, i) for i, (k, n, t, x) in enumerate(say)], "run_id string, rank int, name string, type string, salience double, ord int")
+    told = [(1, "foam mat", "Cost", "$900", False), (2, "foam mat", "pricing", "$950", False), (3, "top foam mat", "price", "$2,000", False), (1, "best beds", "founded", "1999", False), (2, "best beds", "established", "2001", False), (0, "best beds", "founded", "2010", False)]
+    triples = spark.createDataFrame([("r", k, e, a, v, g, i) for i, (k, e, a, v, g) in enumerate(told)], "run_id string, rank int, entity string, attribute string, value string, is_edge boolean, ord int")
+    surfaces = spark.createDataFrame([("r", k, "t", "Foam mat" if k < 3 else "x", "", "", "A foam mat here. And a pillow." if k else "My pillow.") for k in range(5)], "run_id string, rank int, title string, h1 string, h2 string, h3 string, body string")
+    sites = spark.createDataFrame([("r", 0, "mine.com"), ("r", 1, "sleepybeds.com"), ("r", 2, "two.com"), ("r", 3, "three.com"), ("r", 4, "four.com")], "run_id string, rank int, domain string")
+    out = layers.entity_table(spark.createDataFrame([("r", "best bed")], "run_id string, keyword string"), raw, triples, surfaces, sites)
+    cover = {r.canon: (r.consensus, r.target_present) for r in out["coverage"].collect()}
+    assert cover["foam mat"] == (4, False) and "top foam mat" not in cover
+    assert {r.canon for r in out["must_add"].collect()} & {"sleepy"} == set() and any("foam mat" == r.canon for r in out["must_add"].collect())
+    eav = {(r.canon, r.attribute): r for r in out["eav"].collect()}
+    price = next(r for (c, a), r in eav.items() if a == "price")
+    assert price.consensus == 3 and price.backing == 2 and price.gap == "missing_entity" and eav["__subject__", "experience"].gap == ""
+    factors = {(r["rank"], r.factor_id): r.value for r in out["factors"].collect()}
+    assert factors[1, "ENTITIES_H1"] == 1 and factors[0, "EAV_COMPLETENESS"] == 50.0 and factors[0, "DISTINCT_ENTITIES"] == 2
+    assert out["cells"].filter("rank = 0 and present").count() == 2
+
+
+def test_off_page_and_brand_plans(spark):
+    pages = spark.createDataFrame([("r", 0, "https://t.com/x", "t.com"), ("r", 1, "https://brightsmile.com/a", "brightsmile.com")], "run_id string, rank int, url string, domain string")
+    stats = spark.createDataFrame([("brightsmile.com", 40.0, 12, 90, 3, 1), ("https://brightsmile.com/a", 22.0, 4, 9, 3, 1), ("https://t.com/", 7.0, 1, 1, 0, 0)], "target string, authority_score double, referring_domains int, total_backlinks int, follow int, nofollow int")
+    links = spark.createDataFrame([("r", 1, "d", "s.com", "u1", 50.0, True, 0.5), ("r", 1, "d", "s.com", "u2", 60.0, False, 0.5), ("r", 1, "d", "x.top", "u3", 90.0, True, 0.5)], "run_id string, rank int, destination string, source_domain string, source_url string, source_authority double, dofollow boolean, relevance double")
+    out = layers.off_page(pages, stats, links)
+    got = {(r["rank"], r.factor_id): r.value for r in out["factors"].collect()}
+    assert got[1, "AUTHORITY_SCORE"] == 40 and got[1, "PAGE_FOLLOW_RATIO"] == 75 and got[0, "HOMEPAGE_AUTHORITY"] == 7 and (0, "REF_DOMAINS") not in got
+    assert [(r.source_url, r.place) for r in out["links"].collect()] == [("u2", 1)]
+    words = spark.createDataFrame([("brightsmile.com", "bright smile", 100.0, 1), ("t.com", "teeth", 5.0, 2), ("t.com", "t com", 9.0, 3)], "domain string, phrase string, volume double, ord int")
+    b = layers.brand(pages, words)
+    assert {(r["rank"], r.value) for r in b["factors"].collect()} >= {(1, 100.0)} and b["leaderboard"].filter("is_target").count() == 1
+
+
+def test_searches_in_blocks(spark):
+    v = spark.createDataFrame([(1, k, [float(k), 1.0]) for k in range(5)], "page int, pos int, embedding array<double>")
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(7)], "query_id int, query array<double>")
+    key = lambda df: sorted((r.page, r.pos, r.query_id, round(r.sim, 9)) for r in df.collect())
+    assert key(semantic.similarities(v, q, at_once=2)) == key(semantic.similarities(v, q)) and len(key(semantic.similarities(v, q))) == 35
+    pages = spark.createDataFrame([("https://a.com/dental-implants",), ("https://a.com/x",)], "url string")
+    terms = spark.createDataFrame([("dental implant", "core"), ("bone graft", "adjacent"), ("implant", "core")], "term string, kind string")
+    assert sorted(map(tuple, topical.match_terms(pages, terms, at_once=1).collect())) == sorted(map(tuple, topical.match_terms(pages, terms).collect()))
