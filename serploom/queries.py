@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from serploom.functions import text as T
 from serploom.operators import compare, corpus, correlate, entities, factors, funnel, offpage, page, registry, roadmap, semantic, topical
 from serploom.plans import report
+from serploom.session import scan
 from serploom.shared import written
 from serploom.sources import store
 
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return scan(spark, f"{d}/{name}.parquet", name in ("documents", "pages", "part"))
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
