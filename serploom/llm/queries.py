@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from serploom.llm import brown, decontam, langid, mixing, qrules, quality, secretscan, simhash, urlfilter, warc
+from serploom.session import scan
 
 RULES = [
     urlfilter.Rule("block", "net", "/"),
@@ -17,7 +18,7 @@ RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(spark, f"{sf_dir}/{name}.parquet", name in ("documents", "pages"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
