@@ -26,6 +26,7 @@ import math
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,7 @@ class Phase:
     first_block: dict[str, int]
     blocks: dict[str, int]
 
-    @property
+    @cached_property
     def order(self) -> list[str]:
         names = list(self.quanta)
         return [names[k] for k in self.turns]
