@@ -30,16 +30,18 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from serploom.llm.common import scratch, unit_hash
+from serploom.llm.common import packed, scratch, unit_hash
 
 #: Sources that the driver may hold.
 MOST_SOURCES = 20_000
 QUANTA = 1 << 48
 #: Slots that are broadcast, some 30 MB; more are joined by a shuffle. And how many are handed over at a time.
 MOST_SENT, CHUNK = 400_000, 500_000
+#: Ranges of a source that one task sums up; the sums of such groups are added up after.
+GROUP = 4096
 
 
 def shares(weights: dict[str, float], quanta: int) -> dict[str, int]:
@@ -145,16 +147,21 @@ def _slot_rows(phases: list[Phase]) -> Iterator[pa.Table]:
             next_ += times
 
 
+def _before(keys: list[str], by: str) -> Column:
+    """The sum of __n over the rows of the keys that come before."""
+    rows = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("__n").over(rows), F.lit(0))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]], dict[str, float]], block: int = 16, quanta: int = QUANTA, per_range: int = 500, ordered: bool = False) -> DataFrame:
     """``docs`` with mix_phase, mix_slot (from 0) and mix_place (within the slot's block); ordered: laid out in that order.
 
     weights: by source, or a function from the sources' numbers of documents to them.
     """
     spark = docs.sparkSession
-    names = [n for n in docs.columns if n not in ("mix_phase", "mix_slot", "mix_place")]
-    ids = [n for n in ("doc_id", "source") if n in names]
+    ids = [n for n in ("doc_id", "source") if n in docs.columns]
     # the row travels as one column, so that no name of it can clash with those made here
-    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("__s"), unit_hash(*ids, F.lit("mix")).alias("__u"))
+    keyed = docs.select(packed(docs.drop("mix_phase", "mix_slot", "mix_place")).alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("__s"), unit_hash(*ids, F.lit("mix")).alias("__u"))
     slim = docs.select("source")
     sizes = {r["s"]: r["n"] for r in slim.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES:
@@ -164,9 +171,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | Callable[[dict[str, int]],
     table = F.broadcast(table) if sum(p.slots for p in phases) <= MOST_SENT else table
     ranges = max(1, -(-sum(sizes.values()) // per_range))
     keyed = keyed.withColumn("__r", F.floor(F.col("__u") * ranges).cast("int"))
-    before = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     counts = docs.select(F.coalesce(F.col("source"), F.lit("")).alias("__s"), F.floor(unit_hash(*ids, F.lit("mix")) * ranges).cast("int").alias("__r")).groupBy("__s", "__r").agg(F.count("*").alias("__n"))
-    starts = counts.select("__s", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    counts = counts.withColumn("__g", F.floor(F.col("__r") / GROUP))
+    groups = counts.groupBy("__s", "__g").agg(F.sum("__n").alias("__n")).select("__s", "__g", _before(["__s"], "__g").alias("__base"))
+    starts = counts.withColumn("__in", _before(["__s", "__g"], "__r")).join(groups, ["__s", "__g"]).select("__s", "__r", (F.col("__base") + F.col("__in")).alias("__start"))
     nth = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__u", *[F.col("row")[i] for i in ids], F.xxhash64("row")))
     placed = keyed.withColumn("__k", nth).join(starts, ["__s", "__r"]).withColumn("__at", F.col("__start") + F.col("__k") - 1)
     placed = placed.withColumn("__j", F.floor(F.col("__at") / block)).withColumn("mix_place", (F.col("__at") % block).cast("int"))

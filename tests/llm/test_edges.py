@@ -116,6 +116,19 @@ def test_mix_keeps_old_columns(spark):
     assert max(r.mix_slot for r in got if r.source == "a") < min(r.mix_slot for r in got if r.source != "a")
 
 
+def test_mix_keeps_names_with_dots(spark):
+    got = mixing.mix(documents(spark).withColumn("a.b", F.lit("y")), {"a": 1.0}, block=2)
+    assert "a.b" in got.columns and {r["a.b"] for r in got.collect()} == {"y"}
+
+
+def test_mix_sums_ranges_in_groups(spark, monkeypatch):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    whole = sorted(map(tuple, mixing.mix(docs, mixing.by_power(0.5), block=4, per_range=5).collect()))
+    monkeypatch.setattr(mixing, "GROUP", 7)
+    assert sorted(map(tuple, mixing.mix(docs, mixing.by_power(0.5), block=4, per_range=5).collect())) == whole
+    assert sorted((r[-2], r[-1]) for r in whole) == sorted(set((r[-2], r[-1]) for r in whole)) and len(whole) == 600
+
+
 def test_redaction(spark):
     got = {r.doc_id: r.text for r in secretscan.redact(documents(spark)).collect()}
     assert got[None] == "a row without an id but with [SECRET]" and got[4] is None and got[6] == LONG
