@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from serploom.llm import brown, decontam, langid, mixing, qrules, quality, secretscan, simhash, urlfilter, warc
+from serploom.llm import brown, centroids, collocations, decontam, langid, mixing, qrules, quality, secretscan, shards, simhash, urlfilter, warc
 from serploom.session import scan
 
 RULES = [
@@ -61,11 +61,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_simhash_dedup, op3_url_filter, op4_source_mix, op5_secret_scan, op6_quality_rules, op7_warc, op8_decontamination, op9_lm_scoring, op10_quality_classifier)
+    for f in (
+        op1_language_id, op2_simhash_dedup, op3_url_filter, op4_source_mix, op5_secret_scan, op6_quality_rules, op7_warc, op8_decontamination, op9_lm_scoring, op10_quality_classifier,
+        op11_collocations, op12_centroid_clusters, op13_feistel_shards,
+    )
 }
 
+#: What op12 starts from and ends with.
+_CLUSTERS, _ROUNDS, _PARTS = 8, 10, 64
 _WORD = r"[^\x20\x09-\x0D]+"
 _STOP = ", ".join(f"'{w}'" for w in qrules.STOP_WORDS)
 _LOWER = f"'{qrules.UPPER}', '{qrules.LOWER}'"
@@ -127,4 +144,57 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM d""",
+    "op11_collocations": rf"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+        ), total AS (
+            SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+        ), grams AS (
+            SELECT lang, m, g, count(*) AS f FROM (
+                SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i : i + m - 1])) AS g FROM w, range(1, 5) AS s(m)
+            ) GROUP BY lang, m, g
+        ), c AS (
+            SELECT lang, m, g, f AS a FROM grams WHERE m >= 2 AND f >= 30
+        ), longer AS (
+            SELECT lang, g[i : j] AS part, max(a) AS b FROM c, range(1, 4) AS s(i), range(2, 5) AS t(j) WHERE i < j AND j <= m AND j - i + 1 < m GROUP BY lang, part
+        ), kept AS (
+            SELECT c.* FROM c LEFT JOIN longer ON c.lang = longer.lang AND c.g = longer.part WHERE b IS NULL OR 100 * b < 80 * a
+        ), cuts AS (
+            SELECT kept.*, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+            FROM kept, range(1, 4) AS t(k)
+            JOIN grams x ON x.lang = kept.lang AND x.g = kept.g[1 : k] JOIN grams y ON y.lang = kept.lang AND y.g = kept.g[k + 1 : kept.m] WHERE k < kept.m
+        ), best AS (
+            SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+        )
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+        ) JOIN total USING (lang) WHERE rank <= 2000""",
+    "op12_centroid_clusters": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = {_PARTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {_PARTS}
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL ORDER BY c LIMIT {_CLUSTERS}
+        ), """
+    + ", ".join(
+        f"""a{k} AS MATERIALIZED (
+            SELECT id, arg_min(c, d * {_CLUSTERS} + c) AS c, min(d) AS d FROM (
+                SELECT id, c, list_sum(list_transform(list_zip(kept.v, c{k}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{k}
+            ) GROUP BY id
+        ), s{k} AS MATERIALIZED (
+            SELECT c, list(m ORDER BY i) AS v FROM (
+                SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+                FROM (SELECT c, unnest(v) AS x, unnest(range({_PARTS})) AS i FROM a{k} JOIN kept USING (id)) GROUP BY c, i
+            ) GROUP BY c
+        ), c{k + 1} AS MATERIALIZED (
+            SELECT c{k}.c, coalesce(s{k}.v, c{k}.v)::BIGINT[] AS v FROM c{k} LEFT JOIN s{k} USING (c)
+        )"""
+        for k in range(_ROUNDS + 1)
+    )
+    + f"""
+        SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c{_ROUNDS}.v, ',')) AS centroid_sha256
+        FROM a{_ROUNDS} JOIN kept USING (id) JOIN c{_ROUNDS} USING (c)""",
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from serploom.llm import brown, decontam, langid, mixing, neardup, qrules, quality, secretscan, simhash, urlfilter, warc
+from serploom.llm import brown, centroids, collocations, decontam, langid, mixing, neardup, qrules, quality, secretscan, shards, simhash, urlfilter, warc
 
 LONG = "the long words of a text that goes on and on, " * 4000
 ROWS = [
@@ -44,7 +44,17 @@ def pages(spark, rows=None):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in CLASH})
 
 
+def vectors(spark, rows=None):
+    nan, inf = float("nan"), float("inf")
+    rows = rows if rows is not None else [(1, [0.5, 1.0]), (1, [0.5, 1.0]), (2, [-0.25, 0.125]), (3, None), (4, []), (5, [1.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 0.0]), (None, [9.0, 9.0]), (9, [-0.0, 0.0])]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in [*CLASH, "cluster", "distance", "was", "upper", "lower"]})
+
+
 OPERATORS = {
+    "collocations": lambda s, e: collocations.mine(documents(s, [] if e else ROWS), least=2, buckets=64),
+    "shards": lambda s, e: shards.assign(documents(s, [] if e else ROWS)),
+    "shuffled": lambda s, e: shards.shuffled(documents(s, [] if e else ROWS)),
+    "centroids": lambda s, e: centroids.cluster(vectors(s, [] if e else None), k=3, parts=2),
     "langid": lambda s, e: langid.identify(documents(s, [] if e else ROWS)),
     "simhash": lambda s, e: simhash.near_duplicates(documents(s, [] if e else ROWS)),
     "qrules": lambda s, e: qrules.judge(documents(s, [] if e else ROWS)),
@@ -58,7 +68,7 @@ OPERATORS = {
     "urls": lambda s, e: urlfilter.judge(pages(s, [] if e else None), [urlfilter.Rule("block", "net", "/")]),
     "warc": lambda s, e: warc.round_trip(pages(s, [] if e else None)),
 }
-ONE_EACH = {"langid", "simhash", "qrules", "secrets", "redact", "brown", "quality", "mix"}
+ONE_EACH = {"shards", "shuffled", "langid", "simhash", "qrules", "secrets", "redact", "brown", "quality", "mix"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
