@@ -11,7 +11,7 @@ from serploom.session import session
 
 
 #: Layers that a verb can have.
-OPTIONAL = {"analyze": ("more", "sims", "quality", "votes", "satisfaction", "types", "cells"), "compare": ("authority",)}
+OPTIONAL = {"analyze": ("more", "sims", "quality", "votes", "satisfaction", "types", "cells", "intents", "embeddings", "entities", "triples", "aliases", "stats", "links", "keywords", "crux"), "compare": ("authority",)}
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -26,12 +26,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         v.add_argument("--out", required=True)
         if verb == "analyze":
             v.add_argument("--salient", action="store_true", help="salient-term coverage of the run's own pages")
+            v.add_argument("--meaning", action="store_true", help="passages against keyword and intents, by embeddings where a run has them all, else by TF-IDF")
     a = p.parse_args(args)
     spark = spark or session()
     read = lambda n: spark.read.parquet(getattr(a, n))
     layers = {n: read(n) for n in OPTIONAL.get(a.verb, ()) if getattr(a, n)}
     if a.verb == "analyze":
-        out = plans.analyze(read("requests"), read("items"), read("pages"), **layers, salient=a.salient)
+        out = plans.analyze(read("requests"), read("items"), read("pages"), **layers, salient=a.salient, meaning=a.meaning)
     elif a.verb == "compare":
         out = plans.compare(read("before"), read("after"), **layers)
     else:

@@ -190,6 +190,12 @@ def slug_text(url: Column | str) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(path_of(url), r"(?i)\.(html?|php|aspx?)$", ""), "[-_/]+", " ")))
 
 
+def origin_of(url: Column | str) -> Column:
+    """scheme://host:port of an absolute url, else null."""
+    shape = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)"
+    return F.when(col(url).rlike(shape), F.concat(F.lower(F.regexp_extract(col(url), shape, 1)), F.lit("://"), F.regexp_extract(col(url), shape, 2)))
+
+
 def topic_from_url(url: Column | str) -> Column:
     """The last path segment that isn't a number, in words."""
     parts = F.filter(F.split(F.regexp_replace(path_of(url), r"\.[a-z0-9]{2,5}$", ""), "/"), lambda s: (s != "") & ~s.rlike(r"^\d+$"))

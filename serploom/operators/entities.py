@@ -17,6 +17,11 @@ META_ATTRIBUTES = (
     "datepublished datemodified datecreated uploaddate inlanguage language url headline wordcount articlesection position item nextitem previousitem previtem identifier "
     "mainentityofpage ispartof potentialaction thumbnailurl thumbnail contenturl embedurl commentcount articlebody publisher author slug permalink canonical robots image logo sameas"
 ).split()
+# Words of a keyword that name no topic, and words that never tell entities apart.
+KEYWORD_MODIFIERS = "best top cheap cheapest affordable good great near me review reviews buy vs versus how what the a an of for in on to and or with".split()
+GENERIC = "the a an and or of for with in on at to".split()
+#: A target's page of so many characters has entities or facts if it was read.
+READABLE = 300
 #: Caps of the three views, graded consensus, families whose subject value is a range.
 MOST_COVERAGE, MOST_EAV, MOST_ADD, GRADED = 60, 400, 25, 2
 RANGE_FAMILIES = ["price", "rating", "experience", "warranty"]
@@ -67,57 +72,82 @@ def _of_run(rows: DataFrame, keyword: str | DataFrame) -> DataFrame:
     return rows.withColumn("__keyword", F.lit(keyword)) if isinstance(keyword, str) else rows.join(keyword.select("run_id", F.col("keyword").alias("__keyword")), "run_id")
 
 
-def alias_map(entities: DataFrame, keyword: str | DataFrame, generic: list[str] | None = None) -> DataFrame:
+def keyword_stems(keyword: Column | str) -> Column:
+    """Stems of a keyword's words, its modifiers left out."""
+    return F.array_distinct(F.transform(F.filter(T.tokens(keyword), lambda w: ~w.isin(KEYWORD_MODIFIERS)), T.stem))
+
+
+def _place(rank: str = "rank", ord_: str = "ord") -> Column:
+    """The order in which a run's mentions are seen: ranked pages, then the target's."""
+    return F.struct((F.col(rank) == 0).alias("target"), F.col(rank).alias("rank"), F.col(ord_).alias("ord"))
+
+
+def alias_map(entities: DataFrame, keyword: str | DataFrame) -> DataFrame:
     """run_id, canon, winner: keys with the same distinctive core count as one.
 
-    The core is the set of word stems less keyword stems and stop words. Persons and locations never merge; a word that is a number or of two letters keeps its entity apart.
-    The winner is on most pages, then longest, then first by name.
+    The core is the set of word stems less the keyword's stems, the words of the run's organisations and stop words, so that a maker's name makes no difference. Those words are gathered once for each
+    run and travel with its entities; cores meet as sets. Persons and locations never merge, an entity's class being that of its most frequent type. A word that is a number keeps its entity apart, as does a
+    distinctive one of one or two letters. The winner is on most pages, then longest, then seen first.
     """
-    keep = T.KEYWORD_STOP + (generic or [])
-    key_stems = F.transform(T.tokens("__keyword"), T.stem)
-    words = F.split("canon", " ")
-    pages = _of_run(entities.withColumn("cls", T.type_class("type")).groupBy("run_id", "canon").agg(F.count_distinct("rank").alias("pages"), F.min("cls").alias("cls")), keyword)
-    core = F.array_sort(F.array_except(F.array_distinct(F.transform(F.filter(words, lambda w: ~w.isin(keep)), T.stem)), key_stems))
-    open_ = ~F.col("cls").isin("person", "loc") & ~F.exists(words, lambda w: w.rlike(r"^\d+$") | (F.length(w) <= 2)) & (F.size(core) > 0)
-    cored = pages.filter(open_).withColumn("core", F.concat_ws(" ", core))
-    won = cored.groupBy("run_id", "core").agg(F.max_by("canon", F.struct("pages", F.length("canon"))).alias("winner"), F.count("*").alias("k")).filter("k > 1")
+    kinds = entities.groupBy("run_id", "canon", "type").agg(F.count("*").alias("c"), F.min(_place()).alias("first"))
+    usual = F.min_by("type", F.when(F.coalesce("type", F.lit("")) != "", F.struct(-F.col("c"), "first")))
+    seen = kinds.groupBy("run_id", "canon").agg(T.type_class(usual).alias("cls"), F.min("first").alias("first"))
+    pages = entities.groupBy("run_id", "canon").agg(F.count_distinct("rank").alias("pages")).join(seen, ["run_id", "canon"]).withColumn("words", F.split("canon", " "))
+    brands = pages.filter("cls = 'org'").select("run_id", F.explode("words").alias("w")).groupBy("run_id").agg(F.collect_set("w").alias("brand"))
+    all_ = _of_run(pages.join(brands, "run_id", "left"), keyword).withColumns({"brand": F.coalesce("brand", F.array().cast("array<string>")), "key": keyword_stems("__keyword")})
+    own = F.filter("words", lambda w: ~(F.array_contains("key", T.stem(w)) | w.isin(GENERIC) | F.array_contains("brand", w)))
+    cored = all_.filter(~F.col("cls").isin("person", "loc") & ~F.exists("words", lambda w: w.rlike(r"^\d+$"))).withColumn("own", own).filter((F.size("own") > 0) & ~F.exists("own", lambda w: F.length(w) <= 2))
+    cored = cored.withColumn("core", F.array_sort(F.array_distinct(F.transform("own", T.stem))))
+    won = cored.groupBy("run_id", "core").agg(F.min_by("canon", F.struct(-F.col("pages"), -F.length("canon"), "first")).alias("winner"), F.count("*").alias("k")).filter("k > 1")
     return cored.join(won, ["run_id", "core"]).select("run_id", "canon", "winner")
 
 
 def topic_canons(entities: DataFrame, keyword: str | DataFrame) -> DataFrame:
     """run_id, canon of entities that are the topic: their stems are the keyword's, or two or more of them."""
-    key = F.array_distinct(F.transform(T.tokens("__keyword"), T.stem))
     own = F.array_distinct(F.transform(F.split("canon", " "), T.stem))
-    rest = F.size(F.array_except(own, key))
-    return _of_run(entities.select("run_id", "canon").distinct(), keyword).filter((rest == 0) & ((F.size(own) == F.size(key)) | (F.size(own) >= 2))).select("run_id", "canon")
+    rows = _of_run(entities.select("run_id", "canon").distinct(), keyword).withColumns({"own": own, "key": keyword_stems("__keyword")})
+    return rows.filter((F.size(F.array_except("own", "key")) == 0) & ((F.size("own") == F.size("key")) | (F.size("own") >= 2))).select("run_id", "canon")
+
+
+def site_label(domain: Column | str) -> Column:
+    """The first label of a domain, www. apart."""
+    return F.split(F.regexp_replace(F.lower(T.strip(F.coalesce(T.col(domain), F.lit("")))), r"^www\.", ""), r"\.")[0]
 
 
 def site_brand(canon: Column, label: Column) -> Column:
     """Whether an entity's name is a site's own: run together (4 letters or more) it and the label contain each other, its initials (3 or more) begin the label, or two of its words of 4 letters or more are in it."""
     words = F.split(canon, " ")
-    glued, initials = F.regexp_replace(canon, "[^a-z0-9]", ""), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    held = (F.length(glued) >= 4) & (label != "") & (F.contains(label, glued) | F.contains(glued, label))
-    return held | ((F.length(initials) >= 3) & F.startswith(label, initials)) | (F.size(F.filter(words, lambda w: (F.length(w) >= 4) & F.contains(label, w))) >= 2)
+    glued, initials = F.replace(canon, F.lit(" "), F.lit("")), F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    held = (F.length(glued) >= 4) & (F.contains(label, glued) | F.contains(glued, label))
+    return (label != "") & (held | ((F.length(initials) >= 3) & F.startswith(label, initials)) | (F.size(F.filter(words, lambda w: (F.length(w) >= 4) & F.contains(label, w))) >= 2))
 
 
 def provider_canons(entities: DataFrame, triples: DataFrame, sites: DataFrame) -> DataFrame:
-    """run_id, canon of entities that are a page's own business rather than a thing that pages write about. sites: run_id, rank, domain.
+    """run_id, rank, canon of entities that are a page's own business rather than a thing that pages write about. sites: run_id, rank, domain.
 
-    By name, see site_brand. Or by facts: two kinds of contact fact while on few brand pages, at most one or 15 percent. Never locations.
+    By name, see site_brand: an entity against the site of the page that mentions it. Or by facts: two contact facts on the page, while on few ranked pages, at most one or 15 percent. Never locations.
     """
-    kinds = entities.withColumn("cls", T.type_class("type")).groupBy("run_id", "canon").agg(F.count_distinct(F.when(F.col("rank") > 0, F.col("rank"))).alias("pages"), F.bool_or(F.col("cls") == "loc").alias("loc")).filter("not loc")
-    labels = sites.select("run_id", T.alnum(T.sld_label("domain")).alias("label")).distinct()
-    named = kinds.join(labels, "run_id").filter(site_brand(F.col("canon"), F.col("label"))).select("run_id", "canon")  # within a run: entities of a result page against its sites
+    own = entities.select("run_id", "rank", "canon", T.type_class("type").alias("cls")).filter("cls <> 'loc'").distinct()
+    label = sites.select("run_id", "rank", site_label("domain").alias("label"))
     n = sites.filter("rank > 0").groupBy("run_id").agg(F.count_distinct("rank").alias("n"))
-    contact = triples.filter(T.attr_family("attribute").isin(CONTACT_FAMILIES)).groupBy("run_id", "canon").agg(F.count_distinct(T.attr_family("attribute")).alias("k")).filter("k >= 2")
-    facts = kinds.join(contact, ["run_id", "canon"]).join(n, "run_id").filter(F.col("pages") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.15, 0))).select("run_id", "canon")
-    return named.union(facts).distinct()
+    spread = entities.filter("rank > 0").groupBy("run_id", "canon").agg(F.count_distinct("rank").alias("pages"))
+    contact = triples.filter(~F.col("is_edge") & T.attr_family("attribute").isin(CONTACT_FAMILIES)).groupBy("run_id", "rank", "canon").agg(F.count("*").alias("k"))
+    all_ = own.join(label, ["run_id", "rank"], "left").join(contact, ["run_id", "rank", "canon"], "left").join(spread, ["run_id", "canon"], "left").join(n, "run_id", "left")
+    few = F.coalesce("pages", F.lit(0)) <= F.greatest(F.lit(1), F.bround(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) * 0.15, 0))
+    return all_.filter(site_brand(F.col("canon"), F.coalesce("label", F.lit(""))) | ((F.coalesce("k", F.lit(0)) >= 2) & few)).select("run_id", "rank", "canon").distinct()
+
 
+def to_subject(triples: DataFrame, subjects: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Triples of topic entities (run_id, canon), and on their own pages those of providers (own: run_id, rank, canon), become facts about the page's own subject."""
+    out = triples.join(subjects.select("run_id", "canon", F.lit(True).alias("__topic")).distinct(), ["run_id", "canon"], "left")
+    out = out.withColumn("__own", F.lit(None).cast("boolean")) if own is None else out.join(own.select("run_id", "rank", "canon", F.lit(True).alias("__own")).distinct(), ["run_id", "rank", "canon"], "left")
+    return out.withColumn("canon", F.when(F.coalesce("__topic", "__own"), SUBJECT).otherwise(F.col("canon"))).drop("__topic", "__own")
 
-def to_subject(triples: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Triples of topic and provider entities (run_id, canon) become facts about the page's own subject."""
-    own = subjects.select("run_id", "canon", F.lit(True).alias("__own")).distinct()
-    return triples.join(own, ["run_id", "canon"], "left").withColumn("canon", F.when(F.col("__own"), SUBJECT).otherwise(F.col("canon"))).drop("__own")
+
+def unread_targets(bodies: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """run_id of targets whose page has text (READABLE characters or more) but neither an entity nor a fact: they weren't read, so nothing about them is graded."""
+    found = entities.filter("rank = 0").select("run_id").union(triples.filter("rank = 0").select("run_id"))
+    return bodies.filter((F.col("rank") == 0) & (F.length("body") >= READABLE)).select("run_id").distinct().join(found, "run_id", "left_anti")
 
 
 def consensus(cells: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -154,28 +184,35 @@ def gap(graded: Column, entity_present: Column, present: Column, value: Column,
     return F.when(~graded, "").when(present & (v != ""), F.when(T.values_match(value, wanted), "").otherwise(off)).when(~entity_present, "missing_entity").when(~present, "missing_attribute").otherwise("missing_value")
 
 
-def eav_rows(triples: DataFrame, entities: DataFrame, third_party: DataFrame | None = None) -> DataFrame:
+def eav_rows(triples: DataFrame, entities: DataFrame, unread: DataFrame | None = None) -> DataFrame:
     """run_id, canon, attribute, is_edge, consensus, consensus_value, target_value, graded, gap: facts of brands against the target's (rank 0).
 
-    triples carry SUBJECT as canon where the page's own topic or provider is meant. third_party: run_id, canon of other businesses, whose contact facts aren't graded.
+    triples carry SUBJECT as canon where the page's own topic or provider is meant. Facts count by attribute family, relations by their own name. A fact about the subject that the target states of any of its entities
+    is stated. Contact facts of others are never graded, nor is anything of an unread target (run_id), see unread_targets.
     """
-    t = triples.withColumn("attribute", T.attr_family("attribute")).groupBy("run_id", "rank", "canon", "attribute").agg(F.min_by("value", F.struct("ord")).alias("value"), F.bool_or("is_edge").alias("is_edge"))
+    family = F.when(F.col("is_edge"), F.col("attribute")).otherwise(T.attr_family("attribute"))
+    t = triples.withColumn("attribute", family).groupBy("run_id", "rank", "canon", "attribute").agg(F.min_by("value", "ord").alias("value"), F.min_by("is_edge", "ord").alias("is_edge"), F.min("ord").alias("ord"))
     keys = ["run_id", "canon", "attribute"]
-    c = consensus(t, keys).join(t.groupBy(*keys).agg(F.bool_or("is_edge").alias("is_edge")), keys)
-    own = t.filter("rank = 0").select(*keys, F.col("value").alias("target_value"), F.lit(True).alias("present"))
+    ranked = t.filter("rank > 0").groupBy(*keys).agg(F.bool_or("is_edge").alias("is_edge"))
+    c = consensus(t, keys).join(ranked, keys)
+    target = t.filter("rank = 0")
+    own = target.select(*keys, F.col("value").alias("own_value"), F.lit(True).alias("own"))
+    any_ = target.filter("not is_edge").groupBy("run_id", "attribute").agg(F.min_by("value", "ord").alias("any_value")).withColumn("canon", F.lit(SUBJECT))
     there = entities.filter("rank = 0").select("run_id", "canon", F.lit(True).alias("entity_present")).distinct()
     has = entities.filter("rank = 0").select("run_id").union(triples.filter("rank = 0").select("run_id")).distinct().withColumn("has_target", F.lit(True))
-    out = c.join(own, keys, "left").join(there, ["run_id", "canon"], "left").join(has, "run_id", "left")
-    out = out.withColumn("other", F.lit(False)) if third_party is None else out.join(third_party.select("run_id", "canon", F.lit(True).alias("other")).distinct(), ["run_id", "canon"], "left")
-    subject = F.col("canon") == SUBJECT
+    out = c.join(own, keys, "left").join(any_, keys, "left").join(there, ["run_id", "canon"], "left").join(has, "run_id", "left")
+    out = out.withColumn("unread", F.lit(False)) if unread is None else out.join(unread.select("run_id", F.lit(True).alias("unread")).distinct(), "run_id", "left")
+    subject, no = F.col("canon") == SUBJECT, F.lit(False)
+    out = out.withColumns({"target_value": F.coalesce("own_value", "any_value"), "present": F.coalesce("own", no) | F.col("any_value").isNotNull()})
     ranged = range_display(F.col("lo"), F.col("hi"), F.col("n_numbers"), F.col("dollar"))
     each = F.when(F.col("n_values") >= 2, "each page states its own").otherwise(F.col("modal_value"))
-    wanted = F.when(subject, F.when(F.col("attribute").isin(RANGE_FAMILIES), F.coalesce(ranged, each)).otherwise(each)).otherwise(F.col("modal_value"))
-    no = F.lit(False)
-    graded = F.coalesce("has_target", no) & (F.col("consensus") >= GRADED) & ~(F.coalesce("other", no) & F.col("attribute").isin(CONTACT_FAMILIES))
+    of_subject = F.when(F.col("attribute").isin(RANGE_FAMILIES), F.coalesce(ranged, each)).otherwise(each)
+    wanted = F.when(subject & ~F.col("is_edge"), of_subject).otherwise(F.col("modal_value"))
+    contact = ~subject & ~F.col("is_edge") & F.col("attribute").isin(CONTACT_FAMILIES)
+    graded = F.coalesce("has_target", no) & ~F.coalesce("unread", no) & (F.col("consensus") >= GRADED) & ~contact
     out = out.withColumns({"consensus_value": wanted, "graded": graded})
-    entity_there = F.coalesce("entity_present", no) | F.coalesce("present", no) | subject
-    return out.withColumn("gap", gap(F.col("graded"), entity_there, F.coalesce("present", no), F.col("target_value"), F.col("modal_value"), subject, F.col("backing"))).select(*keys, "is_edge", "consensus", "backing", "consensus_value", "target_value", "graded", "gap")
+    entity_there = F.coalesce("entity_present", no) | subject
+    return out.withColumn("gap", gap(F.col("graded"), entity_there, F.col("present"), F.col("target_value"), F.col("modal_value"), subject, F.col("backing"))).select(*keys, "is_edge", "consensus", "backing", "consensus_value", "target_value", "graded", "gap")
 
 
 def eav_order(rows: DataFrame, most: int = MOST_EAV) -> DataFrame:
@@ -190,19 +227,37 @@ def matrix(rows: DataFrame, pages: DataFrame, cells: DataFrame, keys: list[str])
     return rows.select("run_id", *keys).distinct().join(pages.select("run_id", "rank").distinct(), "run_id").join(cells, ["run_id", "rank", *keys], "left")
 
 
+def said_in(forms: DataFrame, bodies: DataFrame) -> DataFrame:
+    """run_id, rank, canon: whose forms (run_id, canon, form) stand in a page's body (run_id, rank, body) as whole words; forms of under 3 letters don't count.
+
+    A form's first word is a word of the page, so words are what they are joined by; a page's candidates come back to its body once, and only they are looked for.
+    """
+    word = r"([\p{L}\p{N}_]+)"
+    listed = forms.select("run_id", "canon", F.lower("form").alias("form")).filter(F.length("form") >= 3).distinct().withColumn("w", F.regexp_extract("form", word, 1))
+    words = bodies.select("run_id", "rank", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(word), F.lit(1)))).alias("w"))
+    maybe = words.join(listed.filter("w <> ''"), ["run_id", "w"]).groupBy("run_id", "rank").agg(F.collect_set(F.struct("canon", "form")).alias("maybe"))  # a page's, of its run's entities
+    at = bodies.select("run_id", "rank", F.lower("body").alias("__low")).join(maybe, ["run_id", "rank"])
+    held = F.filter("maybe", lambda m: F.contains(F.col("__low"), m["form"]) & (F.regexp_count(F.col("__low"), presence_pattern(m["form"])) > 0))
+    return at.select("run_id", "rank", F.explode(F.array_distinct(F.transform(held, lambda m: m["canon"]))).alias("canon"))
+
+
 def coverage_cells(entities: DataFrame, bodies: DataFrame) -> DataFrame:
-    """run_id, rank, canon, name, max_salience, present: every entity of a run against every page of it, by mention or by a whole-word match of a form of 3 letters or more."""
+    """run_id, rank, canon, name, max_salience, present: every entity of a run against every page of it, by mention or by a whole-word match of any form of 3 letters or more."""
     names = entities.groupBy("run_id", "canon").agg(F.max_by("name", F.struct("salience", -F.col("rank"))).alias("name"), F.max("salience").alias("max_salience"))
-    pairs = names.join(bodies.select("run_id", "rank", F.lower("body").alias("body")), "run_id")
-    said = entities.select("run_id", "rank", "canon", F.lit(True).alias("said")).distinct()
-    form = lambda n: (F.length(n) >= 3) & F.contains(F.col("body"), F.lower(n)) & (F.regexp_count(F.col("body"), presence_pattern(n)) > 0)
-    cells = pairs.join(said, ["run_id", "rank", "canon"], "left")
-    return cells.select("run_id", "rank", "canon", "name", "max_salience", (F.coalesce("said", F.lit(False)) | form(F.col("name")) | form(F.col("canon"))).alias("present"))
+    forms = entities.select("run_id", "canon", F.explode(F.array("name", "canon")).alias("form"))
+    found = entities.select("run_id", "rank", "canon").union(said_in(forms, bodies)).distinct().withColumn("said", F.lit(True))
+    cells = names.join(bodies.select("run_id", "rank"), "run_id").join(found, ["run_id", "rank", "canon"], "left")
+    return cells.select("run_id", "rank", "canon", "name", "max_salience", F.coalesce("said", F.lit(False)).alias("present"))
 
 
 def coverage(entities: DataFrame, bodies: DataFrame, most: int = MOST_COVERAGE) -> DataFrame:
     """run_id, canon, name, consensus, target_present, max_salience, place: the first ``most`` entities of a run by consensus, then salience."""
-    rows = coverage_cells(entities, bodies).groupBy("run_id", "canon", "name", "max_salience").agg(F.count_if(F.col("present") & (F.col("rank") > 0)).alias("consensus"), F.bool_or(F.col("present") & (F.col("rank") == 0)).alias("target_present"))
+    return covered(coverage_cells(entities, bodies), most)
+
+
+def covered(cells: DataFrame, most: int = MOST_COVERAGE) -> DataFrame:
+    """The rows of ``coverage`` from its cells."""
+    rows = cells.groupBy("run_id", "canon", "name", "max_salience").agg(F.count_if(F.col("present") & (F.col("rank") > 0)).alias("consensus"), F.bool_or(F.col("present") & (F.col("rank") == 0)).alias("target_present"))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("consensus"), F.desc("max_salience"), "canon"))
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
@@ -215,7 +270,7 @@ def must_add(covered: DataFrame, pages: DataFrame, sites: DataFrame | None = Non
     need = F.greatest(F.lit(3), F.bround(F.col("n") * 0.5, 0))
     short = covered.join(pages, "run_id").filter(~F.col("target_present") & (F.col("consensus") >= need))
     if sites is not None:
-        labels = sites.select("run_id", T.alnum(T.sld_label("domain")).alias("__label")).filter("__label <> ''").distinct()
+        labels = sites.select("run_id", site_label("domain").alias("__label")).filter("__label <> ''").distinct()
         rivals = short.select("run_id", "canon").join(labels, "run_id").filter(site_brand(F.col("canon"), F.col("__label"))).select("run_id", "canon").distinct()
         short = short.join(rivals, ["run_id", "canon"], "left_anti")
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("place"))

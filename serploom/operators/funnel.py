@@ -116,8 +116,11 @@ def access_gate(scores: DataFrame, fetched: DataFrame, values: DataFrame) -> Dat
     return both.select("run_id", "rank", F.coalesce((F.col("score") + F.col("f")) / 2, "f", "score").alias("score"))
 
 
-def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | None = None, cells: DataFrame | None = None, types: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """run_id, rank, gate, score of all eight gates, as far as there is something to judge them by. cells: run_id, rank, canon, present of the entity table's coverage rows."""
+def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | None = None, cells: DataFrame | None = None, types: DataFrame | None = None, targets: DataFrame | None = None, unread: DataFrame | None = None) -> DataFrame:
+    """run_id, rank, gate, score of all eight gates, as far as there is something to judge them by. cells: run_id, rank, canon, present of the entity table's coverage rows.
+
+    unread: run_id of runs whose target wasn't read for entities; they have no entity gate.
+    """
     scores = gate_scores(values, definitions)
     parts = [scores.filter(~F.col("gate").isin("access", "entities"))]
     named = lambda df, g: df.select("run_id", "rank", F.lit(g).alias("gate"), "score")
@@ -126,7 +129,7 @@ def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | No
     entity = scores.filter("gate = 'entities'").select("run_id", "rank", "score")
     if cells is not None:
         entity = entity.union(cells.groupBy("run_id", "rank").agg((F.avg(F.col("present").cast("double")) * 100).alias("score"))).groupBy("run_id", "rank").agg(F.avg("score").alias("score"))
-    parts.append(named(entity, "entities"))
+    parts.append(named(entity if unread is None else entity.join(unread.select("run_id"), "run_id", "left_anti"), "entities"))
     if types is not None:
         parts.append(named(intent_gate(types), "intent"))
     parts.append(named(engagement_gate(values, targets), "engagement"))
@@ -148,9 +151,11 @@ def verdict(score: Column) -> Column:
     return F.when(score.isNull(), "n/a").when(score >= PASS, "pass").when(score >= WEAK, "weak").otherwise("fail")
 
 
-def funnel(pages: DataFrame, run: str = "run_id") -> DataFrame:
-    """run, gate, ord, score, weight, verdict of the target: its percentile among the ranked pages of each gate."""
+def funnel(pages: DataFrame, run: str = "run_id", unread: DataFrame | None = None) -> DataFrame:
+    """run, gate, ord, score, weight, verdict of the target: its percentile among the ranked pages of each gate; the entity gate of an unread target (run) is n/a."""
     p = percentile(pages, [run, "gate"], "score", "pct").filter("rank = 0").select(run, "gate", F.col("pct").alias("score"))
+    if unread is not None:
+        p = p.unionByName(unread.select(run, F.lit("entities").alias("gate"), F.lit(None).cast("double").alias("score")).distinct())
     out = p.join(gate_weights(pages, run), [run, "gate"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.5)))
     return out.withColumn("verdict", verdict(F.col("score"))).withColumn("ord", F.array_position(F.array(*map(F.lit, GATES)), F.col("gate")))
 

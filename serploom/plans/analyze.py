@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from serploom.functions import text as T
 from serploom.operators import compare as C
 from serploom.operators import correlate as K
 from serploom.operators import corpus, factors, funnel, page, panels, registry, roadmap, topical
+from serploom.plans import layers
 from serploom.shared import written
 
 
@@ -43,11 +46,16 @@ def _factors(wanted: DataFrame, fetched: DataFrame, items: DataFrame, requests:
     return serp.unionByName(factors.page_factors(shown, keys)).unionByName(named)
 
 
-def analyze(requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataFrame | None = None, sims: DataFrame | None = None, quality: DataFrame | None = None, votes: DataFrame | None = None, satisfaction: DataFrame | None = None, types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False) -> dict[str, DataFrame]:
-    """factor_values, correlations, actions, scorecard, gates, overall, advantages.
+def analyze(
+    requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataFrame | None = None, sims: DataFrame | None = None, quality: DataFrame | None = None, votes: DataFrame | None = None, satisfaction: DataFrame | None = None,
+    types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None,
+    triples: DataFrame | None = None, aliases: DataFrame | None = None, stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """factor_values, correlations, actions, scorecard, gates, overall, advantages, and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...).
 
-    Optional layers, each a table keyed by run_id and rank: sims and salient (semantic), quality, votes and satisfaction (engagement), types (intent), cells (entity coverage), see
-    ``panels`` and ``funnel``. more: further long rows of the same columns as factor_values (off-page, entity factors). Measured values win over panels.
+    Optional layers, each off without its tables: sims and salient, or meaning with intents and embeddings (passages of the pages themselves); quality; votes and satisfaction (engagement); types (intent); cells,
+    or entities with triples and aliases (the entity table); stats and links (off-page); keywords (brand); crux (origin, payload, as captured; null where there was no record). See ``layers``, ``panels`` and ``funnel``.
+    more: further long rows of the same columns as factor_values. Measured values win over panels.
     """
     spark = requests.sparkSession
     definitions = F.broadcast(registry.factor_def(spark))  # one row per registered factor
@@ -55,17 +63,37 @@ def analyze(requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataF
     values = _factors(wanted, fetched, items, requests)
     values = values.unionByName(more) if more is not None else values
     extra = [panels.semantic_factors(sims) if sims is not None else None, panels.quality_factors(quality) if quality is not None else None, panels.engagement_factors(votes, satisfaction)]
+    found, unread = {}, None
+    heads = lambda n: F.array_join(F.transform(F.filter("p.headings", lambda h: h["level"] == n), lambda h: h["text"]), " ").alias(f"h{n}")
+    if salient or meaning or intents is not None or entities is not None:
+        seen = written(wanted.join(fetched, "url").select("run_id", "rank", "phrase", "domain", F.col("p.title").alias("title"), *map(heads, (1, 2, 3)), F.col("p.body").alias("body")), "shown")
     if salient:
-        extra.append(panels.salient_coverage(wanted.join(fetched, "url").select("run_id", "rank", F.col("p.body").alias("body"), "phrase")))
-    for rows in extra:
-        values = panels.backfilled(values, rows) if rows is not None else values
+        extra.append(panels.salient_coverage(seen.select("run_id", "rank", "body", "phrase")))
+    if meaning or intents is not None:
+        found |= {f"meaning_{k}": v for k, v in layers.meaning(requests, seen.select("run_id", "rank", "body"), intents, embeddings).items()}
+    if entities is not None:
+        none = spark.createDataFrame([], f"run_id {dict(entities.dtypes)['run_id']}, rank int, entity string, attribute string, value string, is_edge boolean, ord int")
+        table = layers.entity_table(requests, entities, none if triples is None else triples, seen.drop("phrase", "domain"), wanted.select("run_id", "rank", "domain"), aliases)
+        cells, unread = table["cells"] if cells is None else cells, table["unread"]
+        found |= {f"entities_{k}": v for k, v in table.items()}
+    if stats is not None:
+        found |= {f"links_{k}": v for k, v in layers.off_page(wanted.select("run_id", "rank", "url", "domain"), stats, links).items()}
+    if keywords is not None:
+        found |= {f"brand_{k}": v for k, v in layers.brand(wanted.select("run_id", "rank", "domain"), keywords).items()}
+    extra += [found.pop(k) for k in [k for k in found if k.endswith("_factors")]]
+    if crux is not None:
+        extra.append(layers.field_data(wanted.select("run_id", "rank", "url"), crux))
+    rows = [r.select("run_id", "rank", "factor_id", "value", F.lit(k).alias("layer")) for k, r in enumerate(r for r in extra if r is not None)]
+    if rows:
+        first = functools.reduce(DataFrame.unionByName, rows).groupBy("run_id", "rank", "factor_id").agg(F.min_by("value", "layer").alias("value"))
+        values = panels.backfilled(values, first.join(wanted.select("run_id", "rank", "url", "domain"), ["run_id", "rank"], "left"))
     values = written(values, "factor-values")
     correlations = K.correlate(values, definitions)
     targets = values.filter("rank = 0").select("run_id", "factor_id", "value")
     scored = roadmap.candidates(correlations, definitions, targets)
     got = items.select("run_id", "rank", "url").join(pages.groupBy("url").agg(F.bool_or("ok").alias("ok")), "url", "left").select("run_id", "rank", F.coalesce("ok", F.lit(False)).alias("ok"))
-    gates = funnel.all_gates(values, definitions, got, cells, types, funnel.located(items, requests))
-    verdicts = funnel.funnel(gates)
+    gates = written(funnel.all_gates(values, definitions, got, cells, types, funnel.located(items, requests), unread), "gates")
+    verdicts = funnel.funnel(gates, unread=unread)
     return {
         "factor_values": values,
         "correlations": K.ordered(correlations, definitions),
@@ -74,7 +102,7 @@ def analyze(requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataF
         "gates": verdicts,
         "overall": funnel.overall(verdicts),
         "advantages": funnel.advantages(gates),
-    }
+    } | found
 
 
 def compare(before: DataFrame, after: DataFrame, authority: DataFrame | None = None) -> dict[str, DataFrame]:

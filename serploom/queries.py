@@ -337,9 +337,44 @@ def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     return rounded(corpus.closest(left, right, "doc"))
 
 
-@query()
+def passages_sql(rows: str) -> str:
+    """Common table expressions that end in ps (id, pos, passage, n_words): passages of rows (id, text), numbered by recursion over their units."""
+    fold = """{name} AS (  -- which passage each unit goes to, and its words so far
+        SELECT g, i, n, 0 AS p, n AS size FROM {units} WHERE i = 1
+        UNION ALL SELECT u.g, u.i, u.n, CASE WHEN f.size >= 120 OR f.size + u.n > 180 THEN f.p + 1 ELSE f.p END, CASE WHEN f.size >= 120 OR f.size + u.n > 180 THEN u.n ELSE f.size + u.n END
+        FROM {name} f JOIN {units} u ON u.g = f.g AND u.i = f.i + 1)"""
+    return f"""
+    rw AS ({rows}),
+    pa AS (SELECT id, generate_subscripts(l, 1) AS b, unnest(l) AS t, len(l) AS of_ FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM rw)),
+    pw AS (SELECT *, len(regexp_split_to_array(t, '\\s+')) AS n FROM pa),
+    se AS (SELECT id, b, list_transform(list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) AS l FROM pw WHERE of_ = 1 OR n > 180),
+    ch AS (SELECT id, b, s, k, ws[k * 180 + 1 : k * 180 + 180] AS ws FROM (SELECT id, b, generate_subscripts(l, 1) AS s, unnest(l) AS ws FROM se), unnest(range((len(ws) + 179) // 180)) AS q(k)),
+    u1 AS MATERIALIZED (SELECT (id, b) AS g, row_number() OVER (PARTITION BY id, b ORDER BY s, k) AS i, array_to_string(ws, ' ') AS t, len(ws) AS n FROM ch),
+    {fold.format(name="f1", units="u1")},
+    q1 AS (SELECT g, p, string_agg(t, ' ' ORDER BY i) AS t, sum(u1.n) AS n FROM f1 JOIN u1 USING (g, i) GROUP BY g, p),
+    l1 AS (SELECT *, lead(t) OVER w AS nt, lead(n) OVER w AS nn, lag(n) OVER w AS ln, max(p) OVER (PARTITION BY g) AS mp FROM q1 WINDOW w AS (PARTITION BY g ORDER BY p)),
+    m1 AS (SELECT g, p, CASE WHEN p = mp - 1 AND nn < 60 AND n + nn <= 180 THEN t || ' ' || nt ELSE t END AS t, CASE WHEN p = mp - 1 AND nn < 60 AND n + nn <= 180 THEN n + nn ELSE n END AS n
+           FROM l1 WHERE NOT coalesce(p = mp AND n < 60 AND ln + n <= 180, false)),
+    u2 AS MATERIALIZED (SELECT id AS g, row_number() OVER (PARTITION BY id ORDER BY b, p) AS i, t, n FROM (
+           SELECT id, b, 0 AS p, t, n FROM pw WHERE of_ > 1 AND n <= 180 UNION ALL SELECT pw.id, pw.b, m1.p, m1.t, m1.n FROM m1 JOIN pw ON (pw.id, pw.b) = m1.g WHERE of_ > 1)),
+    {fold.format(name="f2", units="u2")},
+    ps AS (SELECT id, pos, passage, n_words FROM (
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS pos, t AS passage, n AS n_words FROM (
+            SELECT pw.id, m1.p, m1.t, m1.n FROM m1 JOIN pw ON (pw.id, pw.b) = m1.g WHERE of_ = 1
+            UNION ALL SELECT g, p, string_agg(t, chr(10) || chr(10) ORDER BY i), sum(u2.n) FROM f2 JOIN u2 USING (g, i) GROUP BY g, p)) WHERE pos < 60)"""
+
+
+# every fifth document in paragraphs: a blank line behind each of its lines
+_PARAGRAPHS = "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN replace(text, chr(10), chr(10) || ' ' || chr(10)) ELSE text END AS text FROM documents"
+
+
+@query(f"WITH RECURSIVE {passages_sql(_PARAGRAPHS)} SELECT id AS doc_id, pos::INT AS pos, passage, n_words::INT AS n_words FROM ps")
 def passage_pack(spark: SparkSession, d: str) -> DataFrame:
-    return semantic.passages(table(spark, d, "documents"), ["doc_id"])
+    return semantic.passages(_paragraphs(spark, d), ["doc_id"])
+
+
+def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("\n"), F.lit("\n \n"))).otherwise(F.col("text")).alias("text"))
 
 
 _SIM_SQL = """s AS (SELECT e.label AS page, e.vec_id AS pos, q.vec_id AS query_id,
@@ -350,7 +385,7 @@ _SIM_SQL = """s AS (SELECT e.label AS page, e.vec_id AS pos, q.vec_id AS query_i
 def _sims(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return semantic.similarities(e.select(F.col("label").alias("page"), F.col("vec_id").alias("pos"), "embedding"), queries)
+    return semantic.page_similarities(e.select(F.col("label").alias("page"), F.col("vec_id").alias("pos"), "embedding"), queries)
 
 
 @query(f"WITH {_SIM_SQL} SELECT page, query_id, round(max(sim) * 100, 6) AS best, round(avg(sim) * 100, 6) AS content_focus, arg_max(pos, sim * 1e9 - pos / 1e6) AS best_pos FROM s GROUP BY page, query_id")
@@ -363,9 +398,16 @@ def subintent_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(semantic.subintent_coverage(_sims(spark, d)))
 
 
-@query(f"WITH {_SIM_SQL} SELECT query_id, round(max(sim), 6) AS best FROM s GROUP BY query_id HAVING max(sim) < 0.35")
+# every other query turned round: nothing is close to it
+_TURNED_SQL = _SIM_SQL.replace("(SELECT * FROM embeddings WHERE vec_id % 20 = 0) q", "(SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 40 = 0 THEN -x ELSE x END) AS embedding FROM embeddings WHERE vec_id % 20 = 0) q")
+
+
+@query(f"WITH {_TURNED_SQL} SELECT query_id, round(max(sim), 6) AS best FROM s GROUP BY query_id HAVING max(sim) < 0.35")
 def open_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(semantic.open_gaps(_sims(spark, d)))
+    e = table(spark, d, "embeddings")
+    turned = F.when(F.col("vec_id") % 40 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), turned.alias("query"))
+    return rounded(semantic.open_gaps(semantic.page_similarities(e.select(F.col("label").alias("page"), F.col("vec_id").alias("pos"), "embedding"), queries)))
 
 
 # --- moves between two lists, as-of, authority

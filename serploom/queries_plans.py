@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from serploom.functions import text as T
-from serploom.operators import compare, corpus, entities, funnel, offpage, panels, registry, topical
+from serploom.operators import compare, corpus, entities, funnel, offpage, panels, registry, semantic, topical
 from serploom.plans import analyze as plans
-from serploom.queries import _GATES_SQL, _LINKS, _LISTS, _links, _moves, _supplier_values, _topic_pages, query, rounded, table
+from serploom.plans import layers
+from serploom.queries import _GATES_SQL, _LINKS, _LISTS, KEYWORD, _features_sql, _links, _moves, _supplier_values, _topic_pages, numbered, passages_sql, query, rounded, table
 
 # --- sitemaps: a region is an index of nations, a nation one of suppliers, a supplier lists its parts and, to make a cycle, its nation is listed by an index again
 
@@ -114,8 +115,8 @@ def semantic_factors(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "embeddings")
     queries = e.filter("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 20).alias("query_id"), F.col("embedding").alias("query"))
-    sims = semantic.similarities(e.select(F.struct("label", (F.col("vec_id") % 6).cast("int").alias("rank")).alias("page"), F.col("vec_id").alias("pos"), "embedding"), queries)
-    return rounded(panels.semantic_factors(sims.select(F.col("page.label").alias("run_id"), F.col("page.rank").alias("rank"), "pos", "query_id", "sim")))
+    sims = semantic.page_similarities(e.select(F.struct("label", (F.col("vec_id") % 6).cast("int").alias("rank")).alias("page"), F.col("vec_id").alias("pos"), "embedding"), queries)
+    return rounded(panels.semantic_factors(sims.select(F.col("page.label").alias("run_id"), F.col("page.rank").alias("rank"), "query_id", "m", (F.col("s") / F.col("n")).alias("mean"))))
 
 
 @query(f"""WITH {_PANEL_SQL}, old AS (SELECT run_id, rank, factor_id, -1.0 AS value FROM pf WHERE (run_id + rank) % 3 = 0)
@@ -299,3 +300,100 @@ def analyze_runs(spark: SparkSession, d: str) -> DataFrame:
     requests = runs.filter("rank = 0").select("run_id", words.alias("keyword"), F.col("url").alias("target_url"))
     fetched = p.select("url", "html", F.lit(5.0).alias("load_ms"), F.lit(True).alias("ok"))
     return plans.analyze(requests, items, fetched, salient=True)["overall"]
+
+
+# --- the layers out of whole plans: documents are pages of their source's run
+
+_INTENTS = [("Uses", "what is it used for"), ("uses", "again"), ("The and of", "le la que der die"), ("Trade", "")]
+_LETTERS = "etaoins "
+_INTENTS_SQL = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(_INTENTS))
+_COUNTS_SQL = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+
+
+def _document_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """requests, items and pages: a run for each source, its documents as the pages of its result list, the first as the target."""
+    rows = numbered(table(spark, d, "documents").select(F.col("source").alias("run_id"), "doc_id"), "run_id", "doc_id").withColumn("rank", F.col("rank") - 1)
+    url = F.concat(F.lit("https://d"), "doc_id", F.lit(".example.com/x"))
+    ranked = rows.select("run_id", "rank", url.alias("url"), F.concat(F.lit("d"), "doc_id", F.lit(".example.com")).alias("domain"), *[F.lit("").alias(c) for c in ("title", "snippet", "displayed_url")])
+    requests = ranked.filter("rank = 0").select("run_id", F.lit("the reth").alias("keyword"), F.col("url").alias("target_url"))
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    pages = table(spark, d, "documents").select(url.alias("url"), F.concat(F.lit("<html><body><p>"), safe, F.lit("</p></body></html>")).alias("html"), F.lit(None).cast("double").alias("load_ms"), F.lit(True).alias("ok"))
+    return requests, ranked.filter("rank > 0"), pages
+
+
+def _captured_meaning(spark: SparkSession, d: str, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """intents of all runs but src1's, and for runs of even number (but src2's passages, all but one) vectors of every text: how often some letters come."""
+    intents = requests.filter("run_id <> 'src1'").select("run_id", F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(a).alias("name"), F.lit(b).alias("description")) for k, (a, b) in enumerate(_INTENTS)])).alias("i")).select("run_id", "i.*")
+    bodies = table(spark, d, "documents").select(F.col("source").alias("run_id"), "doc_id", T.strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("body"))
+    said = semantic.passages(bodies, ["run_id", "doc_id"], "body").filter("substring(run_id, -1) in ('0', '2', '4', '6', '8')").filter("not (run_id = 'src2' and doc_id % 7 = 3)").select(F.col("passage").alias("text"))
+    asked = [KEYWORD, *_asked()]
+    texts = said.union(spark.createDataFrame([(t,) for t in asked], "text string")).distinct()
+    return intents, texts.select("text", F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]).alias("vector"))
+
+
+def _asked() -> list[str]:
+    return [f"{a}. {b}".strip() for k, (a, b) in enumerate(_INTENTS) if k != 1] + [f"{KEYWORD}. {semantic.ALONE}"]
+
+
+_MEANING_SQL = f"""
+    r AS (SELECT doc_id, source AS run_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS rank FROM documents),
+    {passages_sql("SELECT doc_id AS id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM documents")},
+    qs AS (SELECT DISTINCT run_id, 0 AS pos, 'the reth' AS name, 'the reth' AS text FROM r
+           UNION ALL SELECT DISTINCT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ord), name, trim(name || '. ' || description) FROM (SELECT DISTINCT run_id FROM r WHERE run_id <> 'src1'), (VALUES {_INTENTS_SQL}) i(ord, name, description) WHERE ord <> 1
+           UNION ALL SELECT 'src1', 1, 'the reth', 'the reth. {semantic.ALONE.replace("'", "''")}' WHERE EXISTS (SELECT 1 FROM r WHERE run_id = 'src1')),
+    tx AS MATERIALIZED (SELECT run_id, -1 AS rank, pos, text FROM qs UNION ALL SELECT run_id, rank, pos, passage FROM ps JOIN r ON doc_id = id),
+    -- vectors as captured: of all texts of runs of even number but for some passages of src2 that no other passage is like
+    held AS (SELECT text FROM qs UNION SELECT passage FROM ps JOIN r ON doc_id = id WHERE run_id[-1:] IN ('0', '2', '4', '6', '8') AND NOT (run_id = 'src2' AND doc_id % 7 = 3)),
+    meth AS (SELECT run_id, CASE WHEN bool_and(text IN (SELECT text FROM held)) THEN 'embeddings' ELSE 'tfidf' END AS method FROM tx GROUP BY run_id),
+    keyed AS (SELECT struct_pack(run_id := run_id, rank := rank, pos := pos) AS k, text FROM tx),
+    {_features_sql("keyed", "k")},
+    dfq AS (SELECT k.run_id AS run_id, feature, count(*) AS df FROM ft GROUP BY ALL), nn AS (SELECT run_id, count(*) AS n FROM tx GROUP BY run_id),
+    xw AS (SELECT k, ft.feature, (1 + ln(f)) * (ln((n + 1) / (df + 1)) + 1) AS x FROM ft JOIN dfq ON dfq.run_id = k.run_id AND dfq.feature = ft.feature JOIN nn ON nn.run_id = k.run_id),
+    ln_ AS (SELECT k, sqrt(sum(x * x)) AS len FROM xw GROUP BY k),
+    uw AS MATERIALIZED (SELECT k, feature, x / len AS w FROM xw JOIN ln_ USING (k)),
+    ts AS (SELECT a.k.run_id AS run_id, a.k.rank AS rank, a.k.pos AS pos, b.k.pos AS q, sum(a.w * b.w) AS sim FROM uw a JOIN uw b ON a.feature = b.feature AND a.k.run_id = b.k.run_id WHERE a.k.rank >= 0 AND b.k.rank = -1 GROUP BY ALL),
+    vx AS (SELECT run_id, rank, pos, {_COUNTS_SQL} AS v FROM tx),
+    sm AS (SELECT p.run_id, p.rank, p.pos, q.pos AS q, method,
+             CASE WHEN method = 'tfidf' THEN coalesce(ts.sim, 0) ELSE coalesce(list_dot_product(p.v, q.v) / nullif(sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(q.v, q.v)), 0), 0) END AS sim
+           FROM vx p JOIN vx q ON q.run_id = p.run_id AND q.rank = -1 JOIN meth ON meth.run_id = p.run_id LEFT JOIN ts ON ts.run_id = p.run_id AND ts.rank = p.rank AND ts.pos = p.pos AND ts.q = q.pos WHERE p.rank >= 0),
+    bs AS MATERIALIZED (SELECT run_id, rank, q, method, least(greatest(max(sim), 0), 1) AS m, avg(least(greatest(sim, 0), 1)) AS mean FROM sm GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_MEANING_SQL}
+    SELECT run_id, rank, 'BEST_PASSAGE_SIM' AS factor_id, round(m * 100, 4) AS value FROM bs WHERE q = 0 UNION ALL SELECT run_id, rank, 'CONTENT_FOCUS', round(mean * 100, 4) FROM bs WHERE q = 0
+    UNION ALL SELECT run_id, rank, 'SUBINTENT_COVERAGE', round(avg((m >= CASE method WHEN 'tfidf' THEN 0.15 ELSE 0.45 END)::INT) * 100, 4) FROM bs WHERE q > 0 GROUP BY run_id, rank""")
+def meaning_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """F95 to F97 out of the analyze plan over pages made of documents: passages, vectors by run, tiles."""
+    requests, items, pages = _document_pages(spark, d)
+    intents, vectors = _captured_meaning(spark, d, requests)
+    values = plans.analyze(requests, items, pages, intents=intents, embeddings=vectors)["factor_values"]
+    return values.filter(F.col("factor_id").isin("BEST_PASSAGE_SIM", "CONTENT_FOCUS", "SUBINTENT_COVERAGE")).select("run_id", F.col("rank").cast("int").alias("rank"), "factor_id", "value")
+
+
+@query(f"""WITH RECURSIVE {_MEANING_SQL}, mx AS (SELECT run_id, q, method, max(m) AS best FROM bs WHERE q > 0 GROUP BY ALL)
+    SELECT mx.run_id, name, method, round(best, 6) AS best, best < CASE method WHEN 'tfidf' THEN 0.08 ELSE 0.35 END AND mx.run_id <> 'src1' AS gap FROM mx JOIN qs ON qs.run_id = mx.run_id AND qs.pos = q""")
+def intents_of_runs(spark: SparkSession, d: str) -> DataFrame:
+    """How well each run's pages answer its intents, by what they were compared, and the gaps."""
+    requests, items, _ = _document_pages(spark, d)
+    intents, vectors = _captured_meaning(spark, d, requests)
+    text = T.strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    bodies = items.unionByName(requests.select("run_id", F.lit(0).alias("rank"), F.col("target_url").alias("url")), allowMissingColumns=True).select("run_id", "rank", F.regexp_extract("url", r"//d(\d+)", 1).cast("long").alias("doc_id"))
+    out = layers.meaning(requests, bodies.join(table(spark, d, "documents").select("doc_id", text.alias("body")), "doc_id").select("run_id", "rank", "body"), intents, vectors)
+    best = out["coverage"].groupBy("run_id", "query_id", "name").agg(F.max("sim").alias("best")).join(out["methods"], "run_id")
+    gaps = out["gaps"].select("run_id", "query_id", F.lit(True).alias("gap"))
+    return rounded(best.join(gaps, ["run_id", "query_id"], "left").select("run_id", "name", "method", "best", F.coalesce("gap", F.lit(False)).alias("gap")))
+
+
+@query("""WITH p AS (SELECT page_id % 25 AS run_id, (page_id // 25)::INT AS rank, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)', 1) AS a, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)', 2) AS b FROM pages),
+    o AS (SELECT run_id, rank, lower(a) || '://' || b AS origin, length(b) AS n FROM p WHERE a <> ''), c AS (SELECT * FROM o WHERE n % 5 > 0)
+    SELECT run_id, rank, 'CRUX_HAS_DATA' AS factor_id, (n % 3 > 0)::INT::DOUBLE AS value FROM c UNION ALL SELECT run_id, rank, 'CRUX_LCP_MS', n * 100.0 FROM c WHERE n % 3 > 0
+    UNION ALL SELECT run_id, rank, 'CRUX_INP_MS', n * 10.0 FROM c WHERE n % 3 = 1 UNION ALL SELECT run_id, rank, 'CRUX_CLS', round(n / 100.0 * 100, 6) FROM c WHERE n % 3 > 0""")
+def field_data_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """F108 to F111 of every page by its origin's captured record; every fifth length of host was never asked about, every third has no record."""
+    p = table(spark, d, "pages").select((F.col("page_id") % 25).alias("run_id"), F.floor(F.col("page_id") / 25).cast("int").alias("rank"), "url")
+    of = p.select(T.origin_of("url").alias("origin")).filter("origin is not null").distinct().withColumn("n", F.length(F.split_part("origin", F.lit("://"), F.lit(2))))
+    metric = lambda name, x: F.concat(F.lit(f'"{name}":{{"percentiles":{{"p75":'), x.cast("string"), F.lit("}}"))
+    inp = F.when(F.col("n") % 3 == 1, F.concat(metric("interaction_to_next_paint", F.col("n") * 10), F.lit(","))).otherwise("")
+    payload = F.concat(F.lit('{"record":{"metrics":{'), inp, metric("largest_contentful_paint", F.col("n") * 100), F.lit(","), metric("cumulative_layout_shift", F.concat(F.lit('"'), F.col("n") / 100, F.lit('"'))), F.lit("}}}"))
+    crux = of.filter("n % 5 > 0").select("origin", F.when(F.col("n") % 3 > 0, payload).alias("payload"))
+    return rounded(layers.field_data(p, crux))
