@@ -3,15 +3,16 @@
 Phrases grow word by word. Frequent words of a language get numbers (so do equal words of other languages, others), and texts become runs of numbers with gaps. A phrase of k words
 is the pair of its first and its last k - 1 words, both frequent phrases of the level before, as one integer. That is the Apriori rule, and the key says exactly which phrase it is. For each level:
 
-1. Mappers add pairs up in a small fixed array of counts by a hash of the pair; its sum over all texts bounds every pair's count from above. Pairs in buckets below the least count are out, safely.
+1. Mappers add pairs up in an array of capped counts by a hash of the pair, a bucket for every eight words of the corpus; its sum over all texts bounds every pair's count from above. Pairs in buckets below the least
+   count are out, safely.
 2. What is left are the candidates. They are cut by hash into slices of bounded size; each slice gets a minimal perfect hash with the keys stored by slot.
 3. Mappers look pairs up, verify the stored key, and count with ``bincount`` in one array by slot. Arrays are summed as a tree, in blocks of slots.
 4. Slots with enough become the next level's numbers, and one pass writes the runs in these.
 
 A phrase's parts are frequent, too, so a cut's two counts are read by the slots' numbers: a phrase's prefix and suffix, theirs, and so on down to the words.
 
-Memory is bounded at any size: a slice's hash (``slice_keys``) and counts in a worker and in the driver, the bucket array, a dictionary of ``slice_words`` words. More candidates mean
-more slices, each one more pass over the runs; nothing is dropped. Runs hold 2,048 numbers of one text at most and the three behind them, which they don't count.
+Memory is bounded at any size: a slice's hash (``slice_keys``) and counts in a worker and in the driver, ``buckets`` at most, a dictionary of ``slice_words`` words. More candidates mean
+more slices, each one more pass over the runs; nothing is dropped. Beyond some 500 million words the buckets fill up and let more candidates through. Runs hold 2,048 numbers of one text at most and the three behind them, which they don't count.
 
 Defined results: null text is empty; null lang is ``und``; repeated rows count again; texts without words, an empty table and languages without a candidate give no rows; other columns are ignored. Up to 2 ** 31 frequent
 phrases of a length can be told apart; more are an error.
@@ -34,12 +35,12 @@ from serploom.llm.perfecthash import PerfectHash, below, mixed
 from serploom.shipping import ship
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-#: What a worker holds: words of a dictionary, candidates of a slice, buckets of the filter.
-SLICE_WORDS, SLICE_KEYS, BUCKETS = 1_000_000, 4_000_000, 1 << 23
+#: The most that a worker holds: words of a dictionary, candidates of a slice, buckets of the filter (a byte each for the usual least count).
+SLICE_WORDS, SLICE_KEYS, BUCKETS = 1_000_000, 4_000_000, 1 << 26
 #: Numbers of a run that count, numbers worked on at a time, bytes split at a time, slots of a block of counts, arrays that one task sums, parts that slices are made of.
 RUN, AT_ONCE, SPLIT, BLOCK, FAN, PARTS = 2048, 2_000_000, 1 << 20, 1 << 16, 256, 1024
-#: Counted words that a task holds before it hands them over; phrases that one task ranks first.
-HELD, RANKED = 200_000, 50_000
+#: Counted words and found pairs that a task holds before it hands them over; phrases that one task ranks first.
+HELD, HELD_KEYS, RANKED = 200_000, 2_000_000, 50_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + _BREAKS, bytes(range(97, 123)) + b"\n" * len(_BREAKS))
@@ -184,9 +185,8 @@ def _sent_blocks(total: np.ndarray) -> pa.RecordBatch:
 
 
 def tree_sum(runs: DataFrame, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, np.ndarray], np.ndarray], cap: int | None = None) -> np.ndarray:
-    """The sum over all tasks of an array that starts as ``start()`` and takes in keys by ``add``; cap: sums above it count as it."""
-    empty = start()
-    dtype, size = empty.dtype, len(empty)
+    """The sum over all tasks of an array that starts as ``start()`` and takes in keys by ``add``. cap: sums above it count as it, and what comes back is bits, whether a sum is at the cap."""
+    dtype, size = start().dtype, len(start())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = start()
@@ -195,7 +195,7 @@ def tree_sum(runs: DataFrame, start: Callable[[], np.ndarray], add: Callable[[np
                 total = add(total, _owned(*part))
         yield _sent_blocks(total)
 
-    def summed(group: pa.Table) -> pa.Table:
+    def summed(group: pa.Table, last: bool) -> pa.Table:
         block = group["block"][0].as_py()
         size_ = min(BLOCK, size - block * BLOCK)
         total = np.zeros(size_, np.int64)
@@ -203,18 +203,20 @@ def tree_sum(runs: DataFrame, start: Callable[[], np.ndarray], add: Callable[[np
             total += np.frombuffer(pa.decompress(data.as_py(), size_ * dtype.itemsize, "zstd"), dtype)
             if cap is not None:
                 np.minimum(total, cap, out=total)
-        packed_ = pa.compress(total.astype(dtype).tobytes(), "zstd", asbytes=True)
+        packed_ = pa.compress((np.packbits(total >= cap, bitorder="little") if last and cap is not None else total.astype(dtype)).tobytes(), "zstd", asbytes=True)
         return pa.table([pa.array([block], pa.int32()), group["task"][:1].cast(pa.int32()), pa.array([packed_], pa.binary())], ["block", "task", "data"])
 
     ship(runs.sparkSession)
     blocks = runs.mapInArrow(run, "block int, task int, data binary")
-    some = blocks.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("block", "task").applyInArrow(summed, "block int, task int, data binary")
-    # the array is of a fixed size or a slice's; so is what the driver gets
-    for r in some.groupBy("block").applyInArrow(summed, "block int, task int, data binary").toArrow().to_pylist():
-        b = r["block"] * BLOCK
-        size_ = min(BLOCK, size - b)
-        empty[b : b + size_] = np.frombuffer(pa.decompress(r["data"], size_ * dtype.itemsize, "zstd"), dtype)
-    return empty
+    some = blocks.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("block", "task").applyInArrow(lambda g: summed(g, False), "block int, task int, data binary")
+    # the array is of a bounded size or a slice's; so is what the driver gets
+    bits = cap is not None
+    out = np.zeros(-(-size // 8), np.uint8) if bits else np.zeros(size, dtype)
+    step = BLOCK // 8 if bits else BLOCK
+    for r in some.groupBy("block").applyInArrow(lambda g: summed(g, True), "block int, task int, data binary").toArrow().to_pylist():
+        part = out[r["block"] * step : (r["block"] + 1) * step]
+        part[:] = np.frombuffer(pa.decompress(r["data"], part.nbytes, "zstd"), out.dtype)
+    return out
 
 
 def _heavy(runs: DataFrame, least: int, buckets: int) -> np.ndarray:
@@ -226,22 +228,30 @@ def _heavy(runs: DataFrame, least: int, buckets: int) -> np.ndarray:
         total[at] = np.minimum(times + total[at], least)
         return total
 
-    return np.packbits(tree_sum(runs, lambda: np.zeros(buckets, dtype), add, least) >= least, bitorder="little")
+    return tree_sum(runs, lambda: np.zeros(buckets, dtype), add, least)
 
 
 def _candidates(runs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
     """part, key: pairs in heavy buckets, each once. part: one of PARTS classes of the keys."""
     sent = runs.sparkSession.sparkContext.broadcast(heavy)
 
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for part in _flat(batch):
-            keys = _owned(*part)
-            at = below(mixed(keys.view(np.uint64), PARTS), buckets)
-            keys = np.unique(keys[(bits[at >> 3] >> (at & 7) & 1).astype(bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(below(mixed(keys.view(np.uint64), PARTS + 1), PARTS).astype(np.int32)), pa.array(keys)], ["part", "key"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held = sent.value, np.empty(0, np.int64)
+        for batch in batches:
+            for part in _flat(batch):
+                keys = _owned(*part)
+                at = below(mixed(keys.view(np.uint64), PARTS), buckets)
+                held = np.union1d(held, keys[(bits[at >> 3] >> (at & 7) & 1).astype(bool)])
+                if len(held) > HELD_KEYS:
+                    yield table(held)
+                    held = np.empty(0, np.int64)
+        yield table(held)
 
-    return arrow_map(runs, step, "part int, key long").distinct()
+    def table(keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(below(mixed(keys.view(np.uint64), PARTS + 1), PARTS).astype(np.int32)), pa.array(keys)], ["part", "key"])
+
+    ship(runs.sparkSession)
+    return runs.mapInArrow(run, "part int, key long").distinct()
 
 
 def _slices(parts: dict[int, int], most: int) -> Iterator[list[int]]:
@@ -399,6 +409,8 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     counts = persisted(word_counts(docs), "counts")
     runs = _Runs(spark)
     words = _numbered_words(docs, counts, runs, least, slice_words)
+    n = counts.agg(F.sum("f")).first()[0] or 0
+    buckets = min(buckets, max(1 << 16, 1 << (n // 8).bit_length()))
     level = words.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels, pairs = [], []
     for size in range(2, longest + 1):
