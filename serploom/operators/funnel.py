@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serploom.functions import text as T
-from serploom.operators.correlate import average_rank, pearson, percentile
+from serploom.operators.correlate import pearson, percentile, ranked
 
 # Gates in order, the click curve, cut-offs, intent scores.
 GATES = ["access", "lexical", "semantic", "intent", "entities", "quality", "authority", "engagement"]
@@ -142,8 +142,7 @@ def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | No
 def gate_weights(pages: DataFrame, run: str = "run_id") -> DataFrame:
     """run, gate, weight: max(0.25, |Spearman| of score and rank); 0.5 under three pages or without variance."""
     rows = pages.filter("rank > 0 and score is not null")
-    ranked = rows.withColumn("rv", average_rank([run, "gate"], "score")).withColumn("rr", average_rank([run, "gate"], "rank"))
-    g = ranked.groupBy(run, "gate").agg(F.count("*").alias("n"), pearson("rv", "rr").alias("s"))
+    g = ranked(rows, [run, "gate"], {"score": "rv", "rank": "rr"}).groupBy(run, "gate").agg(F.count("*").alias("n"), pearson("rv", "rr").alias("s"))
     return g.select(run, "gate", F.when((F.col("n") < 3) | F.col("s").isNull(), 0.5).otherwise(F.greatest(F.abs("s"), F.lit(0.25))).alias("weight"))
 
 

@@ -63,7 +63,7 @@ def document_values(spark: SparkSession, d: str, target: bool = False) -> DataFr
     docs = ranked_documents(spark, d, **made).withColumn("rank", F.col("rank") - (1 if target else 0))
     named = {"WORD_COUNT": "words", "SENTENCES": "sentences", "CLEAN_TEXT_KB": F.col("bytes") / 1024.0, "AVG_WORDS_SENTENCE": F.col("words") / F.greatest("sentences", F.lit(1)), "HAS_EMAIL": "email", "META_DESC_LEN": "n_chars"}
     every = F.array(*[F.struct(F.lit(k).alias("factor_id"), T.col(v).cast("double").alias("value")) for k, v in named.items()])
-    return docs.select("run_id", "rank", F.explode(every).alias("f")).select("run_id", "rank", "f.*")
+    return written(docs.select("run_id", "rank", F.explode(every).alias("f")).select("run_id", "rank", "f.*"), "values")  # ranks and sums read them again
 
 
 def _values_sql(target: bool) -> str:
@@ -117,6 +117,20 @@ def factor_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(correlate.correlate(document_values(spark, d), registry.factor_def(spark)))
 
 
+@query(f"WITH {_values_sql(False)}, w AS (SELECT 'all' AS run_id, rank, factor_id, value FROM v), {_correlation_sql('w')} SELECT {_C_OUT} FROM c")
+def one_run_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as one run, ranked in ranges of values: no task holds the run."""
+    return rounded(correlate.correlate(document_values(spark, d).withColumn("run_id", F.lit("all")), registry.factor_def(spark), most=100))
+
+
+@query(f"""WITH {_values_sql(False)}, w AS (SELECT *, (rank > 1)::INT AS pop FROM v),
+    x AS (SELECT *, sum(pop) OVER (PARTITION BY factor_id ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto, sum(pop) OVER (PARTITION BY factor_id, value) AS eq, sum(pop) OVER (PARTITION BY factor_id) AS n FROM w)
+    SELECT run_id, rank, factor_id, round(100 * (upto - eq + 0.5 * eq) / n, 6) AS percentile FROM x""")
+def one_group_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of every document's factors among all documents, the first of each source apart: in ranges of values."""
+    return rounded(correlate.percentile(document_values(spark, d), ["factor_id"], target="rank = 1", most=100).select("run_id", "rank", "factor_id", "percentile"))
+
+
 _META = "(VALUES " + ", ".join(f"('{f.id}', '{f.group}', '{f.unit}', {f.top200}, {f.is_bool}, '{f.difficulty}', '{f.direction}', {f.ordinal})" for f in registry.REGISTRY if f.id in ("WORD_COUNT", "SENTENCES", "CLEAN_TEXT_KB", "AVG_WORDS_SENTENCE", "HAS_EMAIL", "META_DESC_LEN")) + ") AS m(factor_id, grp, unit, top200, is_bool, difficulty, registered, ordinal)"
 _SCORED_SQL = f"""
     g AS (

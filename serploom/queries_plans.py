@@ -397,3 +397,96 @@ def field_data_of_pages(spark: SparkSession, d: str) -> DataFrame:
     payload = F.concat(F.lit('{"record":{"metrics":{'), inp, metric("largest_contentful_paint", F.col("n") * 100), F.lit(","), metric("cumulative_layout_shift", F.concat(F.lit('"'), F.col("n") / 100, F.lit('"'))), F.lit("}}}"))
     crux = of.filter("n % 5 > 0").select("origin", F.when(F.col("n") % 3 > 0, payload).alias("payload"))
     return rounded(layers.field_data(p, crux))
+
+
+# --- the entity table as a whole: line items are mentions of parts on suppliers' pages, and each states a fact
+
+_SITES = ["economy.com", "www.promo-parts.com", "standard.co.uk", "old.example", "x.com", "medium.net"]
+_TABLE_KEYWORDS = ["best new bolt in town", "cheap cold anvils"]
+
+
+def _stem_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({x}, '{e}') AND length({x}) > {len(e) + 2} THEN {x}[:-{len(e) + 1}]" for e in T.STEM_ENDINGS) + f" ELSE {x} END"
+
+
+def _list_sql(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _canon_sql(x: str) -> str:
+    return f"CASE WHEN regexp_matches(lower({x}), '[^ ]{{3,}}s$') AND NOT regexp_matches(lower({x}), '(ss|is)$') THEN lower({x})[:-2] ELSE lower({x}) END"
+
+
+def _match_sql(a: str, b: str) -> str:
+    x, y = (f"try_cast(replace(regexp_extract({v}, '(-?\\d[\\d,]*\\.?\\d*)', 1), ',', '') AS DOUBLE)" for v in (a, b))
+    return f"""CASE WHEN {a} = '' OR {b} = '' THEN false WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN greatest(abs({x}), abs({y})) = 0 OR abs({x} - {y}) <= 0.15 * greatest(abs({x}), abs({y}))
+        ELSE contains(lower({a}), lower({b})) OR contains(lower({b}), lower({a})) END"""
+
+
+@query(f"""WITH kw AS (SELECT k AS run_id, list_transform(list_filter(string_split(w, ' '), lambda x: NOT list_contains({_list_sql(entities.KEYWORD_MODIFIERS)}, x)), lambda x: {_stem_sql("x")}) AS stems
+        FROM range(5) r(k), (VALUES (0, '{_TABLE_KEYWORDS[0]}'), (1, '{_TABLE_KEYWORDS[1]}')) v(m, w) WHERE m = k % 2),
+    l AS (SELECT l_orderkey % 5 AS run_id, l_suppkey % 12 AS rank, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS ord, p_name, p_type, p_brand, lineitem.*
+          FROM lineitem JOIN part ON p_partkey = l_partkey WHERE NOT (l_orderkey % 5 = 4 AND l_suppkey % 12 = 0)),
+    nm AS (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' ' || p_name WHEN 2 THEN p_name || 's' ELSE 'the ' || p_name END AS name FROM l),
+    me AS (SELECT run_id, rank, ord, {_canon_sql("name")} AS canon, 'product' AS type FROM nm UNION ALL SELECT run_id, rank, ord, {_canon_sql("p_type")}, 'Manufacturer' FROM nm),
+    cn AS (SELECT run_id, canon, min(type) AS type, count(DISTINCT rank) AS pages, min(((rank = 0)::INT, rank, ord)) AS first FROM me GROUP BY run_id, canon),
+    br AS (SELECT run_id, list(DISTINCT canon) AS brand FROM cn WHERE type = 'Manufacturer' GROUP BY run_id),
+    co AS (SELECT cn.*, list_sort(list_distinct(list_transform(list_filter(string_split(canon, ' '), lambda w: NOT (list_contains(stems, {_stem_sql("w")}) OR list_contains({_list_sql(entities.GENERIC)}, w) OR list_contains(brand, w))), lambda w: {_stem_sql("w")}))) AS core
+           FROM cn JOIN br USING (run_id) JOIN kw USING (run_id)),
+    al AS (SELECT run_id, canon, CASE WHEN len(core) > 0 THEN first_value(canon) OVER (PARTITION BY run_id, core ORDER BY pages DESC, length(canon) DESC, first) ELSE canon END AS win FROM co),
+    tp AS (SELECT DISTINCT run_id, win AS canon FROM al JOIN kw USING (run_id), (SELECT 1) WHERE len(list_filter(string_split(canon, ' '), lambda w: NOT list_contains(stems, {_stem_sql("w")}))) = 0
+           AND (len(string_split(canon, ' ')) >= 2 OR len(stems) = 1)),
+    st AS (SELECT run_id, rank, {_list_sql([s.removeprefix("www.").split(".")[0] for s in _SITES])}[rank % 6 + 1] AS label FROM (SELECT DISTINCT run_id, rank FROM nm UNION SELECT 4, 0)),
+    wm AS (SELECT DISTINCT me.run_id, me.rank, win AS canon, type FROM me JOIN al USING (run_id, canon)),
+    fa AS (SELECT nm.run_id, nm.rank, nm.ord, win AS canon, l_linenumber = 6 AS is_edge,
+             CASE l_linenumber WHEN 1 THEN 'price' WHEN 2 THEN 'phone' WHEN 3 THEN 'warranty' WHEN 4 THEN 'colour' WHEN 5 THEN 'email' WHEN 6 THEN 'sold_with' ELSE 'experience' END AS attribute,
+             CASE l_linenumber WHEN 1 THEN '$' || l_quantity::INT WHEN 2 THEN '555-' || l_suppkey WHEN 3 THEN (l_partkey % 3 + 1) || ' years' WHEN 4 THEN l_returnflag WHEN 5 THEN 'm' || l_suppkey || '@x' WHEN 6 THEN p_brand ELSE 'since ' || year(l_shipdate) END AS value
+           FROM nm JOIN al ON al.run_id = nm.run_id AND al.canon = {_canon_sql("name")}),
+    k2 AS (SELECT run_id, rank, canon, count(DISTINCT CASE attribute WHEN 'phone' THEN 'telephone' ELSE 'e_mail' END || sub) AS k FROM (
+             SELECT fa.run_id, fa.rank, fa.canon, attribute, {_canon_sql("name")} AS sub FROM fa JOIN nm ON nm.run_id = fa.run_id AND nm.ord = fa.ord WHERE attribute IN ('phone', 'email')) GROUP BY ALL),
+    bp AS (SELECT run_id, canon, count(DISTINCT rank) AS pages FROM wm WHERE rank > 0 GROUP BY ALL), nb AS (SELECT run_id, count(DISTINCT rank) AS n FROM st WHERE rank > 0 GROUP BY run_id),
+    pr AS (SELECT DISTINCT wm.run_id, wm.rank, wm.canon FROM wm JOIN st USING (run_id, rank) JOIN nb USING (run_id) LEFT JOIN k2 USING (run_id, rank, canon) LEFT JOIN bp USING (run_id, canon)
+           WHERE (length(replace(canon, ' ', '')) >= 4 AND (contains(label, replace(canon, ' ', '')) OR contains(replace(canon, ' ', ''), label)))
+              OR (len(string_split(canon, ' ')) >= 3 AND starts_with(label, array_to_string(list_transform(string_split(canon, ' '), lambda w: w[1]), '')))
+              OR len(list_filter(string_split(canon, ' '), lambda w: length(w) >= 4 AND contains(label, w))) >= 2
+              OR (coalesce(k, 0) >= 2 AND coalesce(pages, 0) <= greatest(1, round_even(n * 0.15, 0)))),
+    ab AS (SELECT run_id, rank, ord, CASE WHEN (run_id, canon) IN (SELECT (run_id, canon) FROM tp) OR (run_id, rank, canon) IN (SELECT (run_id, rank, canon) FROM pr) THEN '__subject__' ELSE canon END AS canon, attribute, is_edge, value FROM fa),
+    t AS (SELECT run_id, rank, canon, attribute, arg_min(value, ord) AS value, arg_min(is_edge, ord) AS is_edge, min(ord) AS ord FROM ab GROUP BY ALL),
+    b AS (SELECT * FROM t WHERE rank > 0), vk AS (SELECT run_id, canon, attribute, lower(value) AS v, arg_min(value, rank) AS value, count(*) AS c, min(rank) AS r FROM b GROUP BY run_id, canon, attribute, lower(value)),
+    md AS (SELECT run_id, canon, attribute, arg_max(value, c * 1000 - r) AS modal, count(*) AS n_values FROM vk GROUP BY ALL),
+    cs AS (SELECT run_id, canon, attribute, count(DISTINCT rank) AS consensus, bool_or(b.is_edge) AS is_edge, count(*) FILTER ({_match_sql("b.value", "modal")}) AS backing, any_value(modal) AS modal, any_value(n_values) AS n_values,
+             min(try_cast(regexp_extract(b.value, '(-?\\d[\\d,]*\\.?\\d*)', 1) AS DOUBLE)) AS lo, max(try_cast(regexp_extract(b.value, '(-?\\d[\\d,]*\\.?\\d*)', 1) AS DOUBLE)) AS hi, bool_or(contains(b.value, '$')) AS dollar,
+             count(*) AS n_numbers FROM b JOIN md USING (run_id, canon, attribute) GROUP BY ALL),
+    ow AS (SELECT run_id, canon, attribute, value AS own FROM t WHERE rank = 0), an AS (SELECT run_id, attribute, arg_min(value, ord) AS any_ FROM t WHERE rank = 0 AND NOT is_edge GROUP BY ALL),
+    ht AS (SELECT DISTINCT run_id FROM me WHERE rank = 0), th AS (SELECT DISTINCT run_id, canon FROM wm WHERE rank = 0),
+    j AS (SELECT cs.*, canon = '__subject__' AS subject, coalesce(own, CASE WHEN canon = '__subject__' THEN any_ END) AS target_value,
+             ht.run_id IS NOT NULL AND consensus >= 2 AND NOT (canon <> '__subject__' AND attribute IN ('phone', 'email')) AS graded, th.canon IS NOT NULL OR cs.canon = '__subject__' AS there
+          FROM cs LEFT JOIN ow USING (run_id, canon, attribute) LEFT JOIN an USING (run_id, attribute) LEFT JOIN ht USING (run_id) LEFT JOIN th USING (run_id, canon)),
+    g AS (SELECT *, CASE WHEN NOT graded THEN '' WHEN target_value IS NOT NULL THEN CASE WHEN {_match_sql("target_value", "modal")} OR subject OR backing < 2 THEN '' ELSE 'off_consensus' END WHEN NOT there THEN 'missing_entity' ELSE 'missing_attribute' END AS gap,
+             CASE WHEN NOT subject OR is_edge THEN modal
+                  WHEN attribute IN ('price', 'experience', 'warranty') AND n_numbers >= 2 AND lo < hi AND (lo <= 0 OR hi / lo <= 50)
+                  THEN CASE WHEN dollar THEN '$' ELSE '' END || format('{{:,}}', lo::BIGINT) || '-' || CASE WHEN dollar THEN '$' ELSE '' END || format('{{:,}}', hi::BIGINT)
+                  WHEN n_values >= 2 THEN 'each page states its own' ELSE modal END AS consensus_value FROM j)
+    SELECT run_id, canon, attribute, is_edge, consensus, consensus_value, target_value, graded, gap, place FROM (
+        SELECT *, row_number() OVER (PARTITION BY run_id, is_edge ORDER BY CASE WHEN graded AND gap <> '' THEN 0 WHEN graded THEN 1 ELSE 2 END, consensus DESC, canon, attribute)::INT AS place FROM g) WHERE place <= 400""")
+def entity_table_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Facts and relations of the whole entity table: aliases by distinctive cores, topics and page's own businesses as subjects, consensus, grading and gaps. The target of run 4 has text but wasn't read."""
+    run, rank = (F.col("l_orderkey") % 5).alias("run_id"), (F.col("l_suppkey") % 12).cast("int").alias("rank")
+    ord_ = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("ord")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand")
+    rows = table(spark, d, "lineitem").filter("not (l_orderkey % 5 = 4 and l_suppkey % 12 = 0)").join(parts, "l_partkey")
+    name = F.element_at(F.array(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name"), F.concat("p_name", F.lit("s")), F.concat(F.lit("the "), "p_name")), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    n = F.col("l_linenumber")
+    number = lambda c: F.col(c).cast("int").cast("string")
+    attribute = F.element_at(F.array(F.when(F.col("l_quantity") > 25, "Cost").otherwise("monthly fee"), *map(F.lit, ["Phone number", "warranty_years", "colour", "e_mail", "sold with", "established"])), n)
+    value = F.element_at(F.array(F.concat(F.lit("$"), number("l_quantity")), F.concat(F.lit("555-"), number("l_suppkey")), F.concat((F.col("l_partkey") % 3 + 1).cast("string"), F.lit(" years")), F.col("l_returnflag"), F.concat(F.lit("m"), number("l_suppkey"), F.lit("@x")), F.col("p_brand"), F.concat(F.lit("since "), F.year("l_shipdate"))), n)
+    said = rows.select(run, rank, ord_, name.alias("name"), "p_type", (F.col("l_quantity") / 50).alias("salience"), attribute.alias("attribute"), value.alias("value"), (n == 6).alias("is_edge"))
+    mentions = said.select("run_id", "rank", "name", F.lit("product").alias("type"), "salience", "ord").union(said.select("run_id", "rank", "p_type", F.lit("Manufacturer"), "salience", "ord"))
+    facts = said.select("run_id", "rank", F.col("name").alias("entity"), "attribute", "value", "is_edge", "ord")
+    own = spark.createDataFrame([(4, 0)], "run_id long, rank int")
+    pages = said.select("run_id", "rank").union(own).distinct()
+    surfaces = pages.select("run_id", "rank", *[F.lit("").alias(c) for c in ("title", "h1", "h2", "h3")], F.repeat(F.lit("large rings. "), 30).alias("body"))
+    sites = pages.select("run_id", "rank", F.element_at(F.array(*map(F.lit, _SITES)), F.col("rank") % 6 + 1).alias("domain"))
+    requests = spark.range(5).select(F.col("id").alias("run_id"), F.element_at(F.array(*map(F.lit, _TABLE_KEYWORDS)), (F.col("id") % 2 + 1).cast("int")).alias("keyword"))
+    out = layers.entity_table(requests, mentions, facts, surfaces, sites)
+    return out["eav"].select("run_id", "canon", "attribute", "is_edge", "consensus", "consensus_value", "target_value", "graded", "gap", "place")
