@@ -20,6 +20,7 @@ phrases of a length can be told apart; more are an error.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -231,27 +232,45 @@ def _heavy(runs: DataFrame, least: int, buckets: int) -> np.ndarray:
     return tree_sum(runs, lambda: np.zeros(buckets, dtype), add, least)
 
 
+def _key_sets(keys: np.ndarray, task: int) -> pa.RecordBatch:
+    """Sorted keys as one row for each part that has any."""
+    part = below(mixed(keys.view(np.uint64), PARTS + 1), PARTS)
+    order = np.argsort(part, kind="stable")
+    parts, starts = np.unique(part[order], return_index=True)
+    sets = np.split(keys[order], starts[1:]) if len(parts) else []
+    cols = [pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), task, np.int32)), pa.array([len(x) for x in sets], pa.int64()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in sets], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["part", "task", "n", "keys"])
+
+
+def _keys(table: pa.Table) -> Iterator[np.ndarray]:
+    for n, keys in zip(table["n"].to_pylist(), table["keys"], strict=True):
+        yield np.frombuffer(pa.decompress(keys.as_py(), n * 8, "zstd"), np.int64)
+
+
 def _candidates(runs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """part, key: pairs in heavy buckets, each once. part: one of PARTS classes of the keys."""
+    """part, task, n, keys: pairs in heavy buckets, each once, as one set for each of PARTS classes of keys; sets are united as a tree."""
     sent = runs.sparkSession.sparkContext.broadcast(heavy)
+    schema = "part int, task int, n long, keys binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = sent.value, np.empty(0, np.int64)
+        bits, held, task = sent.value, np.empty(0, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for part in _flat(batch):
                 keys = _owned(*part)
                 at = below(mixed(keys.view(np.uint64), PARTS), buckets)
                 held = np.union1d(held, keys[(bits[at >> 3] >> (at & 7) & 1).astype(bool)])
                 if len(held) > HELD_KEYS:
-                    yield table(held)
+                    yield _key_sets(held, task)
                     held = np.empty(0, np.int64)
-        yield table(held)
+        yield _key_sets(held, task)
 
-    def table(keys: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(below(mixed(keys.view(np.uint64), PARTS + 1), PARTS).astype(np.int32)), pa.array(keys)], ["part", "key"])
+    def united(group: pa.Table) -> pa.Table:
+        every = functools.reduce(np.union1d, _keys(group))
+        return pa.Table.from_batches([_key_sets(every, group["task"][0].as_py())])
 
     ship(runs.sparkSession)
-    return runs.mapInArrow(run, "part int, key long").distinct()
+    some = runs.mapInArrow(run, schema).withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("part", "task").applyInArrow(united, schema)
+    return some.groupBy("part").applyInArrow(united, schema)
 
 
 def _slices(parts: dict[int, int], most: int) -> Iterator[list[int]]:
@@ -348,9 +367,9 @@ def _grown(runs: _Runs, least: int, buckets: int, slice_keys: int, last: bool) -
     place = scratch(spark, "candidates")
     candidates = written(_candidates(runs.df, _heavy(runs.df, least, buckets), buckets), place)
     table, base = _Growing(spark, "phrases", "id int, pid int, sid int, a long"), 0
-    slices = list(_slices({r["part"]: r["n"] for r in candidates.groupBy("part").agg(F.count("*").alias("n")).collect()}, slice_keys))
+    slices = list(_slices({r["part"]: r["n"] for r in candidates.select("part", "n").collect()}, slice_keys))
     for k, parts in enumerate(slices):
-        hashed = PerfectHash(candidates.filter(F.col("part").isin(parts)).select("key").toArrow()["key"].to_numpy())
+        hashed = PerfectHash(np.concatenate(list(_keys(candidates.filter(F.col("part").isin(parts)).toArrow()))))
         sent = spark.sparkContext.broadcast(hashed)
 
         def add(total: np.ndarray, keys: np.ndarray, sent=sent) -> np.ndarray:
