@@ -19,11 +19,15 @@ WRITING = ["Content", "Title & Headings", "Entity"]
 LOC = r"(?s)<loc>\s*(.*?)\s*</loc>"
 
 
-def robots_sitemaps(robots: DataFrame, body: str = "body", domain: str = "domain") -> DataFrame:
-    """domain, url: the sitemaps that robots.txt names, else the usual places."""
+def robots_sitemaps(robots: DataFrame, body: str = "body", domain: str = "domain", documents: DataFrame | None = None) -> DataFrame:
+    """domain, url: the sitemaps that robots.txt names, else the usual places; with documents (url, body) only those of the usual places that answered with XML."""
     named = F.regexp_extract_all(F.col(body), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
     guessed = F.transform(F.array(*map(F.lit, GUESSES)), lambda p: F.concat(F.lit("https://"), F.col(domain), p))
-    return robots.select(domain, F.explode(F.when(F.size(named) > 0, named).otherwise(guessed)).alias("url"))
+    out = robots.select(domain, (F.size(named) > 0).alias("__named"), F.explode(F.when(F.size(named) > 0, named).otherwise(guessed)).alias("url"))
+    if documents is not None:
+        answered = documents.filter(T.looks_xml("body")).select("url").distinct()
+        out = out.filter("__named").unionByName(out.filter("not __named").join(answered, "url", "left_semi").select(*out.columns))
+    return out.select(domain, "url")
 
 
 def sitemap_urls(documents: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def expand_sitemaps(documents: DataFrame, roots: DataFrame, most_depth: int = MO
 
 def inventory(robots: DataFrame, documents: DataFrame, **bounds: int) -> DataFrame:
     """domain, url: the pages of each domain's sitemaps. robots: domain, body; documents: url, body of whatever sitemaps were captured."""
-    return expand_sitemaps(documents, robots_sitemaps(robots).withColumnRenamed("domain", "root"), **bounds).withColumnRenamed("root", "domain")
+    return expand_sitemaps(documents, robots_sitemaps(robots, documents=documents).withColumnRenamed("domain", "root"), **bounds).withColumnRenamed("root", "domain")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
@@ -79,15 +83,28 @@ def expand_topic(topic: Column) -> Column:
     return F.array_distinct(F.filter(F.array(core, F.try_element_at(toks, F.lit(-1))), lambda x: x.isNotNull()))
 
 
-def match_terms(pages: DataFrame, terms: DataFrame, at_once: int = 1000) -> DataFrame:
-    """pages and core_terms, adjacent_terms: which terms (term, kind) their slug matches. Terms are broadcast ``at_once`` at a time; more of them are so many more passes."""
-    patterns = terms.withColumn("pat", T.term_pattern("term")).filter("pat is not null")
-    blocks = max(1, -(-terms.count() // at_once))
-    slugs, hits = pages.withColumn("slug", T.slug_text("url")), None
-    for k in range(blocks):
-        part = patterns if blocks == 1 else patterns.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
-        found = slugs.crossJoin(F.broadcast(part)).filter(F.regexp_count("slug", F.col("pat")) > 0)
-        hits = found if hits is None else hits.union(found)
+def term_hits(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term and what else terms have: which terms a text matches, see ``term_pattern``; once for each distinct text and term.
+
+    A match starts at the beginning of a word, so a term's first content word is a prefix of one of the text's words: words' prefixes, of lengths that first words have, are what texts and terms are
+    joined by. Any number of terms goes through in one pass, and the pattern runs on those pairs alone.
+    """
+    first = F.element_at(T.content_tokens("term"), 1)
+    sought = terms.distinct().withColumns({"__pat": T.term_pattern("term"), "__w": F.when(F.size(T.content_tokens("term")) > 0, first)}).filter("__pat is not null")
+    sizes = [r[0] for r in sought.select(F.length("__w")).distinct().collect()]  # lengths of words: a few dozen
+    words = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(r"([A-Za-z0-9_']+)"), F.lit(1)))
+    # a word begins behind an apostrophe, too, while terms may hold one
+    ends = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.array_join(F.slice(p, k, F.size(p)), "'"))
+    starts = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(ends(F.split(w, "'")), lambda e: F.array(e, F.concat(F.lit("'"), e))))))
+    heads = F.flatten(F.transform(starts, lambda w: F.array(*[F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in sorted(sizes)]).cast("array<string>")))
+    shown = texts.select(key, F.col(text).alias("__text")).distinct()
+    of = shown.select(key, "__text", F.explode(F.array_distinct(F.array_compact(heads))).alias("__w"))
+    return of.join(sought, "__w").filter(F.regexp_count("__text", F.col("__pat")) > 0).drop("__w", "__pat", "__text").distinct()
+
+
+def match_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """pages and core_terms, adjacent_terms: which terms (term, kind) their slug matches."""
+    hits = term_hits(pages.select("url", T.slug_text("url").alias("__slug")), terms.select("term", "kind"), "url", "__slug")
     grouped = hits.groupBy("url").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("term")))).alias(f"{k}_terms") for k in ("core", "adjacent")])
     empty = F.array().cast("array<string>")
     return pages.join(grouped, "url", "left").withColumns({f"{k}_terms": F.coalesce(f"{k}_terms", empty) for k in ("core", "adjacent")})
@@ -103,11 +120,10 @@ def merge_hits(matched: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def relevant_hits(results: DataFrame, terms: DataFrame) -> DataFrame:
-    """domain, url, terms: search results (domain, url, title) whose title or slug matches a core term (term); others are noise of the search. The terms are few and broadcast."""
-    patterns = terms.select("term", T.term_pattern("term").alias("pat")).filter("pat is not null")
-    text = results.withColumn("__text", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), T.slug_text("url"))))
-    hits = text.crossJoin(F.broadcast(patterns)).filter(F.regexp_count("__text", F.col("pat")) > 0)
-    return hits.groupBy("domain", "url").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    """domain, url, terms: search results (domain, url, title) whose title or slug matches a core term (term); others are noise of the search."""
+    text = results.select("domain", "url", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), T.slug_text("url"))).alias("text"))
+    keyed = text.select(F.struct("domain", "url").alias("at"), "text")
+    return term_hits(keyed, terms.select("term"), "at", "text").groupBy("at").agg(F.array_sort(F.collect_set("term")).alias("terms")).select("at.domain", "at.url", "terms")
 
 
 def cluster_order(pages: DataFrame, by: str = "domain") -> DataFrame:

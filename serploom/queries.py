@@ -699,18 +699,26 @@ _TOPIC_SQL = rf"""
 
 
 def _topic_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs hold a language and a number: terms by number prefixes stand for topics."""
+    """Slugs hold a language and a number: numbers stand for topics, by their first digits, as terms of the matcher; they come out as the topics' names."""
+    numbers = [("core", "core", k) for k in range(800, 900)] + [(f"adj{k // 100}", "adjacent", k) for k in range(100, 300)]
     pages = table(spark, d, "pages").select("page_id", "url", T.registrable_compare(T.host_of("url")).alias("domain"), T.slug_text("url").alias("slug"))
-    arr = lambda **kw: F.array_compact(F.array(*[F.when(F.col("slug").rlike(p), F.lit(n)) for n, p in kw.items()]))
-    return pages.withColumns({"core_terms": arr(core=r"\b8\d\d"), "adjacent_terms": arr(adj1=r"\b1\d\d", adj2=r"\b2\d\d"), "in_sitemap": F.lit(True), "in_serp": F.col("page_id") % 50 == 0})
+    named = F.create_map(*[F.lit(x) for name, _, k in numbers for x in (str(k), name)])
+    topics = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda t: F.try_element_at(named, t))))
+    m = topical.match_terms(pages, spark.createDataFrame([(str(k), kind) for _, kind, k in numbers], "term string, kind string"))
+    return m.withColumns({"core_terms": topics("core_terms"), "adjacent_terms": topics("adjacent_terms"), "in_sitemap": F.lit(True), "in_serp": F.col("page_id") % 50 == 0})
 
 
-@query(rf"WITH {_TOPIC_SQL}, t AS (SELECT page_id, slug FROM p) SELECT page_id, regexp_matches(slug, '\bspam\w*') AS spam, regexp_matches(slug, '\b853\w*') AS n853 FROM t")
+# terms in words and numbers; the second word of the last may stand two words on
+_TERMS = [("spam", "core"), ("853", "adjacent"), ("the en", "core"), ("and of", "core"), *[(f"page {k}", "core") for k in range(80, 90)], *[(str(k), "adjacent") for k in range(100, 300)], ("fr 1", "adjacent"), ("page pag", "adjacent")]
+
+
+@query(rf"""WITH {_TOPIC_SQL}, w(term, kind, pat) AS (VALUES {", ".join(f"('{t}', '{k}', '{p}')" for t, k, p in ((t, k, r"\b" + r"\w*(?:\W+\w*?){0,2}?".join(x for x in t.split() if len(x) > 2 and x not in T.KEYWORD_STOP) + r"\w*") for t, k in _TERMS if any(len(x) > 2 and x not in T.KEYWORD_STOP for x in t.split())))})
+    SELECT page_id, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (kind = 'core')), ','), '') AS core_terms, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (kind = 'adjacent')), ','), '') AS adjacent_terms
+    FROM p LEFT JOIN w ON regexp_matches(slug, pat) GROUP BY page_id""")
 def slug_term_match(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", "url")
-    terms = spark.createDataFrame([("spam", "core"), ("853", "adjacent")], "term string, kind string")
-    m = topical.match_terms(p, terms)
-    return m.select("page_id", (F.size("core_terms") > 0).alias("spam"), (F.size("adjacent_terms") > 0).alias("n853"))
+    m = topical.match_terms(p, spark.createDataFrame(_TERMS, "term string, kind string"))
+    return m.select("page_id", F.array_join("core_terms", ",").alias("core_terms"), F.array_join("adjacent_terms", ",").alias("adjacent_terms"))
 
 
 @query(f"""WITH {_TOPIC_SQL}, g AS (SELECT domain, count(*) FILTER (core) AS cluster, count(*) AS total, (bool_or(adj1)::INT + bool_or(adj2)::INT) AS adj, count(*) FILTER (page_id % 50 = 0) AS hits FROM m GROUP BY domain)

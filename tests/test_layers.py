@@ -213,3 +213,31 @@ def test_no_task_holds_a_group(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(sizes) == n and max(sizes) < n / 8
+
+
+# --- topics
+
+
+def test_terms_meet_slugs_by_prefix(spark):
+    import random
+    import re
+
+    pick = random.Random(7)
+    parts = ["dental", "implant", "implants", "bone", "graft", "superimplant", "the", "of", "a1", "x", "women's", "womens"]
+    texts = [" ".join(pick.choices(parts, k=pick.randint(0, 6))) for _ in range(150)] + ["dentalimplant", "'women's dental", None]
+    terms = ["dental implant", "bone graft", "implant", "the of", "women's", "graft dental implant", "a1", "den"]
+    got = topical.term_hits(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame([(t,) for t in terms], "term string"), "k", "t")
+    gap, want = r"(?:\W+\w*?){0,2}?", set()
+    for t in terms:
+        ws = [w for w in re.findall("[a-z0-9']+", t) if len(w) > 2 and w not in ("the", "of")]
+        want |= {(k, t) for k, x in enumerate(texts) if ws and re.search(r"\b" + gap.join(w + r"\w*" for w in ws), x or "", re.A)}
+    assert {(r.k, r.term) for r in got.collect()} == want and len(want) > 100
+
+
+def test_guesses_that_gave_nothing_cost_nothing(spark):
+    xml = "<?xml version='1.0'?>"
+    docs = [("https://a.com/sitemap_index.xml", xml + "<sitemapindex>" + "".join(f"<loc>s{k:02}</loc>" for k in range(59)) + "</sitemapindex>"), ("https://a.com/sitemap.xml", "<html>no such page</html>")]
+    docs += [(f"s{k:02}", f"{xml}<urlset><loc>p{k}</loc></urlset>") for k in range(59)]
+    robots = spark.createDataFrame([("a.com", "User-agent: *")], "domain string, body string")
+    got = topical.inventory(robots, spark.createDataFrame(docs, "url string, body string")).collect()
+    assert {r.url for r in got} == {f"p{k}" for k in range(59)}
