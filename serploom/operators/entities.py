@@ -39,11 +39,12 @@ def clean_entities(raw: DataFrame, keyed: bool = False) -> DataFrame:
 def clean_triples(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """run_id, rank, canon, attribute, value, is_edge, ord: the first per entity and attribute on a page.
 
-    aliases: raw, canonical attribute names of a run's alignment; names it lacks stay.
+    aliases: raw, canonical attribute names, of all runs or each of its run_id; names they lack stay.
     """
     t = raw.withColumns({"canon": T.canon("entity"), "attribute": T.norm_attr("attribute")})
     if aliases is not None:
-        t = t.join(aliases.select(F.col("raw").alias("__raw"), F.col("canonical").alias("__to")), F.col("attribute") == F.col("__raw"), "left").withColumn("attribute", F.coalesce("__to", "attribute")).drop("__raw", "__to")
+        keys = [c for c in ("run_id",) if c in aliases.columns]
+        t = t.join(aliases.select(*keys, F.col("raw").alias("attribute"), F.col("canonical").alias("__to")), [*keys, "attribute"], "left").withColumn("attribute", F.coalesce("__to", "attribute")).drop("__to")
     t = t.filter((F.col("canon") != "") & (F.col("attribute") != "") & (T.strip(F.coalesce("value", F.lit(""))) != "") & (F.col("is_edge") | ~F.regexp_replace("attribute", "_", "").isin(META_ATTRIBUTES)))
     return t.groupBy("run_id", "rank", "canon", "attribute").agg(F.min_by(F.struct("value", "is_edge", "ord"), "ord").alias("r")).select("run_id", "rank", "canon", "attribute", "r.*")
 

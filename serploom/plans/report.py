@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 
 from serploom.operators import roadmap
 
-# LaTeX commands that replies contain, as characters.
-LATEX = {r"\rightarrow": "→", r"\to": "→", r"\leftarrow": "←", r"\times": "×", r"\geq": "≥", r"\ge": "≥", r"\leq": "≤", r"\le": "≤", r"\approx": "≈", r"\neq": "≠", r"\pm": "±", r"\cdot": "·", r"\rho": "ρ", r"\alpha": "α", r"\beta": "β", r"\Delta": "Δ"}
+# LaTeX commands that replies contain, as characters; wrappers of text; the longest span between single dollars.
+LATEX = {
+    r"\rightarrow": "→", r"\Rightarrow": "⇒", r"\longrightarrow": "→", r"\leftarrow": "←", r"\Leftarrow": "⇐", r"\leftrightarrow": "↔", r"\to": "→", r"\gets": "←",
+    r"\times": "×", r"\cdot": "·", r"\div": "÷", r"\pm": "±", r"\mp": "∓", r"\approx": "≈", r"\neq": "≠", r"\equiv": "≡", r"\leq": "≤", r"\geq": "≥", r"\le": "≤", r"\ge": "≥",
+    r"\ll": "≪", r"\gg": "≫", r"\sim": "~", r"\propto": "∝", r"\infty": "∞", r"\sum": "∑", r"\prod": "∏", r"\sqrt": "√", r"\Delta": "Δ", r"\Sigma": "Σ", r"\Omega": "Ω",
+    r"\alpha": "α", r"\beta": "β", r"\gamma": "γ", r"\delta": "δ", r"\epsilon": "ε", r"\theta": "θ", r"\lambda": "λ", r"\mu": "μ", r"\pi": "π", r"\rho": "ρ", r"\sigma": "σ", r"\tau": "τ", r"\phi": "φ",
+    r"\%": "%", r"\&": "&", r"\#": "#", r"\_": "_", r"\$": "$",
+}
+WRAPPERS, LONGEST_FORMULA = ["text", "mathrm", "mathbf", "mathit", "mathsf", "operatorname"], 80
+
+#: What a text is scanned for: formulas in one of four kinds of brackets, and commands outside of any. And what a formula is: wrapped text, commands, braces.
+_SCAN = re.compile(rf"\$\$(?P<block>.+?)\$\$|\\\[(?P<display>.+?)\\\]|\\\((?P<inline>.+?)\\\)|\$(?P<money>[^$\n]{{1,{LONGEST_FORMULA}}})\$|(?P<bare>\\(?:[a-zA-Z]+|[%&#_$]))", re.DOTALL)
+_PARTS = re.compile(rf"\\(?:{'|'.join(WRAPPERS)})\s*\{{(?P<words>[^{{}}]*)\}}|(?P<command>\\(?:[a-zA-Z]+|[%&#_$]))|(?P<brace>[{{}}])")
+_ITEM = re.compile(r"(?P<indent>\s*)(?:(?P<dot>[-*+])|\d+[.)])\s+(?P<text>.*)")
 
 
 def _inline(text: str) -> str:
@@ -22,53 +34,71 @@ def _inline(text: str) -> str:
     return re.sub(r"\[([^\]]+)\]\((https?://[^)\s]+)\)", r'<a href="\2" rel="nofollow noopener">\1</a>', out)
 
 
-def _math(inner: str) -> str:
-    """What a formula says, in one line: wrappers of text opened, known commands as characters, others and braces gone."""
-    opened = re.sub(r"\\(?:text|math[a-z]+|operatorname) *\{([^{}]*)\}", r"\1", inner)
-    return " ".join(re.sub(r"\\[a-zA-Z]+", lambda m: LATEX.get(m[0], ""), opened).replace("{", "").replace("}", "").split())
+def _part(m: re.Match[str]) -> str:
+    """A part of a formula in characters; commands without one and braces go."""
+    return _PARTS.sub(_part, m["words"]) if m.lastgroup == "words" else LATEX.get(m["command"] or "", "")
+
+
+def _found(m: re.Match[str]) -> str:
+    """A formula in one line, or a lone command; sums of money between dollars stay as they are."""
+    inner = m[m.lastgroup]
+    if m.lastgroup == "bare":
+        return LATEX.get(inner, inner)
+    if m.lastgroup == "money" and not re.search(r"[\\=<>^]|_\{", inner):
+        return m[0]
+    return " ".join(_PARTS.sub(_part, inner).split())
 
 
 def plain_math(text: str) -> str:
-    """Formulas as Unicode text; sums of money between dollars stay as they are."""
-    shown = re.sub(r"(?s)\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", lambda m: _math(m[1] or m[2] or m[3]), text)
-    shown = re.sub(r"\$([^$\n]{1,80})\$", lambda m: _math(m[1]) if re.search(r"[\\=<>^]|_\{", m[1]) else m[0], shown)
-    return re.sub(r"\\[a-zA-Z]+", lambda m: LATEX.get(m[0], m[0]), shown)
+    """Formulas and commands as Unicode text, in one scan."""
+    return _SCAN.sub(_found, text)
+
+
+def _lists(items: list[tuple[int, str, str]]) -> list[str]:
+    """Items (indent, ul or ol, text) as nested lists: what is indented more than an item is inside it; another kind, or less of an indent, begins a list of its own."""
+    out, k = [], 0
+    while k < len(items):
+        indent, kind, _ = items[k]
+        rows = []
+        while k < len(items) and items[k][:2] == (indent, kind):
+            end = next((j for j in range(k + 1, len(items)) if items[j][0] <= indent), len(items))
+            rows.append(f"<li>{_inline(items[k][2])}{''.join(_lists(items[k + 1 : end]))}</li>")
+            k = end
+        out.append(f"<{kind}>{''.join(rows)}</{kind}>")
+    return out
 
 
 def markdown_to_html(text: str | None) -> str:
-    """Headings, lists, rules and paragraphs; everything else is escaped text."""
+    """Headings, nested lists (blank lines between their items are nothing), rules, and paragraphs whose line ends are kept; everything else is escaped text."""
     out: list[str] = []
-    kind, lines = "", []
+    items: list[tuple[int, str, str]] = []
+    lines: list[str] = []
 
-    def flush() -> None:
-        nonlocal kind, lines
-        if kind in ("ul", "ol"):
-            out.append(f"<{kind}>" + "".join(f"<li>{_inline(x)}</li>" for x in lines) + f"</{kind}>")
-        elif lines:
-            out.append("<p>" + _inline(" ".join(lines)) + "</p>")
-        kind, lines = "", []
+    def close(*kept: list) -> None:
+        if items and items is not (kept[0] if kept else None):
+            out.extend(_lists(items))
+            items.clear()
+        if lines and lines is not (kept[0] if kept else None):
+            out.append("<p>" + "<br>".join(map(_inline, lines)) + "</p>")
+            lines.clear()
 
     for raw in plain_math(text or "").splitlines():
         line = raw.strip()
         if not line:
-            flush()
+            close(items)  # the list may go on behind it
         elif m := re.match(r"(#{1,6})\s+(.*)", line):
-            flush()
+            close()
             out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
         elif re.fullmatch(r"(-{3,}|\*{3,})", line):
-            flush()
+            close()
             out.append("<hr>")
-        elif m := re.match(r"(?:([-*+])|\d+[.)])\s+(.*)", line):
-            now = "ul" if m[1] else "ol"
-            if kind != now:
-                flush()
-            kind = now
-            lines.append(m[2])
+        elif m := _ITEM.match(raw):
+            close(items)
+            items.append((len(m["indent"].expandtabs(4)), "ul" if m["dot"] else "ol", m["text"].strip()))
         else:
-            if kind:
-                flush()
+            close(lines)
             lines.append(line)
-    flush()
+    close()
     return "\n".join(out)
 
 
