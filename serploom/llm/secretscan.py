@@ -12,6 +12,7 @@ Defined results: null text is empty text and has no span; repeated rows are scan
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from functools import lru_cache
@@ -80,23 +81,40 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans (by start) cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
+    """Candidates and sensitive words are walked through once, side by side: the work grows with the text, whatever it says."""
     out: list[Span] = []
-    done = 0
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.end())):
-            if m.start() > word.end() + REACH:
-                break
-            start, end = m.span()
-            if start == word.end():
-                start = min(end, JOINED.match(text, start).end())
-            if end - start < LEAST:
-                continue
-            done = end
-            if any(start < e and s < end for s, _, e in base):
+    starts, ends = _covered(base)
+    words = (w.end() for w in SENSITIVE.finditer(text))
+    last, coming = -REACH - 1, next(words, None)
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while coming is not None and coming <= start:
+            last, coming = coming, next(words, None)
+        if start > last + REACH:  # no word before it is near: then what follows the first word inside it
+            if coming is None or coming >= end:
                 continue
-            if _novelty().ratio(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= NOVEL:
-                out.append((start, 3, end))
+            start = JOINED.match(text, coming, end).end()
+        if end - start < LEAST:
+            continue
+        k = bisect.bisect_left(starts, end) - 1
+        if k >= 0 and ends[k] > start:
+            continue
+        if _novelty().ratio(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= NOVEL:
+            out.append((start, 3, end))
     return out
 
 

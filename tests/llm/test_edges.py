@@ -204,3 +204,18 @@ def test_whole_pipeline_on_odd_and_on_no_rows(spark, tmp_path):
         kept = corpus_pipeline.run(spark, str(d)).collect()
         assert not rows or sorted(str(r.doc_id) for r in kept) == ["2", "4", "6", "8", "9", "None"]
         assert rows or kept == []
+
+
+@pytest.mark.parametrize("text", ["token_" * 900_000, "token=" * 900_000, "token " * 900_000, "secret=abcdefgh1 " * 300_000, "a" * 5_000_000 + "token_" * 300_000], ids=range(5))
+def test_secret_scan_is_linear_whatever_the_text_says(text):
+    import time
+
+    began = time.time()
+    base, every = secretscan.spans_of(text)
+    assert time.time() - began < 60 and set(base) <= set(every)
+
+
+def test_chains_of_sensitive_words():
+    key = "Zx9Kq2Lm8Pw4Rt6Yv1Bn3Cd"
+    for text, found in ((f"{'token_' * 50}{key}", True), (f"{'token=' * 3}\n{'secret_' * 9}{key} x", True), ("token_" * 50 + "short", False), (f"token{' ' * 129}{key}", False), (f"token{' ' * 128}{key}", True)):
+        assert any(text[s:e].endswith(key) for s, _, e in secretscan.spans_of(text)[1]) == found, text
