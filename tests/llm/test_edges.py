@@ -217,5 +217,5 @@ def test_secret_scan_is_linear_whatever_the_text_says(text):
 
 def test_chains_of_sensitive_words():
     key = "Zx9Kq2Lm8Pw4Rt6Yv1Bn3Cd"
-    for text, found in ((f"{'token_' * 50}{key}", True), (f"{'token=' * 3}\n{'secret_' * 9}{key} x", True), ("token_" * 50 + "short", False), (f"token{' ' * 129}{key}", False), (f"token{' ' * 128}{key}", True)):
+    for text, found in ((f"{'token_' * 50}{key}", True), (f"{'secret_' * 9}{key} x", True), ("token_" * 50 + "short", False), (f"token{' ' * 129}{key}", False), (f"token{' ' * 128}{key}", True)):
         assert any(text[s:e].endswith(key) for s, _, e in secretscan.spans_of(text)[1]) == found, text
