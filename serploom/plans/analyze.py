@@ -12,7 +12,7 @@ from serploom.operators import compare as C
 from serploom.operators import correlate as K
 from serploom.operators import corpus, factors, funnel, page, panels, registry, roadmap, topical
 from serploom.plans import layers
-from serploom.shared import written
+from serploom.plans.costs import Stages
 
 
 def factor_values(requests: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -27,14 +27,14 @@ def _keyed(requests: DataFrame) -> DataFrame:
     return requests.select("run_id", T.phrase_of("keyword").alias("phrase"), T.variations("keyword").alias("vars"), "target_url")
 
 
-def _wanted(requests: DataFrame, items: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _wanted(requests: DataFrame, items: DataFrame, pages: DataFrame, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """The pages that each run asks for, and the parsed pages; those are written, so that everything behind them reads one parse."""
     keyed = _keyed(requests)
     listed = items.join(keyed.drop("target_url"), "run_id")
     target = keyed.filter("target_url is not null").select("run_id", F.lit(0).alias("rank"), F.col("target_url").alias("url"), T.host_of("target_url").alias("domain"), "phrase", "vars")
     wanted = listed.select("run_id", "rank", "url", "domain", "phrase", "vars").unionByName(target)
     fetched = page.surfaces(pages.filter("ok").select("url", "html", "load_ms").dropDuplicates(["url"]))  # each page is parsed once, whichever runs show it
-    return wanted, written(fetched, "surfaces")
+    return wanted, (stages or Stages()).written(fetched, "surfaces")
 
 
 def _factors(wanted: DataFrame, fetched: DataFrame, items: DataFrame, requests: DataFrame) -> DataFrame:
@@ -51,22 +51,22 @@ def analyze(
     types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None,
     triples: DataFrame | None = None, aliases: DataFrame | None = None, stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """factor_values, correlations, actions, scorecard, gates, overall, advantages, and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...).
+    """factor_values, correlations, actions, scorecard, gates, overall, advantages, stages (rows and seconds of what was written on the way), and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...).
 
     Optional layers, each off without its tables: sims and salient, or meaning with intents and embeddings (passages of the pages themselves); quality; votes and satisfaction (engagement); types (intent); cells,
     or entities with triples and aliases (the entity table); stats and links (off-page); keywords (brand); crux (origin, payload, as captured; null where there was no record). See ``layers``, ``panels`` and ``funnel``.
     more: further long rows of the same columns as factor_values. Measured values win over panels.
     """
     spark = requests.sparkSession
-    definitions = F.broadcast(registry.factor_def(spark))  # one row per registered factor
-    wanted, fetched = _wanted(requests, items, pages)
+    definitions, stages = F.broadcast(registry.factor_def(spark)), Stages()  # one row per registered factor
+    wanted, fetched = _wanted(requests, items, pages, stages)
     values = _factors(wanted, fetched, items, requests)
     values = values.unionByName(more) if more is not None else values
     extra = [panels.semantic_factors(sims) if sims is not None else None, panels.quality_factors(quality) if quality is not None else None, panels.engagement_factors(votes, satisfaction)]
     found, unread = {}, None
     heads = lambda n: F.array_join(F.transform(F.filter("p.headings", lambda h: h["level"] == n), lambda h: h["text"]), " ").alias(f"h{n}")
     if salient or meaning or intents is not None or entities is not None:
-        seen = written(wanted.join(fetched, "url").select("run_id", "rank", "phrase", "domain", F.col("p.title").alias("title"), *map(heads, (1, 2, 3)), F.col("p.body").alias("body")), "shown")
+        seen = stages.written(wanted.join(fetched, "url").select("run_id", "rank", "phrase", "domain", F.col("p.title").alias("title"), *map(heads, (1, 2, 3)), F.col("p.body").alias("body")), "shown")
     if salient:
         extra.append(panels.salient_coverage(seen.select("run_id", "rank", "body", "phrase")))
     if meaning or intents is not None:
@@ -87,12 +87,12 @@ def analyze(
     if rows:
         first = functools.reduce(DataFrame.unionByName, rows).groupBy("run_id", "rank", "factor_id").agg(F.min_by("value", "layer").alias("value"))
         values = panels.backfilled(values, first.join(wanted.select("run_id", "rank", "url", "domain"), ["run_id", "rank"], "left"))
-    values = written(values, "factor-values")
+    values = stages.written(values, "factor-values")
     correlations = K.correlate(values, definitions)
     targets = values.filter("rank = 0").select("run_id", "factor_id", "value")
     scored = roadmap.candidates(correlations, definitions, targets)
     got = items.select("run_id", "rank", "url").join(pages.groupBy("url").agg(F.bool_or("ok").alias("ok")), "url", "left").select("run_id", "rank", F.coalesce("ok", F.lit(False)).alias("ok"))
-    gates = written(funnel.all_gates(values, definitions, got, cells, types, funnel.located(items, requests), unread), "gates")
+    gates = stages.written(funnel.all_gates(values, definitions, got, cells, types, funnel.located(items, requests), unread), "gates")
     verdicts = funnel.funnel(gates, unread=unread)
     return {
         "factor_values": values,
@@ -102,6 +102,7 @@ def analyze(
         "gates": verdicts,
         "overall": funnel.overall(verdicts),
         "advantages": funnel.advantages(gates),
+        "stages": stages.table(spark),
     } | found
 
 

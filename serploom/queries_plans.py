@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from serploom.functions import text as T
 from serploom.operators import compare, corpus, entities, funnel, offpage, panels, registry, semantic, topical
 from serploom.plans import analyze as plans
-from serploom.plans import layers
+from serploom.plans import costs, layers
 from serploom.queries import _GATES_SQL, _LINKS, _LISTS, KEYWORD, _features_sql, _links, _moves, _supplier_values, _topic_pages, numbered, passages_sql, query, rounded, table
 
 # --- sitemaps: a region is an index of nations, a nation one of suppliers, a supplier lists its parts and, to make a cycle, its nation is listed by an index again
@@ -490,3 +490,18 @@ def entity_table_plan(spark: SparkSession, d: str) -> DataFrame:
     requests = spark.range(5).select(F.col("id").alias("run_id"), F.element_at(F.array(*map(F.lit, _TABLE_KEYWORDS)), (F.col("id") % 2 + 1).cast("int")).alias("keyword"))
     out = layers.entity_table(requests, mentions, facts, surfaces, sites)
     return out["eav"].select("run_id", "canon", "attribute", "is_edge", "consensus", "consensus_value", "target_value", "graded", "gap", "place")
+
+
+@query("""WITH r AS (SELECT c_custkey AS run_id FROM customer),
+    s AS (SELECT o_custkey AS run_id, sum(CASE WHEN o_orderstatus = 'F' THEN 0.002::DOUBLE ELSE (o_orderkey % 1000) / 10000.0 END) AS usd FROM orders GROUP BY 1),
+    k AS (SELECT o_custkey AS run_id, sum(l_linenumber / 1000.0) AS usd FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+    m AS (SELECT user_id AS run_id, count(*) * 0.0012::DOUBLE AS usd FROM events GROUP BY 1), g AS (SELECT page_id % 90 AS run_id, count(*) * 0.0001::DOUBLE AS usd FROM pages WHERE page_id % 3 = 0 GROUP BY 1)
+    SELECT run_id, round(coalesce(s.usd, 0), 4) AS search_usd, round(coalesce(k.usd, 0), 4) AS link_usd, round(coalesce(m.usd, 0), 4) AS model_usd, round(coalesce(g.usd, 0), 4) AS page_usd,
+           round(round(coalesce(s.usd, 0), 4) + round(coalesce(k.usd, 0), 4) + round(coalesce(m.usd, 0), 4) + round(coalesce(g.usd, 0), 4), 4) AS cost_usd
+    FROM r LEFT JOIN s USING (run_id) LEFT JOIN k USING (run_id) LEFT JOIN m USING (run_id) LEFT JOIN g USING (run_id)""")
+def run_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as runs: orders are searches, finished ones without a cost of their own, line items link payloads, events model calls, pages fetches of which a third was escalated."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderstatus") != "F", (F.col("o_orderkey") % 1000) / 10000.0).alias("cost"))
+    links = table(spark, d, "lineitem").join(o.select("o_orderkey", "run_id"), F.col("o_orderkey") == F.col("l_orderkey")).select("run_id", (F.col("l_linenumber") / 1000.0).alias("cost"))
+    pages = table(spark, d, "pages").select((F.col("page_id") % 90).alias("run_id"), F.when(F.col("page_id") % 3 == 0, "proxy").otherwise("http").alias("via"))
+    return costs.run_costs(table(spark, d, "customer").select(F.col("c_custkey").alias("run_id")), o.select("run_id", "cost"), links, table(spark, d, "events").select(F.col("user_id").alias("run_id")), pages)

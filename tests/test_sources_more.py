@@ -95,3 +95,25 @@ def test_a_replayed_batch_leaves_one_version(spark, tmp_path):
 ])
 def test_markdown(text, want):
     assert report.markdown_to_html(text) == want
+
+
+def test_costs_of_runs(spark):
+    from serploom.plans import costs
+
+    requests = spark.createDataFrame([("a",), ("b",), ("c",)], "run_id string")
+    searches = spark.createDataFrame([("a", 0.003), ("a", None), ("b", 0.01)], "run_id string, cost double")
+    calls = spark.createDataFrame([("a",)] * 7 + [("c",)], "run_id string")
+    pages = spark.createDataFrame([("a", "http"), ("a", "proxy"), ("b", "browser"), ("b", "browser")], "run_id string, via string")
+    got = {r.run_id: tuple(r)[1:] for r in costs.run_costs(requests, searches, spark.createDataFrame([("b", 0.02)], "run_id string, cost double"), calls, pages).collect()}
+    assert got == {"a": (0.005, 0.0, 0.0084, 0.0001, 0.0135), "b": (0.01, 0.02, 0.0, 0.0002, 0.0302), "c": (0.0, 0.0, 0.0012, 0.0, 0.0012)}
+    assert {tuple(r)[1:] for r in costs.run_costs(requests).collect()} == {(0.0, 0.0, 0.0, 0.0, 0.0)}
+
+
+def test_stages_tell_what_they_did(spark):
+    from serploom.plans import costs
+
+    stages = costs.Stages()
+    a = stages.written(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "run_id string, x int"), "one")
+    stages.written(a.filter("x > 2").select("x"), "two")
+    got = [(r.stage, r.rows, r.runs) for r in stages.table(spark).orderBy("ord").collect()]
+    assert got == [("one", 3, 2), ("two", 1, None)] and a.count() == 3
