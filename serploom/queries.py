@@ -584,20 +584,28 @@ def value_range_display(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_brand", entities.range_display(F.col("lo"), F.col("hi"), F.col("n"), F.col("dollar")).alias("shown"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN contains(lower(p_type), lower(p_name)) OR contains(lower(p_name), lower(p_type)) ELSE abs(p_size * 100.0 - p_retailprice) / greatest(abs(p_size * 100.0), abs(p_retailprice)) <= 0.15 END AS same FROM part
-    WHERE NOT (p_partkey % 3 = 0 AND (regexp_matches(p_type, '[0-9]') OR regexp_matches(p_name, '[0-9]')))""")
+def _match_sql(a: str, b: str) -> str:
+    x, y = (f"try_cast(replace(regexp_extract({v}, '(-?\\d[\\d,]*\\.?\\d*)', 1), ',', '') AS DOUBLE)" for v in (a, b))
+    return f"""CASE WHEN {a} = '' OR {b} = '' THEN false WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN greatest(abs({x}), abs({y})) = 0 OR abs({x} - {y}) <= 0.15 * greatest(abs({x}), abs({y}))
+        ELSE contains(lower({a}), lower({b})) OR contains(lower({b}), lower({a})) END"""
+
+
+@query(f"""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_size || '00 kg' ELSE p_brand END AS a,
+        CASE WHEN p_partkey % 3 = 0 THEN p_type || ' ' || p_name WHEN p_partkey % 3 = 1 THEN '$ ' || p_retailprice::DECIMAL(20, 2) ELSE CASE WHEN p_size % 2 = 0 THEN '' ELSE 'about ' || p_size END END AS b FROM part)
+    SELECT p_partkey, {_match_sql('a', 'b')} AS same FROM v""")
 def values_match_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter(~((F.col("p_partkey") % 3 == 0) & (F.col("p_type").rlike("[0-9]") | F.col("p_name").rlike("[0-9]"))))
-    a = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.concat("p_size", F.lit("00 kg")))
-    b = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("$ "), F.col("p_retailprice").cast("decimal(20,2)").cast("string")))
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 3
+    a = F.when(k == 0, F.col("p_type")).when(k == 1, F.concat("p_size", F.lit("00 kg"))).otherwise(F.col("p_brand"))
+    about = F.when(F.col("p_size") % 2 == 0, "").otherwise(F.concat(F.lit("about "), "p_size"))
+    b = F.when(k == 0, F.concat_ws(" ", "p_type", "p_name")).when(k == 1, F.concat(F.lit("$ "), F.col("p_retailprice").cast("decimal(20,2)").cast("string"))).otherwise(about)
     return p.select("p_partkey", T.values_match(a, b).alias("same"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS words,
-    trim(regexp_replace(regexp_replace(lower(source || ' Number-' || lang), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS attribute FROM documents""")
+@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\p{Pc}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) AS t, source, lang FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(t, '[^ ]{3,}s$') AND NOT regexp_matches(t, '(ss|is)$') THEN t[:-2] ELSE t END AS words,
+           trim(regexp_replace(regexp_replace(lower(source || ' Number-' || lang), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS attribute FROM c""")
 def normalised_names(spark: SparkSession, d: str) -> DataFrame:
-    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
-    return table(spark, d, "documents").select("doc_id", words.alias("words"), T.norm_attr(F.concat("source", F.lit(" Number-"), "lang")).alias("attribute"))
+    return table(spark, d, "documents").select("doc_id", T.canon("text").alias("words"), T.norm_attr(F.concat("source", F.lit(" Number-"), "lang")).alias("attribute"))
 
 
 @query(rf"""WITH i AS (SELECT item_id, lower(array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')[2:2], ' ')) AS name FROM benchmark),
@@ -606,10 +614,10 @@ def normalised_names(spark: SparkSession, d: str) -> DataFrame:
     SELECT name, count(*) AS n FROM u JOIN (SELECT DISTINCT name FROM i WHERE length(name) >= 3) USING (name) GROUP BY name""")
 def entity_presence(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a surface form, here one word each, as a whole word."""
-    names = table(spark, d, "benchmark").select(F.lower(F.get(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lit(1))).alias("name")).filter("length(name) >= 3").distinct()
-    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("name"))
-    pairs = words.join(names, "name", "left_semi")  # by equality, so that any number of forms will do
-    return pairs.groupBy("name").agg(F.count("*").alias("n"))
+    names = table(spark, d, "benchmark").select(F.lower(F.get(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lit(1))).alias("name")).distinct()
+    forms = names.select(F.lit("all").alias("run_id"), F.col("name").alias("canon"), F.col("name").alias("form"))
+    bodies = table(spark, d, "documents").select(F.lit("all").alias("run_id"), F.col("doc_id").alias("rank"), F.col("text").alias("body"))
+    return entities.said_in(forms, bodies).groupBy(F.col("canon").alias("name")).agg(F.count("*").alias("n"))
 
 
 # --- brand and links
@@ -741,20 +749,36 @@ def sitemap_recursion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_CLAIMS}, bk AS (SELECT cs.part, consensus, modal_value, (SELECT count(*) FROM b WHERE b.part = cs.part AND b.value = md.modal_value) AS backing FROM cs JOIN md USING (part)),
-    g AS (SELECT part % 10 AS run_id, part, consensus, modal_value, t.value AS target_value, CASE WHEN consensus < 2 THEN '' WHEN t.value IS NOT NULL THEN CASE WHEN t.value = modal_value OR backing < 2 THEN '' ELSE 'off_consensus' END ELSE 'missing_attribute' END AS gap
+    g AS (SELECT part % 10 AS run_id, part::VARCHAR AS canon, part % 4 = 1 AS edge, consensus, modal_value, t.value AS target_value, CASE WHEN consensus < 2 THEN '' WHEN t.value IS NOT NULL THEN CASE WHEN t.value = modal_value OR backing < 2 THEN '' ELSE 'off_consensus' END ELSE 'missing_attribute' END AS gap
           FROM bk LEFT JOIN (SELECT part, value FROM c WHERE rank = 0) t USING (part) WHERE consensus >= 2),
-    s AS (SELECT run_id, 'facts_to_state' AS section, row_number() OVER (PARTITION BY run_id ORDER BY consensus DESC, part::VARCHAR)::INT AS ord, part::VARCHAR AS entity FROM g WHERE gap = 'missing_attribute'
-          UNION ALL SELECT run_id, 'values_to_review', row_number() OVER (PARTITION BY run_id ORDER BY consensus DESC, part::VARCHAR)::INT, part::VARCHAR FROM g WHERE gap = 'off_consensus'
-          UNION ALL SELECT run_id, 'your_edge', row_number() OVER (PARTITION BY run_id ORDER BY consensus DESC, part::VARCHAR)::INT, part::VARCHAR FROM g WHERE gap = '' AND target_value IS NOT NULL AND consensus * 2 < 20)
-    SELECT * FROM s WHERE ord <= CASE section WHEN 'facts_to_state' THEN 15 ELSE 8 END""")
+    cv AS (SELECT part % 10 AS run_id, part::VARCHAR AS canon, count(*) FILTER (rank > 0) AS consensus, bool_or(rank = 0) AS there, row_number() OVER (PARTITION BY part % 10 ORDER BY count(*) FILTER (rank > 0) DESC, part::VARCHAR) AS place FROM c GROUP BY part),
+    mu AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place) AS k FROM cv WHERE NOT there AND consensus >= greatest(3, round_even(12 * 0.5, 0)) QUALIFY k <= 25),
+    ac AS (SELECT p_partkey % 10 AS run_id, p_name, p_size, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) AS place FROM part WHERE p_partkey % 3 < 2),
+    say AS (
+        SELECT run_id, 'entities_to_add' AS section, k AS n, 'Cover ' || canon AS text, canon AS entity FROM mu
+        UNION ALL SELECT run_id, 'topics_to_expand', place, 'Consider ' || canon, canon FROM cv WHERE consensus >= 2 AND NOT there AND (run_id, canon) NOT IN (SELECT (run_id, canon) FROM mu)
+        UNION ALL SELECT run_id, CASE WHEN edge THEN 'relationships_to_make' ELSE 'facts_to_state' END, row_number() OVER (PARTITION BY run_id, edge ORDER BY consensus DESC, canon), CASE WHEN edge THEN 'Connect ' || canon || ' and ' || modal_value ELSE 'State flag of ' || canon END, canon FROM g WHERE gap = 'missing_attribute'
+        UNION ALL SELECT run_id, 'values_to_review', row_number() OVER (PARTITION BY run_id ORDER BY consensus DESC, canon), 'Check flag: ' || target_value || ' against ' || modal_value, canon FROM g WHERE gap = 'off_consensus'
+        UNION ALL SELECT run_id, 'your_edge', row_number() OVER (PARTITION BY run_id ORDER BY consensus DESC, canon), 'Keep flag: ' || target_value, canon FROM g WHERE gap = '' AND target_value IS NOT NULL AND consensus * 2 < 20
+        UNION ALL SELECT run_id, 'style_targets', place, p_name || ': aim for ' || p_size, NULL FROM ac
+        UNION ALL SELECT s_suppkey % 10, 'information_gain', row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_acctbal, s_suppkey), 'Cover ' || s_suppkey, NULL FROM supplier),
+    s AS (SELECT run_id, section, row_number() OVER (PARTITION BY run_id, section ORDER BY n)::INT AS ord, text, entity FROM say)
+    SELECT * FROM s WHERE ord <= CASE section {" ".join(f"WHEN '{k}' THEN {v}" for k, v in topical.CAPS.items())} END""")
 def brief_sections(spark: SparkSession, d: str) -> DataFrame:
-    c = _claims(spark, d)
+    """All eight sections: claims of suppliers about parts as facts and, for every fourth part, as relations; parts as entities and as actions, suppliers as queries that nobody answers."""
+    c, run = _claims(spark, d), (F.col("part") % 10).alias("run_id")
     own = c.filter("rank = 0").select("part", F.col("value").alias("target_value"))
     out = entities.consensus(c, ["part"]).join(own, "part", "left")
     g = entities.gap(F.col("consensus") >= entities.GRADED, F.lit(True), F.col("target_value").isNotNull(), F.col("target_value"), F.col("modal_value"), F.lit(False), F.col("backing"))
-    eav = out.select((F.col("part") % 10).alias("run_id"), F.col("part").cast("string").alias("canon"), F.lit("flag").alias("attribute"), F.lit(False).alias("is_edge"), "consensus", F.col("modal_value").alias("consensus_value"), "target_value", (F.col("consensus") >= 2).alias("graded"), g.alias("gap"))
-    none = eav.filter("false").select("run_id", "canon", F.col("canon").alias("name"), "consensus", F.lit(False).alias("target_present"), F.lit(0).alias("place"), F.lit(0).alias("add_place"))
-    return topical.brief(none.drop("add_place"), eav, None, None, none, 20).select("run_id", "section", "ord", "entity")
+    eav = out.select(run, F.col("part").cast("string").alias("canon"), F.lit("flag").alias("attribute"), (F.col("part") % 4 == 1).alias("is_edge"), "consensus", F.col("modal_value").alias("consensus_value"), "target_value", (F.col("consensus") >= 2).alias("graded"), g.alias("gap"))
+    covered = c.groupBy("part").agg(F.count_if(F.col("rank") > 0).alias("consensus"), F.bool_or(F.col("rank") == 0).alias("target_present")).select(run, F.col("part").cast("string").alias("canon"), F.col("part").cast("string").alias("name"), "consensus", "target_present")
+    covered = covered.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("consensus"), "canon")))
+    must = entities.must_add(covered, covered.select("run_id").distinct().withColumn("n", F.lit(12)))
+    p = table(spark, d, "part").withColumn("run_id", F.col("p_partkey") % 10)
+    grouped = p.select("run_id", F.col("p_name").alias("name"), F.col("p_size").alias("goal"), F.element_at(F.array(F.lit("Content"), F.lit("Other"), F.lit("Links")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("group"), F.element_at(F.array(F.lit("x"), F.lit("Entity"), F.lit("x")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("phase"), F.lit("Easy").alias("difficulty"), "p_partkey")
+    actions = grouped.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("p_partkey")))
+    gaps = table(spark, d, "supplier").select((F.col("s_suppkey") % 10).alias("run_id"), F.col("s_suppkey").alias("query_id"), F.col("s_acctbal").alias("best"))
+    return topical.brief(covered, eav, actions, gaps, must, 20).select("run_id", "section", "ord", "text", "entity")
 
 
 # --- captured payloads and the store

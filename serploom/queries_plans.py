@@ -9,7 +9,7 @@ from serploom.functions import text as T
 from serploom.operators import compare, corpus, entities, funnel, offpage, panels, registry, semantic, topical
 from serploom.plans import analyze as plans
 from serploom.plans import costs, layers
-from serploom.queries import _GATES_SQL, _LINKS, _LISTS, KEYWORD, _features_sql, _links, _moves, _supplier_values, _topic_pages, numbered, passages_sql, query, rounded, table
+from serploom.queries import _GATES_SQL, _LINKS, _LISTS, KEYWORD, _features_sql, _links, _match_sql, _moves, _supplier_values, _topic_pages, numbered, passages_sql, query, rounded, table
 
 # --- sitemaps: a region is an index of nations, a nation one of suppliers, a supplier lists its parts and, to make a cycle, its nation is listed by an index again
 
@@ -417,18 +417,13 @@ def _canon_sql(x: str) -> str:
     return f"CASE WHEN regexp_matches(lower({x}), '[^ ]{{3,}}s$') AND NOT regexp_matches(lower({x}), '(ss|is)$') THEN lower({x})[:-2] ELSE lower({x}) END"
 
 
-def _match_sql(a: str, b: str) -> str:
-    x, y = (f"try_cast(replace(regexp_extract({v}, '(-?\\d[\\d,]*\\.?\\d*)', 1), ',', '') AS DOUBLE)" for v in (a, b))
-    return f"""CASE WHEN {a} = '' OR {b} = '' THEN false WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN greatest(abs({x}), abs({y})) = 0 OR abs({x} - {y}) <= 0.15 * greatest(abs({x}), abs({y}))
-        ELSE contains(lower({a}), lower({b})) OR contains(lower({b}), lower({a})) END"""
-
-
 @query(f"""WITH kw AS (SELECT k AS run_id, list_transform(list_filter(string_split(w, ' '), lambda x: NOT list_contains({_list_sql(entities.KEYWORD_MODIFIERS)}, x)), lambda x: {_stem_sql("x")}) AS stems
         FROM range(5) r(k), (VALUES (0, '{_TABLE_KEYWORDS[0]}'), (1, '{_TABLE_KEYWORDS[1]}')) v(m, w) WHERE m = k % 2),
     l AS (SELECT l_orderkey % 5 AS run_id, l_suppkey % 12 AS rank, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS ord, p_name, p_type, p_brand, lineitem.*
           FROM lineitem JOIN part ON p_partkey = l_partkey WHERE NOT (l_orderkey % 5 = 4 AND l_suppkey % 12 = 0)),
     nm AS (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' ' || p_name WHEN 2 THEN p_name || 's' ELSE 'the ' || p_name END AS name FROM l),
-    me AS (SELECT run_id, rank, ord, {_canon_sql("name")} AS canon, 'product' AS type FROM nm UNION ALL SELECT run_id, rank, ord, {_canon_sql("p_type")}, 'Manufacturer' FROM nm),
+    m0 AS (SELECT run_id, rank, ord, l_quantity AS salience, {_canon_sql("name")} AS canon, 'product' AS type FROM nm UNION ALL SELECT run_id, rank, ord, l_quantity, {_canon_sql("p_type")}, 'Manufacturer' FROM nm),
+    me AS (SELECT * FROM m0 QUALIFY row_number() OVER (PARTITION BY run_id, rank, canon ORDER BY salience DESC, ord) = 1),
     cn AS (SELECT run_id, canon, min(type) AS type, count(DISTINCT rank) AS pages, min(((rank = 0)::INT, rank, ord)) AS first FROM me GROUP BY run_id, canon),
     br AS (SELECT run_id, list(DISTINCT canon) AS brand FROM cn WHERE type = 'Manufacturer' GROUP BY run_id),
     co AS (SELECT cn.*, list_sort(list_distinct(list_transform(list_filter(string_split(canon, ' '), lambda w: NOT (list_contains(stems, {_stem_sql("w")}) OR list_contains({_list_sql(entities.GENERIC)}, w) OR list_contains(brand, w))), lambda w: {_stem_sql("w")}))) AS core
