@@ -95,26 +95,30 @@ def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
 
 
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
-    """Candidates and sensitive words are walked through once, side by side: the work grows with the text, whatever it says."""
+    """Candidates near sensitive words. Both are walked through once, side by side, never back: the work grows with the text, whatever it says."""
     out: list[Span] = []
     starts, ends = _covered(base)
     words = (w.end() for w in SENSITIVE.finditer(text))
-    last, coming = -REACH - 1, next(words, None)
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        while coming is not None and coming <= start:
-            last, coming = coming, next(words, None)
-        if start > last + REACH:  # no word before it is near: then what follows the first word inside it
-            if coming is None or coming >= end:
+    coming = next(words, None)
+    while coming is not None:
+        at = last = coming  # what comes before the next word is near none
+        for m in CANDIDATE.finditer(text, at):
+            start, end = m.span()
+            while coming is not None and coming <= start:
+                last, coming = coming, next(words, None)
+            if start > last + REACH:
+                break
+            if start == at:  # the rest of the run that the word is in
+                start = JOINED.match(text, start, end).end()
+            if end - start < LEAST:
                 continue
-            start = JOINED.match(text, coming, end).end()
-        if end - start < LEAST:
-            continue
-        k = bisect.bisect_left(starts, end) - 1
-        if k >= 0 and ends[k] > start:
-            continue
-        if _novelty().ratio(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= NOVEL:
-            out.append((start, 3, end))
+            k = bisect.bisect_left(starts, end) - 1
+            if k >= 0 and ends[k] > start:
+                continue
+            if _novelty().ratio(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= NOVEL:
+                out.append((start, 3, end))
+        else:
+            break
     return out
 
 
