@@ -7,7 +7,7 @@ and item and window are aligned by words: match 2, mismatch -1, gap -1. The scor
 word replaced about 0.7, and chance overlaps of a few words and everyday words between stay below 0.35.
 
 Words are runs of word characters, lower-cased. Defined results: null and empty texts, null items and items without a
-word match nothing; items of more than PIECE words are aligned in pieces of that many, whose scores add up; items that repeat one another are reported each; items shorter than an n-gram are one n-gram
+word match nothing; items of any length are aligned whole, in memory that follows the window (time follows item times window); items that repeat one another are reported each; items shorter than an n-gram are one n-gram
 of all their words; equal best alignments give the first; repeated rows are reported each; other columns are ignored or, in
 ``drop_contaminated``, kept. Texts are searched whole.
 """
@@ -31,8 +31,6 @@ WORD = re.compile(r"\w+")
 #: Characters of test items that go out with tasks; beyond it, items must be split and searched in turns.
 MOST_ITEM_CHARS = 32_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
-#: Words of an item that are aligned at once: time grows with their square.
-PIECE = 2048
 
 
 @dataclass(frozen=True)
@@ -50,12 +48,8 @@ class Index:
     def __init__(self, items: Items) -> None:
         self.items = items
         self.number: dict[str, int] = {}
-        whole = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for ws in items.words]
-        self.size = [len(row) for row in whole]
-        self.times = [Counter(row.tolist()) for row in whole]
-        cut = [(i, row[k : k + PIECE]) for i, row in enumerate(whole) for k in range(0, max(len(row), 1), PIECE)]
-        #: The pieces, and of each its item; most items are one piece.
-        self.owner, self.rows = [c[0] for c in cut], [c[1] for c in cut]
+        self.rows = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for ws in items.words]
+        self.times = [Counter(row.tolist()) for row in self.rows]
         self.base = len(self.number) + 2
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short = {len(r) for r in self.rows if 0 < len(r) < items.n}
@@ -179,17 +173,16 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0
                     hits[i].append((p, q))
             words = row.tolist() if hits else []
             present = set(words)
-            scores: dict[int, tuple[int, int, int]] = {}
-            for piece, places in sorted(hits.items()):
-                i, item, best = index.owner[piece], index.rows[piece], (0, 0, 0)
+            for i, places in sorted(hits.items()):
+                item, best = index.rows[i], (0, 0, 0)
                 # an alignment can't score more than the share of the item's words that are there
-                if sum(map(index.times[i].__getitem__, index.times[i].keys() & present)) < threshold * index.size[i]:
+                if sum(map(index.times[i].__getitem__, index.times[i].keys() & present)) < threshold * len(item):
                     continue
                 for a, b in windows(places, len(item), len(row)):
-                    if len(item) == index.size[i] and sum(map(index.times[i].__getitem__, index.times[i].keys() & words[a:b])) < threshold * len(item):
+                    if sum(map(index.times[i].__getitem__, index.times[i].keys() & words[a:b])) < threshold * len(item):
                         continue
                     part = row[a:b]
-                    key = (piece, part.tobytes())
+                    key = (i, part.tobytes())
                     if key not in known:
                         if len(known) > 5000:
                             known.clear()
@@ -197,10 +190,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0
                     s, x, y = known[key]
                     if s > best[0]:
                         best = (s, a + x, a + y)
-                if best[0]:
-                    s, x, y = scores.get(i, (0, best[1], best[2]))
-                    scores[i] = (s + best[0], min(x, best[1]), max(y, best[2]))
-            out += [(d, i, s / (MATCH * index.size[i]), x, y) for i, (s, x, y) in sorted(scores.items()) if s >= threshold * MATCH * index.size[i]]
+                if best[0] and best[0] >= threshold * MATCH * len(item):
+                    out.append((d, i, best[0] / (MATCH * len(item)), best[1], best[2]))
         at = pa.array([o[0] for o in out], pa.int64())
         return pa.RecordBatch.from_arrays([cols["doc_id"].take(at), pa.array([items.ids[o[1]] for o in out], item_kind), *(pa.array([o[k] for o in out], pa.float64() if k == 2 else pa.int64()) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "first_word", "end_word"])
 

@@ -165,6 +165,14 @@ def test_long_items_are_aligned_in_pieces(spark):
     assert {r.doc_id: round(r.score, 2) for r in got} == {1: 1.0, 2: 0.79} and (got[0].first_word, got[0].end_word) == (2, 5002)
 
 
+@pytest.mark.parametrize("n", [400, 4200])
+def test_halves_that_swapped_places_score_alike_at_any_length(spark, n):
+    words, far = [f"w{k}" for k in range(n)], ["x"] * (n + 900)
+    swapped = " ".join(words[n // 2 :] + far + words[: n // 2])
+    got = decontam.find(documents(spark, [(1, swapped, "", "")]), items(spark, [(1, " ".join(words))])).collect()
+    assert [(r.doc_id, r.score) for r in got] == [(1, 0.5)]
+
+
 #: Stages on the rows above, and on none: what stays by doc_id, None being the row without one.
 STAGES = {
     "quality_classifier": lambda s, d: quality.keep_good(d, labels(s, ((1, 1, 0), (2, 0, 0), (3, 1, None), (None, 1, 0))), accept=0.0),
