@@ -116,10 +116,10 @@ def access_gate(scores: DataFrame, fetched: DataFrame, values: DataFrame) -> Dat
     return both.select("run_id", "rank", F.coalesce((F.col("score") + F.col("f")) / 2, "f", "score").alias("score"))
 
 
-def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | None = None, cells: DataFrame | None = None, types: DataFrame | None = None, targets: DataFrame | None = None, unread: DataFrame | None = None) -> DataFrame:
+def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | None = None, cells: DataFrame | None = None, types: DataFrame | None = None, targets: DataFrame | None = None, unread: DataFrame | None = None, fits: DataFrame | None = None) -> DataFrame:
     """run_id, rank, gate, score of all eight gates, as far as there is something to judge them by. cells: run_id, rank, canon, present of the entity table's coverage rows.
 
-    unread: run_id of runs whose target wasn't read for entities; they have no entity gate.
+    unread: run_id of runs whose target wasn't read for entities; they have no entity gate. fits: run_id, fit of the intent panel, which then decides the targets' intent scores: a target without a type of its own has one, too.
     """
     scores = gate_scores(values, definitions)
     parts = [scores.filter(~F.col("gate").isin("access", "entities"))]
@@ -131,7 +131,10 @@ def all_gates(values: DataFrame, definitions: DataFrame, fetched: DataFrame | No
         entity = entity.union(cells.groupBy("run_id", "rank").agg((F.avg(F.col("present").cast("double")) * 100).alias("score"))).groupBy("run_id", "rank").agg(F.avg("score").alias("score"))
     parts.append(named(entity if unread is None else entity.join(unread.select("run_id"), "run_id", "left_anti"), "entities"))
     if types is not None:
-        parts.append(named(intent_gate(types), "intent"))
+        of_types = intent_gate(types)
+        if fits is not None:
+            of_types = of_types.filter("rank > 0").unionByName(fits.select("run_id", F.lit(0).alias("rank"), intent_score(F.col("fit")).alias("score")))
+        parts.append(named(of_types, "intent"))
     parts.append(named(engagement_gate(values, targets), "engagement"))
     out = parts[0]
     for p in parts[1:]:

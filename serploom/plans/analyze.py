@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from serploom.functions import text as T
 from serploom.operators import compare as C
 from serploom.operators import correlate as K
-from serploom.operators import corpus, factors, funnel, page, panels, registry, roadmap, topical
+from serploom.operators import corpus, explain, factors, funnel, page, panels, registry, roadmap, topical
 from serploom.plans import layers
 from serploom.plans.costs import Stages
 
@@ -51,7 +51,7 @@ def analyze(
     types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None,
     triples: DataFrame | None = None, aliases: DataFrame | None = None, stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """factor_values, correlations, actions, scorecard, gates, overall, advantages, stages (rows and seconds of what was written on the way), and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...).
+    """factor_values, correlations, actions, scorecard, gates, gate_report, overall, advantages, cards, stages (rows and seconds of what was written on the way), and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...).
 
     Optional layers, each off without its tables: sims and salient, or meaning with intents and embeddings (passages of the pages themselves); quality; votes and satisfaction (engagement); types (intent); cells,
     or entities with triples and aliases (the entity table); stats and links (off-page); keywords (brand); crux (origin, payload, as captured; null where there was no record). See ``layers``, ``panels`` and ``funnel``.
@@ -92,16 +92,23 @@ def analyze(
     targets = values.filter("rank = 0").select("run_id", "factor_id", "value")
     scored = roadmap.candidates(correlations, definitions, targets)
     got = items.select("run_id", "rank", "url").join(pages.groupBy("url").agg(F.bool_or("ok").alias("ok")), "url", "left").select("run_id", "rank", F.coalesce("ok", F.lit(False)).alias("ok"))
-    gates = stages.written(funnel.all_gates(values, definitions, got, cells, types, funnel.located(items, requests), unread), "gates")
+    at = funnel.located(items, requests)
+    panel = None if types is None else explain.intent_panel(types, at)
+    gates = stages.written(funnel.all_gates(values, definitions, got, cells, types, at, unread, panel), "gates")
     verdicts = funnel.funnel(gates, unread=unread)
+    report = explain.gate_report(gates, verdicts, values, definitions, panel)
+    if panel is not None:
+        found["intent_panel"] = panel
     return {
         "factor_values": values,
         "correlations": K.ordered(correlations, definitions),
         "actions": roadmap.top_actions(scored),
         "scorecard": roadmap.scorecard(scored),
         "gates": verdicts,
-        "overall": funnel.overall(verdicts),
+        "gate_report": report,
+        "overall": explain.summary(funnel.overall(verdicts)),
         "advantages": funnel.advantages(gates),
+        "cards": explain.cards(gates, items.select("run_id", "rank", "url", "domain"), report, at),
         "stages": stages.table(spark),
     } | found
 

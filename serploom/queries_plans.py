@@ -148,9 +148,8 @@ _EIGHT_SQL = _GATES_SQL.replace("'semantic' END AS gate", "'semantic' END AS gat
            UNION ALL SELECT * FROM ac UNION ALL SELECT * FROM nt UNION ALL SELECT * FROM en UNION ALL SELECT * FROM eg)"""
 
 
-@query(f"WITH {_EIGHT_SQL} SELECT run_id, rank::BIGINT AS rank, gate, round(score, 6) AS score FROM al")
-def eight_gates(spark: SparkSession, d: str) -> DataFrame:
-    """All gates of suppliers as pages: percentiles, fetches, entity coverage, page types, clicks and satisfaction."""
+def _eight(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """values, gates, pages, types and places of the targets: suppliers of a nation as the pages of a run."""
     base = _supplier_values(spark, d)
     place = (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).alias("rank")
     sup = table(spark, d, "supplier").join(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct(), "s_suppkey").select(F.col("s_nationkey").alias("run_id"), place, "s_suppkey")
@@ -162,6 +161,13 @@ def eight_gates(spark: SparkSession, d: str) -> DataFrame:
     types = sup.select("run_id", "rank", F.concat(F.lit("t"), F.col("s_suppkey") % 3).alias("page_type"))
     targets = spark.range(0, 40, 2).select(F.col("id").cast("int").alias("run_id"), F.lit(3).alias("target_rank"))
     gates = funnel.all_gates(values, registry.factor_def(spark), fetched, cells, types, targets)
+    return values, gates, sup, types, targets
+
+
+@query(f"WITH {_EIGHT_SQL} SELECT run_id, rank::BIGINT AS rank, gate, round(score, 6) AS score FROM al")
+def eight_gates(spark: SparkSession, d: str) -> DataFrame:
+    """All gates of suppliers as pages: percentiles, fetches, entity coverage, page types, clicks and satisfaction."""
+    _, gates, *_ = _eight(spark, d)
     return rounded(gates.select("run_id", F.col("rank").cast("long").alias("rank"), "gate", "score"))
 
 
