@@ -83,8 +83,8 @@ def expand_topic(topic: Column) -> Column:
     return F.array_distinct(F.filter(F.array(core, F.try_element_at(toks, F.lit(-1))), lambda x: x.isNotNull()))
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term and what else terms have: which terms a text matches, see ``term_pattern``; once for each distinct text and term.
+def term_hits(texts: DataFrame, terms: DataFrame, key: str, text: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """key, term and what else terms have: which terms a text matches, see ``term_pattern``; once for each distinct text and term. by: columns that text and term must share, such as the run.
 
     A match starts at the beginning of a word, so a term's first content word is a prefix of one of the text's words: words' prefixes, of lengths that first words have, are what texts and terms are
     joined by. Any number of terms goes through in one pass, and the pattern runs on those pairs alone.
@@ -97,9 +97,9 @@ def term_hits(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFr
     ends = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.array_join(F.slice(p, k, F.size(p)), "'"))
     starts = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(ends(F.split(w, "'")), lambda e: F.array(e, F.concat(F.lit("'"), e))))))
     heads = F.flatten(F.transform(starts, lambda w: F.array(*[F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in sorted(sizes)]).cast("array<string>")))
-    shown = texts.select(key, F.col(text).alias("__text")).distinct()
-    of = shown.select(key, "__text", F.explode(F.array_distinct(F.array_compact(heads))).alias("__w"))
-    return of.join(sought, "__w").filter(F.regexp_count("__text", F.col("__pat")) > 0).drop("__w", "__pat", "__text").distinct()
+    shown = texts.select(*by, key, F.col(text).alias("__text")).distinct()
+    of = shown.select(*by, key, "__text", F.explode(F.array_distinct(F.array_compact(heads))).alias("__w"))
+    return of.join(sought, [*by, "__w"]).filter(F.regexp_count("__text", F.col("__pat")) > 0).drop("__w", "__pat", "__text").distinct()
 
 
 def match_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
@@ -158,9 +158,16 @@ def cluster_summary(pages: DataFrame, n_adjacent: int, by: str = "domain") -> Da
     return out.withColumn("band", band(F.col("score")))
 
 
-def brief(coverage: DataFrame, eav: DataFrame, actions: DataFrame | None, gaps: DataFrame | None, must: DataFrame, brands: int) -> DataFrame:
-    """run_id, section, ord, text, evidence, entity, attribute: one filter per section, united, then capped in one window."""
-    pages = lambda n, say: F.concat(n.cast("string"), F.lit(f" of {brands} top pages {say}"))
+def brief(coverage: DataFrame, eav: DataFrame, actions: DataFrame | None, gaps: DataFrame | None, must: DataFrame, brands: int | DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """run_id, section, ord, text, evidence, entity, attribute: one filter per section, united, then capped in one window.
+
+    brands: how many ranked pages were compared, or that for each run (run_id, n). unread: run_id of runs whose target wasn't read for entities; they get no advice on its entity numbers. gaps may carry name, what a gap is called.
+    """
+    if isinstance(brands, int):
+        seen = lambda df: df.withColumn("__b", F.lit(brands))
+    else:
+        seen = lambda df: df.join(brands.select("run_id", F.col("n").alias("__b")), "run_id", "left").withColumn("__b", F.coalesce("__b", F.lit(0)))
+    pages = lambda n, say: F.concat(n.cast("string"), F.lit(" of "), F.col("__b").cast("string"), F.lit(f" top pages {say}"))
     none = F.lit(None).cast("string")
     missing = F.col("gap").isin("missing_entity", "missing_attribute", "missing_value")
 
@@ -168,7 +175,7 @@ def brief(coverage: DataFrame, eav: DataFrame, actions: DataFrame | None, gaps:
         return df.select("run_id", F.lit(section).alias("section"), F.row_number().over(Window.partitionBy("run_id").orderBy("__n")).alias("ord"), text.alias("text"), evidence.alias("evidence"), entity.alias("entity"), attribute.alias("attribute"))
 
     name, attr = F.col("name"), F.col("attribute")
-    facts = eav.filter("graded")
+    facts, coverage, must = seen(eav.filter("graded")), seen(coverage), seen(must)
     by_fact = [F.desc("consensus"), F.col("canon"), attr]
     number = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy(*by_fact)))
     sections = [
@@ -177,12 +184,15 @@ def brief(coverage: DataFrame, eav: DataFrame, actions: DataFrame | None, gaps:
         part(number(facts.filter(missing & ~F.col("is_edge"))), "facts_to_state", F.concat(F.lit("State "), attr, F.lit(" of "), F.col("canon")), pages(F.col("consensus"), "state it"), entity=F.col("canon"), attribute=attr),
         part(number(facts.filter(F.col("gap") == "off_consensus")), "values_to_review", F.concat(F.lit("Check "), attr, F.lit(": "), F.col("target_value"), F.lit(" against "), F.col("consensus_value")), pages(F.col("consensus"), "assert it"), entity=F.col("canon"), attribute=attr),
         part(number(facts.filter(missing & F.col("is_edge"))), "relationships_to_make", F.concat(F.lit("Connect "), F.col("canon"), F.lit(" and "), F.col("consensus_value")), pages(F.col("consensus"), "make it"), entity=F.col("canon"), attribute=attr),
-        part(number(facts.filter((F.col("gap") == "") & F.col("target_value").isNotNull() & (F.col("consensus") * 2 < brands))), "your_edge", F.concat(F.lit("Keep "), attr, F.lit(": "), F.col("target_value")), pages(F.col("consensus"), "state this"), entity=F.col("canon"), attribute=attr),
+        part(number(facts.filter((F.col("gap") == "") & F.col("target_value").isNotNull() & (F.col("consensus") * 2 < F.col("__b")))), "your_edge", F.concat(F.lit("Keep "), attr, F.lit(": "), F.col("target_value")), pages(F.col("consensus"), "state this"), entity=F.col("canon"), attribute=attr),
     ]
     if actions is not None:
+        if unread is not None:
+            ours = (F.col("group") == "Entity") | (F.col("phase") == "Entities")
+            actions = actions.filter(~ours).unionByName(actions.filter(ours).join(unread.select("run_id").distinct(), "run_id", "left_anti"))
         sections.append(part(actions.filter(F.col("group").isin(WRITING) | F.col("phase").isin(WRITING)).withColumn("__n", F.col("place")), "style_targets", F.concat(F.col("name"), F.lit(": aim for "), T.shown("goal")), F.concat_ws(", ", "phase", "difficulty")))
     if gaps is not None:
-        sections.append(part(gaps.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy("best", "query_id"))), "information_gain", F.concat(F.lit("Cover "), F.col("query_id").cast("string")), F.lit("no top page covers it well")))
+        sections.append(part(gaps.withColumn("__n", F.row_number().over(Window.partitionBy("run_id").orderBy("best", "query_id"))), "information_gain", F.concat(F.lit("Cover "), F.col("name") if "name" in gaps.columns else F.col("query_id").cast("string")), F.lit("no top page covers it well")))
     every = sections[0]
     for s in sections[1:]:
         every = every.unionByName(s)
@@ -197,3 +207,30 @@ def markdown(items: DataFrame) -> DataFrame:
     each = items.groupBy("run_id", "section").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("ls"))  # capped above
     body = F.concat(F.lit("## "), F.initcap(F.translate("section", "_", " ")), F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n"))
     return each.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.array_position(titles, F.col("section")).alias("o"), body.alias("b")))), lambda x: x["b"]), "\n\n").alias("markdown"))
+
+
+#: What a section asks of a writer, in the order of CAPS.
+ASKS = {
+    "entities_to_add": "Add these entities, each where it belongs in a sentence that says something", "topics_to_expand": "Cover these topics where they fit the business", "facts_to_state": "State these facts with the business's own values",
+    "values_to_review": "Check these values, which differ from what others state", "relationships_to_make": "Say how these belong together", "style_targets": "Bring the page to these measures",
+    "your_edge": "Keep these, which only this page says", "information_gain": "Add what no page that ranks answers",
+}
+RULES = ["Invent nothing about the business: ask for every price, address or credential that is missing.", "Write for readers; repeat no keyword for its own sake.", "Contradict nothing that the page says elsewhere.", "Give the new text, then a short list of changes with reasons."]
+
+
+def brief_texts(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """run_id, total, summary, markdown, prompt of every run with advice: the brief to read, and one to paste into a model. items: ``brief``'s, capped; requests: run_id, keyword, target_url."""
+    line = F.concat(F.lit("- "), F.col("text"), F.lit(" ["), F.col("evidence"), F.lit("]"))
+    each = items.groupBy("run_id", "section").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("ls"), F.count("*").alias("n"))  # capped by brief
+    ask = F.create_map(*[F.lit(x) for pair in ASKS.items() for x in pair])[F.col("section")]
+    block = F.concat(ask, F.lit(":\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n"))
+    place = F.array_position(F.array(*map(F.lit, ASKS)), F.col("section"))
+    blocks = each.groupBy("run_id").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("o"), block.alias("b")))), lambda x: x["b"]), "\n\n").alias("asked"))
+    j = blocks.join(markdown(items), "run_id").join(requests.select("run_id", "keyword", "target_url"), "run_id")
+    own = F.col("target_url").isNotNull()
+    summary = F.concat(F.col("total").cast("string"), F.when(F.col("total") == 1, " recommendation for ").otherwise(" recommendations for "), F.when(own, F.col("target_url")).otherwise("a new page"), F.lit(" on \""), "keyword", F.lit('".'))
+    task = F.when(own, F.concat(F.lit("Edit the page "), "target_url", F.lit(" so that it serves the search \""), "keyword", F.lit('". Its text is at the end. Keep its voice and order where you can.'))).otherwise(F.concat(F.lit('Write a page that serves the search "'), "keyword", F.lit('".')))
+    rules = "\n\nRules:\n" + "\n".join(f"- {r}" for r in RULES)
+    prompt = F.concat(task, F.lit("\n\n"), "asked", F.lit(rules), F.when(own, "\n\nText of the page:\n<paste it here>").otherwise(""))
+    text = F.concat(F.lit("# Writing brief: "), "keyword", F.lit("\n\n"), summary, F.lit("\n\n"), "markdown", F.lit("\n\n---\nFrom what the pages that rank agree on. Check every fact about your own business before you publish it."))
+    return j.select("run_id", "total", summary.alias("summary"), text.alias("markdown"), prompt.alias("prompt"))

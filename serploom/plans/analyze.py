@@ -51,7 +51,7 @@ def analyze(
     types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None,
     triples: DataFrame | None = None, aliases: DataFrame | None = None, stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """factor_values, correlations, actions, scorecard, gates, gate_report, overall, advantages, cards, stages (rows and seconds of what was written on the way), and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...).
+    """factor_values, correlations, actions, scorecard, gates, gate_report, overall, advantages, cards, stages (rows and seconds of what was written on the way), and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...), with types intent_panel, with entities brief and brief_texts.
 
     Optional layers, each off without its tables: sims and salient, or meaning with intents and embeddings (passages of the pages themselves); quality; votes and satisfaction (engagement); types (intent); cells,
     or entities with triples and aliases (the entity table); stats and links (off-page); keywords (brand); crux (origin, payload, as captured; null where there was no record). See ``layers``, ``panels`` and ``funnel``.
@@ -99,10 +99,15 @@ def analyze(
     report = explain.gate_report(gates, verdicts, values, definitions, panel)
     if panel is not None:
         found["intent_panel"] = panel
+    actions = roadmap.top_actions(scored)
+    if entities is not None:
+        compared = table["entities"].filter("rank > 0").groupBy("run_id").agg(F.count_distinct("rank").alias("n"))
+        found["brief"] = topical.brief(table["coverage"], table["eav"], actions, found.get("meaning_gaps"), table["must_add"], compared, unread)
+        found["brief_texts"] = topical.brief_texts(found["brief"], requests)
     return {
         "factor_values": values,
         "correlations": K.ordered(correlations, definitions),
-        "actions": roadmap.top_actions(scored),
+        "actions": actions,
         "scorecard": roadmap.scorecard(scored),
         "gates": verdicts,
         "gate_report": report,

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serploom.functions import text as T
 from serploom.operators import explain, funnel, registry
-from serploom.queries import query, rounded
+from serploom.plans import topics as plans
+from serploom.queries import _HOST, _PATH, query, rounded, table
 from serploom.queries_plans import _EIGHT_SQL, _eight
 
 _NAMED = ", ".join(f"('{f}', '{g}', {k}, '{registry.BY_ID[f].name}')" for g, names in explain.SHOWN.items() for k, f in enumerate(names))
@@ -64,3 +66,49 @@ def competitor_cards(spark: SparkSession, d: str) -> DataFrame:
     report, gates, pages, targets = _report(spark, d)
     shown = pages.select("run_id", "rank", F.concat(F.lit("s"), "s_suppkey").alias("url"), (F.col("s_suppkey") % 7).alias("domain"))
     return rounded(explain.cards(gates, shown, report, targets))
+
+
+# --- topics: domains as runs, numbers in addresses as terms; one run has no model's reply, one no target
+
+_TOPICS_SQL = rf"""
+    p AS (SELECT page_id, url, regexp_extract({_HOST}, '[^.]*\.[^.]*$') AS domain, lower({_HOST} || regexp_replace({_PATH}, '/+$', '')) AS key, trim(lower(regexp_replace(regexp_replace({_PATH}, '(?i)\.(html?|php|aspx?)$', ''), '[-_/]+', ' ', 'g'))) AS slug FROM pages),
+    d AS (SELECT DISTINCT domain FROM p), k AS (SELECT domain, regexp_extract(slug, '(\d+)$', 1) AS t FROM p),
+    te AS (SELECT DISTINCT domain, t AS term, 'core' AS kind FROM k WHERE length(t) = 3 AND t LIKE '8%' AND domain <> 'example.org' UNION ALL SELECT DISTINCT domain, t, 'adjacent' FROM k WHERE length(t) = 3 AND t LIKE '1%' AND domain <> 'example.org'
+           UNION SELECT DISTINCT domain, '888', 'core' FROM k WHERE domain <> 'example.org' UNION VALUES ('example.org', '777', 'core')),
+    rq AS (SELECT domain, CASE WHEN domain <> 'example.net' THEN arg_max(url, page_id) END AS target_url, CASE WHEN domain <> 'example.net' THEN arg_max(key, page_id) END AS target_key FROM p GROUP BY domain),
+    sh AS (SELECT p.domain, key, list(DISTINCT term) FILTER (kind = 'core') AS c, list(DISTINCT term) FILTER (kind = 'adjacent') AS a FROM p JOIN te ON te.domain = p.domain AND regexp_matches(slug, '\b' || term) GROUP BY p.domain, key),
+    hs AS (SELECT p.domain, page_id, key, list(DISTINCT term) AS terms FROM p JOIN te ON te.domain = p.domain AND kind = 'core' AND regexp_matches('page ' || page_id || ' ' || slug, '\b' || term) WHERE page_id % 3 = 0 GROUP BY p.domain, page_id, key),
+    hk AS (SELECT domain, key, list_distinct(flatten(list(terms))) AS h, count(*) AS results, min(page_id) AS pos FROM hs GROUP BY domain, key),
+    cl AS (SELECT coalesce(sh.domain, hk.domain) AS domain, coalesce(sh.key, hk.key) AS key, c IS NOT NULL AS slug_match, h IS NOT NULL AS serp_hit, sh.key IS NOT NULL AND c IS NULL AS is_adjacent,
+                  array_to_string(list_sort(list_distinct(list_concat(coalesce(c, a, []), coalesce(h, [])))), ',') AS matched_terms, coalesce(c, a, []) AS own, results, pos FROM sh FULL JOIN hk ON hk.domain = sh.domain AND hk.key = sh.key)"""
+
+
+def _topics(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    p = table(spark, d, "pages").select("page_id", "url", T.registrable_compare(T.host_of("url")).alias("domain"), F.regexp_extract(T.slug_text("url"), r"(\d+)$", 1).alias("t"))
+    said = lambda head: F.array_sort(F.collect_set(F.when((F.length("t") == 3) & F.col("t").startswith(head), F.col("t"))))
+    replies = p.filter("domain <> 'example.org'").groupBy(F.col("domain").alias("run_id")).agg(F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.lit("888").alias("core"), said("8").alias("variations"), said("1").alias("adjacent")))).alias("reply"))
+    last = p.groupBy("domain").agg(F.max_by("url", "page_id").alias("u"))
+    requests = last.select(F.col("domain").alias("run_id"), "domain", F.when(F.col("domain") == "example.org", "Spam farm 777").alias("topic"), F.when(F.col("domain") != "example.net", F.col("u")).alias("target_url"))
+    searches = p.filter("page_id % 3 = 0").select(F.col("domain").alias("run_id"), F.col("page_id").alias("pos"), "url", F.concat(F.lit("Page "), "page_id").alias("title"))
+    return plans.topics(plans.run_terms(requests, replies), p.select("domain", "url"), searches)
+
+
+@query(f"WITH {_TOPICS_SQL} SELECT domain AS run_id, key, slug_match, serp_hit, is_adjacent, matched_terms FROM cl")
+def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each domain's cluster, of sitemap and search."""
+    return _topics(spark, d)["pages"].select("run_id", "key", "slug_match", "serp_hit", "is_adjacent", F.array_join("matched_terms", ",").alias("matched_terms"))
+
+
+@query(f"""WITH {_TOPICS_SQL},
+    nu AS (SELECT d.domain, count(*) FILTER (slug_match OR serp_hit) AS cluster_size, count(*) FILTER (NOT (slug_match OR serp_hit)) AS adjacent_pages, coalesce(sum(results), 0)::BIGINT AS serp_hits, arg_min(key, pos) AS canonical FROM d LEFT JOIN cl USING (domain) GROUP BY d.domain),
+    ad AS (SELECT domain, count(DISTINCT t) AS adjacent_covered FROM (SELECT domain, unnest(own) AS t FROM cl WHERE NOT (slug_match OR serp_hit)) GROUP BY domain),
+    st AS (SELECT domain, count(DISTINCT url) AS sitemap_total FROM p GROUP BY domain), na AS (SELECT domain, count(*) FILTER (kind = 'adjacent') AS n_adjacent FROM te GROUP BY domain),
+    z AS (SELECT nu.*, coalesce(adjacent_covered, 0) AS adjacent_covered, sitemap_total, coalesce(n_adjacent, 0) AS n_adjacent, target_url, (nu.domain, target_key) IN (SELECT (domain, key) FROM cl) AS inside, coalesce(target_key = canonical, false) AS target_is_canonical
+          FROM nu LEFT JOIN ad USING (domain) JOIN st USING (domain) LEFT JOIN na USING (domain) JOIN rq USING (domain)),
+    y AS (SELECT *, round_even(45 * least(1, cluster_size / 8) + 20 * least(1, cluster_size / sitemap_total / 0.15) + 20 * coalesce(adjacent_covered / nullif(n_adjacent, 0), 0) + 15 * least(1, serp_hits / 3), 1) AS score FROM z)
+    SELECT domain AS run_id, cluster_size, adjacent_pages, serp_hits, adjacent_covered, sitemap_total, n_adjacent::INT AS n_adjacent, round_even(cluster_size / sitemap_total, 4) AS focus_ratio, score, CASE WHEN score >= 70 THEN 'strong' WHEN score >= 40 THEN 'moderate' ELSE 'thin' END AS band,
+           coalesce(target_url IS NOT NULL AND inside, false) AS target_in_cluster, target_is_canonical, cluster_size >= 3 AND (target_url IS NULL OR inside) AS supports_target FROM y""")
+def topic_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Score, band and the verdict on the target page of each domain."""
+    s = _topics(spark, d)["summary"]
+    return s.select("run_id", "cluster_size", "adjacent_pages", "serp_hits", "adjacent_covered", "sitemap_total", "n_adjacent", "focus_ratio", "score", "band", "target_in_cluster", "target_is_canonical", "supports_target")
