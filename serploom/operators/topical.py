@@ -138,7 +138,7 @@ def score(cluster: Column, total: Column, adjacent: Column, n_adjacent: Column,
     """45 breadth, 20 focus, 20 adjacent coverage, 15 indexation; one decimal."""
     one = F.lit(1.0)
     breadth = F.least(one, cluster / CLUSTER)
-    focus = F.coalesce(F.least(one, F.try_divide(cluster, F.nullif(total, F.lit(0))) / FOCUS), F.lit(0.0))
+    focus = F.least(one, F.coalesce(F.try_divide(cluster, F.nullif(total, F.lit(0))), F.lit(0.0)) / FOCUS)  # least() passes over nulls
     near = F.coalesce(F.try_divide(adjacent, F.nullif(n_adjacent, F.lit(0))), F.lit(0.0))
     return F.bround((breadth * 0.45 + focus * 0.20 + near * 0.20 + F.least(one, hits / INDEXED) * 0.15) * 100, 1)
 

@@ -133,3 +133,68 @@ def shown_rows(rows: DataFrame, group: str | None = None, hide_met: bool = False
     """The report's filters."""
     out = rows if group is None else rows.filter(F.col("group") == group)
     return out.filter(F.col("badge") != "met") if hide_met else out
+
+
+def compare_prompts(requests: DataFrame, moved: DataFrame, changed: DataFrame, most: int = 8) -> DataFrame:
+    """run_id, prompt: what moved between two result lists, for a narrative. requests: run_id, keyword, update_name, before_date, after_date, the last three nullable; moved and changed: ``compare``'s moves and churn.
+
+    The first ``most`` of those who rose or came and of those who fell or went, the largest change first; the giants only as two numbers. authority_score and traffic_trend_pct are told where moves carry them.
+    """
+    n = lambda c: F.col(c).cast("string")
+    step = F.when(F.col("status") == "entered", F.concat(F.lit("new at "), n("after_rank"))).when(F.col("status") == "dropped", F.concat(F.lit("gone from "), n("before_rank"))).otherwise(F.concat(F.lit("from "), n("before_rank"), F.lit(" to "), n("after_rank")))
+    soft = {"authority_score": "authority %.0f", "traffic_trend_pct": "traffic %+.0f percent"}
+    told = [F.when(F.col(c).isNotNull(), F.format_string(say, F.col(c).cast("double"))) for c, say in soft.items() if c in moved.columns]
+    line = F.concat_ws(", ", F.concat(F.lit("- "), F.col("domain"), F.lit(" "), step), *told)
+    side = F.when(F.col("status").isin("entered", "up"), "rose").when(F.col("status").isin("down", "dropped"), "fell")
+    order = Window.partitionBy("run_id", "side").orderBy(F.desc(F.coalesce(F.abs("delta"), F.lit(999))), F.coalesce("after_rank", "before_rank"), "domain")
+    first = moved.withColumn("side", side).filter("side is not null and not is_mega").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+    lists = first.groupBy("run_id").pivot("side", ["rose", "fell"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n"))
+    ask = "Explain what this search's result list shows, in four parts under ## headings: what changed; whether known sites or better answers gained, by the lines below; what a site should do; what this can't show. Use these numbers only."
+    held = F.when(F.col("n1_flip"), F.concat(F.lit("First place: from "), "n1_before", F.lit(" to "), "n1_after")).otherwise(F.concat(F.lit("First place held: "), F.coalesce("n1_after", "n1_before", F.lit("none"))))
+    none = F.lit("- none")
+    j = changed.join(requests.select("run_id", "keyword", "update_name", "before_date", "after_date"), "run_id").join(lists, "run_id", "left")
+    parts = [
+        F.lit(ask), F.concat(F.lit("Search: "), "keyword"), F.concat(F.lit("Update: "), F.coalesce("update_name", F.lit("not named"))),
+        F.concat(F.lit("Between: "), F.coalesce(n("before_date"), F.lit("?")), F.lit(" and "), F.coalesce(n("after_date"), F.lit("?"))), F.format_string("New on the list: %.0f percent", F.coalesce("churn_pct", F.lit(0.0))), held,
+        F.concat(F.lit("Rose:\n"), F.coalesce("rose", none)), F.concat(F.lit("Fell:\n"), F.coalesce("fell", none)), F.format_string("Large platforms: %d came, %d went", "mega_entered", "mega_dropped"),
+    ]
+    return j.select("run_id", F.concat_ws("\n", *parts).alias("prompt"))
+
+
+#: Sections of a run's page: a title, the result that it shows, its columns, and the order of its rows.
+SECTIONS = [
+    ("Verdict", "overall", ["overall", "summary"], []),
+    ("Gates", "gate_report", ["name", "score", "verdict", "tier", "weight", "details"], ["ord"]),
+    ("Format of the results", "intent_panel", ["dominant", "share", "target_type", "fit", "note"], []),
+    ("Who ranks above, and why", "cards", ["rank", "domain", "url", "reason", "evidence"], ["rank", "place"]),
+    ("Actions", "actions", ["place", "name", "phase", "difficulty", "current", "goal"], ["place"]),
+    ("Factors that go with rank", "correlations", ["factor_id", "best", "n", "significant"], []),
+    ("Entities to add", "entities_must_add", ["name", "consensus"], ["add_place"]),
+    ("Facts and gaps", "entities_eav", ["canon", "attribute", "consensus", "consensus_value", "target_value", "gap"], []),
+    ("Sub-intents nobody answers", "meaning_gaps", ["name", "best"], ["best"]),
+    ("Search volume of brands", "brand_leaderboard", ["domain", "volume"], []),
+]
+
+
+def _cell(v: object) -> str:
+    text = "" if v is None else f"{v:.2f}".rstrip("0").rstrip(".") if isinstance(v, float) else "; ".join(map(str, v)) if isinstance(v, list) else str(v)
+    return f"<td>{html.escape(text)}</td>"
+
+
+def run_page(out: dict[str, DataFrame], run_id: object, title: str, most: int = 200) -> str:
+    """The HTML page of one run out of ``analyze``'s results: a section for each of them that there is, ``most`` rows at most, and it says where there are more. The brief comes last, as text."""
+    parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
+    of = lambda name: out[name].filter(F.col("run_id") == F.lit(run_id))
+    for head, name, columns, order in SECTIONS:
+        if name not in out:
+            continue
+        there = [c for c in columns if c in out[name].columns]
+        rows = of(name).orderBy(*order) if order else of(name)
+        got = rows.select(*there).limit(most + 1).collect()
+        if got:
+            body = "".join(f"<tr>{''.join(map(_cell, r))}</tr>" for r in got[:most])
+            more = f"<p>The first {most} rows.</p>" if len(got) > most else ""
+            parts.append(f"<h2>{html.escape(head)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in there)}</tr>{body}</table>{more}")
+    if "brief_texts" in out and (brief := of("brief_texts").select("markdown").first()):
+        parts.append(markdown_to_html(brief["markdown"]))
+    return "\n".join(parts)

@@ -10,6 +10,7 @@ from serploom.operators import explain, funnel, registry
 from serploom.plans import topics as plans
 from serploom.queries import _HOST, _PATH, query, rounded, table
 from serploom.queries_plans import _EIGHT_SQL, _eight
+from serploom.shared import written
 
 _NAMED = ", ".join(f"('{f}', '{g}', {k}, '{registry.BY_ID[f].name}')" for g, names in explain.SHOWN.items() for k, f in enumerate(names))
 _PANEL_OF_TYPES = """
@@ -35,6 +36,7 @@ _REPORT_SQL = f"""{_EIGHT_SQL},{_PANEL_OF_TYPES},
 
 def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     values, gates, pages, types, targets = _eight(spark, d)
+    values, gates = written(values, "values"), written(gates, "gates")  # read six times
     panel = explain.intent_panel(types, targets)
     return explain.gate_report(gates, funnel.funnel(gates), values, registry.factor_def(spark), panel), gates, pages, targets
 
