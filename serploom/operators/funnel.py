@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,9 @@ def vote_share(votes: DataFrame, by: list[str]) -> DataFrame:
     return mean.withColumn("share", F.col("m") / F.sum("m").over(Window.partitionBy(*by))).select(*by, "id", "share")
 
 
-def panel_order(items: DataFrame, by: list[str], keyword: Column, key: str = "url") -> DataFrame:
-    """A neutral order of results that depends on keyword and url alone."""
-    return items.withColumn("neutral_id", F.row_number().over(Window.partitionBy(*by).orderBy(F.sha2(F.concat(keyword, F.lit("|"), F.col(key)), 256))))
+def panel_order(items: DataFrame, by: list[str], keyword: Column, key: str = "url", ties: Sequence[str] = ()) -> DataFrame:
+    """A neutral order of results that depends on keyword and url alone; ties: columns that decide between rows of the same url."""
+    return items.withColumn("neutral_id", F.row_number().over(Window.partitionBy(*by).orderBy(F.sha2(F.concat(keyword, F.lit("|"), F.col(key)), 256), key, *ties)))
 
 
 def expected_clicks(rank: Column) -> Column:
