@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,12 +128,12 @@ def relevant_hits(results: DataFrame, terms: DataFrame) -> DataFrame:
     return term_hits(keyed, terms.select("term"), "at", "text").groupBy("at").agg(F.array_sort(F.collect_set("term")).alias("terms")).select("at.domain", "at.url", "terms")
 
 
-def cluster_order(pages: DataFrame, by: str = "domain") -> DataFrame:
-    """pages of the cluster with place: core slug and search hit, search hit, core slug, adjacent; by url within each."""
+def cluster_order(pages: DataFrame, by: str = "domain", ties: Sequence[str] = ()) -> DataFrame:
+    """pages of the cluster with place: core slug and search hit, search hit, core slug, adjacent; by url within each. ties: columns that decide between rows of the same url."""
     core = F.size("core_terms") > 0
     kind = F.when(core & F.col("in_serp"), 0).when(F.col("in_serp"), 1).when(core, 2).otherwise(3)
     inside = pages.filter(core | F.col("in_serp") | (F.size("adjacent_terms") > 0))
-    return inside.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(kind, "url")))
+    return inside.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(kind, "url", *ties)))
 
 
 def score(cluster: Column, total: Column, adjacent: Column, n_adjacent: Column, hits: Column) -> Column:
