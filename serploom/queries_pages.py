@@ -21,6 +21,15 @@ STATED = [
 ]
 
 
+#: Built pages that a task parses. A part is some 20 bytes of a file and its page 1 KB of HTML, so files alone would give very few tasks.
+PAGES_A_TASK = 2_500
+
+
+def dealt(rows: DataFrame, per: int) -> DataFrame:
+    """Small rows that much is made of, dealt out to as many tasks as their number asks for."""
+    return rows.repartition(max(1, -(-rows.count() // per)))
+
+
 def _m(n: int, column: str = "p_partkey") -> Column:
     return (F.col(column) % n).cast("int")
 
@@ -29,7 +38,7 @@ def built_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page for each part: its parts come as often as the part's numbers say."""
     lit, cat = F.lit, F.concat
     times = lambda s, n: F.repeat(lit(s) if isinstance(s, str) else s, n)
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size"), PAGES_A_TASK)
     jsonld = (
         F.when(_m(4) == 0, '<script type="application/ld+json">{"@type":"Product","name":"x","offers":{"@type":"Offer","price":"1"},"aggregateRating":{"@type":"AggregateRating","ratingValue":4}}</script>')
         .when(_m(4) == 1, '<script type="application/ld+json">{"@graph":[{"@type":["Organization"],"sameAs":["https://one.example.org/a","https://built.example.com/b"]},{"@type":"Person"}]}</script>')
