@@ -40,6 +40,8 @@ SHAPES = 64
 HEAD = 150_000
 #: Rows of a batch that are scored before they are handed on.
 SLICE = 1000
+#: Words whose cells are weighed against all classes at a time: 10 MB for 250 words with a hundred cells each.
+WORDS = 250
 #: Distinct words, or cells of contexts, that a task counts before it hands them on.
 FLUSH, CELLS = 250_000, 2_000_000
 SMOOTH = 0.5
@@ -271,7 +273,7 @@ def head_classes(texts: DataFrame, head_shapes: np.ndarray, core_class: np.ndarr
     fit = _fit_of(steps)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, WORDS) for whole in batches for k in range(0, whole.num_rows, WORDS)):
             cols = columns_of(b)
             yield pa.RecordBatch.from_arrays([cols["word"], pa.array(_best(cols["cells"], cols["ns"], fit), pa.int32())], ["word", "class"])
 
@@ -320,7 +322,7 @@ def tail(texts: DataFrame, now: np.ndarray, shape_class: np.ndarray, steps: np.n
     fit, by_shape = _fit_of(steps), shape_class
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, WORDS) for whole in batches for k in range(0, whole.num_rows, WORDS)):
             cols = columns_of(b)
             starts, cell = _flat(cols["cells"])
             n = _flat(cols["ns"])[1]
