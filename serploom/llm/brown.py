@@ -294,29 +294,35 @@ def _best(cells: pa.Array, ns: pa.Array, fit: np.ndarray) -> np.ndarray:
     return total.round(9).argmax(1).astype(np.int32)
 
 
+def neighbours(batches: Iterator[pa.RecordBatch], now: np.ndarray, shape_class: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """token, next, cell, n: what far words stand between, per ``SLICE`` texts (next: a far word behind a far word); without token, the class bigrams of all other words."""
+    head, side = len(now), classes + 1
+    near = np.zeros(classes * classes, np.int64)
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+        row = Sequence(batch, head)
+        words = columns_of(batch)["far"].flatten().dictionary_encode()
+        code, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+        own = np.concatenate([now, [0], np.full(len(code), classes)])
+        c = own[row.at]
+        both = (c[:-1] < classes) & (c[1:] < classes)
+        near += np.bincount(c[:-1][both] * classes + c[1:][both], minlength=classes * classes)
+        p = np.flatnonzero(c == classes)
+        k, n = _counted(code[row.at[p] - head - 1] * side * side + c[p - 1] * side + c[p + 1])
+        yield _contexts(names.take(pa.array(k // (side * side))), pa.nulls(len(k), pa.binary()), k % (side * side), n)
+        p = np.flatnonzero((c[:-1] == classes) & (c[1:] == classes))
+        k, n = _counted(code[row.at[p] - head - 1] * max(len(names), 1) + code[row.at[p + 1] - head - 1])
+        yield _contexts(names.take(pa.array(k // max(len(names), 1))), names.take(pa.array(k % max(len(names), 1))), np.full(len(k), -1), n)
+    at = np.flatnonzero(near)
+    yield _contexts(pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), at, near[at])
+
+
 def tail(texts: DataFrame, now: np.ndarray, shape_class: np.ndarray, steps: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """The rest of the vocabulary as token, n, class in the shared folder, and all class bigrams."""
-    spark, head, classes = texts.sparkSession, len(now), len(steps)
+    classes = len(steps)
     side = classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            row = Sequence(batch, head)
-            words = columns_of(batch)["far"].flatten().dictionary_encode()
-            code, names = words.indices.to_numpy().astype(np.int64), words.dictionary
-            own = np.concatenate([now, [0], np.full(len(code), classes)])
-            c = own[row.at]
-            both = (c[:-1] < classes) & (c[1:] < classes)
-            near += np.bincount(c[:-1][both] * classes + c[1:][both], minlength=classes * classes)
-            p = np.flatnonzero(c == classes)
-            k, n = _counted(code[row.at[p] - head - 1] * side * side + c[p - 1] * side + c[p + 1])
-            yield _contexts(names.take(pa.array(k // (side * side))), pa.nulls(len(k), pa.binary()), k % (side * side), n)
-            p = np.flatnonzero((c[:-1] == classes) & (c[1:] == classes))
-            k, n = _counted(code[row.at[p] - head - 1] * max(len(names), 1) + code[row.at[p + 1] - head - 1])
-            yield _contexts(names.take(pa.array(k // max(len(names), 1))), names.take(pa.array(k % max(len(names), 1))), np.full(len(k), -1), n)
-        at = np.flatnonzero(near)
-        yield _contexts(pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), at, near[at])
+        yield from neighbours(batches, now, shape_class, classes)
 
     seen = persisted(texts.select("ids", "shapes", "far").mapInArrow(run, "token binary, next binary, cell int, n long"), "contexts")
     fit, by_shape = _fit_of(steps), shape_class
