@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serploom.functions import text as T
+from serploom.shared import sent
 
 # Page furniture that is no entity, and metadata that is no fact.
 NAV_ENTITIES = [
@@ -27,6 +28,8 @@ MOST_COVERAGE, MOST_EAV, MOST_ADD, GRADED = 60, 400, 25, 2
 RANGE_FAMILIES = ["price", "rating", "experience", "warranty"]
 CONTACT_FAMILIES = ["address", "phone", "email", "hours"]
 SUBJECT = "__subject__"
+#: Surface forms that are broadcast: some 20 MB. With more, both sides are shuffled.
+MOST_FORMS = 200_000
 
 
 def clean_entities(raw: DataFrame, keyed: bool = False) -> DataFrame:
@@ -231,12 +234,19 @@ def matrix(rows: DataFrame, pages: DataFrame, cells: DataFrame, keys: list[str])
 def said_in(forms: DataFrame, bodies: DataFrame) -> DataFrame:
     """run_id, rank, canon: whose forms (run_id, canon, form) stand in a page's body (run_id, rank, body) as whole words; forms of under 3 letters don't count.
 
-    A form's first word is a word of the page, so words are what they are joined by; a page's candidates come back to its body once, and only they are looked for.
+    A form's first word is a word of the page, so words are what they are joined by. A form that is a single word is found by that; with longer ones a page's candidates come back to its body once, and only they are
+    looked for.
     """
     word = r"([\p{L}\p{N}_]+)"
-    listed = forms.select("run_id", "canon", F.lower("form").alias("form")).filter(F.length("form") >= 3).distinct().withColumn("w", F.regexp_extract("form", word, 1))
-    words = bodies.select("run_id", "rank", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(word), F.lit(1)))).alias("w"))
-    maybe = words.join(listed.filter("w <> ''"), ["run_id", "w"]).groupBy("run_id", "rank").agg(F.collect_set(F.struct("canon", "form")).alias("maybe"))  # a page's, of its run's entities
+    listed = forms.select("run_id", "canon", F.lower("form").alias("form")).filter(F.length("form") >= 3).distinct().withColumn("w", F.regexp_extract("form", word, 1)).filter("w <> ''")
+    listed = sent(listed, "forms", MOST_FORMS)
+    own = F.regexp_extract_all(F.lower("body"), F.lit(word), F.lit(1))
+    if listed.filter("form <> w").isEmpty():
+        rows = bodies.select("run_id", "rank", F.monotonically_increasing_id().alias("__row"), "body")  # numbered before they are taken apart
+        words = rows.select("run_id", "rank", "__row", F.explode(F.array_distinct(own)).alias("w"))
+        return words.join(listed, ["run_id", "w"]).select("__row", "run_id", "rank", "canon").distinct().drop("__row")
+    words = bodies.select("run_id", "rank", F.explode(F.array_distinct(own)).alias("w"))
+    maybe = words.join(listed, ["run_id", "w"]).groupBy("run_id", "rank").agg(F.collect_set(F.struct("canon", "form")).alias("maybe"))  # a page's, of its run's entities
     at = bodies.select("run_id", "rank", F.lower("body").alias("__low")).join(maybe, ["run_id", "rank"])
     held = F.filter("maybe", lambda m: F.contains(F.col("__low"), m["form"]) & (F.regexp_count(F.col("__low"), presence_pattern(m["form"])) > 0))
     return at.select("run_id", "rank", F.explode(F.array_distinct(F.transform(held, lambda m: m["canon"]))).alias("canon"))
