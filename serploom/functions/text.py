@@ -92,10 +92,15 @@ def _hits(low: Column, v: Column) -> Column:
     return F.when(F.contains(low, v), F.regexp_count(low, _pattern(v))).otherwise(0)
 
 
+def _once(value: Column, of) -> Column:
+    """``of`` a column that is made once: inside a lambda a plain one is made again for every element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def vcount(text: Column | str, vars_: Column | str) -> Column:
     """Whole-word matches summed over the variations; overlapping variations each count."""
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.aggregate(col(vars_), F.lit(0), lambda n, v: n + _hits(low, v))
+    return _once(low, lambda t: F.aggregate(col(vars_), F.lit(0), lambda n, v: n + _hits(t, v)))
 
 
 def exact_count(text: Column | str, phrase: Column | str) -> Column:
@@ -105,7 +110,7 @@ def exact_count(text: Column | str, phrase: Column | str) -> Column:
 
 def unique_used(text: Column | str, vars_: Column | str) -> Column:
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.size(F.filter(col(vars_), lambda v: _hits(low, v) > 0))
+    return _once(low, lambda t: F.size(F.filter(col(vars_), lambda v: _hits(t, v) > 0)))
 
 
 def leads(text: Column | str, vars_: Column | str) -> Column:
