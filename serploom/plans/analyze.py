@@ -15,12 +15,14 @@ from serploom.plans import layers
 from serploom.plans.costs import Stages
 
 
-def factor_values(requests: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
+def factor_values(requests: DataFrame, items: DataFrame, pages: DataFrame, **layers: DataFrame | bool | None) -> DataFrame:
     """run_id, rank, url, domain, factor_id, value. The target's page has rank 0.
 
-    requests: run_id, keyword, target_url. items: run_id, rank, url, domain, title, snippet, displayed_url. pages: url, html, load_ms, ok.
+    requests: run_id, keyword, target_url. items: run_id, rank, url, domain, title, snippet, displayed_url. pages: url, html, load_ms, ok. layers: the optional ones of ``analyze``, whose factor_values these are; nothing is judged.
     """
-    return _factors(*_wanted(requests, items, pages), items, requests)
+    if not any(v is not None and v is not False for v in layers.values()):
+        return _factors(*_wanted(requests, items, pages), items, requests)
+    return _measured(requests, items, pages, **layers)[0]
 
 
 def _keyed(requests: DataFrame) -> DataFrame:
@@ -46,24 +48,19 @@ def _factors(wanted: DataFrame, fetched: DataFrame, items: DataFrame, requests:
     return serp.unionByName(factors.page_factors(shown, keys)).unionByName(named)
 
 
-def analyze(
+def _measured(
     requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataFrame | None = None, sims: DataFrame | None = None, quality: DataFrame | None = None, votes: DataFrame | None = None, satisfaction: DataFrame | None = None,
-    types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None,
-    triples: DataFrame | None = None, aliases: DataFrame | None = None, stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """factor_values, correlations, actions, scorecard, gates, gate_report, overall, advantages, cards, stages (rows and seconds of what was written on the way), and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...), with types intent_panel, with entities brief and brief_texts.
-
-    Optional layers, each off without its tables: sims and salient, or meaning with intents and embeddings (passages of the pages themselves); quality; votes and satisfaction (engagement); types (intent); cells,
-    or entities with triples and aliases (the entity table); stats and links (off-page); keywords (brand); crux (origin, payload, as captured; null where there was no record). See ``layers``, ``panels`` and ``funnel``.
-    more: further long rows of the same columns as factor_values. Measured values win over panels.
-    """
+    salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None, triples: DataFrame | None = None, aliases: DataFrame | None = None,
+    stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None, stages: Stages | None = None,
+) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
+    """What ``analyze`` measures before it judges anything: factor_values, written; the layers' tables by name; the entity table, if there is one."""
     spark = requests.sparkSession
-    definitions, stages = F.broadcast(registry.factor_def(spark)), Stages()  # one row per registered factor
+    stages = stages or Stages()
     wanted, fetched = _wanted(requests, items, pages, stages)
     values = _factors(wanted, fetched, items, requests)
     values = values.unionByName(more) if more is not None else values
     extra = [panels.semantic_factors(sims) if sims is not None else None, panels.quality_factors(quality) if quality is not None else None, panels.engagement_factors(votes, satisfaction)]
-    found, unread = {}, None
+    found, table = {}, {}
     heads = lambda n: F.array_join(F.transform(F.filter("p.headings", lambda h: h["level"] == n), lambda h: h["text"]), " ").alias(f"h{n}")
     if salient or meaning or intents is not None or entities is not None:
         seen = stages.written(wanted.join(fetched, "url").select("run_id", "rank", "phrase", "domain", F.col("p.title").alias("title"), *map(heads, (1, 2, 3)), F.col("p.body").alias("body")), "shown")
@@ -74,7 +71,6 @@ def analyze(
     if entities is not None:
         none = spark.createDataFrame([], f"run_id {dict(entities.dtypes)['run_id']}, rank int, entity string, attribute string, value string, is_edge boolean, ord int")
         table = layers.entity_table(requests, entities, none if triples is None else triples, seen.drop("phrase", "domain"), wanted.select("run_id", "rank", "domain"), aliases)
-        cells, unread = table["cells"] if cells is None else cells, table["unread"]
         found |= {f"entities_{k}": v for k, v in table.items()}
     if stats is not None:
         found |= {f"links_{k}": v for k, v in layers.off_page(wanted.select("run_id", "rank", "url", "domain"), stats, links).items()}
@@ -85,9 +81,28 @@ def analyze(
         extra.append(layers.field_data(wanted.select("run_id", "rank", "url"), crux))
     rows = [r.select("run_id", "rank", "factor_id", "value", F.lit(k).alias("layer")) for k, r in enumerate(r for r in extra if r is not None)]
     if rows:
+        values = stages.written(values, "measured")  # read twice below: as it is, and for what it lacks
         first = functools.reduce(DataFrame.unionByName, rows).groupBy("run_id", "rank", "factor_id").agg(F.min_by("value", "layer").alias("value"))
         values = panels.backfilled(values, first.join(wanted.select("run_id", "rank", "url", "domain"), ["run_id", "rank"], "left"))
     values = stages.written(values, "factor-values")
+    return values, found, table
+
+
+def analyze(
+    requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataFrame | None = None, sims: DataFrame | None = None, quality: DataFrame | None = None, votes: DataFrame | None = None, satisfaction: DataFrame | None = None,
+    types: DataFrame | None = None, cells: DataFrame | None = None, salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None,
+    triples: DataFrame | None = None, aliases: DataFrame | None = None, stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """factor_values, correlations, actions, scorecard, gates, gate_report, overall, advantages, cards, stages (rows and seconds of what was written on the way), and what the layers give: their tables under layer_name (entities_eav, meaning_gaps, brand_leaderboard, ...), with types intent_panel, with entities brief and brief_texts.
+
+    Optional layers, each off without its tables: sims and salient, or meaning with intents and embeddings (passages of the pages themselves); quality; votes and satisfaction (engagement); types (intent); cells,
+    or entities with triples and aliases (the entity table); stats and links (off-page); keywords (brand); crux (origin, payload, as captured; null where there was no record). See ``layers``, ``panels`` and ``funnel``.
+    more: further long rows of the same columns as factor_values. Measured values win over panels.
+    """
+    spark = requests.sparkSession
+    definitions, stages = F.broadcast(registry.factor_def(spark)), Stages()  # one row per registered factor
+    values, found, table = _measured(requests, items, pages, more, sims, quality, votes, satisfaction, salient, meaning, intents, embeddings, entities, triples, aliases, stats, links, keywords, crux, stages)
+    cells, unread = table["cells"] if cells is None and table else cells, table["unread"] if table else None
     correlations = K.correlate(values, definitions)
     targets = values.filter("rank = 0").select("run_id", "factor_id", "value")
     scored = roadmap.candidates(correlations, definitions, targets)
