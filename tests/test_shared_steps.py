@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from serploom.operators import factors
+from pyspark.sql import functions as F
+
+from serploom.operators import factors, semantic
 from serploom.plans import analyze as plans
 
 
@@ -40,3 +42,17 @@ def test_factor_values_with_layers_judge_nothing(spark, monkeypatch):
 def test_measured_values_are_made_once(spark):
     stages = plans.analyze(*_tables(spark), salient=True)["stages"]
     assert "measured" in {v for r in stages.collect() for v in r if isinstance(v, str)}
+
+
+def test_features_are_shuffled_once_each(spark):
+    texts = spark.createDataFrame([("r", -1, 0, "foam mat"), ("r", 1, 0, "foam mat foam mat foam mat soft"), ("r", 2, 0, ""), ("q", 1, 0, "mat")], "run_id string, rank int, pos int, text string")
+    out = semantic._weighted(texts)
+    rows = {(r.run_id, r.rank): (sorted((w.feature, round(w.x, 9)) for w in r.feats), round(r.len, 9)) for r in out.collect()}
+    ln = lambda x: float(spark.range(1).select(F.ln(F.lit(float(x)))).first()[0])
+    both, alone = ln(4 / 3) + 1, ln(4 / 2) + 1
+    x = {"foam": (1 + ln(3)) * both, "mat": (1 + ln(3)) * both, "foam mat": (1 + ln(3)) * both, "mat foam": (1 + ln(2)) * alone, "soft": alone, "mat soft": alone}
+    assert rows["r", 1] == ([(k, round(x[k], 9)) for k in ("foam", "foam mat", "mat")], round(sum(v * v for v in x.values()) ** 0.5, 9))
+    assert rows["r", 2] == ([], 0.0) and rows["q", 1][0] == []
+    # no row of an occurrence: 7 words of one text are 6 features
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "count(1) windowspecdefinition(run_id" in plan
