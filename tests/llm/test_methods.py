@@ -199,6 +199,37 @@ def test_near_copies_against_all_jaccard_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_the_near_duplicate_stage_proposes_by_simhash(spark):
+    def plain(shingles):  # SimHash, bit by bit
+        mask, lead = (1 << 64) - 1, []
+        for xor, times in zip(neardup._XOR[0].tolist(), neardup._TIMES[0].tolist(), strict=True):
+            each = [(s ^ xor) * times & mask for s in shingles]
+            each = [x ^ x >> 32 for x in each]
+            lead += [2 * sum(x >> b & 1 for x in each) - len(each) for b in range(64)]
+        words = [sum((lead[64 * w + b] > 0) << b for b in range(64)) for w in range(neardup.WORDS)]
+        groups = [lead[k : k + neardup.GROUP] for k in range(0, len(lead), neardup.GROUP)]
+        place = [max(range(neardup.GROUP), key=lambda j: (abs(g[j]), -j)) for g in groups]
+        said = [2 * j + (g[j] > 0) for j, g in zip(place, groups, strict=True)]
+        n = neardup.GROUPS
+        return words, [said[k] << 16 | said[(k + neardup.STEPS[0]) % n] << 8 | said[(k + neardup.STEPS[1]) % n] for k in range(n)]
+
+    rng = random.Random(7)
+    base = " ".join(f"w{rng.randrange(400)}" for _ in range(90))
+    texts = {1: base, 2: base + " more words at the end", 3: "one two", 4: " ".join(f"v{k}" for k in range(300)), 5: ""}
+    rows = {r.doc_id: r for r in neardup.signatures(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k in (1, 2, 3, 4):
+        words, keys = plain(neardup.shingle_set(texts[k]).tolist())
+        assert [x % (1 << 64) for x in rows[k].fp] == words and rows[k].keys == keys, k
+    assert rows[5].fp == [0] * neardup.WORDS and rows[5].keys == []
+    nodes = spark.createDataFrame([(k, list(r.keys), list(r.fp)) for k, r in rows.items()], "node long, keys array<int>, fp array<long>")
+    found = neardup.proposed(nodes, 5)
+    assert {(r.u, r.v) for r in neardup.within_radius(found.filter("k is null"), nodes).collect()} == {(1, 2)}
+    made = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(9) if rng.random() < 0.004 else j}" for j in range(150))) for i in range(80)], "doc_id long, text string")
+    want = brute_jaccard_groups({r.doc_id: r.text for r in made.collect()})
+    for crowd in (2, 100):  # keys' members with the smallest and in blocks, or in pairs
+        assert {r.doc_id: r.component_id for r in neardup.components(made, crowd=crowd, block=100).collect()} == want
+
+
 def test_intersections_of_a_block():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 5000))).astype(np.uint64) for _ in range(20)]
