@@ -132,11 +132,12 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 6, crowd: int = 512,
     keys = table.select("fp", "pv", F.posexplode(cut).alias("m", "k"))
     shared = keys.groupBy("m", "k").count().filter("count > 1")
     crowded = shared.filter(F.col("count") > crowd).select("m", "k")
-    few = keys.join(shared.filter(F.col("count") <= crowd).select("m", "k"), ["m", "k"])
+    # Spark sizes what comes out of an explode as what goes in, and would broadcast all keys: "merge" keeps every side in its tasks
+    few = keys.join(shared.filter(F.col("count") <= crowd).select("m", "k").hint("merge"), ["m", "k"])
     a, b = few.select("m", "k", F.col("fp").alias("u"), F.col("pv").alias("pu")), few.select("m", "k", F.col("fp").alias("v"), F.col("pv").alias("pw"))
     near = within_pivots(F.col("pu"), F.col("pw"), len(refs), radius) & (_differ("u", "v") <= radius)
-    pairs = a.join(b, ["m", "k"]).filter((F.col("u") < F.col("v")) & near).select("u", "v")
-    return pairs.union(_stars(keys.join(crowded, ["m", "k"]).select("m", "fp"), masks, radius)).distinct()
+    pairs = a.join(b.hint("merge"), ["m", "k"]).filter((F.col("u") < F.col("v")) & near).select("u", "v")
+    return pairs.union(_stars(keys.join(crowded.hint("merge"), ["m", "k"]).select("m", "fp"), masks, radius)).distinct()
 
 
 def _stars(members: DataFrame, masks: list[int], radius: int) -> DataFrame:
@@ -151,7 +152,7 @@ def _stars(members: DataFrame, masks: list[int], radius: int) -> DataFrame:
     changes = F.broadcast(members.sparkSession.createDataFrame(rows, "m int, d long, near boolean"))
     around = members.join(changes, "m").select("m", "fp", F.col("fp").bitwiseXOR(F.col("d")).alias("hub"), "near")
     centre = around.groupBy("m", "hub").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("u"), F.count("*").alias("n")).filter("u is not null and n > 1")
-    return around.join(centre, ["m", "hub"]).filter("u <> fp").select("u", F.col("fp").alias("v"))
+    return around.join(centre.hint("merge"), ["m", "hub"]).filter("u <> fp").select("u", F.col("fp").alias("v"))
 
 
 def roots(edges: DataFrame) -> DataFrame:
