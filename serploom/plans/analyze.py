@@ -25,6 +25,11 @@ def factor_values(requests: DataFrame, items: DataFrame, pages: DataFrame, **lay
     return _measured(requests, items, pages, **layers)[0]
 
 
+def layer_values(requests: DataFrame, items: DataFrame, pages: DataFrame, **layers: DataFrame | bool | None) -> DataFrame:
+    """run_id, rank, factor_id, value: what the optional layers give, as in ``factor_values``, without the factors measured on the pages themselves. It isn't written, so only what is asked of it is made."""
+    return _measured(requests, items, pages, own=False, **layers)[0]
+
+
 def _keyed(requests: DataFrame) -> DataFrame:
     return requests.select("run_id", T.phrase_of("keyword").alias("phrase"), T.variations("keyword").alias("vars"), "target_url")
 
@@ -51,14 +56,14 @@ def _factors(wanted: DataFrame, fetched: DataFrame, items: DataFrame, requests:
 def _measured(
     requests: DataFrame, items: DataFrame, pages: DataFrame, more: DataFrame | None = None, sims: DataFrame | None = None, quality: DataFrame | None = None, votes: DataFrame | None = None, satisfaction: DataFrame | None = None,
     salient: bool = False, meaning: bool = False, intents: DataFrame | None = None, embeddings: DataFrame | None = None, entities: DataFrame | None = None, triples: DataFrame | None = None, aliases: DataFrame | None = None,
-    stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None, stages: Stages | None = None,
+    stats: DataFrame | None = None, links: DataFrame | None = None, keywords: DataFrame | None = None, crux: DataFrame | None = None, stages: Stages | None = None, own: bool = True,
 ) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
-    """What ``analyze`` measures before it judges anything: factor_values, written; the layers' tables by name; the entity table, if there is one."""
+    """What ``analyze`` measures before it judges anything: factor_values, written (without ``own`` the rows of the layers alone, not written); the layers' tables by name; the entity table, if there is one."""
     spark = requests.sparkSession
     stages = stages or Stages()
     wanted, fetched = _wanted(requests, items, pages, stages)
-    values = _factors(wanted, fetched, items, requests)
-    values = values.unionByName(more) if more is not None else values
+    values = _factors(wanted, fetched, items, requests) if own else None
+    values = values.unionByName(more) if own and more is not None else values
     extra = [panels.semantic_factors(sims) if sims is not None else None, panels.quality_factors(quality) if quality is not None else None, panels.engagement_factors(votes, satisfaction)]
     found, table = {}, {}
     heads = lambda n: F.array_join(F.transform(F.filter("p.headings", lambda h: h["level"] == n), lambda h: h["text"]), " ").alias(f"h{n}")
@@ -80,9 +85,11 @@ def _measured(
     if crux is not None:
         extra.append(layers.field_data(wanted.select("run_id", "rank", "url"), crux))
     rows = [r.select("run_id", "rank", "factor_id", "value", F.lit(k).alias("layer")) for k, r in enumerate(r for r in extra if r is not None)]
+    first = functools.reduce(DataFrame.unionByName, rows).groupBy("run_id", "rank", "factor_id").agg(F.min_by("value", "layer").alias("value")) if rows else None
+    if not own:
+        return first, found, table
     if rows:
         values = stages.written(values, "measured")  # read twice below: as it is, and for what it lacks
-        first = functools.reduce(DataFrame.unionByName, rows).groupBy("run_id", "rank", "factor_id").agg(F.min_by("value", "layer").alias("value"))
         values = panels.backfilled(values, first.join(wanted.select("run_id", "rank", "url", "domain"), ["run_id", "rank"], "left"))
     values = stages.written(values, "factor-values")
     return values, found, table
